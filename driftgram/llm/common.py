@@ -72,3 +72,7 @@ def spans(text: Column, pattern: str) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     return F.when(text.rlike(pattern), let(both, located)).otherwise(empty)
+
+
+def count_kind(spans_column: str, kind: str) -> Column:
+    return F.size(F.filter(spans_column, lambda s: s["kind"] == kind))
