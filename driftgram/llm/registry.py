@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, secret_scan
+from . import decontamination, pii, quality_rules, secret_scan, simhash_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_decontamination": decontamination.query,
     "op7_pii": pii.query,
+    "op8_simhash_dedup": simhash_dedup.query,
     "op9_secret_scan": secret_scan.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op3_decontamination": decontamination.SQL,
     "op9_secret_scan": secret_scan.SQL,
 }
