@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, pii, quality_rules, secret_scan, simhash_dedup
+from . import decontamination, mixing, pii, quality_rules, resharding, secret_scan, simhash_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op3_decontamination": decontamination.query,
+    "op5_resharding": resharding.query,
     "op7_pii": pii.query,
     "op8_simhash_dedup": simhash_dedup.query,
     "op9_secret_scan": secret_scan.query,
+    "op10_mixing": mixing.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
