@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity
+from . import decontamination, hmm_scoring, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_toxicity": toxicity.query,
     "op3_decontamination": decontamination.query,
+    "op4_hmm_scoring": hmm_scoring.query,
     "op5_resharding": resharding.query,
     "op6_quality_classifier": quality_classifier.query,
     "op7_pii": pii.query,
