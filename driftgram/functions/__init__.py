@@ -1 +1 @@
-"""Subpackage of driftgram."""
+"""Column functions: tokenizer, n-grams, dates, formats."""

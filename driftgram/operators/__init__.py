@@ -1 +1 @@
-"""Subpackage of driftgram."""
+"""Operators on texts, counts and series."""
