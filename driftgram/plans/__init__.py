@@ -1 +1 @@
-"""Subpackage of driftgram."""
+"""Whole plans: rebuild and phrase queries."""

@@ -1 +1 @@
-"""Subpackage of driftgram."""
+"""Sources, sinks and configuration."""

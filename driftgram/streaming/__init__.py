@@ -1 +1 @@
-"""Subpackage of driftgram."""
+"""Incremental and streaming runs."""
