@@ -36,6 +36,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 BLOCKS = 64
+#: Source figures are broadcast up to this many sources; beyond it they are joined salted.
+BROADCAST_SOURCES = 100_000
+SALTS = 16
 
 
 def level(column: Column) -> Column:
@@ -115,6 +118,14 @@ def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(whole=whole, extra=extra)[["skey", "size", "n", "whole", "extra"]]
 
 
+def _with_source_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """Joins a row a source to ``rows`` (skey, block) without bringing a source's rows together."""
+    if figures.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(figures), "skey")
+    salted = figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", (F.col("block") % SALTS).cast("int")).join(salted, ["skey", "salt"]).drop("salt")
+
+
 def copies(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """doc_id, key_id, key_text, source, size, source_size, target, rate and copies for every row."""
     text = docs["text"]
@@ -129,11 +140,10 @@ def copies(docs: DataFrame, share: float = SHARE, weights: Sequence[float] = WEI
     before = Window.partitionBy("skey", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranked = of_block.withColumn("r0", F.coalesce(F.sum("bn").over(before), F.lit(0))).join(rounded, ["skey", "size"]).select("skey", "size", "block", "r0", "whole", "extra")
     inside = Window.partitionBy("skey", "size", "block").orderBy("h", "key_id", "key_text")
-    per_source = targets.select(F.col("level").alias("skey"), F.col("tokens").alias("source_size"), "target").join(rates, "skey")
+    per_source = common.checkpointed(targets.select(F.col("level").alias("skey"), F.col("tokens").alias("source_size"), "target").join(rates, "skey"))
+    chosen = items.join(ranked, ["skey", "size", "block"]).withColumn("copies", F.col("whole") + (F.col("r0") + F.row_number().over(inside) <= F.col("extra")).cast("int"))
     return (
-        items.join(ranked, ["skey", "size", "block"])
-        .withColumn("copies", F.col("whole") + (F.col("r0") + F.row_number().over(inside) <= F.col("extra")).cast("int"))
-        .join(per_source, "skey")
+        _with_source_figures(chosen, per_source)
         .select("doc_id", "key_id", "key_text", "source", "size", "source_size", "target", "rate", "copies")
     )
 
