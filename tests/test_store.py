@@ -1,0 +1,174 @@
+"""Source, store, rebuild, incremental runs and phrase queries, end to end on a small corpus."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftgram.operators.pruning import Pruning, Threshold
+from driftgram.plans import phrases
+from driftgram.plans.rebuild import rebuild
+from driftgram.sources import config, items
+from driftgram.sources.store import Store, VersionMismatch, write_tsv
+from driftgram.streaming import incremental
+
+ALL = Pruning({n: Threshold(0, 1) for n in (1, 2, 3)})
+SCHEMA = "id long, type tinyint, deleted tinyint, dead tinyint, text string, time timestamp"
+
+
+def item(i, text, time, kind=2, deleted=0, dead=0):
+    return (i, kind, deleted, dead, text, dt.datetime.fromisoformat(time) if time else None)
+
+
+ROWS = {
+    "2024-01": [item(1, "<p>Red apples</p>", "2024-01-05T10:00:00"), item(2, "red apples &amp; pears", "2024-01-05T12:00:00"), item(3, "a story", "2024-01-06T00:00:00", kind=1), item(4, "gone", "2024-01-06T00:00:00", deleted=1), item(5, "flag", "2024-01-06T00:00:00", dead=None), item(6, "", "2024-01-06T00:00:00"), item(7, None, "2024-01-06T00:00:00"), item(8, "no time", None)],
+    "2024-03": [item(9, "Red apples, again!", "2024-03-02T08:00:00")],
+}
+
+
+@pytest.fixture(scope="module")
+def source(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("items")
+    for month, rows in ROWS.items():
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/{month[:4]}/{month}.parquet")
+    return str(root)
+
+
+BUILD = config.BuildConfig(start="2023-12", end="2024-04", pruning=ALL)
+
+
+@pytest.fixture(scope="module")
+def built(spark, source, tmp_path_factory):
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    rebuild(spark, source, store, BUILD)
+    return store
+
+
+def test_comment_filter_and_watermark(spark, source):
+    rows = items.read_items(spark, items.existing_months(spark, source, "2024-01", "2024-03"))
+    assert items.comments(rows).count() == 3
+    first = int(dt.datetime(2024, 1, 5, 12, tzinfo=dt.UTC).timestamp() * 1000)
+    assert [r["text"] for r in items.comments(rows, first).collect()] == ["Red apples, again!"]
+
+
+def test_schema_check(spark):
+    with pytest.raises(ValueError, match="missing"):
+        items.check_schema(spark.createDataFrame([], "type int"))
+    with pytest.raises(ValueError, match="type"):
+        items.check_schema(spark.createDataFrame([], "type int, deleted int, dead int, text string, time string"))
+
+
+def test_rebuild_publishes_all_tables(built):
+    counts = {(str(r["bucket"]), r["ngram"]): r["count"] for r in built.read("ngram_counts").where("n = 2").collect()}
+    assert counts == {("2024-01-05", "red apples"): 2, ("2024-01-05", "apples pears"): 1, ("2024-03-02", "red apples"): 1, ("2024-03-02", "apples again"): 1}
+    assert {(str(r["bucket"]), r["n"]): r["total_count"] for r in built.read("bucket_totals").collect()}[("2024-01-05", 1)] == 5
+    log = built.latest_log()
+    assert log["comments_processed"] == 3 and built.watermark() == int(dt.datetime(2024, 3, 2, 8, tzinfo=dt.UTC).timestamp() * 1000)
+
+
+def test_partitions_are_pruned(built):
+    from driftgram.operators import series
+
+    rows = series.stored_series(built.read("ngram_counts"), built.read("bucket_totals"), 2, ["red apples"], dt.date(2024, 3, 1), dt.date(2024, 3, 31))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ym" in plan.split("PartitionFilters: [")[1].split("]")[0] and rows.count() == 1
+
+
+def test_phrase_response(built):
+    queries = phrases.PhraseQueries(built)
+    got = queries.phrase("RED apples", "2024-01-10", "2024-03-05")
+    assert got["phrase"] == "RED apples" and got["normalized"] == "red apples" and got["status"] == "indexed" and got["global_count"] == 3
+    assert got["meta"] == {"tokenizer_version": "1", "start": "2024-01-01", "end": "2024-03-31", "granularity": "month"}
+    assert [(p["t"], p["count"], p["total"]) for p in got["points"]] == [("2024-01-01", 2, 3), ("2024-03-01", 1, 2)]
+    assert queries.phrase("red  APPLES", "2024-01-10", "2024-03-05")["phrase"] == "red  APPLES"
+    assert queries.phrase("a b c d e f")["status"] == "invalid" and queries.phrase("...")["status"] == "invalid"
+    assert queries.phrase("blue moon")["status"] == "not_indexed" and queries.phrase("moon")["status"] == "indexed"
+    assert queries.vocabulary_check([(2, "blue moon"), (2, "red apples")]) == [False, True]
+    assert queries.freshness()["last_ingested_date"] == "2024-03-02" and queries.health()["status"] == "ok"
+    dense = queries.compare(["red apples", "pears"], dt.date(2024, 1, 1), dt.date(2024, 4, 30), "month", smoothing=3).collect()
+    assert len([r for r in dense if r["ngram"] == "red apples"]) == 3
+
+
+@pytest.mark.parametrize(
+    ("arguments", "code"),
+    [((None,), "MISSING_PHRASE"), (("a", "2024/01/01", "x"), "INVALID_DATE_FORMAT"), (("a", None, "2024-02-30"), "INVALID_DATE_FORMAT"), (("a", "2024-05-01", "2024-04-30", "x"), "INVALID_DATE_RANGE"), (("a", "2024-05-01", "2024-05-01", "hour"), "INVALID_GRANULARITY")],
+)
+def test_request_errors(arguments, code):
+    with pytest.raises(phrases.RequestError) as e:
+        phrases.request_range(*arguments, *[None] * (4 - len(arguments)))
+    assert e.value.code == code and e.value.envelope()["error"]["code"] == code
+
+
+@pytest.mark.parametrize(
+    ("arguments", "code"),
+    [((["a", " "], "month", "2024-01-01", 0), "INVALID_PHRASES"), ((["a"] * 11, "month", "2024-01-01", 0), "TOO_MANY_PHRASES"), ((["a", "é" * 41], "month", "2024-01-01", 0), "PHRASE_TOO_LONG"), ((["a", "b"], "hour", "2024-01-01", 0), "INVALID_GRANULARITY"), ((["a", "b"], "month", "2024", 0), "INVALID_DATE_FORMAT"), ((["a", "b"], "month", "2024-01-01", 25), "INVALID_SMOOTHING")],
+)
+def test_feedback_errors(arguments, code):
+    with pytest.raises(phrases.RequestError) as e:
+        phrases.checked_feedback(*arguments)
+    assert e.value.code == code
+
+
+def test_feedback_is_kept(built):
+    assert phrases.PhraseQueries(built).feedback([" red ", "apples", ""], "Monthly", "2024-01-01", 3, "é" * 200) == {"ok": True}
+    row = built.feedback().first()
+    assert row["phrases"] == ["red", "apples"] and row["granularity"] == "month" and len(row["user_agent"].encode()) == 256
+
+
+def test_incremental_equals_rebuild_and_repeats_do_nothing(spark, source, built, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert incremental.process_months(spark, source, store, BUILD) == ["2024-01", "2024-03"]
+    assert incremental.process_months(spark, source, store, BUILD) == []
+    for table, columns in (("ngram_counts", ["bucket", "n", "ngram", "count"]), ("bucket_totals", ["bucket", "n", "total_count"])):
+        assert {tuple(r) for r in store.read(table).select(*columns).collect()} == {tuple(r) for r in built.read(table).select(*columns).collect()}
+    overall = {r["ngram"]: r["count"] for r in store.read("global_counts").collect()}
+    assert overall["red"] == 3 and overall["red apples"] == 3 and store.read("global_counts").count() == len(overall)
+    spark.sql("SELECT 1")
+    store._append_log({"tokenizer_version": "0"})
+    with pytest.raises(VersionMismatch):
+        store.check_version()
+    store.reset()
+    assert store.current() is None and store.read("ngram_counts").count() == 0 and store.watermark() == 0
+
+
+def test_stream_follows_files(spark, source, built, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    for _ in range(2):  # the second run finds nothing new
+        incremental.stream(spark, f"{source}/2024/*", SCHEMA, store, BUILD, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {tuple(r) for r in store.read("ngram_counts").select("bucket", "n", "ngram", "count").collect()} == {tuple(r) for r in built.read("ngram_counts").select("bucket", "n", "ngram", "count").collect()}
+
+
+def test_windowed_counts_stream(spark, tmp_path):
+    rows = [("red apples", dt.datetime(2024, 1, 1, 5)), ("pears", dt.datetime(2024, 1, 1, 7)), ("later words here", dt.datetime(2024, 1, 9))]
+    spark.createDataFrame(rows, "text string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    stream = incremental.windowed_counts(spark.readStream.schema("text string, ts timestamp").parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert {(r["day"].day, r["comments"], r["tokens"]) for r in spark.table("windowed").collect()} == {(1, 2, 3), (9, 1, 3)}
+
+
+def test_config(tmp_path):
+    path = tmp_path / "c.toml"
+    path.write_text('[process]\nstart = "2020-01"\nmax_n = 5\nbucket_granularity = "monthly"\nmax_entries = 7\n[process.prune.2]\nmin_global = 9\n')
+    got = config.load(str(path), {"PRUNE_MIN_2GRAM_BUCKET": "4"}, start="2021-02", end=None)
+    assert (got.start, got.end, got.max_n, got.bucket_granularity) == ("2021-02", None, 5, "monthly")
+    assert got.pruning.thresholds[2] == Threshold(9, 4, 2)
+    with pytest.raises(ValueError):
+        config.load(None, {}, bucket_granularity="hourly")
+    assert config.is_suggested(["pytorch ", "TENSORFLOW"]) and not config.is_suggested(["rust"])
+
+
+def test_url_state():
+    state = phrases.state_from_url("?q=red%20apples,%20pears,&g=week&s=0&y=log&since=1999")
+    assert state == {"phrases": ["red apples", "pears"], "since": "2011", "granularity": "week", "smoothing": 3, "scale": "log"}
+    assert phrases.state_from_url(phrases.state_to_url(state)) == state
+    assert phrases.state_to_url(phrases.state_from_url("")) == "?q=rust%2Cpython"
+
+
+def test_tsv(spark, tmp_path):
+    write_tsv(spark.createDataFrame([(3, 'say "hi"')], "c int, g string"), f"{tmp_path}/t")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/t").collect()] == ['3\tsay "hi"']
+
+
+def test_not_done(spark):
+    paths = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert [r[0] for r in items.not_done(paths, paths.where(F.col("path") == "a")).collect()] == ["b"]
