@@ -15,7 +15,7 @@ Words are split at ASCII white space, lower-cased (A-Z) and freed of ASCII punct
 ends; words of punctuation alone are dropped.
 
 Edge cases: null and empty texts match nothing, nor do items without a word; an item of fewer
-than five words is one shingle of all its words; repeated rows give the same pairs again; rows
+than five words is one shingle of all its words; repeated documents give the same pairs again, repeated items count once; rows
 with null ids are searched; extra columns are ignored by :func:`search` and kept by
 :func:`without_leaks`; an empty table of either kind gives no pairs.
 """
@@ -126,7 +126,7 @@ def blocks(benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     """The benchmark's items in blocks, read one partition at a time."""
     part: list[tuple[int, str]] = []
     size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+    for row in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(row["text"] or "") // 2 + 1
         if part and size + n > BLOCK_SHINGLES:
             yield Block(part, shingle, threshold)
@@ -157,7 +157,7 @@ def search(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thresh
             for pdf in batches:
                 found = [(d, *hit) for d, hits in zip(pdf["doc_id"], _scanned(pdf["text"], shared.value, codes), strict=True) for hit in hits]
                 if found:
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_shingles", "shared"])
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_shingles", "shared"], dtype=object)
 
         out = out.union(docs.select("doc_id", "text").mapInPandas(run, schema))
     return out.selectExpr("*", "CAST(shared AS DOUBLE) / item_shingles AS containment")
@@ -184,7 +184,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 _TRIM = r"regexp_replace(lower_az, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')"
 _WORDS = r"list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda lower_az: " + _TRIM + "), lambda x: x <> '')"
 SQL = rf"""
-WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
 ig AS (SELECT item_id, k, list_distinct(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g
        FROM (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0)),
 iu AS (SELECT item_id, k, len(g) AS n, unnest(g) AS s FROM ig),

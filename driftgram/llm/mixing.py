@@ -15,7 +15,7 @@ error left is about half of the smallest size. Which documents of equal size get
 copy is decided by a keyed hash, so reruns agree.
 
 Edge cases: null texts have size 0; a null source is a source of its own, ordered last; sources
-without words have target 0; repeated rows count as often as they occur; null ids are allowed;
+without words have target 0 and are left out; repeated rows count as often as they occur; null ids are allowed;
 extra columns are kept by :func:`mix`; an empty table gives an empty result.
 """
 
@@ -77,7 +77,7 @@ def balance(cells: DataFrame, margins: Sequence[str], targets: Sequence[DataFram
     duals = []
     for margin, target in zip(margins, targets, strict=True):
         held = cells.groupBy(F.col(margin).alias("level")).agg(F.sum("tokens").alias("held"))
-        start = F.when(F.col("target") >= most * F.col("held") * (1 - TOLERANCE), 40.0).when(F.col("target") <= 0, -40.0).otherwise(0.0)
+        start = F.when(F.col("target") <= 0, -40.0).when(F.col("target") >= most * F.col("held") * (1 - TOLERANCE), 40.0).otherwise(0.0)
         duals.append(common.checkpointed(held.join(target.select("level", "target"), "level").select("level", "target", start.alias("dual"), (start != 0).alias("fixed"))))
 
     def rated(frame: DataFrame) -> DataFrame:

@@ -164,20 +164,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, key_id, key_text, fp and component_id for every row of ``docs``."""
+    """doc_id, key_id, key_text, fp, root (the component's least fingerprint) and component_id for every row."""
     marked = common.checkpointed(fingerprints(docs))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(marked.select("fp").distinct(), max_bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    of_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
     return marked.join(of_fp, "fp")
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: the least id's; rows equal in id and text, once."""
     found = near_duplicates(docs, max_bits)
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_id", "key_text")).alias("k")).select("k.key_id", "k.key_text").withColumnsRenamed({"key_id": "__i", "key_text": "__t"})
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_id", "key_text")).alias("k")).select("k.key_id", "k.key_text").withColumnsRenamed({"key_id": "__i", "key_text": "__t"})
     key_id, key_text = common.row_key(docs["doc_id"], docs["text"])
     kept = docs.withColumns({"__ki": key_id, "__kt": key_text}).join(keep, (F.col("__ki") == F.col("__i")) & (F.col("__kt") == F.col("__t")), "left_semi")
     once = F.row_number().over(Window.partitionBy("__ki", "__kt").orderBy("__ki"))
