@@ -7,8 +7,9 @@ cuts UTF-8 text at exactly those characters, so Python and SQL agree on words.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,14 @@ def spans(text: Column, pattern: str) -> Column:
 
 def count_kind(spans_column: str, kind: str) -> Column:
     return F.size(F.filter(spans_column, lambda s: s["kind"] == kind))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that Python never holds many texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def texts(batch: pa.RecordBatch) -> list[str | None]:
+    return batch.column(batch.schema.get_field_index("text")).to_pylist()

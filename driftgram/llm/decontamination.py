@@ -26,10 +26,11 @@ import math
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
@@ -52,16 +53,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash(dict):
-    """64 bits of a word, remembered for up to ``limit`` words."""
-
-    limit = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = crc32(word) | crc32(word, 0x5BD1E995) << 32
-        return value
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word."""
+    low, high = (np.fromiter(map(crc32, words, repeat(seed)), dtype=np.uint64, count=len(words)) for seed in (0, 0x5BD1E995))
+    return _mixed(low | high << np.uint64(32))
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -88,14 +83,13 @@ class Block:
         self.threshold = threshold
         self.items: list[tuple[int, int, frozenset[tuple[bytes, ...]]]] = []
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        codes = WordHash()
         for item_id, text in items:
             words = normal_words(text)
             if not words:
                 continue
             size = min(shingle, len(words))
             grams = sorted({tuple(words[i : i + size]) for i in range(len(words) - size + 1)})
-            hashes = sorted(int(window_hashes(np.array([codes[w] for w in g], dtype=np.uint64), size)[0]) for g in grams)
+            hashes = sorted(int(window_hashes(word_hashes(list(g)), size)[0]) for g in grams)
             for h in hashes[: sketch_size(len(grams), threshold)]:
                 found[size][h].append(len(self.items))
             self.items.append((item_id, size, frozenset(grams)))
@@ -137,10 +131,9 @@ def blocks(benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
         yield Block(part, shingle, threshold)
 
 
-def _scanned(texts: pd.Series, block: Block, codes: WordHash) -> Iterator[list[tuple[int, int, int]]]:
-    for text in texts:
-        words = normal_words(text)
-        yield block.search(words, np.array([codes[w] for w in words], dtype=np.uint64)) if words else []
+def _found(batch: pa.RecordBatch, block: Block) -> list[list[tuple[int, int, int]]]:
+    each = (normal_words(text) for text in common.texts(batch))
+    return [block.search(words, word_hashes(words)) if words else [] for words in each]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,14 +145,16 @@ def search(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thresh
     for block in blocks(benchmark, shingle, threshold):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            codes = WordHash()
-            for pdf in batches:
-                found = [(d, *hit) for d, hits in zip(pdf["doc_id"], _scanned(pdf["text"], shared.value, codes), strict=True) for hit in hits]
-                if found:
-                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_shingles", "shared"], dtype=object)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches):
+                hits = [(row, *hit) for row, found in enumerate(_found(batch, shared.value)) for hit in found]
+                if hits:
+                    row, item, size, both = zip(*hits, strict=True)
+                    ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row))
+                    columns = [ids, pa.array(item, pa.int64()), pa.array(size, pa.int32()), pa.array(both, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "item_shingles", "shared"])
 
-        out = out.union(docs.select("doc_id", "text").mapInPandas(run, schema))
+        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out.selectExpr("*", "CAST(shared AS DOUBLE) / item_shingles AS containment")
 
 
@@ -168,12 +163,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     for block in blocks(benchmark, shingle, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            codes = WordHash()
-            for pdf in batches:
-                yield pdf[np.array([not hits for hits in _scanned(pdf["text"], shared.value, codes)], dtype=bool)]
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches):
+                yield batch.filter(pa.array([not found for found in _found(batch, shared.value)], pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

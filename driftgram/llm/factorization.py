@@ -16,9 +16,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -34,6 +35,7 @@ class Settings:
     min_docs: int = 4
     min_chi2: float = 8.0
     epochs: int = 25
+    min_updates: int = 1500
     rate: float = 0.1
     decay: float = 1e-4
     batch: int = 128
@@ -88,7 +90,7 @@ def _selected(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.nda
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
-    """AdaGrad on the logistic loss. One class or no rows: a constant model."""
+    """AdaGrad on the logistic loss, in ``epochs`` or more until ``min_updates``. One class or no rows: a constant model."""
     labels = labels.astype(float)
     positive = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(positive / (1 - positive)))
@@ -99,7 +101,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
         return Model(bias, places, w, v)
     kept = [np.searchsorted(places, d[np.isin(d, places)]) for d in docs]
     gw0, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.min_updates * s.batch // len(docs)))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), s.batch):
             rows = order[at : at + s.batch]
@@ -137,12 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, featurizer: Featurizer,
     picked = picked.orderBy(order, "doc_id").limit(s.max_train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_train_rows rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "places": [featurizer(t or "").tolist() for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            places = pa.array([featurizer(t or "").astype(np.int32) for t in common.texts(batch)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places], ["doc_id", "label", "places"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = texts.mapInPandas(run, f"doc_id {kind}, label int, places array<int>")
+    rows = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, places array<int>")
     one = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("places").alias("places"))  # rows that repeat an id count once
     got = sorted(one.collect(), key=lambda r: str(r["doc_id"]))
     return train([np.array(r["places"], dtype=np.int64) for r in got], np.array([r["label"] for r in got], dtype=float), s)
@@ -153,11 +156,16 @@ def scored(docs: DataFrame, model: Model, featurizer: Featurizer, column: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features x (rank + 2) numbers
     keep = [c for c in (docs.columns if keep is None else keep) if c != column or least is not None]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = shared.value.score([featurizer(t or "") for t in pdf["text"]])
-            yield pdf[keep].assign(**{column: scores}) if least is None else pdf[scores >= least][keep]
-
     source = docs.select(*dict.fromkeys([*keep, "text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields]
-    return source.mapInPandas(run, ", ".join(fields + ([f"`{column}` double"] if least is None else [])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            scores = shared.value.score([featurizer(t or "") for t in common.texts(batch)])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            if least is None:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*keep, column])
+            else:
+                yield pa.RecordBatch.from_arrays(kept, keep).filter(pa.array(scores >= least))
+
+    schema = T.StructType(source.select(*keep).schema.fields)
+    return source.mapInArrow(run, schema if least is not None else schema.add(column, T.DoubleType()))

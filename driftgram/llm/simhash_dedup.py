@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,13 +55,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, key_id, key_text and ``fp`` (the fingerprint as a signed bigint) for every row."""
     keyed = docs.select(docs["doc_id"], *common.row_key(docs["doc_id"], docs["text"]), docs["text"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = np.fromiter(map(fingerprint, pdf.pop("text")), dtype=np.uint64, count=len(pdf))
-            yield pdf.assign(fp=values.view(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            values = np.fromiter(map(fingerprint, common.texts(batch)), dtype=np.uint64, count=batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values)], ["doc_id", "key_id", "key_text", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return keyed.mapInPandas(run, f"doc_id {kind}, key_id string, key_text long, fp long")
+    return keyed.mapInArrow(run, f"doc_id {kind}, key_id string, key_text long, fp long")
 
 
 def _forest(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,20 +87,21 @@ def _forest(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _search(buckets: DataFrame, max_bits: int, hot: int) -> DataFrame:
     """From (key, fp): rows (a, b) of links, with key null, and rows (key, a) of too large buckets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        schema = {"key": "Int64", "a": "int64", "b": "Int64"}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(key: pa.Array, a: np.ndarray, b: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, pa.array(a), b], ["key", "a", "b"])
 
-        def links(groups: list[np.ndarray]) -> pd.DataFrame:
+        def links(groups: list[np.ndarray]) -> pa.RecordBatch:
             parts = [_forest(np.unique(g.view(np.uint64)), max_bits) for g in groups]
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*parts, strict=True))
-            return pd.DataFrame({"key": pd.NA, "a": a, "b": b}).astype(schema)
+            return made(pa.nulls(len(a), pa.int64()), a, pa.array(b))
 
-        def passed(key: int, fps: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"key": key, "a": fps, "b": pd.NA}).astype(schema)
+        def passed(key: int, fps: np.ndarray) -> pa.RecordBatch:
+            return made(pa.array(np.full(len(fps), key)), fps, pa.nulls(len(fps), pa.int64()))
 
         open_key, kept, over = None, [], False  # the bucket that may go on in the next batch
-        for pdf in batches:
-            keys, fps = pdf["key"].to_numpy(), pdf["fp"].to_numpy()
+        for batch in batches:
+            keys, fps = (np.array(batch.column(batch.schema.get_field_index(c))) for c in ("key", "fp"))
             if not len(keys):
                 continue
             cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -135,7 +136,7 @@ def _search(buckets: DataFrame, max_bits: int, hot: int) -> DataFrame:
         if open_key is not None and not over and sum(map(len, kept)) > 1:
             yield links([np.concatenate(kept)])
 
-    return buckets.repartition("key").sortWithinPartitions("key").mapInPandas(run, "key long, a long, b long")
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
