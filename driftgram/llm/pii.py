@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data (operator 7), native functions only.
 
 Found in whole texts: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits that pass
-the Luhn check), North American phone numbers and calendar dates (ISO). Each valid value is
+the Luhn check), North American phone numbers, US social security numbers, international bank
+account numbers (modulo 97) and calendar dates (2024-02-29 and 29.02.2024). Each valid value is
 replaced by a keyed permutation within its own format, so a card stays a Luhn-valid number of
 the same length, a date a date, and equal values become equal pseudonyms in every document.
 
@@ -10,8 +11,9 @@ are cut into halves; a round adds to each character of one half, modulo its alph
 26 lower or upper letters), a shift taken from SHA-256 of key, round and the other half. Every
 round can be undone, so it is a bijection on all values of that format. Octets of an address
 are shifted modulo 256. A date is its day number within the 146,097 days of a Gregorian cycle,
-written as a pair modulo 189 and 773 (their product), so no cycle walking is needed. The last
-digit of a card number isn't permuted but worked out anew.
+written as a pair modulo 189 and 773 (their product), so no cycle walking is needed; likewise a
+social security number is its place among the valid ones, modulo 898 x 99 and 9,999. The last
+digit of a card number and the check digits of an account aren't permuted but worked out anew.
 
 Edge cases: a null text stays null, empty texts stay empty; values that fail validation are left
 alone; repeated rows are treated alike; all other columns of an input are kept, those named like
@@ -28,15 +30,15 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 8
-KINDS = ("email", "ip", "phone", "card", "date")
+KINDS = ("email", "ip", "phone", "card", "date", "ssn", "iban")
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
-ANY = f"{EMAIL}|{IP}|{DATE}|{PHONE}|{CARD}"
-
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
+DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
+SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+ANY = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}|{IBAN}"
 
 
 def luhn_sum(digits: Column, doubled_first: Column) -> Column:
@@ -91,13 +93,55 @@ def permute_chars(value: Column, key: str, forward: bool = True) -> Column:
     return common.let(halves, lambda s: F.concat(s["l"], s["r"]))
 
 
+def _date(value: Column) -> Column:
+    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy"))
+
+
 def permute_date(value: Column, key: str, forward: bool = True) -> Column:
     """A bijection on the days of 1900-01-01 to 2299-12-31 (one Gregorian cycle)."""
-    day = F.datediff(F.to_date(value), F.to_date(F.lit("1900-01-01"))).cast("long")
+    day = F.datediff(_date(value), F.to_date(F.lit("1900-01-01"))).cast("long")
     size = (189, 773)
     add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "date", r, other.cast("string"), F.lit(0)), F.lit(size[side]))
     moved = _feistel(F.floor(day / 773), day % 773, key, forward, add)
-    return common.let(moved, lambda s: F.date_format(F.date_add(F.to_date(F.lit("1900-01-01")), (s["l"] * 773 + s["r"]).cast("int")), "yyyy-MM-dd"))
+    shown = lambda d: F.when(F.contains(value, F.lit("-")), F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+    return common.let(moved, lambda s: shown(F.date_add(F.to_date(F.lit("1900-01-01")), (s["l"] * 773 + s["r"]).cast("int"))))
+
+
+def permute_ssn(value: Column, key: str, forward: bool = True) -> Column:
+    """A bijection on valid numbers: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
+    size = (898 * 99, 9999)
+    add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "ssn", r, other.cast("string"), F.lit(0)), F.lit(size[side]))
+    area, group, serial = (F.substring(value, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    place = area - 1 - (area > 666).cast("long")
+    moved = _feistel(place * 99 + group - 1, serial - 1, key, forward, add)
+
+    def shown(s: Column) -> Column:
+        found = F.floor(s["l"] / 99) + 1
+        return F.format_string("%03d-%02d-%04d", (found + (found >= 666).cast("long")).cast("long"), s["l"] % 99 + 1, s["r"] + 1)
+
+    return common.let(moved, shown)
+
+
+def mod97(compact: Column) -> Column:
+    """An account's country and check digits put last, letters read as 10 to 35, modulo 97."""
+    turned = F.concat(F.substring(compact, F.lit(5), F.char_length(compact)), F.substring(compact, F.lit(1), F.lit(4)))
+
+    def step(a: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, a * 100 + code - 55).otherwise(a * 10 + code - 48) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
+def permute_iban(value: Column, key: str, forward: bool = True) -> Column:
+    """The account part permuted, the check digits worked out anew, country and spaces kept."""
+
+    def of(c: Column) -> Column:
+        country, account = F.substring(c, F.lit(1), F.lit(2)), permute_chars(F.substring(c, F.lit(5), F.char_length(c)), key, forward)
+        checked = lambda a: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a)
+        return common.let(common.let(account, checked), lambda whole: _into(value, whole, "^[A-Z0-9]$"))
+
+    return common.let(F.replace(value, F.lit(" "), F.lit("")), of)
 
 
 def permute_ip(value: Column, key: str, forward: bool = True) -> Column:
@@ -110,8 +154,12 @@ def permute_ip(value: Column, key: str, forward: bool = True) -> Column:
 
 def _digits_into(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in order, by ``digits``."""
+    return _into(shape, digits, "^[0-9]$")
+
+
+def _into(shape: Column, chars: Column, taken: str) -> Column:
     zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    step = lambda a, c: F.when(c.rlike("^[0-9]$"), F.struct((a["at"] + 1).alias("at"), F.concat(a["out"], F.substring(digits, a["at"], F.lit(1))).alias("out"))).otherwise(F.struct(a["at"].alias("at"), F.concat(a["out"], c).alias("out")))
+    step = lambda a, c: F.when(c.rlike(taken), F.struct((a["at"] + 1).alias("at"), F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"))).otherwise(F.struct(a["at"].alias("at"), F.concat(a["out"], c).alias("out")))
     return F.aggregate(F.split(shape, ""), zero, step, lambda a: a["out"])
 
 
@@ -140,18 +188,21 @@ def permute_email(value: Column, key: str, forward: bool = True) -> Column:
     return common.let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.concat(permute_chars(x["h"], key, forward), x["t"]))
 
 
-PERMUTE = {"email": permute_email, "ip": permute_ip, "phone": permute_phone, "card": permute_card, "date": permute_date}
+PERMUTE = {"email": permute_email, "ip": permute_ip, "phone": permute_phone, "card": permute_card, "date": permute_date, "ssn": permute_ssn, "iban": permute_iban}
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a value that :data:`ANY` found, or null where its validation fails."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    date_ok = F.try_to_date(value, "yyyy-MM-dd").between(F.lit("1900-01-01").cast("date"), F.lit("2299-12-31").cast("date"))
+    ssn_ok = ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+    date_ok = _date(value).between(F.lit("1900-01-01").cast("date"), F.lit("2299-12-31").cast("date"))
     octets_ok = F.forall(F.split(value, r"\."), lambda o: (o.try_cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("email"))
         .when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets_ok, F.lit("ip")))
         .when(value.rlike(f"^(?:{DATE})$"), F.when(date_ok, F.lit("date")))
+        .when(value.rlike(f"^(?:{SSN})$"), F.when(ssn_ok, F.lit("ssn")))
+        .when(value.rlike("^[A-Z]"), F.when(mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1, F.lit("iban")))
         .when(value.rlike(f"^(?:{PHONE})$"), F.lit("phone"))
         .when(F.char_length(digits).between(13, 19), F.when(luhn_valid(digits), F.lit("card")))
     )

@@ -136,6 +136,11 @@ def card(seed, n=16):
     return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
 
+def account_remainder(v):
+    c = v.replace(" ", "")
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97
+
+
 def pseudonyms(spark, kind, values, key="k", forward=True):
     rows = spark.createDataFrame([(v,) for v in values], "v string")
     return [r[0] for r in rows.select(pii.PERMUTE[kind](F.col("v"), key, forward)).collect()]
@@ -146,7 +151,9 @@ VALUES = {
     "ip": ["10.0.0.1", "255.255.255.255", "0.0.0.0", "192.168.7.20"],
     "phone": ["+1 (369) 555-1339", "369-555-1339", "369.555.1339"],
     "card": [card(4242), card(99, 13), card(5, 19), "4111 1111 1111 1111"],
-    "date": ["1900-01-01", "2299-12-31", "2024-02-29", "1970-01-01"],
+    "date": ["1900-01-01", "2299-12-31", "2024-02-29", "01.02.1970"],
+    "ssn": ["001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999"],
+    "iban": ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO9386011117947"],
 }
 
 
@@ -160,7 +167,7 @@ def test_pseudonyms_keep_format_and_invert(spark, kind):
     assert moved != values and len(set(moved)) == len(values)
     assert pseudonyms(spark, kind, moved, forward=False) == values
     assert pseudonyms(spark, kind, values) == moved and pseudonyms(spark, kind, values, "other") != moved
-    checks = {"card": luhn, "date": lambda v: dt.date.fromisoformat(v), "ip": lambda v: all(0 <= int(o) <= 255 for o in v.split("."))}
+    checks = {"card": luhn, "date": lambda v: dt.date.fromisoformat(v if "-" in v else "-".join(reversed(v.split(".")))), "ip": lambda v: all(0 <= int(o) <= 255 for o in v.split(".")), "iban": lambda v: account_remainder(v) == 1, "ssn": lambda v: 0 < int(v[:3]) < 900 and v[:3] != "666" and v[4:6] != "00" and v[7:] != "0000"}
     assert all(checks.get(kind, lambda v: True)(v) is not False for v in moved)
 
 
@@ -174,12 +181,12 @@ def test_permutation_is_a_bijection(spark):
 
 def test_texts_are_rewritten(spark):
     good, bad = card(777), card(777)[:-1] + str((int(card(777)[-1]) + 1) % 10)
-    text = f"😀 mail jo.12@mail7.example.com, card {good}; not {bad}. 300.1.1.1 10.0.0.1 born 2024-02-30 or 2024-02-28, +1 (369) 555-1339 {good}"
+    text = f"😀 mail jo.12@mail7.example.com, card {good}; not {bad}. 300.1.1.1 10.0.0.1 born 2024-02-30 or 2024-02-28, +1 (369) 555-1339 {good} SSN 123-45-6789 not 000-45-6789, GB82WEST12345698765432 not GB83WEST12345698765432, 31.12.1999 v1.31.12.1999"
     docs = spark.createDataFrame([(1, text, None, None, None), (2, f"again {good}", None, None, None), (3, "nothing here", None, None, None), (4, None, None, None, None), (5, "", None, None, None)], edge.SCHEMA)
     got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
     one = got[1]
-    assert [s["kind"] for s in one["pii"]] == ["email", "card", "ip", "date", "phone", "card"]
-    assert [text[s["start"] : s["end"]] for s in one["pii"]] == ["jo.12@mail7.example.com", good, "10.0.0.1", "2024-02-28", "+1 (369) 555-1339", good]
+    assert [s["kind"] for s in one["pii"]] == ["email", "card", "ip", "date", "phone", "card", "ssn", "iban", "date"]
+    assert [text[s["start"] : s["end"]] for s in one["pii"]] == ["jo.12@mail7.example.com", good, "10.0.0.1", "2024-02-28", "+1 (369) 555-1339", good, "123-45-6789", "GB82WEST12345698765432", "31.12.1999"]
     expected, at = "", 0
     for s in one["pii"]:
         expected, at = expected + text[at : s["start"]] + s["pseudonym"], s["end"]
