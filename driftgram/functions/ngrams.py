@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exploded(df: DataFrame, array: Column | str, name: str, *keep: Column | str) -> DataFrame:
+    """A row for each element that isn't null. The outer form keeps the optimizer from adding a
+    filter on the array's size, which would compute an expensive array a second time."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Windows of ``n`` tokens joined by a space; none if there are fewer tokens or n is 0."""
     if n < 1:

@@ -108,8 +108,12 @@ def tokenize_plain(text: Column) -> Column:
 
 
 def needs_python(text: Column) -> Column:
-    """NFKC might change the text, or it has an entity that isn't decoded in the JVM."""
-    return F.coalesce(text.rlike(_UNSTABLE) | (F.contains(text, F.lit("&")) & text.rlike(_OTHER_ENTITY)), F.lit(False))
+    """NFKC might change the text, or it has an entity that isn't decoded in the JVM.
+
+    The many ranges of the stable class are only looked up for what is left without ASCII.
+    """
+    unstable = (F.octet_length(text) != F.char_length(text)) & F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(_UNSTABLE)
+    return F.coalesce(unstable | (F.contains(text, F.lit("&")) & text.rlike(_OTHER_ENTITY)), F.lit(False))
 
 
 _ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")

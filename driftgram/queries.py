@@ -85,7 +85,7 @@ def _with(*parts: str) -> str:
 
 @query("tok_documents_counts", _with(_DOCS) + "SELECT token, count(*)::BIGINT AS occurrences FROM (SELECT unnest(t) AS token FROM docs) GROUP BY token")
 def tok_documents_counts(spark, sf_dir):
-    return _documents(spark, sf_dir).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("occurrences"))
+    return ngrams.exploded(_documents(spark, sf_dir), "tokens", "token").groupBy("token").agg(F.count("*").alias("occurrences"))
 
 
 _HTML = "regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&(amp|copy|middot|quot);', ' ', 'g')"
@@ -93,14 +93,14 @@ _HTML = "regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&(amp|copy|m
 
 @query("tok_pages_tags_entities", f"SELECT page_id, token, count(*)::BIGINT AS occurrences FROM (SELECT page_id, unnest({_sql_tokens(_HTML)}) AS token FROM pages) GROUP BY ALL")
 def tok_pages_tags_entities(spark, sf_dir):
-    rows = with_tokens(corpora.pages(spark, sf_dir)).select("page_id", F.explode("tokens").alias("token"))
+    rows = ngrams.exploded(with_tokens(corpora.pages(spark, sf_dir)), "tokens", "token", "page_id")
     return rows.groupBy("page_id", "token").agg(F.count("*").alias("occurrences"))
 
 
 @query("tok_url_domains", f"SELECT token, count(*)::BIGINT AS pages FROM (SELECT page_id, unnest({_sql_tokens(chr(39).join(('regexp_extract(url, ', 'https?://([^/]+)', ', 1)')))}) AS token FROM pages) GROUP BY token")
 def tok_url_domains(spark, sf_dir):
     rows = with_tokens(corpora.table(spark, sf_dir, "pages").select("page_id", "url"), "url")
-    return rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("pages"))
+    return ngrams.exploded(rows, "tokens", "token").groupBy("token").agg(F.count("*").alias("pages"))
 
 
 @query("tok_phrases_normalized", "SELECT upper(p_name) || '!' AS phrase, array_to_string(" + _sql_tokens("p_name") + ", ' ') AS normalized, count(*)::BIGINT AS parts FROM part GROUP BY ALL")
@@ -123,7 +123,7 @@ for _n in (1, 2, 3):
 
 @query("ngram_orders_1_5", _with(_DOCS, _sql_grams([1, 2, 3, 4, 5])) + "SELECT n, ngram, count(*)::BIGINT AS count FROM grams GROUP BY ALL HAVING count(*) > 1")
 def ngram_orders_1_5(spark, sf_dir):
-    counted = _documents(spark, sf_dir).select(F.explode(ngrams.all_orders(F.col("tokens"), 5)).alias("g")).groupBy("g.n", "g.ngram").agg(F.count("*").alias("count"))
+    counted = ngrams.exploded(_documents(spark, sf_dir), ngrams.all_orders(F.col("tokens"), 5), "g").groupBy("g.n", "g.ngram").agg(F.count("*").alias("count"))
     return counted.where("count > 1")
 
 
@@ -153,7 +153,7 @@ def _pruned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("global_counts", _with(*_PRUNED) + "SELECT n, ngram, count FROM globals")
 def global_counts(spark, sf_dir):
-    grams = _documents(spark, sf_dir).select(F.explode(ngrams.all_orders(F.col("tokens"), 3)).alias("g"))
+    grams = ngrams.exploded(_documents(spark, sf_dir), ngrams.all_orders(F.col("tokens"), 3), "g")
     return grams.groupBy("g.n", "g.ngram").agg(F.count("*").alias("count"))
 
 
