@@ -84,6 +84,21 @@ def _forest(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (empty, empty)
 
 
+def _any_link(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int, most: int = 32) -> np.ndarray:
+    """Of the runs [start, end): which have more than ``most`` members, or a link among them.
+
+    Nearly all small runs are chance meetings; they are dismissed together, place by place.
+    """
+    size = ends - starts
+    out = size > most
+    run = np.repeat(np.arange(len(starts)), np.where(out, 0, size))
+    values = fps[np.repeat(~out, size)].view(np.uint64)
+    for k in range(1, int(size[~out].max(initial=1))):
+        near = (run[k:] == run[:-k]) & (np.bitwise_count(values[k:] ^ values[:-k]) <= max_bits)
+        out[run[k:][near]] = True
+    return out
+
+
 def _search(buckets: DataFrame, max_bits: int, hot: int) -> DataFrame:
     """From (key, fp): rows (a, b) of links, with key null, and rows (key, a) of too large buckets."""
 
@@ -111,7 +126,7 @@ def _search(buckets: DataFrame, max_bits: int, hot: int) -> DataFrame:
                 done += [] if over else [np.concatenate(kept)]
                 open_key, kept, over = None, [], False
             last = len(starts) - 1
-            whole = np.flatnonzero(ends - starts > 1)
+            whole = np.flatnonzero((ends - starts > 1) & _any_link(fps, starts, ends, max_bits))
             for i in sorted({0, last, *whole.tolist()}):
                 key, part = keys[starts[i]], fps[starts[i] : ends[i]]
                 if i == 0 and open_key is not None:
