@@ -6,6 +6,8 @@ Dates are returned as text and frequencies rounded, so that both sides compare e
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,12 @@ from . import corpora
 from .functions import dates, formatting, ngrams
 from .functions.text import tokenize_text, with_tokens
 from .operators import counting, pruning, ranking, series
-from .operators.pruning import Pruning
+from .operators.pruning import Pruning, Threshold
+from .plans import rebuild
+from .plans.phrases import PhraseQueries
 from .streaming import incremental
 from .sources.config import BuildConfig
+from .sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -287,6 +292,37 @@ def compare_phrases(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select(_text("t").alias("t"), "ngram", "count", "total")
 
 
+# ---------------------------------------------------------------- through the store
+
+_EVERYTHING = BuildConfig(max_n=2, pruning=Pruning({n: Threshold(0, 1) for n in (1, 2)}))
+
+
+def _store(spark: SparkSession) -> Store:
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftgram-")
+    return Store(spark, f"{base}/store-{uuid.uuid4().hex}")
+
+
+@query("published_series", _with(*_SERIES, _FINE, _sql_coarse("month")) + f"SELECT strftime(bucket, '%Y-%m-%d') AS t, ngram, sum_count AS count, sum_total AS total, round(sum_count::DOUBLE / sum_total, 12) AS v FROM coarse")
+def published_series(spark, sf_dir):
+    """A rebuild's tables, written, published, read again and queried."""
+    store = _store(spark)
+    store.publish(rebuild.tables(corpora.part_names(spark, sf_dir), _EVERYTHING), {"command": "rebuild"})
+    spark.catalog.clearCache()
+    rows = PhraseQueries(store).series(2, PHRASES, START, END, "month")
+    return rows.select(_text("t").alias("t"), "ngram", "count", "total", F.round("v", 12).alias("v"))
+
+
+@query("incremental_store", _with(_PARTS, _sql_grams([1, 2]), _COUNTS, _TOTALS) + "SELECT strftime(c.bucket, '%Y-%m-%d') AS bucket, c.n, ngram, count, total_count FROM counts c JOIN totals t ON c.bucket = t.bucket AND c.n = t.n")
+def incremental_store(spark, sf_dir):
+    """Two batches in order, the second repeated, read back from the store."""
+    store = _store(spark)
+    rows = corpora.part_names(spark, sf_dir).withColumn("ts_ms", dates.bucket_end_ms(F.col("bucket")))
+    for name, part in (("a", "bucket < DATE '1998-07-01'"), ("b", "bucket >= DATE '1998-07-01'"), ("b", "bucket >= DATE '1998-07-01'")):
+        incremental.process_batch(store, rows.where(part), name, _EVERYTHING)
+    counts, totals = store.read("ngram_counts"), store.read("bucket_totals")
+    return counts.join(totals, ["bucket", "n"]).select(_text("bucket").alias("bucket"), "n", "ngram", "count", "total_count")
+
+
 # ---------------------------------------------------------------- rankings and look-ups
 
 _SIZES = ranking.strata_sizes(137)
@@ -391,6 +427,19 @@ def month_range(spark, sf_dir):
     return months.select(F.date_format("month", "yyyy-MM").alias("month"), F.concat(F.lit("data/"), F.date_format("month", "yyyy/yyyy-MM"), F.lit(".parquet")).alias("path"))
 
 
+@query("snapped_months", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last FROM orders")
+def snapped_months(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    return corpora.table(spark, sf_dir, "orders").select("o_orderkey", _text(F.trunc(day, "MM")).alias("first"), _text(F.last_day(day)).alias("last"))
+
+
+@query("calendar_weeks", "SELECT o_custkey, strftime(unnest(generate_series(min(o_orderdate)::DATE - dayofweek(min(o_orderdate))::INTEGER, max(o_orderdate)::DATE, INTERVAL 7 DAY)), '%Y-%m-%d') AS week FROM orders GROUP BY o_custkey")
+def calendar_weeks(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    spans = corpora.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return spans.select("o_custkey", F.explode(dates.calendar(F.col("a"), F.col("b"), "week")).alias("week")).select("o_custkey", _text("week").alias("week"))
+
+
 _YEARS = (
     "m AS (SELECT date_trunc('month', bucket)::DATE AS bucket, n, ngram, sum(count)::BIGINT AS count FROM counts GROUP BY ALL)",
     "y AS (SELECT year(bucket) AS y, n, ngram, sum(count) AS c FROM m GROUP BY ALL)",
