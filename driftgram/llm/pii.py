@@ -61,12 +61,10 @@ def _add(half: Column, key: str, r: int, other: Column, sign: int) -> Column:
     """Each letter or digit of ``half`` moved within its alphabet; anything else stays."""
 
     def moved(c: Column, i: Column) -> Column:
-        code = F.ascii(c).cast("long")
-
-        def within(first: int, size: int) -> Column:
-            return F.char(F.lit(first) + F.pmod(code - first + sign * _shift(key, "chars", r, other, i), F.lit(size)))
-
-        return F.when(c.rlike("^[0-9]$"), within(48, 10)).when(c.rlike("^[a-z]$"), within(97, 26)).when(c.rlike("^[A-Z]$"), within(65, 26)).otherwise(c)
+        code = F.ascii(c)
+        first = F.when(code < 58, 48).when(code < 91, 65).otherwise(97)
+        shifted = F.pmod(code - first + sign * _shift(key, "chars", r, other, i), F.when(code < 58, 10).otherwise(26))
+        return F.when(c.rlike("^[0-9A-Za-z]$"), F.char(first + shifted)).otherwise(c)
 
     chars = F.transform(F.sequence(F.lit(1), F.char_length(half)), lambda i: F.substring(half, i, F.lit(1)))
     return F.when(F.char_length(half) == 0, half).otherwise(F.array_join(F.transform(chars, moved), ""))
@@ -97,29 +95,10 @@ def _date(value: Column) -> Column:
     return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy"))
 
 
-def permute_date(value: Column, key: str, forward: bool = True) -> Column:
-    """A bijection on the days of 1900-01-01 to 2299-12-31 (one Gregorian cycle)."""
-    day = F.datediff(_date(value), F.to_date(F.lit("1900-01-01"))).cast("long")
-    size = (189, 773)
-    add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "date", r, other.cast("string"), F.lit(0)), F.lit(size[side]))
-    moved = _feistel(F.floor(day / 773), day % 773, key, forward, add)
-    shown = lambda d: F.when(F.contains(value, F.lit("-")), F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd.MM.yyyy"))
-    return common.let(moved, lambda s: shown(F.date_add(F.to_date(F.lit("1900-01-01")), (s["l"] * 773 + s["r"]).cast("int"))))
-
-
-def permute_ssn(value: Column, key: str, forward: bool = True) -> Column:
-    """A bijection on valid numbers: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999."""
-    size = (898 * 99, 9999)
-    add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "ssn", r, other.cast("string"), F.lit(0)), F.lit(size[side]))
-    area, group, serial = (F.substring(value, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
-    place = area - 1 - (area > 666).cast("long")
-    moved = _feistel(place * 99 + group - 1, serial - 1, key, forward, add)
-
-    def shown(s: Column) -> Column:
-        found = F.floor(s["l"] / 99) + 1
-        return F.format_string("%03d-%02d-%04d", (found + (found >= 666).cast("long")).cast("long"), s["l"] % 99 + 1, s["r"] + 1)
-
-    return common.let(moved, shown)
+def permute_pair(left: Column, right: Column, sizes: tuple[Column, Column], key: str, forward: bool = True) -> Column:
+    """Struct (l, r): a bijection on pairs of numbers below the two sizes."""
+    add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "pair", r, other.cast("string"), F.lit(0)), sizes[side])
+    return _feistel(left, right, key, forward, add)
 
 
 def mod97(compact: Column) -> Column:
@@ -133,62 +112,72 @@ def mod97(compact: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step)
 
 
-def permute_iban(value: Column, key: str, forward: bool = True) -> Column:
-    """The account part permuted, the check digits worked out anew, country and spaces kept."""
-
-    def of(c: Column) -> Column:
-        country, account = F.substring(c, F.lit(1), F.lit(2)), permute_chars(F.substring(c, F.lit(5), F.char_length(c)), key, forward)
-        checked = lambda a: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a)
-        return common.let(common.let(account, checked), lambda whole: _into(value, whole, "^[A-Z0-9]$"))
-
-    return common.let(F.replace(value, F.lit(" "), F.lit("")), of)
-
-
-def permute_ip(value: Column, key: str, forward: bool = True) -> Column:
-    """A bijection on IPv4 addresses: the upper and the lower 16 bits are the halves."""
-    octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    add = lambda half, k, r, other, sign, side: F.pmod(half + sign * _shift(k, "ip", r, other.cast("string"), F.lit(0)), F.lit(65536))
-    moved = common.let(octets, lambda o: _feistel(F.get(o, 0) * 256 + F.get(o, 1), F.get(o, 2) * 256 + F.get(o, 3), key, forward, add))
-    return common.let(moved, lambda s: F.concat_ws(".", *(x.cast("string") for x in (F.floor(s["l"] / 256), s["l"] % 256, F.floor(s["r"] / 256), s["r"] % 256))))
-
-
-def _digits_into(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order, by ``digits``."""
-    return _into(shape, digits, "^[0-9]$")
-
-
 def _into(shape: Column, chars: Column, taken: str) -> Column:
     zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
     step = lambda a, c: F.when(c.rlike(taken), F.struct((a["at"] + 1).alias("at"), F.concat(a["out"], F.substring(chars, a["at"], F.lit(1))).alias("out"))).otherwise(F.struct(a["at"].alias("at"), F.concat(a["out"], c).alias("out")))
     return F.aggregate(F.split(shape, ""), zero, step, lambda a: a["out"])
 
 
-def permute_card(value: Column, key: str, forward: bool = True) -> Column:
-    """All digits but the last permuted; the last makes the number pass the Luhn check again."""
+def _checked_card(body: Column) -> Column:
+    """With the digit that makes it pass the Luhn check."""
+    return F.concat(body, F.pmod(F.lit(10) - luhn_sum(body, F.char_length(body) % 2 == 1) % 10, F.lit(10)).cast("string"))
 
-    def of(d: Column) -> Column:
-        body = permute_chars(F.substring(d, F.lit(1), F.char_length(d) - 1), key, forward)
-        check = lambda b: F.concat(b, F.pmod(F.lit(10) - luhn_sum(b, F.char_length(b) % 2 == 1) % 10, F.lit(10)).cast("string"))
-        return common.let(common.let(body, check), lambda n: _digits_into(value, n))
 
-    return common.let(F.regexp_replace(value, "[^0-9]", ""), of)
+def _checked_account(country: Column, account: Column) -> Column:
+    check = F.lit(98) - mod97(F.concat(country, F.lit("00"), account))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
 
 
-def permute_phone(value: Column, key: str, forward: bool = True) -> Column:
-    """The ten national digits permuted; a country code and the punctuation stay."""
-    head = F.regexp_extract(value, r"^(\+1[ .-]?)?", 0)
-    rest = F.substring(value, F.char_length(head) + 1, F.char_length(value))
-    return common.let(F.struct(head.alias("h"), rest.alias("t")), lambda x: F.concat(x["h"], _digits_into(x["t"], permute_chars(F.regexp_replace(x["t"], "[^0-9]", ""), key, forward))))
+_DAY_ZERO = "1900-01-01"
+#: Sizes of the two halves: days of a Gregorian cycle, addresses, social security numbers.
+_PAIRS = {"date": (189, 773), "ip": (1 << 16, 1 << 16), "ssn": (898 * 99, 9999)}
+_COUNTRY_CODE, _TOP_LEVEL = r"^(?:\+1[ .-]?)?", r"\.[A-Za-z]+$"
 
 
-def permute_email(value: Column, key: str, forward: bool = True) -> Column:
-    """Local part and domain permuted, the top-level domain kept."""
-    tail = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
-    head = F.substring(value, F.lit(1), F.char_length(value) - F.char_length(tail))
-    return common.let(F.struct(head.alias("h"), tail.alias("t")), lambda x: F.concat(permute_chars(x["h"], key, forward), x["t"]))
+def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Column:
+    """The pseudonym of a valid value of the given kind; its inverse with ``forward=False``.
 
-
-PERMUTE = {"email": permute_email, "ip": permute_ip, "phone": permute_phone, "card": permute_card, "date": permute_date, "ssn": permute_ssn, "iban": permute_iban}
+    One network permutes characters (of an address without its top-level domain, of a card number
+    without its check digit, of national phone digits, of an account without country and check
+    digits), one pairs of numbers (dates, IPv4 addresses, social security numbers).
+    """
+    bare = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    digits = F.regexp_replace(F.regexp_replace(value, _COUNTRY_CODE, ""), "[^0-9]", "")
+    body = (
+        F.when(kind == "email", F.regexp_replace(value, _TOP_LEVEL, ""))
+        .when(kind == "phone", digits)
+        .when(kind == "card", F.substring(bare, F.lit(1), F.char_length(bare) - 1))
+        .when(kind == "iban", F.substring(bare, F.lit(5), F.char_length(bare)))
+    )
+    number = lambda at, n: F.substring(value, F.lit(at), F.lit(n)).cast("long")
+    octet = lambda i: F.split_part(value, F.lit("."), F.lit(i)).cast("long")
+    area = number(1, 3)
+    day = F.datediff(_date(value), F.lit(_DAY_ZERO).cast("date")).cast("long")
+    left = F.when(kind == "date", F.floor(day / 773)).when(kind == "ip", octet(1) * 256 + octet(2)).when(kind == "ssn", (area - 1 - (area > 666).cast("long")) * 99 + number(5, 2) - 1)
+    right = F.when(kind == "date", day % 773).when(kind == "ip", octet(3) * 256 + octet(4)).when(kind == "ssn", number(8, 4) - 1)
+    sizes = tuple(reduce(lambda c, k: c.when(kind == k, F.lit(_PAIRS[k][side])), _PAIRS, F.when(F.lit(False), F.lit(1))) for side in (0, 1))
+
+    def shown(x: Column) -> Column:
+        chars, left, right = x["chars"], x["pair"]["l"], x["pair"]["r"]
+        found = F.date_add(F.lit(_DAY_ZERO).cast("date"), (left * 773 + right).cast("int"))
+        octets = F.concat_ws(".", *(n.cast("string") for n in (F.floor(left / 256), left % 256, F.floor(right / 256), right % 256)))
+        place = F.floor(left / 99) + 1
+        ssn = F.format_string("%03d-%02d-%04d", (place + (place >= 666).cast("long")).cast("long"), left % 99 + 1, right + 1)
+        national = F.regexp_replace(value, _COUNTRY_CODE, "")
+        return (
+            F.when(kind == "email", F.concat(chars, F.regexp_extract(value, _TOP_LEVEL, 0)))
+            .when(kind == "phone", F.concat(F.regexp_extract(value, _COUNTRY_CODE, 0), _into(national, chars, "^[0-9]$")))
+            .when(kind == "card", common.let(_checked_card(chars), lambda n: _into(value, n, "^[0-9]$")))
+            .when(kind == "iban", common.let(_checked_account(F.substring(value, F.lit(1), F.lit(2)), chars), lambda n: _into(value, n, "^[A-Z0-9]$")))
+            .when(kind == "date", F.when(F.contains(value, F.lit("-")), F.date_format(found, "yyyy-MM-dd")).otherwise(F.date_format(found, "dd.MM.yyyy")))
+            .when(kind == "ip", octets)
+            .when(kind == "ssn", ssn)
+            .otherwise(value)
+        )
+
+    chars = common.let(F.coalesce(body, F.lit("")), lambda c: permute_chars(c, key, forward))
+    pair = common.let(F.struct(left.alias("l"), right.alias("r"), sizes[0].alias("a"), sizes[1].alias("b")), lambda p: permute_pair(p["l"], p["r"], (p["a"], p["b"]), key, forward))
+    return common.let(F.struct(chars.alias("chars"), pair.alias("pair")), shown)
 
 
 def kind_of(value: Column) -> Column:
@@ -210,10 +199,7 @@ def kind_of(value: Column) -> Column:
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The value's pseudonym; with a null kind the value itself."""
-    out = value
-    for k in KINDS:
-        out = F.when(kind == k, PERMUTE[k](value, key)).otherwise(out)
-    return out
+    return F.when(kind.isNull(), value).otherwise(permute(value, kind, key))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

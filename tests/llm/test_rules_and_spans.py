@@ -143,7 +143,7 @@ def account_remainder(v):
 
 def pseudonyms(spark, kind, values, key="k", forward=True):
     rows = spark.createDataFrame([(v,) for v in values], "v string")
-    return [r[0] for r in rows.select(pii.PERMUTE[kind](F.col("v"), key, forward)).collect()]
+    return [r[0] for r in rows.select(pii.permute(F.col("v"), F.lit(kind), key, forward)).collect()]
 
 
 VALUES = {
