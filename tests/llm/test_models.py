@@ -177,3 +177,31 @@ def test_scoring_edge_cases(spark):
     assert hmm_scoring.score(none, docs, iterations=1).count() == 0 and hmm_scoring.score(none, none, iterations=1).count() == 0
     assert unlearned.where("score IS NULL OR base_score IS NULL OR isnan(score)").count() == 0
     assert common.fold_remainder(F.lit(None), 10) is not None
+
+
+@pytest.mark.parametrize("head", [100_000, 0])
+def test_words_of_one_bucket_have_their_own_emissions(spark, head):
+    """Two words that share a bucket but follow different words are told apart, broadcast or joined."""
+    bucket_of = lambda w: crc32(w.encode()) & (hmm_scoring.BUCKETS - 1)
+    first = "w0"
+    second = next(w for w in (f"w{i}" for i in range(1, 1_000_000)) if bucket_of(w) == bucket_of(first))
+    train = spark.createDataFrame([(f"left {first} " * 12,) if i % 2 else (f"right {second} " * 12,) for i in range(40)], "text string")
+    docs = spark.createDataFrame([(1, f"left {first} " * 12), (2, f"left {second} " * 12)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm_scoring.score(docs, train, head).collect()}
+    assert got[1]["base_score"] == pytest.approx(got[2]["base_score"])
+    assert got[1]["score"] > got[2]["score"] + 1
+
+
+@pytest.mark.parametrize("head", [100_000, 2, 0])
+def test_emissions_with_own_words_sum_to_one(spark, head):
+    """Over buckets, broadcast and joined words together, for each state."""
+    train = spark.createDataFrame([("a b c a " * 4,), ("b b e",), ("d " * 9,), ("",)], "text string")
+    counts = hmm_scoring.word_counts(train).withColumn("bucket", F.crc32("word").bitwiseAND(F.lit(hmm_scoring.BUCKETS - 1)).cast("int"))
+    rare = F.col("c") < hmm_scoring.OWN
+    of_bucket = {r["bucket"]: (r["c"], r["r"]) for r in counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.when(rare, F.col("c")).otherwise(0)).alias("r")).collect()}
+    top = {bytes(r["word"]): r["c"] for r in hmm_scoring._most_frequent(counts.where(~rare), head).collect()}
+    others = counts.where(~rare & ~F.col("word").isin(list(top))) if top else counts.where(~rare)
+    model, own, total = hmm_scoring._learned(train, others, top, of_bucket, 2)
+    rows = [[r[f"s{k}"] for k in range(hmm_scoring.STATES)] for r in own.collect()]
+    assert len(rows) + len(top) == 3  # a, b and d
+    assert model.emit.sum(axis=0) + np.array(rows).reshape(-1, hmm_scoring.STATES).sum(axis=0) / total == pytest.approx(np.ones(hmm_scoring.STATES))
