@@ -57,7 +57,7 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("key_id"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("key_text")]
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start,end,text>>, in code points.
 
     ``split`` yields what lies between the matches, so running lengths give the positions.
@@ -75,8 +75,9 @@ def spans(text: Column, pattern: str) -> Column:
         return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(pattern), let(both, located)).otherwise(empty)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(F.rlike(text, pattern), let(both, located)).otherwise(empty)
 
 
 def count_kind(spans_column: str, kind: str) -> Column:

@@ -15,6 +15,12 @@ written as a pair modulo 189 and 773 (their product), so no cycle walking is nee
 social security number is its place among the valid ones, modulo 898 x 99 and 9,999. The last
 digit of a card number and the check digits of an account aren't permuted but worked out anew.
 
+Digit groups beside a card number, or capitals beside an account number, look like a part of it.
+So all spans that begin and end at separators are tried, and the text is then searched for those
+that pass their check: from the left, the longest first. (So where digits before a number happen to pass with its beginning,
+as one in ten does, that span is replaced and the number's last group is left.) A shorter span than the longest one of
+an account must have its country's length.
+
 Edge cases: a null text stays null, empty texts stay empty; values that fail validation are left
 alone; repeated rows are treated alike; all other columns of an input are kept, those named like
 the results replaced; an empty table gives an empty one.
@@ -38,7 +44,18 @@ CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-ANY = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}|{IBAN}"
+#: What needs no check sum; card and account numbers of a text that pass theirs are put behind it.
+OTHERS = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}"
+CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9A-Za-z]))" for n in range(19, 12, -1)]
+IBAN_SPANS = [rf"(?<![A-Za-z0-9])(?=([A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n}}}{tail})(?![A-Za-z0-9]))" for n in range(7, 1, -1) for tail in (" [A-Z0-9]{1,3}", "")]
+#: Length of a country's account numbers.
+IBAN_LENGTHS = {
+    n: countries.split()
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
 
 
 def luhn_sum(digits: Column, doubled_first: Column) -> Column:
@@ -180,8 +197,28 @@ def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Colu
     return common.let(F.struct(chars.alias("chars"), pair.alias("pair")), shown)
 
 
+def _checked(text: Column) -> Column:
+    """Distinct card and account numbers of the text that pass their checks, the longest first."""
+    none = F.array().cast("array<string>")
+    of = lambda patterns: F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns))
+    cards = F.filter(of(CARD_SPANS), lambda v: luhn_valid(F.regexp_replace(v, "[^0-9]", "")))
+    compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
+    in_country = lambda v: F.concat(F.substring(v, 1, 2), F.char_length(compact(v)).cast("string")).isin([f"{name}{n}" for n, names in IBAN_LENGTHS.items() for name in names])
+    accounts = F.concat(F.regexp_extract_all(text, F.lit(IBAN), F.lit(0)), F.filter(of(IBAN_SPANS), in_country))
+    accounts = F.filter(accounts, lambda v: mod97(compact(v)) == 1)
+    found = F.array_distinct(F.concat(F.when(text.rlike(CARD), cards).otherwise(none), F.when(text.rlike(IBAN), accounts).otherwise(none)))
+    return F.array_sort(found, lambda a, b: F.char_length(b) - F.char_length(a))
+
+
+def _found(text: Column) -> Column:
+    """Spans of :data:`OTHERS` and of the numbers that pass their checks."""
+    numbers = F.when(text.rlike(f"{CARD}|{IBAN}"), _checked(text)).otherwise(F.array().cast("array<string>"))
+    wanted = lambda n: F.when(F.size(n) == 0, OTHERS).otherwise(F.concat(F.lit(f"{OTHERS}|(?<![0-9A-Za-z])(?:"), F.array_join(n, "|"), F.lit(")(?![0-9A-Za-z])")))
+    return common.let(common.let(numbers, wanted), lambda p: common.spans(text, p))
+
+
 def kind_of(value: Column) -> Column:
-    """The kind of a value that :data:`ANY` found, or null where its validation fails."""
+    """The kind of a value that :func:`_found` found, or null where its validation fails."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     ssn_ok = ~value.rlike("^(?:000|666|9)|-00-|-0000$")
     date_ok = _date(value).between(F.lit("1900-01-01").cast("date"), F.lit("2299-12-31").cast("date"))
@@ -205,12 +242,13 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten, ``pii``: array<struct<start,end,kind,pseudonym>> in the
     original's code points, and ``n_<kind>`` for each kind."""
-    text = docs["text"]
+    located = docs.withColumn("__spans", _found(docs["text"]))  # in steps, for the analyzer resolves one level of lambdas a round
+    text = located["text"]
 
     def judged(s: Column) -> Column:
         return common.let(kind_of(s["text"]), lambda k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("kind"), pseudonym(s["text"], k, key).alias("pseudonym")))
 
-    found = F.filter(F.transform(common.spans(text, ANY), judged), lambda s: s["kind"].isNotNull())
+    found = F.filter(F.transform(located["__spans"], judged), lambda s: s["kind"].isNotNull())
 
     def rewritten(row: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -221,7 +259,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     row = common.let(F.struct(text.alias("t"), F.coalesce(found, F.array().cast("array<struct<start:int,end:int,kind:string,pseudonym:string>>")).alias("f")), lambda r: F.struct(rewritten(r).alias("text"), r["f"].alias("pii")))
     others = [c for c in docs.columns if c not in ("text", "pii", *(f"n_{k}" for k in KINDS))]
     counts = [common.count_kind("__r.pii", k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return docs.select(*others, row.alias("__r")).select(*others, "__r.text", "__r.pii", *counts)
+    return located.select(*others, row.alias("__r")).select(*others, "__r.text", "__r.pii", *counts)
 
 
 #: The query's key; a deployment passes its own.

@@ -195,6 +195,21 @@ def test_texts_are_rewritten(spark):
     assert got[3]["text"] == "nothing here" and got[4]["text"] is None and got[5]["text"] == "" and got[4]["n_card"] == 0
 
 
+def test_numbers_beside_other_numbers_are_found(spark):
+    long, short = "4111 1111 1111 1111", "4111111111111111"
+    account = "BE68 5390 0754 7034"
+    cases = [
+        (f"pay {long} 12/27", [long]), (f"{short} 123 cvv", [short]), (f"qty 12 {short} ok", [short]), (f"order 1234 {long}", [long]), (f"1 {long} 20 {long}-5", [long, long]),
+        (f"{account} BANK", [account]), (f"{account} BANK OF X", [account]), (f"AB12 {account} 1234", [account]), (f"{account} 369-555-1339 {short} 7", [account, "369-555-1339", short]),
+        ("12 4111111111111112 ok", []), ("BE69 5390 0754 7034 BANK", []), (f"x{short} {short}y", []),
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in enumerate(cases)], edge.SCHEMA)
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
+    for i, (text, values) in enumerate(cases):
+        assert [text[s["start"] : s["end"]] for s in got[i]["pii"]] == values, text
+        assert all(v not in got[i]["text"] for v in values)
+
+
 def test_pii_edge_cases(spark):
     assert pii.pseudonymise(edge.empty(spark), "k").count() == 0
     plain = edge.sorted_rows(pii.pseudonymise(edge.documents(spark), "k"), "doc_id", "text")
