@@ -83,7 +83,7 @@ def windowed_counts(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
 
     ``rows`` has ``ts`` (timestamp) and ``text``; later rows than the watermark are dropped.
     """
-    counted = with_tokens(rows.withWatermark("ts", lateness), python_rows=False)
+    counted = with_tokens(rows.withWatermark("ts", lateness))
     days = counted.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("comments"), F.sum(F.size("tokens")).alias("tokens"))
     return days.select(F.to_date("window.start").alias("day"), "comments", "tokens")
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from driftgram.functions.text import with_tokens
 from driftgram.operators.pruning import Pruning, Threshold
 from driftgram.plans import phrases
 from driftgram.plans.rebuild import rebuild
@@ -146,6 +147,16 @@ def test_windowed_counts_stream(spark, tmp_path):
     assert {(r["day"].day, r["comments"], r["tokens"]) for r in spark.table("windowed").collect()} == {(1, 2, 3), (9, 1, 3)}
 
 
+def test_windowed_counts_equal_batch_tokens(spark, tmp_path):
+    """Ligatures, full-width letters and named entities count as in the batch engine."""
+    texts = ["caf&eacute; au lait", "ｒｅｄ ａｐｐｌｅｓ", "one&nbsp;two", "ﬁne words", "a&mdash;b"]
+    spark.createDataFrame([(t, dt.datetime(2024, 1, 1 + i)) for i, t in enumerate(texts)], "text string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    stream = incremental.windowed_counts(spark.readStream.schema("text string, ts timestamp").parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("memory").queryName("windowed_entities").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    batch = with_tokens(spark.read.parquet(f"{tmp_path}/in")).collect()
+    assert {(r["day"].day, r["tokens"]) for r in spark.table("windowed_entities").collect()} == {(r["ts"].day, len(r["tokens"])) for r in batch}
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
     path.write_text('[process]\nstart = "2020-01"\nmax_n = 5\nbucket_granularity = "monthly"\nmax_entries = 7\n[process.prune.2]\nmin_global = 9\n')
