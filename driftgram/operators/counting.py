@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import ngrams
 
 
+#: Only inputs up to this size are dealt out anew; larger ones have splits of their own.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its source has fewer splits, as one small file has."""
+    """A small ``df`` over all cores where its source has fewer splits, as one small file has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def ngram_counts(texts: DataFrame, max_n: int = 3) -> DataFrame:
