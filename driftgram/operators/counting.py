@@ -18,7 +18,7 @@ SPREAD_BYTES = 256 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small ``df`` over all cores where its source has fewer splits, as one small file has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
