@@ -7,6 +7,7 @@ cuts UTF-8 text at exactly those characters, so Python and SQL agree on words.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,23 +22,50 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; ``documents`` are spread over the cores where they have fewer splits than those."""
+    """A table; a small ``documents`` is spread over the cores where it has fewer splits than those."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name == "documents" else rows
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a copy in the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    serves a session of one machine; on a cluster it would be another one on each executor."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="driftgram-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftgram-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a copy in :func:`shared_folder`. Spark removes it with the frame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row: a lambda variable is never inlined."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -57,27 +85,47 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("key_id"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("key_text")]
 
 
-def spans(text: Column, pattern: str | Column) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start,end,text>>, in code points.
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... elements of an array<int>, in time that grows a little faster than its
+    length: within chunks of 256, then over the chunks."""
+    empty = F.array().cast("array<int>")
 
-    ``split`` yields what lies between the matches, so running lengths give the positions.
-    """
+    def part(at: Column) -> Column:  # slice() would walk the whole array each time
+        return F.transform(F.sequence(at, F.least(at + 255, F.size(numbers) - 1)), lambda i: F.get(numbers, i))
 
-    def located(parts: Column) -> Column:
-        zipped = F.arrays_zip(parts["found"].alias("m"), F.slice(parts["gaps"], 1, F.size(parts["found"])).alias("g"))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    def within(chunk: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("sum"), empty.alias("out"))
+        step = lambda a, x: let(a["sum"] + x, lambda now: F.struct(now.alias("sum"), F.array_append(a["out"], now).alias("out")))
+        return F.aggregate(chunk, zero, step)
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.char_length(x["g"])
-            end = start + F.char_length(x["m"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+    def joined(chunks: Column) -> Column:
+        before = within(F.transform(chunks, lambda c: c["sum"]))["out"]
+        return let(before, lambda b: F.flatten(F.transform(chunks, lambda c, i: F.transform(c["out"], lambda x: x + F.when(i == 0, 0).otherwise(F.get(b, i - 1))))))
 
-        return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    starts = F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(256))
+    return F.when(F.size(numbers) == 0, empty).otherwise(let(F.transform(starts, lambda at: within(part(at))), joined))
 
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+def located(text: Column, pattern: str | Column) -> Column:
+    """struct<found: array<struct<start,end,text>>, gaps: array<string>>: leftmost non-overlapping
+    matches, in code points, and what lies before each and after the last (null without a match).
+
+    ``split`` yields the gaps, so running sums of lengths give the positions.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(F.rlike(text, pattern), let(both, located)).otherwise(empty)
+
+    def placed(p: Column) -> Column:
+        lengths = F.transform(p["matches"], lambda m, i: F.char_length(m) + F.char_length(F.get(p["gaps"], i)))
+        put = lambda ends: F.transform(p["matches"], lambda m, i: F.struct((F.get(ends, i) - F.char_length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("text")))
+        return F.struct(let(let(lengths, running_sums), put).alias("found"), p["gaps"].alias("gaps"))
+
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(F.rlike(text, pattern), let(both, placed))
+
+
+def spans(text: Column, pattern: str | Column) -> Column:
+    """The matches of :func:`located`; an empty array without one."""
+    return F.coalesce(located(text, pattern)["found"], F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def count_kind(spans_column: str, kind: str) -> Column:

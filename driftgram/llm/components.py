@@ -2,6 +2,9 @@
 
 Nodes are bigints. Each step is a grouped minimum and an equality join, so no node's
 neighbours are ever gathered; lineage is cut with a checkpoint after each round.
+
+Edge cases: edges may repeat, run both ways or join a node to itself (which says nothing); no edge
+may have a null end; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Rounds grow with the logarithm of the number of nodes; beyond this many something is wrong.
 MAX_ROUNDS = 60
 
 

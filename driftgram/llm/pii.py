@@ -12,14 +12,16 @@ are cut into halves; a round adds to each character of one half, modulo its alph
 round can be undone, so it is a bijection on all values of that format. Octets of an address
 are shifted modulo 256. A date is its day number within the 146,097 days of a Gregorian cycle,
 written as a pair modulo 189 and 773 (their product), so no cycle walking is needed; likewise a
-social security number is its place among the valid ones, modulo 898 x 99 and 9,999. The last
+social security number is its place among the valid ones, modulo 898 x 99 and 9,999. A phone
+number whose area and exchange begin with 2 to 9, as the North American plan has it, stays one
+(modulo 800 x 800 and 10,000); one of that shape outside the plan stays outside it. The last
 digit of a card number and the check digits of an account aren't permuted but worked out anew.
 
 Digit groups beside a card number, or capitals beside an account number, look like a part of it.
 So all spans that begin and end at separators are tried, and the text is then searched for those
-that pass their check: from the left, the longest first. (So where digits before a number happen to pass with its beginning,
-as one in ten does, that span is replaced and the number's last group is left.) A shorter span than the longest one of
-an account must have its country's length.
+that pass their check: from the left, the longest first. (So where digits before a number happen
+to pass with its beginning, as one in ten does, that span is replaced and the number's last group
+is left.) A shorter span than the longest one of an account must have its country's length.
 
 Edge cases: a null text stays null, empty texts stay empty; values that fail validation are left
 alone; repeated rows are treated alike; all other columns of an input are kept, those named like
@@ -155,14 +157,13 @@ def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Colu
     """The pseudonym of a valid value of the given kind; its inverse with ``forward=False``.
 
     One network permutes characters (of an address without its top-level domain, of a card number
-    without its check digit, of national phone digits, of an account without country and check
-    digits), one pairs of numbers (dates, IPv4 addresses, social security numbers).
+    without its check digit, of an account without country and check digits), one pairs of numbers
+    (dates, IPv4 addresses, social security and phone numbers).
     """
     bare = F.regexp_replace(value, "[^0-9A-Za-z]", "")
     digits = F.regexp_replace(F.regexp_replace(value, _COUNTRY_CODE, ""), "[^0-9]", "")
     body = (
         F.when(kind == "email", F.regexp_replace(value, _TOP_LEVEL, ""))
-        .when(kind == "phone", digits)
         .when(kind == "card", F.substring(bare, F.lit(1), F.char_length(bare) - 1))
         .when(kind == "iban", F.substring(bare, F.lit(5), F.char_length(bare)))
     )
@@ -170,9 +171,13 @@ def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Colu
     octet = lambda i: F.split_part(value, F.lit("."), F.lit(i)).cast("long")
     area = number(1, 3)
     day = F.datediff(_date(value), F.lit(_DAY_ZERO).cast("date")).cast("long")
-    left = F.when(kind == "date", F.floor(day / 773)).when(kind == "ip", octet(1) * 256 + octet(2)).when(kind == "ssn", (area - 1 - (area > 666).cast("long")) * 99 + number(5, 2) - 1)
-    right = F.when(kind == "date", day % 773).when(kind == "ip", octet(3) * 256 + octet(4)).when(kind == "ssn", number(8, 4) - 1)
-    sizes = tuple(reduce(lambda c, k: c.when(kind == k, F.lit(_PAIRS[k][side])), _PAIRS, F.when(F.lit(False), F.lit(1))) for side in (0, 1))
+    zone, exchange = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 3).cast("long")
+    in_plan = (zone >= 200) & (exchange >= 200)
+    dialled = F.when(in_plan, (zone - 200) * 800 + exchange - 200).when(zone < 200, zone * 1000 + exchange).otherwise(200_000 + (zone - 200) * 200 + exchange)
+    left = F.when(kind == "date", F.floor(day / 773)).when(kind == "ip", octet(1) * 256 + octet(2)).when(kind == "ssn", (area - 1 - (area > 666).cast("long")) * 99 + number(5, 2) - 1).when(kind == "phone", dialled)
+    right = F.when(kind == "date", day % 773).when(kind == "ip", octet(3) * 256 + octet(4)).when(kind == "ssn", number(8, 4) - 1).when(kind == "phone", F.substring(digits, 7, 4).cast("long"))
+    first, last = (reduce(lambda c, k: c.when(kind == k, F.lit(_PAIRS[k][side])), _PAIRS, F.when(F.lit(False), F.lit(1))) for side in (0, 1))
+    sizes = (first.when(kind == "phone", F.when(in_plan, 640_000).otherwise(360_000)), last.when(kind == "phone", F.lit(10_000)))
 
     def shown(x: Column) -> Column:
         chars, left, right = x["chars"], x["pair"]["l"], x["pair"]["r"]
@@ -181,9 +186,11 @@ def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Colu
         place = F.floor(left / 99) + 1
         ssn = F.format_string("%03d-%02d-%04d", (place + (place >= 666).cast("long")).cast("long"), left % 99 + 1, right + 1)
         national = F.regexp_replace(value, _COUNTRY_CODE, "")
+        before = F.when(in_plan, (F.floor(left / 800) + 200) * 1000 + left % 800 + 200).when(left < 200_000, left).otherwise((F.floor((left - 200_000) / 200) + 200) * 1000 + (left - 200_000) % 200)
+        phone = F.format_string("%06d%04d", before.cast("long"), right)
         return (
             F.when(kind == "email", F.concat(chars, F.regexp_extract(value, _TOP_LEVEL, 0)))
-            .when(kind == "phone", F.concat(F.regexp_extract(value, _COUNTRY_CODE, 0), _into(national, chars, "^[0-9]$")))
+            .when(kind == "phone", F.concat(F.regexp_extract(value, _COUNTRY_CODE, 0), _into(national, phone, "^[0-9]$")))
             .when(kind == "card", common.let(_checked_card(chars), lambda n: _into(value, n, "^[0-9]$")))
             .when(kind == "iban", common.let(_checked_account(F.substring(value, F.lit(1), F.lit(2)), chars), lambda n: _into(value, n, "^[A-Z0-9]$")))
             .when(kind == "date", F.when(F.contains(value, F.lit("-")), F.date_format(found, "yyyy-MM-dd")).otherwise(F.date_format(found, "dd.MM.yyyy")))
@@ -211,10 +218,10 @@ def _checked(text: Column) -> Column:
 
 
 def _found(text: Column) -> Column:
-    """Spans of :data:`OTHERS` and of the numbers that pass their checks."""
+    """What :func:`common.located` finds of :data:`OTHERS` and of the numbers that pass their checks."""
     numbers = F.when(text.rlike(f"{CARD}|{IBAN}"), _checked(text)).otherwise(F.array().cast("array<string>"))
     wanted = lambda n: F.when(F.size(n) == 0, OTHERS).otherwise(F.concat(F.lit(f"{OTHERS}|(?<![0-9A-Za-z])(?:"), F.array_join(n, "|"), F.lit(")(?![0-9A-Za-z])")))
-    return common.let(common.let(numbers, wanted), lambda p: common.spans(text, p))
+    return common.let(common.let(numbers, wanted), lambda p: common.located(text, p))
 
 
 def kind_of(value: Column) -> Column:
@@ -242,31 +249,30 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten, ``pii``: array<struct<start,end,kind,pseudonym>> in the
     original's code points, and ``n_<kind>`` for each kind."""
-    located = docs.withColumn("__spans", _found(docs["text"]))  # in steps, for the analyzer resolves one level of lambdas a round
-    text = located["text"]
+    at, result = common.unused(docs, "located"), common.unused(docs, "result")
+    found = docs.withColumn(at, _found(docs["text"]))  # in steps, for the analyzer resolves one level of lambdas a round
+    text, gaps = found["text"], found[at]["gaps"]
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,pseudonym:string>>")
 
     def judged(s: Column) -> Column:
         return common.let(kind_of(s["text"]), lambda k: F.struct(s["start"].alias("start"), s["end"].alias("end"), k.alias("kind"), pseudonym(s["text"], k, key).alias("pseudonym")))
 
-    found = F.filter(F.transform(located["__spans"], judged), lambda s: s["kind"].isNotNull())
+    def rewritten(spans: Column) -> Column:
+        parts = F.transform(spans, lambda s, i: F.concat(F.get(gaps, i), s["pseudonym"]))
+        return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
 
-    def rewritten(row: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(row["t"], a["at"] + 1, s["start"] - a["at"]), s["pseudonym"])).alias("out"))
-        done = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(row["t"], a["at"] + 1, F.char_length(row["t"])))
-        return F.when(F.size(row["f"]) == 0, row["t"]).otherwise(F.aggregate(row["f"], zero, step, done))
+    both = lambda spans: F.struct(rewritten(spans).alias("text"), F.filter(spans, lambda s: s["kind"].isNotNull()).alias("pii"))
+    row = F.when(found[at].isNull(), F.struct(text.alias("text"), none.alias("pii"))).otherwise(common.let(F.transform(found[at]["found"], judged), both))
+    others = [c for c in docs.columns if c.lower() not in ("text", "pii", *(f"n_{k}" for k in KINDS))]
+    counts = [common.count_kind(f"{result}.pii", k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(*others, row.alias(result)).select(*others, f"{result}.text", f"{result}.pii", *counts)
 
-    row = common.let(F.struct(text.alias("t"), F.coalesce(found, F.array().cast("array<struct<start:int,end:int,kind:string,pseudonym:string>>")).alias("f")), lambda r: F.struct(rewritten(r).alias("text"), r["f"].alias("pii")))
-    others = [c for c in docs.columns if c not in ("text", "pii", *(f"n_{k}" for k in KINDS))]
-    counts = [common.count_kind("__r.pii", k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return located.select(*others, row.alias("__r")).select(*others, "__r.text", "__r.pii", *counts)
 
-
-#: The query's key; a deployment passes its own.
-QUERY_KEY = "driftgram-demo-key"
+#: A deployment puts its own key into this setting; the other is for trials.
+KEY_SETTING, TRIAL_KEY = "spark.driftgram.pii.key", "driftgram-demo-key"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(common.table(spark, sf_dir, "documents"), QUERY_KEY)
+    out = pseudonymise(common.table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TRIAL_KEY))
     listed = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["pseudonym"])), ",")
     return out.select("doc_id", "text", *(f"n_{k}" for k in KINDS), listed.alias("pseudonyms"))

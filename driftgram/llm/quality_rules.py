@@ -102,7 +102,8 @@ def measurements(text: Column) -> Column:
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the measurements and ``failures``: bit ``r.bit`` is set where rule r fails."""
-    measured = docs.select(*(docs[c] for c in keep), measurements(docs["text"]).alias("__m")).select(*keep, "__m.*")
+    struct = common.unused(docs, "measured")
+    measured = docs.select(*(docs[c] for c in keep), measurements(docs["text"]).alias(struct)).select(*keep, f"{struct}.*")
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))

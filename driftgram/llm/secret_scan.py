@@ -14,15 +14,13 @@ exclusive.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, trigrams
 
-#: Candidate keys are broadcast up to this many (24 bytes each); beyond it they are shuffled.
-BROADCAST_KEYS = 500_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,13 +49,27 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+def _folded(docs: DataFrame) -> Column:
+    return F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index, restricted to ``grams``: one row (gram, key) for each that occurs."""
-    folded = F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = common.let(folded, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
+    found = common.let(_folded(docs), lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
     return docs.select(*common.row_key(docs["doc_id"], docs["text"]), F.explode(found).alias("gram"))
 
 
+def _may_match(docs: DataFrame, rules: tuple[Rule, ...]) -> Column:
+    """The text alone satisfies one of the rules' trigram queries."""
+
+    def of(t: Column) -> Column:
+        holds = lambda alternative: reduce(Column.__and__, (F.contains(t, F.lit(g)) for g in sorted(alternative)))
+        meets = lambda clause: reduce(Column.__or__, map(holds, sorted(clause, key=sorted)))
+        return reduce(Column.__or__, (reduce(Column.__and__, map(meets, sorted(trigrams.query(r.pattern), key=lambda c: sorted(map(sorted, c))))) for r in rules))
+
+    return common.let(_folded(docs), of)
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key_id, key_text, rules): for each document the rules whose trigram query it satisfies."""
     spark = index.sparkSession
@@ -94,10 +106,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if not indexed:
         return scanned.select("doc_id", F.sort_array("full").alias("spans"))
     grams = sorted({g for r in indexed for clause in trigrams.query(r.pattern) for alternative in clause for g in alternative})
-    picked = common.checkpointed(candidates(postings(docs, grams), indexed))
-    keyed = docs.select(*common.row_key(docs["doc_id"], docs["text"]), text.alias("text"))
-    small = picked.count() <= BROADCAST_KEYS
-    matched = keyed.join(F.broadcast(picked) if small else picked, key)
+    picked = candidates(postings(docs, grams), indexed)
+    # the index decides; of the texts only those that can be among its candidates are moved to meet it
+    keyed = docs.where(_may_match(docs, indexed)).select(*common.row_key(docs["doc_id"], docs["text"]), text.alias("text"))
+    matched = keyed.join(picked, key)
     verified = matched.select(*key, F.concat(*(F.when(F.array_contains("rules", r.kind), _found(F.col("text"), r)).otherwise(none) for r in indexed)).alias("more"))
     verified = verified.where(F.size("more") > 0).groupBy(*key).agg(F.first("more").alias("more"))
     return scanned.join(verified, key, "left").select("doc_id", F.sort_array(F.concat("full", F.coalesce("more", none))).alias("spans"))

@@ -3,6 +3,9 @@
 A query is a conjunction of clauses; a clause is a disjunction of alternatives; an alternative
 is a set of trigrams that must all occur. Any text that a regex matches satisfies its query.
 Texts and literals are compared with ASCII letters in lower case, which only widens the query.
+
+Edge cases: an empty pattern, and one of which no three characters are certain, has an empty query,
+which every text satisfies; a pattern that Python's parser doesn't know is an error.
 """
 
 from __future__ import annotations

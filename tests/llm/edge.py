@@ -24,7 +24,7 @@ def rows():
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ("score", "label", "labels", "kept", "failures", "n_words", "spans", "full", "more", "size", "rate", "copies", "shard", "slot", "rank", "block", "h", "key", "key_id", "key_text", "fp", "a", "b", "root", "node", "component_id", "pii", "n_card", "hmm", "row", "word", "c", "level", "target", "skey", "item_id", "held_out", "bucket")
+CLASHING = ("__i", "__t", "__ki", "__kt", "__n", "__copies", "__m", "__r", "__odd", "__spans", "Located", "result", "measured", "Score", "label", "labels", "kept", "failures", "n_words", "spans", "full", "more", "size", "rate", "copies", "shard", "slot", "rank", "block", "h", "key", "key_id", "key_text", "fp", "a", "b", "root", "node", "component_id", "pii", "n_card", "hmm", "row", "word", "c", "level", "target", "skey", "item_id", "held_out", "bucket")
 
 
 def documents(spark):
