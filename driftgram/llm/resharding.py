@@ -2,32 +2,43 @@
 
 Given the bytes in each old shard and the capacity of each new one, a minimum-cost flow decides
 how many bytes go from where to where; a byte that stays costs nothing. The flow's transfers are
-then cut out of each old shard as runs of documents in a fixed keyed order: first what stays,
-then one run for each destination. A document goes where its middle byte falls, and at most
-:data:`MAX_REPAIRS` small documents are moved afterwards so that what the cuts leave uneven
-evens out. Only shards that gain or lose documents need to be rewritten.
+cut out of each old shard as blocks: runs of documents in a fixed keyed order, first what stays,
+then one run for each destination. So where a row goes follows from its old shard and its hash,
+by a look-up among a few cut points, and :func:`rewrite` moves each text once, straight into its
+new file.
 
-Running sums are taken in blocks of about sqrt(rows of a shard) documents, so no task orders a
-whole shard. The driver sees sums for each (old, new) pair and a repair pool of at most
-:data:`POOL` documents for each, never the documents.
+Cutting between whole documents leaves shards uneven by the documents at the cuts. Documents are
+therefore placed in two rounds, each with its own flow: those larger than a size S first, the
+small ones then into the room that is left, so that only small documents are at the cuts that
+count. S is the least power of two below which :data:`SMALL_SHARE` of all bytes lie. A new shard
+ends within S / 2 for each run into it of its capacity, unless large documents overfill it alone.
+
+A cut is found by descending through the order's bits, an aggregation over a histogram of 512
+places a level: no task orders a shard, and the driver sees at most :data:`CELLS` sums a level.
+Slots are the places of rows in the written files.
 
 Edge cases: a null text has no bytes (size 1) and the checksum of empty text; repeated rows and
-rows with null ids are placed like any other, each with a slot of its own; extra columns are
-ignored; an empty table gives an empty result.
+rows with null ids are placed like any other (equal rows share a hash; a group of them that holds
+more than a 64th of a new shard is spread at random), each with a slot of its own; :func:`digest`
+ignores extra columns and :func:`rewrite` writes all of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
-POOL = 48
-MAX_REPAIRS = 400
+SMALL_SHARE = 1 / 16
+CELLS = 1 << 20
+FILE_BYTES = 256 << 20
+_BITS = 63
+_LEVEL = 9
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -101,119 +112,206 @@ def runs(flows: list[list[int]]) -> list[Run]:
     return out
 
 
-def repairs(pool: list[tuple[int, int, int, int]], excess: list[int]) -> list[tuple[int, int, int, int]]:
-    """Moves (old, rank, from shard, to shard) of pool documents (old, rank, shard, size) that even out ``excess``."""
-    left, moves = list(excess), []
-    mine: dict[int, list[tuple[int, int, int, int]]] = {}
-    for doc in sorted(pool):
-        mine.setdefault(doc[2], []).append(doc)
-    while len(moves) < MAX_REPAIRS:
-        best = None
-        low = min(range(len(left)), key=lambda j: (left[j], j))
-        for high in sorted(range(len(left)), key=lambda j: (-left[j], j))[:4]:
-            for doc in mine.get(high, []):
-                gain = left[high] ** 2 + left[low] ** 2 - (left[high] - doc[3]) ** 2 - (left[low] + doc[3]) ** 2
-                if high != low and gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, doc, low)
-        if best is None:
-            break
-        _, doc, low = best
-        mine[doc[2]].remove(doc)
-        left[doc[2]] -= doc[3]
-        left[low] += doc[3]
-        moves.append((doc[0], doc[1], doc[2], low))
-    return moves
+@dataclass
+class Cut:
+    """A place wanted in the order of a group: ``at`` bytes from its beginning. ``below`` bytes come
+    before the cell of hashes that begin with ``prefix`` (``bits`` of them); ``hash`` is the result."""
+
+    group: int
+    at: int
+    prefix: int = 0
+    bits: int = 0
+    below: int = 0
+    hash: int | None = None
+
+
+def cut_points(items: DataFrame, wanted: list[tuple[int, int]]) -> list[int]:
+    """For each (group, bytes) the hash at which rows (group int, h long, size long) are best cut:
+    the bytes of the group's rows below it come nearest to those wanted."""
+    spark = items.sparkSession
+    cuts = [Cut(g, at) for g, at in wanted]
+    while open_cuts := [c for c in cuts if c.hash is None]:
+        out: dict[tuple[int, int, int], dict[int, tuple[int, int, int]]] = defaultdict(dict)
+        by_bits = defaultdict(set)
+        for c in open_cuts:
+            by_bits[c.bits].add((c.group, c.prefix))
+        for bits, cells in by_bits.items():
+            table = sorted(cells)
+            step = max(1, CELLS >> _LEVEL)  # a cell has at most 512 parts
+            for at in range(0, len(table), step):
+                asked = F.broadcast(spark.createDataFrame(table[at : at + step], "group int, prefix long"))
+                prefixed = items.select("group", F.shiftright("h", _BITS - bits).alias("prefix") if bits else F.lit(0).cast("long").alias("prefix"), "h", "size").join(asked, ["group", "prefix"])
+                part = F.shiftright("h", max(0, _BITS - bits - _LEVEL)).alias("part")
+                for r in prefixed.groupBy("group", "prefix", part).agg(F.sum("size").alias("bytes"), F.min("h").alias("first"), F.max("h").alias("last")).collect():
+                    out[r["group"], bits, r["prefix"]][r["part"]] = (r["bytes"], r["first"], r["last"])
+        for c in open_cuts:
+            cells, below = out[c.group, c.bits, c.prefix], c.below
+            c.hash = 0  # an empty group
+            for part in sorted(cells):
+                held, first, last = cells[part]
+                if below + held > c.at:
+                    if first == last:  # equal rows, all before or all after the cut
+                        c.hash = first + (c.at - below > below + held - c.at)
+                    else:
+                        c.hash, c.prefix, c.bits, c.below = None, part, c.bits + _LEVEL, below
+                    break
+                below, c.hash = below + held, last + 1
+    return [c.hash for c in cuts]
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, capacities: list[int] | int) -> DataFrame:
-    """doc_id, key_id, key_text, size, text_crc32, old_shard, shard, slot for every row.
+@dataclass(frozen=True)
+class Plan:
+    """Where rows go: ``cuts[old, small]`` are the rising hashes at which runs end and ``shards`` theirs."""
 
-    ``capacities`` are bytes for each new shard, or a number of shards of equal size.
-    """
-    spark = docs.sparkSession
-    text = docs["text"]
-    items = docs.select(
-        docs["doc_id"], *common.row_key(docs["doc_id"], text), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
-    )
-    items = common.checkpointed(items.withColumn("h", F.xxhash64("key_id", "key_text")))
-    held = {r["old_shard"]: (r["b"], r["n"]) for r in items.groupBy("old_shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    supply = [held.get(i, (0, 0))[0] for i in range(old_shards)]
-    rows = sum(n for _, n in held.values())
+    old_shards: int
+    shards: int
+    small: int
+    cuts: dict[tuple[int, bool], list[int]]
+    targets: dict[tuple[int, bool], list[int]]
+    hot: list[int]
+    moved: set[int]
+
+    def hashed(self, docs: DataFrame) -> Column:
+        """A row's place in the order of its shard; rows of the large equal groups are spread."""
+        h = _order(docs)
+        return F.when(h.isin(self.hot), F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)).otherwise(h) if self.hot else h
+
+    def table(self, spark) -> DataFrame:
+        rows = [(old, small, self.cuts[old, small], self.targets[old, small]) for old, small in sorted(self.cuts)]
+        return spark.createDataFrame(rows or [(0, False, [], [0])], "old int, small boolean, cuts array<long>, targets array<int>")
+
+
+def _size(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def _order(docs: DataFrame) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*common.row_key(docs["doc_id"], docs["text"])), 1)
+
+
+def plan(docs: DataFrame, old_shard: Column, old_shards: int, capacities: list[int] | int) -> Plan:
+    """``capacities`` are bytes for each new shard, or a number of shards of equal size."""
+    items = common.checkpointed(docs.select(_size(docs["text"]).alias("size"), _order(docs).alias("h"), old_shard.cast("int").alias("old")))
+    power = F.when(F.col("size") == 1, 0).otherwise(F.length(F.bin(F.col("size") - 1))).alias("power")  # size <= 2 ** power
+    held: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))  # bytes by power of two and old shard
+    for r in items.groupBy(power, "old").agg(F.sum("size").alias("bytes")).collect():  # at most 32 rows a shard
+        held[r["power"]][r["old"]] = r["bytes"]
+    total = sum(sum(x.values()) for x in held.values())
     if isinstance(capacities, int):
-        capacities = equal_capacities(sum(supply), capacities)
+        capacities = equal_capacities(total, capacities)
     shards = len(capacities)
-    plan = runs(min_cost_flow(supply, capacities, [[int(i != j) for j in range(shards)] for i in range(old_shards)]))
-
-    blocks = max(1, int((rows / max(1, old_shards)) ** 0.5))
-    items = items.withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(blocks)))
-    of_block = items.groupBy("old_shard", "block").agg(F.sum("size").alias("bb"), F.count("*").alias("bn"))
-    before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    of_block = of_block.select("old_shard", "block", F.coalesce(F.sum("bb").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("r0"))
-    inside = Window.partitionBy("old_shard", "block").orderBy("h", "key_id", "key_text", "size")
-    placed = items.join(of_block, ["old_shard", "block"]).select(
-        "doc_id", "key_id", "key_text", "size", "text_crc32", "old_shard",
-        (F.col("r0") + F.row_number().over(inside) - 1).alias("rank"),
-        (F.col("b0") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("at"),
-    )
-    run_table = F.broadcast(spark.createDataFrame([(r.old, r.shard, r.start, r.end) for r in plan] or [(0, 0, 0, 0)], "old_shard int, shard int, start long, end long"))
-    middle = F.col("at") + F.floor(F.col("size") / 2)
-    cut = run_table.groupBy("old_shard").agg(F.sort_array(F.collect_list(F.struct("start", "end", "shard"))).alias("runs"))
-    placed = placed.join(F.broadcast(cut), "old_shard").withColumn("shard", F.element_at(F.filter("runs", lambda r: r["start"] <= middle), -1)["shard"]).drop("runs", "at")
-    placed = common.checkpointed(placed)
-
-    segments = {(r["old_shard"], r["shard"]): r for r in placed.groupBy("old_shard", "shard").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
-    got = [sum(r["b"] for (_, j), r in segments.items() if j == s) for s in range(shards)]
-    first = F.broadcast(spark.createDataFrame([(i, j, r["first"]) for (i, j), r in segments.items()] or [(0, 0, 0)], "old_shard int, shard int, first long"))
-    pool = placed.join(first, ["old_shard", "shard"]).where(F.col("rank") - F.col("first") < POOL).select("old_shard", "rank", "shard", "size")
-    moves = repairs([tuple(r) for r in pool.collect()], [g - c for g, c in zip(got, capacities, strict=True)])
-
-    gone: dict[tuple[int, int], list[int]] = {}
-    for i, rank, j, _ in moves:
-        gone.setdefault((i, j), []).append(rank)
-    filled, bases = [0] * shards, []
-    for (i, j), r in sorted(segments.items()):
-        bases.append((i, j, filled[j] - r["first"], sorted(gone.get((i, j), []))))
-        filled[j] += r["n"] - len(gone.get((i, j), []))
-    arrivals = []
-    for i, rank, j, to in moves:
-        arrivals.append((i, rank, j, to, filled[to]))
-        filled[to] += 1
-    base_table = spark.createDataFrame(bases or [(0, 0, 0, [])], "old_shard int, shard int, base long, gone array<long>")
-    moved_table = spark.createDataFrame(arrivals, "old_shard int, rank long, shard int, to_shard int, to_slot long")
-    earlier = F.size(F.filter("gone", lambda g: g < F.col("rank")))
-    return (
-        placed.join(F.broadcast(base_table), ["old_shard", "shard"])
-        .join(F.broadcast(moved_table), ["old_shard", "rank", "shard"], "left")  # at most MAX_REPAIRS rows
-        .select(
-            "doc_id", "key_id", "key_text", "size", "text_crc32", "old_shard", F.coalesce("to_shard", "shard").alias("shard"),
-            F.coalesce("to_slot", F.col("base") + F.col("rank") - earlier).cast("long").alias("slot"),
-        )
-    )
+    small_power, below = 0, 0
+    for small_power in sorted(held):
+        below += sum(held[small_power].values())
+        if below >= SMALL_SHARE * total:
+            break
+    hot = [r["h"] for r in items.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") > total / (64 * shards))).select("h").collect()]  # fewer than 64 a shard
+    if hot:
+        spread = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)
+        items = common.checkpointed(items.withColumn("h", F.when(F.col("h").isin(hot), spread).otherwise(F.col("h"))))
+    rows = items.select((F.col("old") * 2 + (F.col("size") <= 1 << small_power).cast("int")).alias("group"), "h", "size")
+    cost = [[int(i != j) for j in range(shards)] for i in range(old_shards)]
+
+    cuts, targets, moved = {}, {}, set()
+    got = [0] * shards
+    for small in (False, True):
+        supply = [sum(held[p][i] for p in list(held) if (p <= small_power) == small) for i in range(old_shards)]
+        room = [max(0, c - g) for c, g in zip(capacities, got, strict=True)]
+        share = _shared(sum(supply), room if small else capacities)
+        planned = runs(min_cost_flow(supply, share, cost))
+        ends = [(2 * r.old + small, r.end) for r in planned]
+        inner = [k for k, r in enumerate(planned) if r.end < supply[r.old]]
+        at = dict(zip(inner, cut_points(rows, [ends[k] for k in inner]), strict=True))
+        for k, r in enumerate(planned):
+            targets.setdefault((r.old, small), []).append(r.shard)
+            if k in at:
+                cuts.setdefault((r.old, small), []).append(at[k])
+            else:
+                cuts.setdefault((r.old, small), [])
+            moved |= {r.old, r.shard} if r.old != r.shard else set()
+        if not small:
+            made = Plan(old_shards, shards, 1 << small_power, cuts, targets, [], moved)
+            large = rows.where(F.col("group") % 2 == 0).select(F.shiftright("group", 1).alias("old"), F.lit(False).alias("small"), "h", "size")
+            for r in _placed(large, made, "h").groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
+                got[r["shard"]] = r["bytes"]
+    return Plan(old_shards, shards, 1 << small_power, cuts, targets, hot, moved)
+
+
+def _shared(total: int, weights: list[int]) -> list[int]:
+    """``total`` in parts that stand to each other as the weights (equal ones if all are zero)."""
+    weights = weights if sum(weights) else [1] * len(weights)
+    parts, before, at = [], 0, 0
+    for w in weights:
+        at += w
+        now = total * at // sum(weights)
+        parts.append(now - before)
+        before = now
+    return parts
+
+
+def _placed(rows: DataFrame, made: Plan, h: str, shard: str = "shard", old: str = "old", small: str = "small") -> DataFrame:
+    """``rows`` with ``shard``: a look-up among the cut points of (old, small), two rows an old shard."""
+    cuts = made.table(rows.sparkSession)
+    names = {c: common.unused(rows, c) for c in ("cuts", "targets")}
+    cuts = cuts.withColumnsRenamed(names | {"old": old, "small": small})
+    past = F.size(F.filter(names["cuts"], lambda c: c <= F.col(h)))
+    return rows.join(F.broadcast(cuts), [old, small]).withColumn(shard, F.get(names["targets"], past)).drop(*names.values())
+
+
+def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, all_shards: bool = False) -> set[int]:
+    """Writes the shards that gain or lose rows (or all) as ``path``/shard=<n>, whose files' rows, in
+    order of the files' names, are the shard's; returns the shards' numbers.
+
+    Each file is one task's: its rows are those of a range of hashes in its shard, in order of
+    hash. The texts are shuffled once.
+    """
+    affected = set(range(made.shards)) if all_shards else {s for s in made.moved if s < made.shards}
+    row = {c: common.unused(docs, c) for c in ("old", "small", "h", "part")}
+    shard = "shard"
+    others = [c for c in docs.columns if c.lower() != shard]
+    keyed = docs.withColumns({row["old"]: old_shard.cast("int"), row["small"]: _size(docs["text"]) <= made.small, row["h"]: made.hashed(docs)}).drop(*(c for c in docs.columns if c.lower() == shard))
+    rows = _placed(keyed, made, row["h"], shard, row["old"], row["small"]).where(F.col(shard).isin(sorted(affected)))
+    held = docs.agg(F.coalesce(F.sum(_size(docs["text"])), F.lit(0))).first()[0]
+    files = max(1, -(-held // (made.shards * FILE_BYTES)))
+    part = F.least(F.floor(F.col(row["h"]) / (2.0**_BITS / files)), F.lit(files - 1))  # hashes are even over their range
+    dealt = rows.withColumn(row["part"], (F.col(shard) * files + part).cast("int")).repartitionById(made.shards * files, F.col(row["part"]))
+    order = [c for c in (row["part"], row["h"])]
+    dealt.sortWithinPartitions(*order, *(c for c in ("doc_id",) if c in docs.columns)).select(*others, shard).write.partitionBy(shard).parquet(path)
+    return affected
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, path: str, old_shards: int) -> list[int]:
-    """Writes the shards that gained or lost rows, as ``path``/shard=<n>, in slot order; returns their numbers."""
-    moved = assignment.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    affected = sorted(r["s"] for r in moved.collect())  # at most all shard numbers
-    key = ["key_id", "key_text"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    others = [c for c in docs.columns if c not in ("shard", "slot", "key_id", "key_text", "nth")]
-    left = docs.select(*common.row_key(docs["doc_id"], docs["text"]), *others)
-    left = left.withColumn("nth", nth("key_id"))
-    right = assignment.select(*key, "shard", "slot").withColumn("nth", nth("shard", "slot")).where(F.col("shard").isin(affected))
-    joined = left.join(right, [*key, "nth"]).select(*others, "shard", "slot")
-    joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return affected
+def slots(spark, path: str, columns: T.StructType) -> DataFrame:
+    """The rows below ``path`` (``columns``, shard) with ``slot``, the place in the shard's files as they lie there."""
+    back = spark.read.schema(T.StructType(columns.fields + [T.StructField("shard", T.IntegerType())])).parquet(path)
+    name = F.col("_metadata.file_path")
+    files = sorted((r["shard"], r["name"], r["n"]) for r in back.groupBy("shard", name.alias("name")).agg(F.count("*").alias("n")).collect())  # a row a file
+    before, offsets = defaultdict(int), []
+    for shard, file, n in files:
+        offsets.append((file, before[shard]))
+        before[shard] += n
+    at, file = common.unused(back, "before"), common.unused(back, "file")
+    table = F.broadcast(spark.createDataFrame(offsets or [("", 0)], f"{file} string, {at} long"))
+    place = common.unused(back, "place")
+    rows = back.withColumns({file: name, place: F.col("_metadata.row_index")}).join(table, file)
+    return rows.withColumn("slot", (F.col(at) + F.col(place)).cast("long")).drop(file, at, place)
 
 
 OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns: rows lie in 12 shards by their id's checksum and go to 16 of equal bytes."""
-    out = reshard(docs, common.fold_remainder(docs["doc_id"], OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """The query's columns, read from the files written: rows lie in 12 shards by their id's checksum
+    and go to 16 of equal bytes. (Nothing lies in files of the old shards, so all new ones are written.)"""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    old = common.fold_remainder(docs["doc_id"], OLD_SHARDS)
+    path = common.new_path(spark, "shards")
+    rewrite(docs, old, plan(docs, old, OLD_SHARDS, NEW_SHARDS), path, all_shards=True)
+    out = slots(spark, path, docs.schema)
+    return out.select(
+        "doc_id", _size(out["text"]).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), common.fold_remainder(F.col("doc_id"), OLD_SHARDS).cast("int").alias("old_shard"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
