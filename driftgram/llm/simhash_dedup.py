@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -191,13 +191,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the least id's; rows equal in id and text, once."""
+    """``docs`` with one row of each component: the least id's; rows equal in id and text, once.
+
+    What stays is decided without the texts, which are then shuffled once; equal rows are brought
+    together on the way to that shuffle.
+    """
     found = near_duplicates(docs, max_bits)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_id", "key_text")).alias("k")).select("k.key_id", "k.key_text").withColumnsRenamed({"key_id": "__i", "key_text": "__t"})
-    key_id, key_text = common.row_key(docs["doc_id"], docs["text"])
-    kept = docs.withColumns({"__ki": key_id, "__kt": key_text}).join(keep, (F.col("__ki") == F.col("__i")) & (F.col("__kt") == F.col("__t")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("__ki", "__kt").orderBy("__ki"))
-    return kept.withColumn("__n", once).where("__n = 1").drop("__ki", "__kt", "__n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_id", "key_text")).alias("k")
+    names = [common.unused(docs, "key_id"), common.unused(docs, "key_text")]
+    keep = found.groupBy("root").agg(least).select(F.col("k.key_id").alias(names[0]), F.col("k.key_text").alias(names[1]))
+    keyed = docs.withColumns(dict(zip(names, common.row_key(docs["doc_id"], docs["text"]), strict=True)))
+    return keyed.dropDuplicates(names).join(keep, names, "left_semi").drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -166,10 +166,34 @@ def test_search_against_all_pairs(spark, monkeypatch, block):
     assert got == expected and len(got) > 10
 
 
-def test_sketch_never_misses():
-    """The sketch is longer than the number of shingles that a contained item can lack."""
-    for n in range(1, 300):
-        assert decontamination.sketch_size(n, 0.8) >= min(n, int(n - 0.8 * n + 1e-9) + 1)
+def test_some_band_is_always_whole():
+    """The bands of each partition outnumber the shingles that a contained item of it can lack."""
+    for n in range(1, 600):
+        bands, rows = decontamination.banding(decontamination.upper_size(n), 0.8)
+        assert bands > n - int(np.ceil(0.8 * n - 1e-9)) and 1 <= rows and (bands * rows <= n or rows == 1)
+    assert {decontamination.banding(u, 0.8) for u in (4, 8, 16, 64)} == {(1, 3), (2, 2), (4, 2), (13, 2)}
+
+
+def test_candidates_against_all_pairs():
+    """In each partition: every contained item is a candidate, and few others are."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 6, 9, 12, 20, 40, 90, 150])))) for i in range(120)]
+    block = decontamination.Block(items)
+    assert len(block.partitions[5]) >= 6
+    hits = others = 0
+    for _ in range(150):
+        _, text = rng.choice(items)
+        words = text.split()
+        for _ in range(rng.randint(0, max(1, len(words) // 20))):
+            words[rng.randrange(len(words))] = "zz"
+        doc = decontamination.normal_words(" ".join(rng.choices(vocabulary, k=rng.choice([30, 3000])) + words))
+        have = np.unique(decontamination.window_hashes(decontamination.word_hashes(doc), 5))
+        found = set().union(*(p.candidates(have) for p in block.partitions[5]))
+        expected = {i for i, t in items if contained(" ".join(w.decode() for w in doc), t)}
+        assert expected <= found
+        hits, others = hits + len(expected), others + len(found - expected)
+    assert hits > 60 and others < hits
 
 
 def test_leaks_are_dropped(spark):
