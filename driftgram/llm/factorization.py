@@ -1,13 +1,18 @@
 """Factorization machine over hashed features: training, and scoring in linear time.
 
-score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) with x_i in {0, 1}. The pair term
-is computed by the sum-of-squares identity, half of sum_f ((sum_i v_if)^2 - sum_i v_if^2), so a
-document costs (features x rank), not features squared.
-
-Training takes a bounded sample (a parameter, documented with each operator); everything else, in
-particular scoring, covers all rows. Features are hashed into 2**bits places; places that fewer
-than ``min_docs`` training documents have, or that tell little about the label (chi-squared),
-get no weight, so rare words that share a place with a telling one are the only collisions.
+score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j). The pair term is computed by the
+sum-of-squares identity, half of sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2), so a document costs
+(features x rank), not features squared.
+
+Training takes a bounded sample (parameters, documented with each operator); everything else, in
+particular scoring, covers all rows. Features are hashed into 2**bits places, and every place met
+in training has weights. A place's x_i is the same in all documents that have it: it rises from
+``floor`` to 1 with the place's chi-squared against the label, so that the many rare words don't
+drown the telling ones while none is left out. The model keeps w_i x_i and v_i x_i.
+
+Edge cases: a text without features, or with none met in training, scores the bias; labels that
+are null are ignored; without any usable label, or with a single class, the model is a constant;
+rows that repeat an id count once in training and are scored each.
 """
 
 from __future__ import annotations
@@ -23,19 +28,21 @@ from pyspark.sql import types as T
 
 from . import common
 
-Featurizer = Callable[[str], "np.ndarray"]
+Featurizer = Callable[..., "np.ndarray"]
 
 
 @dataclass(frozen=True)
 class Settings:
+    """The sample ends with ``max_train_rows`` rows or ``max_train_features`` features of them all."""
+
     bits: int = 18
     rank: int = 6
     max_train_rows: int = 6000
-    max_features: int = 2000
-    min_docs: int = 4
-    min_chi2: float = 8.0
-    epochs: int = 25
-    min_updates: int = 1500
+    max_train_features: int = 1 << 25
+    half_chi2: float = 20.0
+    floor: float = 0.03
+    epochs: int = 6
+    min_updates: int = 300
     rate: float = 0.1
     decay: float = 1e-4
     batch: int = 128
@@ -44,49 +51,40 @@ class Settings:
 
 @dataclass
 class Model:
-    """``places``: sorted hashed features that have weights; ``w``, ``v`` in the same order."""
+    """Weights of all 2**bits places; those not met in training are zero."""
 
     w0: float
-    places: np.ndarray
     w: np.ndarray
     v: np.ndarray
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Probability of label 1 for each document's (distinct) hashed features."""
-        counts = np.array([len(d) for d in docs], dtype=np.int64)
-        n = len(docs)
-        raw = np.full(n, self.w0)
-        if counts.sum() and len(self.places):
-            flat = np.concatenate(docs)
-            owner = np.repeat(np.arange(n), counts)
-            place = np.minimum(np.searchsorted(self.places, flat), len(self.places) - 1)
-            known = self.places[place] == flat
-            place, owner = place[known], owner[known]
-            raw += np.bincount(owner, self.w[place], minlength=n)
-            raw += _pairs(self.v[place], owner, n)
+        raw = np.full(len(docs), self.w0)
+        some = np.array([k for k, d in enumerate(docs) if len(d)], dtype=np.int64)
+        if len(some):
+            flat = np.concatenate([docs[k] for k in some])
+            starts = np.concatenate([[0], np.cumsum([len(docs[k]) for k in some])[:-1]])
+            raw[some] += np.add.reduceat(self.w[flat], starts) + _pairs(self.v[flat], starts)[0]
         return 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def _pairs(vectors: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    for f in range(vectors.shape[1]):
-        column = vectors[:, f]
-        out += 0.5 * (np.bincount(owner, column, minlength=n) ** 2 - np.bincount(owner, column * column, minlength=n))
-    return out
+def _pairs(vectors: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's pair term and sum of vectors, from its features' vectors."""
+    sums = np.add.reduceat(vectors, starts, axis=0)
+    return 0.5 * (sums * sums - np.add.reduceat(vectors * vectors, starts, axis=0)).sum(axis=1), sums
 
 
-def _selected(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
-    size = 1 << s.bits
+def evidence(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The places met, and x of each."""
     flat = np.concatenate([np.empty(0, dtype=np.int64), *docs])
-    owner_label = np.repeat(labels, [len(d) for d in docs])
-    total, ones = np.bincount(flat, minlength=size), np.bincount(flat, owner_label, minlength=size)
+    places, at = np.unique(flat, return_inverse=True)
+    total, a = np.bincount(at, minlength=len(places)), np.bincount(at, np.repeat(labels, [len(d) for d in docs]), minlength=len(places))
     n, p = len(docs), labels.sum()
-    a, b, c = ones, total - ones, p - ones
+    b, c = total - a, p - a
     d = n - p - b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
-    good = np.flatnonzero((total >= s.min_docs) & (chi2 >= s.min_chi2))
-    return np.sort(good[np.argsort(-chi2[good], kind="stable")][: s.max_features])
+    return places, np.minimum(1.0, s.floor + (chi2 / (chi2 + s.half_chi2)) ** 2)
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
@@ -94,34 +92,39 @@ def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
     labels = labels.astype(float)
     positive = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(positive / (1 - positive)))
-    places = _selected(docs, labels, s) if len(docs) else np.empty(0, dtype=np.int64)
+    model = Model(bias, np.zeros(1 << s.bits, dtype=np.float32), np.zeros((1 << s.bits, s.rank), dtype=np.float32))
+    places, scale = evidence(docs, labels, s)
+    if not len(places) or len(set(labels.tolist())) < 2:
+        return model
     rng = np.random.default_rng(s.seed)
     w, v = np.zeros(len(places)), rng.normal(0, 0.01, (len(places), s.rank))
-    if not len(places):
-        return Model(bias, places, w, v)
-    kept = [np.searchsorted(places, d[np.isin(d, places)]) for d in docs]
     gw0, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
-    for _ in range(max(s.epochs, -(-s.min_updates * s.batch // len(docs)))):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), s.batch):
-            rows = order[at : at + s.batch]
-            flat = np.concatenate([kept[r] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(kept[r]) for r in rows])
-            vectors = v[flat]
-            sums = np.stack([np.bincount(owner, vectors[:, f], minlength=len(rows)) for f in range(s.rank)], axis=1)
-            raw = bias + np.bincount(owner, w[flat], minlength=len(rows)) + _pairs(vectors, owner, len(rows))
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]) / len(rows)
-            each = error[owner]
+    order, batches = [r for r in rng.permutation(len(docs)) if len(docs[r])], []
+    for at in range(0, len(order), s.batch):
+        rows = order[at : at + s.batch]
+        lengths = np.array([len(docs[r]) for r in rows])
+        used, place = np.unique(np.searchsorted(places, np.concatenate([docs[r] for r in rows])), return_inverse=True)
+        batches.append((used, place, np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(len(rows)), lengths), labels[rows]))
+    for _ in range(max(s.epochs, -(-s.min_updates // len(batches)))):
+        for k in rng.permutation(len(batches)):
+            used, place, starts, owner, wanted = batches[k]
+            x = scale[used][place]
+            vectors = v[used][place] * x[:, None]
+            pairs, sums = _pairs(vectors, starts)
+            raw = bias + np.add.reduceat(w[used][place] * x, starts) + pairs
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - wanted) / len(wanted)
             gw0 += error.sum() ** 2
             bias -= s.rate * error.sum() / np.sqrt(gw0)
-            dw = np.bincount(flat, each, minlength=len(w)) + s.decay * w
-            gw += dw**2
-            w -= s.rate * dw / np.sqrt(gw)
-            pair = each[:, None] * (sums[owner] - vectors)
-            dv = np.stack([np.bincount(flat, pair[:, f], minlength=len(w)) for f in range(s.rank)], axis=1) + s.decay * v
-            gv += dv**2
-            v -= s.rate * dv / np.sqrt(gv)
-    return Model(bias, places, w, v)
+            each = error[owner] * x
+            dw = np.bincount(place, each, minlength=len(used)) + s.decay * w[used]
+            gw[used] += dw**2
+            w[used] -= s.rate * dw / np.sqrt(gw[used])
+            pull = each[:, None] * (sums[owner] - vectors)
+            dv = np.stack([np.bincount(place, pull[:, f], minlength=len(used)) for f in range(s.rank)], axis=1) + s.decay * v[used]
+            gv[used] += dv**2
+            v[used] -= s.rate * dv / np.sqrt(gv[used])
+    model.w0, model.w[places], model.v[places] = float(bias), w * scale, v * scale[:, None]
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,38 +132,51 @@ def held_out(doc_id: Column) -> Column:
     return common.fold_remainder(doc_id, 5) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, featurizer: Featurizer, s: Settings) -> Model:
-    """Learns from at most ``max_train_rows`` labelled rows that aren't held out, least id hashes first.
+def fit(docs: DataFrame, labels: DataFrame, label: str, featurizer: Featurizer, s: Settings, inputs: tuple[str, ...] = ("text",)) -> Model:
+    """Learns from a bounded sample of the labelled rows that aren't held out, least id hashes first.
 
-    Labels that are null are ignored; an id labelled twice counts as 1 if one of them is 1.
+    ``inputs`` are the columns that the featurizer takes, the text first. An id labelled twice counts
+    as 1 if one of its labels is 1.
     """
     order = F.xxhash64("doc_id", F.lit(s.seed))
     picked = labels.where(~held_out(labels["doc_id"]) & labels[label].isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = picked.orderBy(order, "doc_id").limit(s.max_train_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_train_rows rows
+    texts = docs.select("doc_id", *inputs).join(F.broadcast(picked), "doc_id")  # at most max_train_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            places = pa.array([featurizer(t or "").astype(np.int32) for t in common.texts(batch)], pa.list_(pa.int32()))
+            places = pa.array([f.astype(np.int32) for f in _featured(batch, featurizer, inputs)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places], ["doc_id", "label", "places"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, f"doc_id {kind}, label int, places array<int>")
+    rows = texts.select("doc_id", F.col("label").cast("int").alias("label"), *inputs).mapInArrow(run, f"doc_id {kind}, label int, places array<int>")
     one = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("places").alias("places"))  # rows that repeat an id count once
-    got = sorted(one.collect(), key=lambda r: str(r["doc_id"]))
-    return train([np.array(r["places"], dtype=np.int64) for r in got], np.array([r["label"] for r in got], dtype=float), s)
+    got, size = [], 0
+    for r in one.orderBy(order, "doc_id").toLocalIterator():
+        got.append((str(r["doc_id"]), np.array(r["places"], dtype=np.int64), float(r["label"])))
+        size += len(r["places"])
+        if size >= s.max_train_features:
+            break
+    got.sort(key=lambda r: r[0])
+    return train([r[1] for r in got], np.array([r[2] for r in got], dtype=float), s)
 
 
-def scored(docs: DataFrame, model: Model, featurizer: Featurizer, column: str = "score", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """``docs`` (its ``keep`` columns, all if None) with ``column``; with ``least``, only rows that score it, unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features x (rank + 2) numbers
-    keep = [c for c in (docs.columns if keep is None else keep) if c != column or least is not None]
+def _featured(batch: pa.RecordBatch, featurizer: Featurizer, inputs: tuple[str, ...]) -> list[np.ndarray]:
+    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+    return [featurizer(text or "", *rest) for text, *rest in zip(*columns, strict=True)]
 
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
+
+def scored(
+    docs: DataFrame, model: Model, featurizer: Featurizer, column: str = "score", keep: list[str] | None = None, least: float | None = None, inputs: tuple[str, ...] = ("text",)
+) -> DataFrame:
+    """``docs`` (its ``keep`` columns, all if None) with ``column``; with ``least``, only rows that score it, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x (rank + 1) numbers of 4 bytes
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != column.lower() or least is not None]
+    source = docs.select(*dict.fromkeys([*keep, *inputs]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            scores = shared.value.score([featurizer(t or "") for t in common.texts(batch)])
+            scores = shared.value.score(_featured(batch, featurizer, inputs))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             if least is None:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*keep, column])

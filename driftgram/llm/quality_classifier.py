@@ -1,12 +1,14 @@
 """Quality classifier: a factorization machine (operator 6).
 
 Features are hashed distinct words, hashed bins of structure statistics (length, symbols, case,
-punctuation, repetition of words, 3-word windows and lines, vocabulary) and of the text's size in
-bytes. Pairs of them, such as a short text with many repeats, get low-rank weights of their own,
+punctuation, repetition of words, 3-word windows and lines, vocabulary, size in bytes) and of the
+metadata column ``n_chars``: its size, and how it stands to the text's real length (a record whose
+text was cut or joined disagrees). Pairs of them, such as a short text with many repeats, get low-rank weights of their own,
 and scoring stays linear by the sum-of-squares identity. The model is fitted on at most
 ``SETTINGS.max_train_rows`` (6,000) labelled rows; all rows are scored.
 
-Edge cases: null and empty texts have only structure features; rows repeated or with null ids are
+Edge cases: null and empty texts have only structure features and metadata; a null ``n_chars``, or a
+table without that column, is a value of its own; rows repeated or with null ids are
 scored like any other; extra columns never matter; with no usable labels every score is the
 prior; an empty table gives an empty result.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common, factorization
 
-SETTINGS = factorization.Settings(min_docs=8, min_chi2=12.0, max_features=1500)
+SETTINGS = factorization.Settings()
 THRESHOLD = 0.3
 _MASK = (1 << SETTINGS.bits) - 1
 _DROP_BUT = {name: bytes(set(range(256)) - set(keep)) for name, keep in {
@@ -58,24 +60,35 @@ def structure(raw: bytes, words: list[bytes], distinct: set[bytes]) -> dict[str,
     }
 
 
-def features(text: str) -> np.ndarray:
+def metadata(text: str, n_chars: int | None) -> dict[str, int]:
+    if n_chars is None:
+        return {"n_chars": -1, "n_chars_agrees": -1}
+    return {"n_chars": int(2 * math.log2(max(0, n_chars) + 1)), "n_chars_agrees": (n_chars > len(text)) - (n_chars < len(text))}
+
+
+def features(text: str, n_chars: int | None = None) -> np.ndarray:
     raw = text.encode("utf-8", "replace")
     words = raw.lower().split()
     distinct = set(words)
     found = {crc32(w) & _MASK for w in distinct}
-    found |= {crc32(f" {name}={value}".encode()) & _MASK for name, value in structure(raw, words, distinct).items()}
+    statistics = structure(raw, words, distinct) | metadata(text, n_chars)
+    found |= {crc32(f" {name}={value}".encode()) & _MASK for name, value in statistics.items()}
     return np.array(sorted(found), dtype=np.int64)
 
 
+def _inputs(docs: DataFrame) -> tuple[str, ...]:
+    return ("text", "n_chars") if dict(docs.dtypes).get("n_chars") in ("tinyint", "smallint", "int", "bigint") else ("text",)
+
+
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    model = factorization.fit(docs, labels, "quality", features, SETTINGS)
-    return factorization.scored(docs, model, features, keep=keep)
+    model = factorization.fit(docs, labels, "quality", features, SETTINGS, _inputs(docs))
+    return factorization.scored(docs, model, features, keep=keep, inputs=_inputs(docs))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
-    model = factorization.fit(docs, labels, "quality", features, SETTINGS)
-    return factorization.scored(docs, model, features, least=THRESHOLD)
+    model = factorization.fit(docs, labels, "quality", features, SETTINGS, _inputs(docs))
+    return factorization.scored(docs, model, features, least=THRESHOLD, inputs=_inputs(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import string
 from collections import Counter
 from zlib import crc32
 
@@ -17,24 +18,116 @@ LABELS = "doc_id long, quality int, toxic int"
 
 def test_pair_term_identity():
     rng = np.random.default_rng(1)
-    model = factorization.Model(0.3, np.array([2, 5, 7, 11]), rng.normal(size=4), rng.normal(size=(4, 3)))
+    model = factorization.Model(0.3, np.zeros(16), np.zeros((16, 3)))
+    known = [2, 5, 7, 11]
+    model.w[known], model.v[known] = rng.normal(size=4), rng.normal(size=(4, 3))
     docs = [np.array([2, 5, 11]), np.array([], dtype=np.int64), np.array([3]), np.array([2, 3, 5, 7, 11])]
     for doc, score in zip(docs, model.score(docs), strict=True):
-        known = [int(np.searchsorted(model.places, x)) for x in doc if x in model.places]
-        raw = 0.3 + sum(model.w[i] for i in known) + sum(model.v[i] @ model.v[j] for i, j in itertools.combinations(known, 2))
+        raw = 0.3 + sum(model.w[i] for i in doc) + sum(model.v[i] @ model.v[j] for i, j in itertools.combinations(doc, 2))
         assert score == pytest.approx(1 / (1 + math.exp(-raw)))
 
 
 def test_interactions_are_learned():
-    """Label 1 needs both words; either alone is as frequent among label 0."""
+    """Label 1 needs both words; either alone is as frequent among label 0. With the production settings."""
     rng = np.random.default_rng(3)
     docs, labels = [], []
     for i in range(1200):
         both, noise = i % 4, rng.integers(10, 60, 3)
         docs.append(np.unique(np.concatenate([[1] if both in (0, 1) else [], [2] if both in (0, 2) else [], noise])).astype(np.int64))
         labels.append(both == 0)
-    model = factorization.train(docs[:900], np.array(labels[:900]), factorization.Settings(bits=8, min_chi2=3.0, epochs=60))
+    model = factorization.train(docs[:900], np.array(labels[:900]), factorization.Settings())
     assert ((model.score(docs[900:]) >= 0.5) == np.array(labels[900:])).mean() > 0.97
+    flat = factorization.Model(model.w0, model.w, np.zeros_like(model.v))
+    assert ((flat.score(docs[900:]) >= 0.5) == np.array(labels[900:])).mean() < 0.9
+
+
+def test_every_place_met_has_weights():
+    """Whatever its frequency, and however many there are; those not met have none. Ties are all kept."""
+    docs = [np.arange(k * 50, k * 50 + 51) for k in range(300)]
+    model = factorization.train(docs, np.arange(300) % 3 == 0, factorization.Settings(epochs=1, min_updates=1))
+    met = np.unique(np.concatenate(docs))
+    assert (np.abs(model.v[met]).max(axis=1) > 0).all() and (model.w[met] != 0).all()
+    assert not model.v[met.max() + 1 :].any() and not model.w[met.max() + 1 :].any()
+
+
+def plain_gradient_step(docs, labels, s):
+    """The first update of each weight by loops over documents and pairs, all documents in one batch."""
+    places = sorted({int(p) for d in docs for p in d})
+    n, p = len(docs), sum(labels)
+    scale = {}
+    for x in places:
+        a = sum(y for d, y in zip(docs, labels, strict=True) if x in d)
+        b = sum(1 - y for d, y in zip(docs, labels, strict=True) if x in d)
+        c, e = p - a, n - p - b
+        below = (a + b) * (c + e) * (a + c) * (b + e)
+        chi2 = n * (a * e - b * c) ** 2 / below if below else 0.0
+        scale[x] = min(1.0, s.floor + (chi2 / (chi2 + s.half_chi2)) ** 2)
+    bias = math.log((p + 1) / (n + 2) / (1 - (p + 1) / (n + 2)))
+    v = dict(zip(places, np.random.default_rng(s.seed).normal(0, 0.01, (len(places), s.rank)), strict=True))
+    errors = []
+    for d, y in zip(docs, labels, strict=True):
+        raw = bias + sum(v[i] @ v[j] * scale[i] * scale[j] for i, j in itertools.combinations(d.tolist(), 2))
+        errors.append((1 / (1 + math.exp(-raw)) - y) / n)
+    step = lambda g: s.rate * g / np.sqrt(1e-6 + g * g)
+    w = {x: -step(sum(e for d, e in zip(docs, errors, strict=True) if x in d) * scale[x]) * scale[x] for x in places}
+    out = {}
+    for x in places:
+        pull = sum((e * scale[x] * sum((v[j] * scale[j] for j in d.tolist() if j != x), np.zeros(s.rank)) for d, e in zip(docs, errors, strict=True) if x in d), np.zeros(s.rank))
+        out[x] = (v[x] - step(pull + s.decay * v[x])) * scale[x]
+    return bias - step(sum(errors)), w, out
+
+
+def test_training_against_plain_loops():
+    rng = np.random.default_rng(9)
+    docs = [np.unique(rng.integers(0, 30, 6)) for _ in range(40)]
+    labels = [int(3 in d) for d in docs]
+    s = factorization.Settings(bits=5, epochs=1, min_updates=1, batch=64)
+    model, (bias, w, v) = factorization.train(docs, np.array(labels), s), plain_gradient_step(docs, labels, s)
+    assert model.w0 == pytest.approx(bias)
+    for x in w:
+        assert model.w[x] == pytest.approx(w[x], rel=1e-4, abs=1e-9) and model.v[x] == pytest.approx(v[x], rel=1e-3, abs=1e-8)
+
+
+def plain_score(model, places):
+    raw = model.w0 + sum(float(model.w[i]) for i in places) + sum(float(model.v[i] @ model.v[j]) for i, j in itertools.combinations(places, 2))
+    return 1 / (1 + math.exp(-max(-30, min(30, raw))))
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.5), (quality_classifier, "quality", 0.3)])
+def test_query_against_plain_scores(spark, sf_dir, module, label, least):
+    """The query's rows against features and pairs worked out plainly from the same fitted model."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    inputs = module._inputs(docs) if module is quality_classifier else ("text",)
+    model = factorization.fit(docs, labels, label, module.features, module.SETTINGS, inputs)
+    expected = {}
+    for r in docs.collect():
+        text = r["text"] or ""
+        words = text.encode().lower().split()
+        if module is toxicity:
+            bare = {w.strip(string.punctuation.encode()) for w in words} - {b""}
+            names = bare | {b"%d:" % n + w[:n] for w in bare for n in (4, 5, 6) if len(w) > n}
+        else:
+            statistics = quality_classifier.structure(text.encode(), words, set(words)) | quality_classifier.metadata(text, r["n_chars"])
+            names = set(words) | {f" {k}={x}".encode() for k, x in statistics.items()}
+        expected[r["doc_id"]] = plain_score(model, sorted({crc32(x) % (1 << 18) for x in names})) if len(names) < 700 else None
+    rows = module.query(spark, sf_dir).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        assert r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= least)
+        assert expected[r["doc_id"]] is None or r["score"] == pytest.approx(expected[r["doc_id"]], rel=1e-3, abs=1e-6)
+
+
+def test_metadata_of_quality(spark):
+    """A size that disagrees with the text is learned, alone and in pairs; without it the text decides."""
+    text = "abc " * 20
+    assert quality_classifier.metadata(text, None) == {"n_chars": -1, "n_chars_agrees": -1}
+    assert [quality_classifier.metadata(text, n)["n_chars_agrees"] for n in (79, 80, 81)] == [-1, 0, 1]
+    rows = [(i, edge.prose(i, 60), "en", "s", None) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, a, b, len(t) if i % 3 else len(t) * 2) for i, t, a, b, _ in rows], edge.SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], LABELS)
+    got = quality_classifier.score(docs, labels, ["doc_id"]).where(factorization.held_out(F.col("doc_id"))).collect()
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 3 > 0) for r in got)
+    assert quality_classifier.score(docs.drop("n_chars"), labels).count() == 300
 
 
 def corpus(spark, n=400):

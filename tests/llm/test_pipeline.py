@@ -30,14 +30,20 @@ def test_stages(spark, sf_dir, tmp_path):
     assert ids[4][1] == ids[4][0]
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(str, run.collect())) == sorted(map(str, seen[4][1].collect()))
+    left = glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file:')}/pipeline-*")
+    assert len(left) == 1 and "sharding" in left[0]
 
 
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_awkward_rows(spark, sf_dir, stage):
-    for docs in (edge.documents(spark), edge.empty(spark)):
-        out = corpus_pipeline.STAGES[stage][1](spark, docs, sf_dir)
-        assert out.count() <= 2 * len(edge.rows())
+    rows = {}
+    for docs in (edge.documents(spark), edge.clashing(spark), edge.empty(spark)):
+        out = corpus_pipeline.STAGES[stage][1](spark, docs, sf_dir).cache()
         assert stage == 4 or out.columns == docs.columns
+        rows[len(docs.columns), docs.isEmpty()] = edge.sorted_rows(out, "doc_id", *(["text", "source"] if stage < 4 else ["shard", "slot"]))
+        out.unpersist()
+    plain, clashing, empty = rows.values()
+    assert plain == clashing and not empty and len(plain) <= 2 * len(edge.rows())
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
