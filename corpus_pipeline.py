@@ -1,15 +1,20 @@
 """A corpus pipeline: quality classifier, near-duplicates, benchmark leaks, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
-last return the columns of ``documents``. The last returns one row for each row it was given,
-with its shard and slot.
+last return the columns they were given. The last returns one row for each row it was given, with
+its shard and slot as they lie in the files it wrote.
+
+Edge cases, for every stage: a null text counts as empty. Such texts are scored by the classifier
+like any other, are near-duplicates of each other (one stays), contain no benchmark item, have no
+words to mix (their source's rate decides how many stay) and take one byte of a shard. Texts of any
+length are read whole. Null ids are kept and told apart by their texts; a null source is one source.
+Rows that repeat an id and text are one row after the second stage; ties (equal sizes, equal
+fingerprints) are settled by ids and keyed hashes. Extra columns, whatever their names, are carried
+to the last stage, which returns its own columns only. An empty table goes through as an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgram.llm import common, decontamination, mixing, quality_classifier, resharding, simhash_dedup
@@ -53,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each returns is written as Parquet and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftgram-")
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages; what each returns is written as Parquet and read again, and removed once the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/pipeline-{uuid.uuid4().hex}-{k}-{name}"
+        path = common.new_path(spark, f"pipeline-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.removed(spark, before)
+        before = path
     return docs
