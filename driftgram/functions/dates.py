@@ -20,12 +20,30 @@ def parse_granularity(text: str) -> str | None:
     return _SAME.get(text.lower())
 
 
-def stored_bucket(ts: Column, granularity: str = "daily") -> Column:
-    """The UTC bucket of a timestamp: the day, or the first of its month or year."""
-    day = F.to_date(ts)
+_DAY_MS = 86_400_000
+
+
+def utc_millis(ts: Column, without_zone: bool = False) -> Column:
+    """Milliseconds since 1970 of a timestamp, whatever the session's zone. One without a zone
+    (``timestamp_ntz``) is read as UTC, from its fields, for a cast would read it in that zone."""
+    if not without_zone:
+        return F.unix_millis(ts)
+    days = F.unix_date(ts.cast("date")).cast("long")
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("long")
+    return days * _DAY_MS + minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+
+
+def bucket_of_millis(ms: Column, granularity: str = "daily") -> Column:
+    """The UTC bucket of a moment: the day, or the first of its month or year; null where no date has it."""
+    days = F.floor(ms / _DAY_MS)
+    day = F.when(days.between(-719_162, 2_932_896), F.date_from_unix_date(days.cast("int")))  # years 1 to 9999
     return {"daily": day, "monthly": F.trunc(day, "MM"), "yearly": F.trunc(day, "YYYY")}[granularity].cast("date")
 
 
+def stored_bucket(ts: Column, granularity: str = "daily") -> Column:
+    return bucket_of_millis(utc_millis(ts), granularity)
+
+
 def query_bucket(bucket: Column, granularity: str) -> Column:
     """The coarser bucket; weeks begin on Sunday."""
     return {
@@ -62,6 +80,11 @@ def parse_date(text: str) -> dt.date | None:
         return None
 
 
+def month_bounds(day: Column) -> tuple[Column, Column]:
+    """The first and the last day of the date's month."""
+    return F.trunc(day, "MM"), F.last_day(day)
+
+
 def month_start(day: dt.date) -> dt.date:
     return day.replace(day=1)
 
@@ -89,8 +112,8 @@ def month_range(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 def bucket_end_ms(bucket: Column) -> Column:
     """Milliseconds since 1970 of the end of the bucket's first day."""
-    return (F.unix_date(bucket).cast("long") + 1) * F.lit(86_400_000).cast("long")
+    return (F.unix_date(bucket).cast("long") + 1) * F.lit(_DAY_MS).cast("long")
 
 
 def ms_to_date(ms: Column) -> Column:
-    return F.timestamp_millis(ms).cast("date")
+    return bucket_of_millis(ms)

@@ -2,13 +2,14 @@
 
 Order of steps: strip tags, decode entities, URLs to domains, NFKC, drop zero-width characters,
 straighten quotes, lower-case, cut into tokens. Spark has no function for NFKC or for the whole
-entity table, so rows that need either (a small share of most corpora) go through an Arrow UDF
-that runs the same steps in Python; every other row stays in the JVM, and the UDF is handed null
-for it.
+entity table, so rows with a character that NFKC may change, in any script, or with a rare entity
+go through an Arrow UDF that runs the same steps in Python; every other row stays in the JVM, and
+the UDF is handed null for it.
 """
 
 from __future__ import annotations
 
+import functools
 import html.entities
 import re
 import unicodedata
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER_VERSION = "1"
 
+#: What a URL, a run of token characters and a technical hyphen look like.
 _LABEL = r"[a-zA-Z0-9][-a-zA-Z0-9]*"
 _DOMAIN = rf"{_LABEL}(?:\.{_LABEL})+"
 #: Endings that make a dotted name with a path a URL even without a scheme.
@@ -38,19 +40,26 @@ _PLAIN_ENTITIES = {
 _OTHER_ENTITY = "&(?!(?:" + "|".join(x[1:-1] for names in _PLAIN_ENTITIES.values() for x in names) + ");)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
-def _stable_class() -> str:
-    """A character class of code points that NFKC leaves alone next to any of their own kind."""
-    points = [c for c in [*range(0x300), *range(0x2010, 0x205F)] if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
-    ranges: list[list[int]] = []
-    for c in points:
+@functools.cache
+def _unstable() -> str:
+    """What NFKC might change: characters of neither class, or two marks in a row. Two character classes:
+    code points that NFKC leaves alone whatever stands beside them, and marks that it leaves alone
+    unless another mark stands beside them (it may sort those)."""
+    second = {int(d.split()[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    second |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals that join a syllable
+    stable: list[list[int]] = []
+    marks: list[list[int]] = []
+    for c in range(0x110000):
+        if c in second or 0xD800 <= c < 0xE000 or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+            continue
+        ranges = marks if unicodedata.combining(chr(c)) else stable
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
-
-
-_UNSTABLE = f"[^{_stable_class()}]"
+    # a class is searched range by range: the long ones, which most text is made of, come first
+    written = lambda ranges: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(ranges, key=lambda r: (r[0] >= 0x3000, r[0] - r[1])))
+    return f"[^{written(stable)}{written(marks)}]|[{written(marks)}]{{2}}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,9 +119,10 @@ def tokenize_plain(text: Column) -> Column:
 def needs_python(text: Column) -> Column:
     """NFKC might change the text, or it has an entity that isn't decoded in the JVM.
 
-    The many ranges of the stable class are only looked up for what is left without ASCII.
+    The many ranges of the classes are only looked up for what is left without ASCII, whose runs
+    become a space each, so that marks around them don't meet.
     """
-    unstable = (F.octet_length(text) != F.char_length(text)) & F.regexp_replace(text, r"[\x00-\x7f]+", "").rlike(_UNSTABLE)
+    unstable = (F.octet_length(text) != F.char_length(text)) & F.regexp_replace(text, r"[\x00-\x7f]+", " ").rlike(_unstable())
     return F.coalesce(unstable | (F.contains(text, F.lit("&")) & text.rlike(_OTHER_ENTITY)), F.lit(False))
 
 
@@ -160,7 +170,11 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", python_r
     if not python_rows:
         return df.withColumn(out, tokenize_plain(text_column))
     odd = F.when(needs_python(text_column), text_column)
-    return df.withColumn("__odd", _udf()(odd)).withColumn(out, F.when(F.col("__odd").isNull(), tokenize_plain(text_column)).otherwise(F.col("__odd"))).drop("__odd")
+    given = "by_python"
+    while given.lower() in {c.lower() for c in df.columns}:
+        given += "_"
+    tokens = F.when(F.col(given).isNull(), tokenize_plain(text_column)).otherwise(F.col(given))
+    return df.withColumn(given, _udf()(odd)).withColumn(out, tokens).drop(given)
 
 
 def normalize_phrase(phrase: str | None) -> str:

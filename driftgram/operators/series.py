@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import dates, formatting
 
 MAX_ORDER = 5
-#: Totals are broadcast up to this many rows; beyond it Spark chooses the join.
-BROADCAST_TOTALS = 1_000_000
 
 
 def _selected(counts: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date) -> DataFrame:

@@ -26,16 +26,21 @@ def month_path(root: str, month: dt.date) -> str:
     return f"{root.rstrip('/')}/{month:%Y}/{month:%Y-%m}.parquet"
 
 
+def month_paths(months: DataFrame, root: str) -> DataFrame:
+    """(month, path) of (month date), by the files' naming."""
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.date_format("month", "yyyy/yyyy-MM"), F.lit(".parquet"))
+    return months.select("month", path.alias("path"))
+
+
 def existing_months(spark: SparkSession, root: str, start: str, end: str) -> list[str]:
     """Paths of the months from ``start`` to ``end`` that exist; missing months are left out."""
-    months = [r["month"] for r in dates.month_range(spark, start, end).orderBy("month").collect()]
     path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
-    for path in (month_path(root, m) for m in months):
-        at = path_class(path)
+    for r in month_paths(dates.month_range(spark, start, end), root).orderBy("month").collect():
+        at = path_class(r["path"])
         if at.getFileSystem(conf).exists(at):
-            out.append(path)
+            out.append(r["path"])
     return out
 
 
@@ -58,13 +63,20 @@ def read_items(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 def comments(items: DataFrame, after_ms: int = 0, granularity: str = "daily") -> DataFrame:
     """(bucket, text, ts_ms) of live comments with text, later than the watermark (in milliseconds).
 
-    A null flag drops the row, as it makes the condition null.
+    A null flag drops the row, as it makes the condition null. Rows whose time has no date are dropped.
     """
-    ts = F.col("time").cast("timestamp")
-    ms = F.unix_millis(ts)
-    rows = items.where(f"type = {COMMENT} AND deleted = 0 AND dead = 0 AND text IS NOT NULL AND text <> '' AND time IS NOT NULL")
-    rows = rows.select(dates.stored_bucket(ts, granularity).alias("bucket"), "text", ms.alias("ts_ms"))
-    return rows.where((F.col("ts_ms") > after_ms) & F.col("bucket").isNotNull())
+    ms = dates.utc_millis(F.col("time"), dict(items.dtypes)["time"] == "timestamp_ntz")
+    rows = live(items).select(dates.bucket_of_millis(ms, granularity).alias("bucket"), "text", ms.alias("ts_ms"))
+    return later(rows, after_ms).where(F.col("bucket").isNotNull())
+
+
+def live(items: DataFrame) -> DataFrame:
+    return items.where(f"type = {COMMENT} AND deleted = 0 AND dead = 0 AND text IS NOT NULL AND text <> '' AND time IS NOT NULL")
+
+
+def later(rows: DataFrame, after_ms: int) -> DataFrame:
+    """Rows (ts_ms) strictly later than the watermark."""
+    return rows.where(F.col("ts_ms") > after_ms)
 
 
 def not_done(paths: DataFrame, done: DataFrame) -> DataFrame:

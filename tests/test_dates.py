@@ -14,6 +14,23 @@ def test_stored_buckets(spark, ms, days):
     assert tuple(spark.range(1).select(*(dates.stored_bucket(ts, g).alias(g) for g in dates.STORED)).first()) == days
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_buckets_are_utc_in_any_session_zone(spark, zone):
+    moments = [(0, D(1970, 1, 1)), (1_705_284_000_000, D(2024, 1, 15)), (1_705_363_199_999, D(2024, 1, 15)), (1_710_054_000_123, D(2024, 3, 10)), (1_699_164_000_000, D(2023, 11, 5)), (-1, D(1969, 12, 31))]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([(ms,) for ms, _ in moments], "ms long").select("ms", F.timestamp_millis("ms").alias("ts"))
+        plain = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, ms / 1000.0)"
+        rows = rows.withColumn("ntz", F.expr(plain))
+        got = rows.select(
+            "ms", dates.stored_bucket(F.col("ts")).alias("a"), dates.bucket_of_millis(dates.utc_millis(F.col("ntz"), True)).alias("b"), dates.utc_millis(F.col("ntz"), True).alias("m"), dates.ms_to_date(F.col("ms")).alias("c")
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r["a"], r["b"], r["c"], r["m"]) for r in got] == [(day, day, day, ms) for ms, day in moments]
+    assert spark.range(1).select(dates.bucket_of_millis(F.lit(2**62))).first()[0] is None
+
+
 def test_weeks_begin_on_sunday(spark):
     days = [D(2024, 3, 1), D(2024, 3, 3), D(2023, 12, 31), D(2024, 1, 6)]
     rows = spark.createDataFrame([(d,) for d in days], "d date").select(dates.query_bucket(F.col("d"), "week").alias("w")).collect()

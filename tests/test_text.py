@@ -1,6 +1,7 @@
 """Tokenizer: known cases, and column expressions against the Python model on random texts."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,31 @@ def test_random_texts_agree(spark):
     assert {r["odd"] for r in out} == {True, False}
 
 
+STABLE = ["Привет, мир", "Καλημέρα κόσμε", "日本語の文章、漢字かな", "한국어 문장", "مرحبا بالعالم", "שלום עולם", "हिन्दी में पाठ", "ไทย", "naïve café Straße", "😀 emoji ok", "Ελλάδα GPT-4 и C++"]
+UNSTABLE = ["ﬁne", "ｆｕｌｌ", "cafe\u0301", "x²", "한\u11a8", "か\u3099", "a\u0301\u0316", "Å (\u212b)"]
+
+
+def test_only_what_nfkc_may_change_leaves_the_jvm(spark):
+    rows = spark.createDataFrame([(t,) for t in STABLE + UNSTABLE], "text string")
+    got = text.with_tokens(rows).select("text", "tokens", text.needs_python(F.col("text")).alias("odd")).collect()
+    assert [r["odd"] for r in got] == [False] * len(STABLE) + [True] * len(UNSTABLE)
+    assert all(r["tokens"] == text.tokenize_text(r["text"]) for r in got)
+
+
+def test_random_texts_of_all_scripts_agree(spark):
+    """Whatever isn't called odd is the same after NFKC."""
+    rng = random.Random(11)
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x600), (0x600, 0x700), (0x900, 0xE80), (0x1100, 0x1200), (0x1E00, 0x2000), (0x2000, 0x2200), (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0xF900, 0xFB50), (0xFF00, 0xFFF0), (0x1D400, 0x1D500)]
+    rows = []
+    for _ in range(6000):
+        some = rng.sample(blocks, 2)
+        rows.append(("".join(chr(rng.randrange(*rng.choice(some))) for _ in range(rng.randint(1, 6))),))
+    out = spark.createDataFrame(rows, "text string").select("text", text.needs_python(F.col("text")).alias("odd"), text.tokenize_plain(F.col("text")).alias("plain")).where("NOT odd").collect()
+    assert 500 < len(out) < 6000
+    for r in out:
+        assert unicodedata.normalize("NFKC", r["text"]) == r["text"] and r["plain"] == text.tokenize_text(r["text"])
+
+
 def test_plain_path_has_no_python(spark):
     plan = text.with_tokens(spark.createDataFrame([("a",)], "text string"), python_rows=False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
