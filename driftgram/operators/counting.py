@@ -40,6 +40,11 @@ def bucket_totals(texts: DataFrame, max_n: int = 3) -> DataFrame:
     return sums.select("bucket", each.alias("x")).select("bucket", "x.n", F.col("x.t").alias("total_count")).where("total_count > 0")
 
 
+def totals_of_counts(counts: DataFrame) -> DataFrame:
+    """The same denominators from counts of which none has been pruned."""
+    return counts.groupBy("bucket", "n").agg(F.sum("count").alias("total_count"))
+
+
 def global_counts(counts: DataFrame) -> DataFrame:
     """(n, ngram, count) over all buckets."""
     return counts.groupBy("n", "ngram").agg(F.sum("count").alias("count"))

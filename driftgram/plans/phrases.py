@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import logging
+import threading
 import time
 from collections import OrderedDict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import Future
 from urllib.parse import parse_qs, quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.text import TOKENIZER_VERSION, tokenize_text
+from ..functions.text import TOKENIZER_VERSION, tokenize_text, with_tokens
 from ..operators import ranking, series
 from ..sources.config import LAUNCH
 from ..sources.store import Store
@@ -58,23 +62,62 @@ def request_range(phrase: str | None, start: str | None, end: str | None, granul
 
 
 class PhraseQueries:
-    """Answers phrase queries over a store. Answers are kept for ``ttl`` seconds, up to ``entries`` of them."""
+    """Answers phrase queries over a store. Answers are kept for ``ttl`` seconds, up to ``entries`` of them; equal
+    requests at the same time are answered once. A newly published version is noticed by itself."""
 
     def __init__(self, store: Store, denominator: str = "matched", entries: int = 500, ttl: float = 3600.0):
         self.store, self.denominator, self.entries, self.ttl = store, denominator, entries, ttl
         self._kept: OrderedDict[tuple, tuple[float, dict]] = OrderedDict()
+        self._flying: dict[tuple, Future] = {}
+        self._lock = threading.Lock()
         self._tables: dict[str, DataFrame] = {}
+        self._version: str | None = None
+
+    def _follow(self) -> None:
+        version = self.store.current()
+        if version != self._version:
+            self.refresh()
+            self._version = version
 
     def _table(self, name: str) -> DataFrame:
+        self._follow()
         if name not in self._tables:
             self._tables[name] = self.store.read(name)
         return self._tables[name]
 
     def refresh(self) -> None:
-        """Forgets what was read, after a new version has been published."""
-        self._kept.clear()
+        """Forgets what was read, for batches that were added to the version."""
+        with self._lock:
+            self._kept.clear()
         self._tables.clear()
 
+    def _once(self, key: tuple, answer: Callable[[], dict]) -> dict:
+        """The kept answer, that of a request under way, or a new one."""
+        with self._lock:
+            kept = self._kept.get(key)
+            if kept and time.monotonic() - kept[0] <= self.ttl:
+                return kept[1]
+            flying = self._flying.get(key)
+            mine = flying is None
+            if mine:
+                flying = self._flying[key] = Future()
+        if not mine:
+            return flying.result()
+        try:
+            body = answer()
+            with self._lock:
+                self._kept[key] = (time.monotonic(), body)
+                while len(self._kept) > self.entries:
+                    self._kept.popitem(last=False)
+            flying.set_result(body)
+            return body
+        except BaseException as e:
+            flying.set_exception(e)
+            raise
+        finally:
+            with self._lock:
+                self._flying.pop(key, None)
+
     def series(self, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str) -> DataFrame:
         """(ngram, t, v, count, total), sparse."""
         counts, totals = self._table("ngram_counts"), self._table("bucket_totals")
@@ -85,12 +128,15 @@ class PhraseQueries:
     def _status(self, n: int, ngram: str, any_point: bool) -> str:
         if n == 1 or any_point:
             return "indexed"
-        found = self._table("ngram_vocabulary").where((F.col("n") == n) & (F.col("ngram") == ngram))
-        return "not_indexed" if found.isEmpty() else "indexed"
+        return "indexed" if self.in_vocabulary(n, ngram) else "not_indexed"
+
+    def in_vocabulary(self, n: int, ngram: str) -> bool:
+        return not self._table("ngram_vocabulary").where((F.col("n") == n) & (F.col("ngram") == ngram)).isEmpty()
 
     def global_count(self, n: int, ngram: str) -> int:
+        """The corpus total; 0 where there is none or it is below the store's export floor."""
         row = self._table("global_counts").where((F.col("n") == n) & (F.col("ngram") == ngram)).select("count").first()
-        return row[0] if row else 0
+        return row[0] if row and row[0] >= self.store.export_floor() else 0
 
     def phrase(self, phrase: str | None, start: str | None = None, end: str | None = None, granularity: str | None = None) -> dict:
         """One phrase's response, as a dict ready for JSON."""
@@ -100,16 +146,24 @@ class PhraseQueries:
         meta = {"tokenizer_version": TOKENIZER_VERSION, "start": first.isoformat(), "end": last.isoformat(), "granularity": grain}
         if not 1 <= len(tokens) <= series.MAX_ORDER:
             return {"phrase": phrase, "normalized": normal, "status": "invalid", "points": [], "global_count": 0, "meta": meta}
-        key = (len(tokens), normal, first, last, grain)
-        kept = self._kept.get(key)
-        if kept is None or time.monotonic() - kept[0] > self.ttl:
+        self._follow()
+
+        def answer() -> dict:
             rows = self.series(len(tokens), [normal], first, last, grain).orderBy("t").collect()  # a row a bucket
             points = [{"t": r["t"].isoformat(), "v": r["v"], "count": r["count"], "total": r["total"]} for r in rows]
-            body = {"normalized": normal, "status": self._status(len(tokens), normal, bool(points)), "points": points, "global_count": self.global_count(len(tokens), normal), "meta": meta}
-            kept = self._kept[key] = (time.monotonic(), body)
-            while len(self._kept) > self.entries:
-                self._kept.popitem(last=False)
-        return {"phrase": phrase, **kept[1]}
+            return {"normalized": normal, "status": self._status(len(tokens), normal, bool(points)), "points": points, "global_count": self.global_count(len(tokens), normal), "meta": meta}
+
+        return {"phrase": phrase, **self._once((len(tokens), normal, first, last, grain), answer)}
+
+    def respond(self, phrase: str | None, start: str | None = None, end: str | None = None, granularity: str | None = None) -> tuple[int, str]:
+        """Status and JSON body: the response, or the error's envelope."""
+        try:
+            return 200, json.dumps(self.phrase(phrase, start, end, granularity), ensure_ascii=False)
+        except RequestError as e:
+            return 400, json.dumps(e.envelope(), ensure_ascii=False)
+        except Exception:  # what failed behind the request is logged, not shown
+            logging.getLogger(__name__).exception("phrase query failed")
+            return 500, json.dumps(RequestError("INTERNAL_ERROR", "The query could not be answered").envelope())
 
     def compare(self, phrases: list[str], start: dt.date, end: dt.date, granularity: str, smoothing: int = 0, log: bool = False) -> DataFrame:
         """Up to 10 phrases as one dense chart table: one scan for each order among them."""
@@ -164,6 +218,15 @@ def checked_feedback(phrases: list[str], granularity: str, start: str, smoothing
     return {"tokenizer_version": TOKENIZER_VERSION, "phrases": kept, "granularity": grain, "start_date": day, "smoothing": smoothing, "user_agent": agent, "created_at": dt.datetime.now(dt.UTC).replace(tzinfo=None)}
 
 
+def statuses(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(phrase, normalized, n, status) of many phrases at once, from (phrase): invalid without 1 to 5 tokens; a single
+    token is always indexed, a longer phrase if it is in the vocabulary."""
+    tokens = with_tokens(asked.select("phrase"), "phrase").select("phrase", F.array_join("tokens", " ").alias("normalized"), F.size("tokens").alias("n"))
+    known = vocabulary.select(F.col("n").cast("int").alias("n"), F.col("ngram").alias("normalized")).distinct().withColumn("found", F.lit(True))
+    status = F.when(~F.col("n").between(1, series.MAX_ORDER), "invalid").when((F.col("n") == 1) | F.col("found"), "indexed").otherwise("not_indexed")
+    return tokens.join(known, ["n", "normalized"], "left").select("phrase", "normalized", "n", status.alias("status"))
+
+
 def state_from_url(query: str) -> dict:
     """Chart state from a URL's query string; what is missing or unknown takes its default."""
     got = {k: v[0] for k, v in parse_qs(query.lstrip("?")).items()}

@@ -1,35 +1,49 @@
-"""A full rebuild: comments to the four published tables, in one lazily planned graph."""
+"""A full rebuild: comments to the four published tables.
+
+Each source file is tokenized and counted once, and its unpruned counts are written to the store's
+partial folder; everything else follows from those counts. A build that was broken off goes on with
+the files it hadn't finished.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import time
+from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import with_tokens
+from ..functions.text import TOKENIZER_VERSION, with_tokens
 from ..operators import counting, pruning
 from ..sources import items
 from ..sources.config import BuildConfig
 from ..sources.store import Store
 
+_PARTIAL = "bucket date, n tinyint, ngram string, count bigint"
+
 
 def tables(comments: DataFrame, config: BuildConfig, admitted_at: dt.datetime | None = None) -> dict[str, DataFrame]:
-    """The tables from (bucket, text). Denominators come from token numbers and are never pruned."""
-    texts = with_tokens(comments).select("bucket", "tokens").persist()
-    counts = counting.ngram_counts(texts, config.max_n).persist()
-    return tables_of_counts(counts, counting.bucket_totals(texts, config.max_n), config, admitted_at)
+    """The tables from (bucket, text). Denominators are never pruned."""
+    return tables_of_counts(counting.ngram_counts(with_tokens(comments).select("bucket", "tokens"), config.max_n), config, admitted_at)
+
 
+def tables_of_counts(
+    parts: DataFrame, config: BuildConfig, admitted_at: dt.datetime | None = None, stored: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows
+) -> dict[str, DataFrame]:
+    """The tables from unpruned (bucket, n, ngram, count), of which a key may have several rows.
 
-def tables_of_counts(counts: DataFrame, totals: DataFrame, config: BuildConfig, admitted_at: dt.datetime | None = None) -> dict[str, DataFrame]:
-    overall = counting.global_counts(counts).persist()
+    Corpus totals are kept whole, for runs that continue from them; the export floor holds when
+    they are shown. ``stored`` may write what several tables are made of and read it again.
+    """
+    overall = stored("overall", counting.global_counts(parts))
     admitted = pruning.vocabulary(overall, config.pruning)
     at = admitted_at or dt.datetime.now(dt.UTC).replace(tzinfo=None, microsecond=0)
     return {
-        "ngram_counts": pruning.filtered_counts(counts, admitted, config.pruning),
-        "bucket_totals": totals,
-        "global_counts": pruning.exported_globals(overall, config.pruning),
+        "ngram_counts": pruning.filtered_counts(counting.merged(parts), admitted, config.pruning),
+        "bucket_totals": counting.totals_of_counts(parts),
+        "global_counts": overall,
         "ngram_vocabulary": pruning.exported_vocabulary(overall, admitted, config.pruning).withColumn("admitted_at", F.lit(at)),
     }
 
@@ -41,11 +55,22 @@ def rebuild(spark: SparkSession, source: str, store: Store, config: BuildConfig)
     paths = items.existing_months(spark, source, config.start, end)
     if not paths:
         raise FileNotFoundError(f"no month from {config.start} to {end} below {source}")
-    rows = items.comments(items.read_items(spark, paths), 0, config.bucket_granularity)
-    newest, number = rows.agg(F.max("ts_ms"), F.count("*")).first()
-    made = tables(rows, config)
+    name = {path: path.rsplit("/", 1)[-1].removesuffix(".parquet") for path in paths}
+    build = sha256(f"{TOKENIZER_VERSION}|{source}|{config.max_n}|{config.bucket_granularity}".encode()).hexdigest()[:16]
+    done = spark.createDataFrame([(p,) for p in paths if name[p] in store.finished_parts(build)], "path string")
+    for r in items.not_done(spark.createDataFrame([(p,) for p in paths], "path string"), done).orderBy("path").collect():
+        rows = items.comments(items.read_items(spark, [r["path"]]), 0, config.bucket_granularity).select("bucket", "text")
+        counts = counting.ngram_counts(with_tokens(rows).select("bucket", "tokens"), config.max_n)
+        counts.write.mode("overwrite").option("compression", "zstd").parquet(store.partial_path(build, name[r["path"]]))
+    parts = spark.read.schema(_PARTIAL).parquet(*(store.partial_path(build, n) for n in name.values()))
+
+    def stored(table: str, rows: DataFrame) -> DataFrame:
+        path = store.partial_path(build, table)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    newest, number = items.comments(items.read_items(spark, paths)).agg(F.max("ts_ms"), F.count("*")).first()
     log = {"command": "rebuild", "last_ingested_ts": newest or 0, "comments_processed": number, "start_month": config.start, "end_month": end}
-    try:
-        return store.publish(made, log | {"duration_ms": int((time.monotonic() - began) * 1000)})
-    finally:
-        spark.catalog.clearCache()
+    version = store.publish(tables_of_counts(parts, config, stored=stored), log | {"duration_ms": int((time.monotonic() - began) * 1000)}, config.pruning.export_floor)
+    store.drop_parts(build)
+    return version

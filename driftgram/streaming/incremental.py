@@ -10,28 +10,33 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import ngrams
+from ..functions import dates, ngrams
 from ..functions.text import with_tokens
 from ..operators import counting, pruning, ranking
 from ..sources import items
 from ..sources.config import BuildConfig
-from ..sources.store import Store
+from ..sources.store import BatchConflict, Store
 
 
 def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildConfig, command: str = "process", log: dict | None = None) -> bool:
-    """Adds (bucket, text, ts_ms) as one batch. Repeating a batch id that is in the log changes nothing."""
+    """Adds (bucket, text, ts_ms) as one batch. Repeating a batch changes nothing, for its rows aren't later
+    than the watermark; new rows under an id that is in the log are an error."""
     store.check_version()
     began = time.monotonic()
-    rows = rows.where(F.col("ts_ms") > store.watermark()).persist()
+    rows = items.later(rows, store.watermark()).persist()
     newest, number = rows.agg(F.max("ts_ms"), F.count("*")).first()
     if not number:
         rows.unpersist()
         return False
+    if batch_id in store._batches():
+        rows.unpersist()
+        raise BatchConflict(f"batch {batch_id!r} is in the log, and {number} new rows came under its id")
     texts = with_tokens(rows).select("bucket", "tokens").persist()
     counts = counting.ngram_counts(texts, config.max_n).persist()
     # only n-grams of this batch can change their total or be newly admitted
@@ -70,11 +75,28 @@ def process_months(spark: SparkSession, source: str, store: Store, config: Build
     return done
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a stream, which its checkpoint folder keeps: another folder is another stream."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/driftgram-stream")
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        stream = fs.create(path, False)
+        stream.write(bytearray(uuid.uuid4().hex.encode()))
+        stream.close()
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def stream(spark: SparkSession, source: str, schema: str, store: Store, config: BuildConfig, checkpoint: str, files_per_trigger: int = 16, available_now: bool = True) -> StreamingQuery:
     """Follows a folder of item files; each micro-batch is one idempotent batch of the fold."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     rows = items.comments(raw.select(*items.USED), 0, config.bucket_granularity)
-    writer = rows.writeStream.foreachBatch(lambda batch, number: process_batch(store, batch, f"stream-{number}", config, "stream") and None).option("checkpointLocation", checkpoint)
+    own = stream_id(spark, checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda batch, number: process_batch(store, batch, f"stream-{own}-{number}", config, "stream") and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -85,7 +107,7 @@ def windowed_counts(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     """
     counted = with_tokens(rows.withWatermark("ts", lateness))
     days = counted.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("comments"), F.sum(F.size("tokens")).alias("tokens"))
-    return days.select(F.to_date("window.start").alias("day"), "comments", "tokens")
+    return days.select(dates.stored_bucket(F.col("window.start")).alias("day"), "comments", "tokens")
 
 
 def replay(texts: DataFrame, config: BuildConfig) -> DataFrame:

@@ -1,6 +1,9 @@
 """Source, store, rebuild, incremental runs and phrase queries, end to end on a small corpus."""
 
 import datetime as dt
+import json
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from driftgram.operators.pruning import Pruning, Threshold
 from driftgram.plans import phrases
 from driftgram.plans.rebuild import rebuild
 from driftgram.sources import config, items
-from driftgram.sources.store import Store, VersionMismatch, write_tsv
+from driftgram.sources.store import BatchConflict, Store, VersionMismatch, write_tsv
 from driftgram.streaming import incremental
 
 ALL = Pruning({n: Threshold(0, 1) for n in (1, 2, 3)})
@@ -125,13 +128,124 @@ def test_incremental_equals_rebuild_and_repeats_do_nothing(spark, source, built,
     overall = {r["ngram"]: r["count"] for r in store.read("global_counts").collect()}
     assert overall["red"] == 3 and overall["red apples"] == 3 and store.read("global_counts").count() == len(overall)
     spark.sql("SELECT 1")
-    store._append_log({"tokenizer_version": "0"})
+    store._append_log({"tokenizer_version": "0"}, store.current())
     with pytest.raises(VersionMismatch):
         store.check_version()
     store.reset()
     assert store.current() is None and store.read("ngram_counts").count() == 0 and store.watermark() == 0
 
 
+def test_batch_after_rebuild_continues_its_totals(spark, source, tmp_path):
+    """N-grams below the export floor go on from their totals, and are shown from the floor on."""
+    store = Store(spark, f"{tmp_path}/s")
+    pruning = Pruning({1: Threshold(0, 1), 2: Threshold(3, 1)})
+    build = config.BuildConfig(start="2024-01", end="2024-01", max_n=2, pruning=pruning)
+    rebuild(spark, source, store, build)
+    queries = phrases.PhraseQueries(store)
+    assert queries.global_count(2, "red apples") == 0 and queries.global_count(1, "red") == 0  # 2 occurrences; the floor is 3
+    march = items.comments(items.read_items(spark, [f"{source}/2024/2024-03.parquet"]))
+    assert incremental.process_batch(store, march, "march", build)
+    queries.refresh()
+    assert queries.global_count(2, "red apples") == 3 and queries.in_vocabulary(2, "red apples")
+    assert [(str(r["bucket"]), r["count"]) for r in store.read("ngram_counts").where("ngram = 'red apples'").collect()] == [("2024-03-02", 1)]
+
+
+def test_two_streams_feed_one_store(spark, source, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    more = [item(1, "green plums", "2024-05-01T00:00:00"), item(2, "green plums", "2024-05-02T00:00:00")]
+    spark.createDataFrame(more, SCHEMA).write.parquet(f"{tmp_path}/other/2024-05.parquet")
+    incremental.stream(spark, f"{source}/2024/*", SCHEMA, store, BUILD, f"{tmp_path}/c1").awaitTermination()
+    incremental.stream(spark, f"{tmp_path}/other/*", SCHEMA, store, BUILD, f"{tmp_path}/c2").awaitTermination()
+    counted = {r["ngram"]: r["count"] for r in store.read("global_counts").collect()}
+    assert counted["green plums"] == 2 and counted["red apples"] == 3
+    assert incremental.stream_id(spark, f"{tmp_path}/c1") != incremental.stream_id(spark, f"{tmp_path}/c2") == incremental.stream_id(spark, f"{tmp_path}/c2")
+    rows = spark.createDataFrame([(dt.date(2024, 6, 1), "new rows", 1_717_200_000_000)], "bucket date, text string, ts_ms long")
+    with pytest.raises(BatchConflict):
+        incremental.process_batch(store, rows, f"stream-{incremental.stream_id(spark, f'{tmp_path}/c2')}-0", BUILD)
+
+
+def test_publication_survives_a_crash(spark, source, tmp_path, monkeypatch):
+    """Wherever a publication breaks off, readers have tables, log and watermark of one version."""
+    store = Store(spark, f"{tmp_path}/s")
+    january = config.BuildConfig(start="2024-01", end="2024-01", pruning=ALL)
+    rebuild(spark, source, store, january)
+    mark, version = store.watermark(), store.current()
+    for broken in ("_point_to", "_append_log", "_write"):
+        with monkeypatch.context() as m, pytest.raises(OSError):
+            m.setattr(Store, broken, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            rebuild(spark, source, store, BUILD)
+        assert (store.watermark(), store.current()) == (mark, version) and store.read("ngram_counts").where("bucket > DATE '2024-02-01'").isEmpty()
+    with monkeypatch.context() as m, pytest.raises(OSError):  # after the pointer has moved
+        m.setattr(Store, "_remove", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        (tmp_path / "s" / "v-stray").mkdir()
+        rebuild(spark, source, store, BUILD)
+    assert store.current() != version and store.watermark() == int(dt.datetime(2024, 3, 2, 8, tzinfo=dt.UTC).timestamp() * 1000)
+    assert incremental.process_months(spark, source, store, BUILD) == []  # nothing is counted twice
+
+
+def test_readers_live_through_a_publication(spark, source, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    rebuild(spark, source, store, BUILD)
+    queries, running = phrases.PhraseQueries(store), store.read("ngram_counts")
+    before = queries.phrase("red apples", "2024-01-01", "2024-03-31")
+    rebuild(spark, source, store, config.BuildConfig(start="2024-01", end="2024-01", pruning=ALL))
+    assert running.count() > 0
+    after = queries.phrase("red apples", "2024-01-01", "2024-03-31")
+    assert len(before["points"]) == 2 and len(after["points"]) == 1
+    rebuild(spark, source, store, BUILD)
+    assert len([f for f in store._folders() if f.startswith("v-")]) == 2
+
+
+def test_broken_off_builds_go_on(spark, source, tmp_path, monkeypatch):
+    store = Store(spark, f"{tmp_path}/s")
+    read, seen = items.read_items, []
+
+    def reading(spark, paths):
+        paths = list(paths)
+        seen.append(paths[0][-15:-8])
+        if len(seen) == 2:
+            raise OSError("lost")
+        return read(spark, paths)
+
+    monkeypatch.setattr(items, "read_items", reading)
+    with pytest.raises(OSError):
+        rebuild(spark, source, store, BUILD)
+    rebuild(spark, source, store, BUILD)
+    assert seen[:3] == ["2024-01", "2024-03", "2024-03"] and not store._folders("partial")
+    assert store.read("global_counts").where("ngram = 'red apples'").first()["count"] == 3
+
+
+def test_compaction(spark, source, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.compact() is None
+    incremental.process_months(spark, source, store, BUILD)
+    shown = {t: {tuple(r) for r in store.read(t).collect()} for t in ("ngram_counts", "bucket_totals", "global_counts", "ngram_vocabulary")}
+    mark = store.watermark()
+    version = store.compact()
+    assert store.current() == version and store._batches() == [] and store.watermark() == mark
+    assert {t: {tuple(r) for r in store.read(t).collect()} for t in shown} == shown
+    assert store.latest_log()["command"] == "compact" and store.log().count() == 3
+    rows = spark.createDataFrame([(dt.date(2024, 1, 5), "red apples", 1_717_200_000_000)], "bucket date, text string, ts_ms long")
+    assert incremental.process_batch(store, rows, "late", BUILD)
+    store.compact()
+    assert store.read("ngram_counts").where("ngram = 'red apples' AND bucket = DATE '2024-01-05'").collect()[0]["count"] == 3
+    assert len(spark.read.parquet(f"{tmp_path}/{store.current()}/ngram_counts").inputFiles()) > 0
+
+
+def test_equal_requests_are_answered_once(built, monkeypatch):
+    queries, calls = phrases.PhraseQueries(built), []
+    series = queries.series
+    monkeypatch.setattr(queries, "series", lambda *a: (calls.append(a), time.sleep(0.5), series(*a))[2])
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda p: queries.phrase(p, "2024-01-01", "2024-03-31"), ["red apples", "RED apples", "red, apples"] * 2))
+    assert len(calls) == 1 and {len(g["points"]) for g in got} == {2} and {g["phrase"] for g in got} == {"red apples", "RED apples", "red, apples"}
+    monkeypatch.setattr(queries, "series", lambda *a: (_ for _ in ()).throw(OSError("down")))
+    status, body = queries.respond("other words")
+    assert status == 500 and json.loads(body)["error"]["code"] == "INTERNAL_ERROR" and "down" not in body
+    monkeypatch.undo()
+    assert json.loads(queries.respond("other words")[1])["status"] == "not_indexed" and queries.respond(None)[0] == 400
+
+
 def test_stream_follows_files(spark, source, built, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
     for _ in range(2):  # the second run finds nothing new
