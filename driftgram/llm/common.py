@@ -48,6 +48,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """Like :func:`checkpointed`, but as a compressed table; its path is for :func:`removed`."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
