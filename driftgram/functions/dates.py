@@ -30,7 +30,7 @@ def utc_millis(ts: Column, without_zone: bool = False) -> Column:
         return F.unix_millis(ts)
     days = F.unix_date(ts.cast("date")).cast("long")
     minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("long")
-    return days * _DAY_MS + minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+    return days * _DAY_MS + minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 def bucket_of_millis(ms: Column, granularity: str = "daily") -> Column:

@@ -120,10 +120,7 @@ class PhraseQueries:
 
     def series(self, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str) -> DataFrame:
         """(ngram, t, v, count, total), sparse."""
-        counts, totals = self._table("ngram_counts"), self._table("bucket_totals")
-        if granularity == "day":
-            return series.points(series.stored_series(counts, totals, n, ngrams, start, end))
-        return series.points(series.rebucketed_series(counts, totals, n, ngrams, start, end, granularity, self.denominator))
+        return sparse_series(self._table("ngram_counts"), self._table("bucket_totals"), n, ngrams, start, end, granularity, self.denominator)
 
     def _status(self, n: int, ngram: str, any_point: bool) -> str:
         if n == 1 or any_point:
@@ -165,20 +162,9 @@ class PhraseQueries:
             logging.getLogger(__name__).exception("phrase query failed")
             return 500, json.dumps(RequestError("INTERNAL_ERROR", "The query could not be answered").envelope())
 
-    def compare(self, phrases: list[str], start: dt.date, end: dt.date, granularity: str, smoothing: int = 0, log: bool = False) -> DataFrame:
-        """Up to 10 phrases as one dense chart table: one scan for each order among them."""
-        by_order: dict[int, list[str]] = {}
-        for tokens in map(tokenize_text, phrases[:MAX_PHRASES]):
-            if 1 <= len(tokens) <= series.MAX_ORDER:
-                by_order.setdefault(len(tokens), []).append(" ".join(tokens))
-        if not by_order:
-            raise RequestError("MISSING_PHRASE", "no phrase has 1 to 5 words")
-        rows = None
-        for n, ngrams in sorted(by_order.items()):
-            part = self.series(n, ngrams, start, end, granularity)
-            rows = part if rows is None else rows.unionByName(part)
-        dense = series.zero_filled(rows, start, end, granularity)
-        return series.chart(series.smoothed(dense, smoothing), log)
+    def compare(self, asked: list[str], start: dt.date, end: dt.date, granularity: str, smoothing: int = 0, log: bool = False) -> DataFrame:
+        counts, totals = self._table("ngram_counts"), self._table("bucket_totals")
+        return compared(counts, totals, asked, start, end, granularity, self.denominator, smoothing, log)
 
     def vocabulary_check(self, asked: list[tuple[int, str]]) -> list[bool]:
         if not asked:
@@ -218,6 +204,30 @@ def checked_feedback(phrases: list[str], granularity: str, start: str, smoothing
     return {"tokenizer_version": TOKENIZER_VERSION, "phrases": kept, "granularity": grain, "start_date": day, "smoothing": smoothing, "user_agent": agent, "created_at": dt.datetime.now(dt.UTC).replace(tzinfo=None)}
 
 
+def sparse_series(counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched") -> DataFrame:
+    if granularity == "day":
+        return series.points(series.stored_series(counts, totals, n, ngrams, start, end))
+    return series.points(series.rebucketed_series(counts, totals, n, ngrams, start, end, granularity, denominator))
+
+
+def compared(
+    counts: DataFrame, totals: DataFrame, asked: list[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched", smoothing: int = 0, log: bool = False
+) -> DataFrame:
+    """The first 10 phrases as one dense chart table: one scan for each order among them."""
+    by_order: dict[int, list[str]] = {}
+    for tokens in map(tokenize_text, asked[:MAX_PHRASES]):
+        if 1 <= len(tokens) <= series.MAX_ORDER:
+            by_order.setdefault(len(tokens), []).append(" ".join(tokens))
+    if not by_order:
+        raise RequestError("MISSING_PHRASE", "no phrase has 1 to 5 words")
+    rows = None
+    for n, ngrams in sorted(by_order.items()):
+        part = sparse_series(counts, totals, n, ngrams, start, end, granularity, denominator)
+        rows = part if rows is None else rows.unionByName(part)
+    dense = series.zero_filled(rows, start, end, granularity)
+    return series.chart(series.smoothed(dense, smoothing), log)
+
+
 def statuses(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(phrase, normalized, n, status) of many phrases at once, from (phrase): invalid without 1 to 5 tokens; a single
     token is always indexed, a longer phrase if it is in the vocabulary."""

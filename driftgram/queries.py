@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from . import corpora
 from .functions import dates, formatting, ngrams
-from .functions.text import tokenize_text, with_tokens
+from .functions.text import with_tokens
 from .operators import counting, pruning, ranking, series
 from .operators.pruning import Pruning, Threshold
-from .plans import rebuild
+from .plans import phrases, rebuild
 from .plans.phrases import PhraseQueries
-from .streaming import incremental
+from .sources import items
 from .sources.config import BuildConfig
 from .sources.store import Store
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,10 +127,9 @@ for _n in (1, 2, 3):
     _order(_n)
 
 
-@query("ngram_orders_1_5", _with(_DOCS, _sql_grams([1, 2, 3, 4, 5])) + "SELECT n, ngram, count(*)::BIGINT AS count FROM grams GROUP BY ALL HAVING count(*) > 1")
+@query("ngram_orders_1_5", _with(_DOCS, _sql_grams([1, 2, 3, 4, 5])) + "SELECT n, ngram, count(*)::BIGINT AS count FROM grams GROUP BY ALL")
 def ngram_orders_1_5(spark, sf_dir):
-    counted = ngrams.exploded(_documents(spark, sf_dir), ngrams.all_orders(F.col("tokens"), 5), "g").groupBy("g.n", "g.ngram").agg(F.count("*").alias("count"))
-    return counted.where("count > 1")
+    return ngrams.exploded(_documents(spark, sf_dir), ngrams.all_orders(F.col("tokens"), 5), "g").groupBy("g.n", "g.ngram").agg(F.count("*").alias("count"))
 
 
 @query("bucket_totals", _with(_DOCS, _sql_grams([1, 2, 3]), _TOTALS) + "SELECT strftime(bucket, '%Y-%m-%d') AS bucket, n, total_count FROM totals")
@@ -150,8 +150,8 @@ _PRUNED = (_DOCS, _sql_grams([1, 2, 3]), _COUNTS, _GLOBALS, _VOCABULARY)
 
 
 def _pruned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts (kept in memory or on disk, for they are used twice), corpus totals, vocabulary."""
-    counts = counting.ngram_counts(_documents(spark, sf_dir), 3).persist()
+    """Counts, corpus totals, vocabulary. The counts' shuffle is the same in all plans made of them, so Spark runs it once."""
+    counts = counting.ngram_counts(_documents(spark, sf_dir), 3)
     overall = counting.global_counts(counts)
     return counts, overall, pruning.vocabulary(overall, PRUNING)
 
@@ -187,8 +187,8 @@ def exported_vocabulary(spark, sf_dir):
 @query("rows_by_order", _with(*_PRUNED) + "SELECT g.n, count(*)::BIGINT AS candidates, count(v.ngram)::BIGINT AS admitted FROM globals g LEFT JOIN vocab v ON g.n = v.n AND g.ngram = v.ngram GROUP BY g.n")
 def rows_by_order(spark, sf_dir):
     overall = global_counts(spark, sf_dir)
-    admits = PRUNING.admits(F.col("count"), F.col("n"))
-    return overall.groupBy("n").agg(F.count("*").alias("candidates"), F.count_if(admits).alias("admitted"))
+    tallies = [counting.rows_by_order(t).withColumnRenamed("rows", name) for t, name in ((overall, "candidates"), (pruning.vocabulary(overall, PRUNING), "admitted"))]
+    return tallies[0].join(tallies[1], "n", "left").select("n", "candidates", F.coalesce("admitted", F.lit(0)).alias("admitted"))
 
 
 @query("counts_merged", _with(_PARTS, _sql_grams([1, 2]), _COUNTS) + "SELECT strftime(bucket, '%Y-%m-%d') AS bucket, n, ngram, count FROM counts")
@@ -288,8 +288,8 @@ def chart_log_scale(spark, sf_dir):
 def compare_phrases(spark, sf_dir):
     texts = corpora.part_tokens(spark, sf_dir)
     counts, totals = counting.ngram_counts(texts, 2), counting.bucket_totals(texts, 2)
-    parts = [series.points(series.rebucketed_series(counts, totals, n, asked, START, END, "year")) for n, asked in ((1, ("red", "gear")), (2, PHRASES))]
-    return parts[0].unionByName(parts[1]).select(_text("t").alias("t"), "ngram", "count", "total")
+    dense = phrases.compared(counts, totals, ["Red", "gear!", *PHRASES], START, END, "year")
+    return dense.where("count > 0").select(_text("t").alias("t"), "ngram", "count", "total")
 
 
 # ---------------------------------------------------------------- through the store
@@ -297,18 +297,37 @@ def compare_phrases(spark, sf_dir):
 _EVERYTHING = BuildConfig(max_n=2, pruning=Pruning({n: Threshold(0, 1) for n in (1, 2)}))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only in a session of one machine that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="driftgram-")
+    return base
+
+
 def _store(spark: SparkSession) -> Store:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftgram-")
-    return Store(spark, f"{base}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{_shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+_BUILT: dict[tuple[str, str], Store] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the names of shipped parts, published once a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        store = _store(spark)
+        store.publish(rebuild.tables(corpora.part_names(spark, sf_dir), _EVERYTHING), {"command": "rebuild"}, _EVERYTHING.pruning.export_floor)
+        _BUILT[key] = store
+    return _BUILT[key]
 
 
 @query("published_series", _with(*_SERIES, _FINE, _sql_coarse("month")) + f"SELECT strftime(bucket, '%Y-%m-%d') AS t, ngram, sum_count AS count, sum_total AS total, round(sum_count::DOUBLE / sum_total, 12) AS v FROM coarse")
 def published_series(spark, sf_dir):
     """A rebuild's tables, written, published, read again and queried."""
-    store = _store(spark)
-    store.publish(rebuild.tables(corpora.part_names(spark, sf_dir), _EVERYTHING), {"command": "rebuild"})
-    spark.catalog.clearCache()
-    rows = PhraseQueries(store).series(2, PHRASES, START, END, "month")
+    rows = PhraseQueries(_built(spark, sf_dir)).series(2, PHRASES, START, END, "month")
     return rows.select(_text("t").alias("t"), "ngram", "count", "total", F.round("v", 12).alias("v"))
 
 
@@ -377,16 +396,18 @@ def ranked_within_strata(spark, sf_dir):
     return ranking.ranked(corpora.table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), ["n_regionkey"], [F.desc("n_name")])
 
 
-_STATUS = ["", "Red Plate!", "in the", "qqq www", "the", "a b c d e f", "zzzz"]
-_STATUS_ROWS = [(p, " ".join(tokenize_text(p)), len(tokenize_text(p))) for p in _STATUS]
+#: Phrases, what they are normalised to, and their numbers of tokens.
+_STATUS = [("", "", 0), ("Red Plate!", "red plate", 2), ("in  THE", "in the", 2), ("qqq <b>www", "qqq www", 2), ("the", "the", 1), ("a b c d e f", "a b c d e f", 6), ("zzzz", "zzzz", 1)]
 
 
-@query("status_classification", _with(*_PRUNED, "asked(phrase, normalized, n) AS (VALUES " + ", ".join(f"('{p}', '{g}', {n}::INTEGER)" for p, g, n in _STATUS_ROWS) + ")") + "SELECT phrase, normalized, CASE WHEN n NOT BETWEEN 1 AND 5 THEN 'invalid' WHEN n = 1 OR (n, normalized) IN (SELECT (n::INTEGER, ngram) FROM vocab) THEN 'indexed' ELSE 'not_indexed' END AS status FROM asked")
+@query(
+    "status_classification",
+    _with(*_PRUNED, "asked(phrase, normalized, n) AS (VALUES " + ", ".join(f"('{p}', '{g}', {n}::INTEGER)" for p, g, n in _STATUS) + ")")
+    + """SELECT phrase, normalized, n, CASE WHEN n NOT BETWEEN 1 AND 5 THEN 'invalid'
+  WHEN n = 1 OR (n, normalized) IN (SELECT (n::INTEGER, ngram) FROM vocab) THEN 'indexed' ELSE 'not_indexed' END AS status FROM asked""",
+)
 def status_classification(spark, sf_dir):
-    asked = spark.createDataFrame(_STATUS_ROWS, "phrase string, normalized string, n int")
-    known = vocabulary(spark, sf_dir).select(F.col("n").cast("int").alias("n"), F.col("ngram").alias("normalized"), F.lit(True).alias("found"))
-    status = F.when(~F.col("n").between(1, 5), "invalid").when((F.col("n") == 1) | F.col("found"), "indexed").otherwise("not_indexed")
-    return asked.join(known, ["n", "normalized"], "left").select("phrase", "normalized", status.alias("status"))
+    return phrases.statuses(spark.createDataFrame([(p,) for p, _, _ in _STATUS], "phrase string"), vocabulary(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- filters, dates, incremental runs
@@ -395,42 +416,51 @@ def status_classification(spark, sf_dir):
 @query("comment_filter", "SELECT d.doc_id, d.lang FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic = 0 AND l.quality = 1 AND d.text IS NOT NULL AND d.text <> ''")
 def comment_filter(spark, sf_dir):
     docs, labels = corpora.table(spark, sf_dir, "documents"), corpora.table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").where("toxic = 0 AND quality = 1 AND text IS NOT NULL AND text <> ''").select("doc_id", "lang")
+    rows = docs.join(labels, "doc_id", "left").withColumns({"type": F.lit(items.COMMENT), "deleted": F.col("toxic"), "dead": 1 - F.col("quality"), "time": F.lit(0).cast("timestamp")})
+    return items.live(rows).select("doc_id", "lang")
 
 
 _MARK = 1_705_000_000_123
 
 
+def _event_millis(events: DataFrame) -> Column:
+    return dates.utc_millis(F.col("ts"), dict(events.dtypes)["ts"] == "timestamp_ntz")
+
+
 @query("watermark_filter", f"SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ts_ms FROM events WHERE epoch_us(ts) // 1000 > {_MARK}")
 def watermark_filter(spark, sf_dir):
-    rows = corpora.table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.where(F.col("ts_ms") > _MARK)
+    rows = corpora.table(spark, sf_dir, "events")
+    return items.later(rows.select("event_id", _event_millis(rows).alias("ts_ms")), _MARK)
 
 
 @query("watermark_max", "SELECT max(epoch_us(ts) // 1000)::BIGINT AS watermark, strftime(max(ts), '%Y-%m-%d') AS day, max((ts::DATE - date '1970-01-01' + 1)::BIGINT * 86400000)::BIGINT AS bucket_end FROM events")
 def watermark_max(spark, sf_dir):
-    ts = F.col("ts").cast("timestamp")
-    rows = corpora.table(spark, sf_dir, "events").agg(F.max(F.unix_millis(ts)).alias("watermark"), F.max(dates.bucket_end_ms(ts.cast("date"))).alias("bucket_end"))
+    events = corpora.table(spark, sf_dir, "events")
+    rows = events.select(_event_millis(events).alias("ms")).agg(F.max("ms").alias("watermark"), F.max(dates.bucket_end_ms(dates.bucket_of_millis(F.col("ms")))).alias("bucket_end"))
     return rows.select("watermark", _text(dates.ms_to_date(F.col("watermark"))).alias("day"), "bucket_end")
 
 
-@query("stored_buckets", "SELECT strftime(ts, '%Y-%m-%d') AS daily, strftime(date_trunc('month', ts), '%Y-%m-%d') AS monthly, strftime(date_trunc('year', ts), '%Y-%m-%d') AS yearly, strftime(ts::DATE - dayofweek(ts)::INTEGER, '%Y-%m-%d') AS weekly, count(*)::BIGINT AS events FROM events GROUP BY ALL")
+@query(
+    "stored_buckets",
+    """SELECT strftime(ts, '%Y-%m-%d') AS daily, strftime(date_trunc('month', ts), '%Y-%m-%d') AS monthly, strftime(date_trunc('year', ts), '%Y-%m-%d') AS yearly,
+  strftime(ts::DATE - dayofweek(ts)::INTEGER, '%Y-%m-%d') AS weekly, count(*)::BIGINT AS events FROM events GROUP BY ALL""",
+)
 def stored_buckets(spark, sf_dir):
-    ts = F.col("ts").cast("timestamp")
-    columns = [_text(dates.stored_bucket(ts, g)).alias(g) for g in dates.STORED] + [_text(dates.query_bucket(dates.stored_bucket(ts), "week")).alias("weekly")]
-    return corpora.table(spark, sf_dir, "events").select(*columns).groupBy("daily", "monthly", "yearly", "weekly").agg(F.count("*").alias("events"))
+    events = corpora.table(spark, sf_dir, "events")
+    ms = _event_millis(events)
+    columns = [_text(dates.bucket_of_millis(ms, g)).alias(g) for g in dates.STORED] + [_text(dates.query_bucket(dates.bucket_of_millis(ms), "week")).alias("weekly")]
+    return events.select(*columns).groupBy("daily", "monthly", "yearly", "weekly").agg(F.count("*").alias("events"))
 
 
 @query("month_range", "SELECT strftime(m, '%Y-%m') AS month, 'data/' || strftime(m, '%Y/%Y-%m') || '.parquet' AS path FROM (SELECT unnest(generate_series(date '2006-10-01', date '2008-02-01', INTERVAL 1 MONTH)) AS m)")
 def month_range(spark, sf_dir):
-    months = dates.month_range(spark, "2006-10", "2008-02")
-    return months.select(F.date_format("month", "yyyy-MM").alias("month"), F.concat(F.lit("data/"), F.date_format("month", "yyyy/yyyy-MM"), F.lit(".parquet")).alias("path"))
+    return items.month_paths(dates.month_range(spark, "2006-10", "2008-02"), "data").select(F.date_format("month", "yyyy-MM").alias("month"), "path")
 
 
 @query("snapped_months", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last FROM orders")
 def snapped_months(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date")
-    return corpora.table(spark, sf_dir, "orders").select("o_orderkey", _text(F.trunc(day, "MM")).alias("first"), _text(F.last_day(day)).alias("last"))
+    first, last = dates.month_bounds(F.col("o_orderdate").cast("date"))
+    return corpora.table(spark, sf_dir, "orders").select("o_orderkey", _text(first).alias("first"), _text(last).alias("last"))
 
 
 @query("calendar_weeks", "SELECT o_custkey, strftime(unnest(generate_series(min(o_orderdate)::DATE - dayofweek(min(o_orderdate))::INTEGER, max(o_orderdate)::DATE, INTERVAL 7 DAY)), '%Y-%m-%d') AS week FROM orders GROUP BY o_custkey")
@@ -460,13 +490,20 @@ def _sql_fixed(x: str, places: int) -> str:
     return f"printf('%.{places}f', {x} + CASE WHEN {x} * {parts} = floor({x} * {parts}) AND ({x} * {parts})::BIGINT % 2 = 1 THEN 1e-7 ELSE 0 END)"
 
 
-_PRICE = f"CASE WHEN o_totalprice >= 1000000 THEN {_sql_fixed('(o_totalprice / 1e6)', 1)} || 'M' WHEN o_totalprice >= 1000 THEN {_sql_fixed('(o_totalprice / 1e3)', 1)} || 'K' ELSE trunc(o_totalprice)::BIGINT::VARCHAR END"
+_PRICE = f"""CASE WHEN o_totalprice >= 1000000 THEN {_sql_fixed('(o_totalprice / 1e6)', 1)} || 'M'
+  WHEN o_totalprice >= 1000 THEN {_sql_fixed('(o_totalprice / 1e3)', 1)} || 'K' ELSE trunc(o_totalprice)::BIGINT::VARCHAR END"""
+
 
+def _sql_frequency(v: str) -> str:
+    exponent = f"regexp_replace(printf('%.2e', {v}), 'e([-+])0+([0-9])', 'e\\1\\2')"
+    return f"CASE WHEN {v} = 0 THEN '0' WHEN {v} < 0.0001 THEN {exponent} WHEN {v} < 0.01 THEN {_sql_fixed(v, 5)} ELSE {_sql_fixed(v, 4)} END"
 
-@query("formatted_numbers", f"SELECT o_orderkey, {_PRICE} AS price, {_sql_fixed('(o_totalprice / 1e5)', 4)} AS share FROM orders WHERE o_totalprice >= 1000")
+
+@query("formatted_numbers", f"SELECT o_orderkey, {_PRICE} AS price, {_sql_frequency('(o_totalprice / 1e5)')} AS share, {_sql_frequency('(o_totalprice / 3e7)')} AS small_share FROM orders")
 def formatted_numbers(spark, sf_dir):
-    rows = corpora.table(spark, sf_dir, "orders").where("o_totalprice >= 1000")
-    return rows.select("o_orderkey", formatting.format_count(F.col("o_totalprice")).alias("price"), formatting.format_frequency(F.col("o_totalprice") / 1e5).alias("share"))
+    price = F.col("o_totalprice")
+    shares = [formatting.format_frequency(price / x).alias(name) for x, name in ((1e5, "share"), (3e7, "small_share"))]
+    return corpora.table(spark, sf_dir, "orders").select("o_orderkey", formatting.format_count(price).alias("price"), *shares)
 
 
 @query("phrase_set_keys", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT lower(trim(p_name)))), '|') AS key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
@@ -484,10 +521,14 @@ def items_top_scored(spark, sf_dir):
     return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("items_monthly_volume", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*)::BIGINT AS items, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS finished, count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS open FROM orders GROUP BY month")
+@query(
+    "items_monthly_volume",
+    """WITH tagged AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS ym, (o_orderstatus = 'F')::BIGINT AS f, (o_orderstatus = 'O')::BIGINT AS o FROM orders)
+SELECT ym::INTEGER AS ym, sum(1)::BIGINT AS placed, sum(f)::BIGINT AS filled, sum(o)::BIGINT AS pending FROM tagged GROUP BY ym""",
+)
 def items_monthly_volume(spark, sf_dir):
-    rows = corpora.table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    return rows.agg(F.count("*").alias("items"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    rows = corpora.table(spark, sf_dir, "orders").groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("ym"))
+    return rows.agg(F.count("*").alias("placed"), F.count_if(F.col("o_orderstatus") == "F").alias("filled"), F.count_if(F.col("o_orderstatus") == "O").alias("pending"))
 
 
 @query("items_most_discussed", "SELECT l_orderkey, count(*)::BIGINT AS lines FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 ORDER BY lines DESC, l_orderkey LIMIT 20")
@@ -508,13 +549,23 @@ def items_yearly_mentions(spark, sf_dir):
     return names.groupBy(F.year("bucket").alias("year")).agg(F.count("*").alias("mentions"))
 
 
-@query("items_top_domains", "SELECT * FROM (SELECT page_id % 4 AS year, regexp_extract(url, 'https?://([^/]+)', 1) AS domain, count(*)::BIGINT AS stories FROM pages WHERE url <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY year ORDER BY stories DESC, domain) <= 5")
+@query(
+    "items_top_domains",
+    """WITH hosts AS (SELECT page_id % 4 AS shard, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages WHERE length(url) > 0),
+tally AS (SELECT shard, host, count(*)::BIGINT AS seen FROM hosts GROUP BY shard, host),
+best AS (SELECT shard, list({'host': host, 'seen': seen} ORDER BY seen DESC, host)[1:5] AS top FROM tally GROUP BY shard)
+SELECT shard, t.host AS host, t.seen AS seen FROM (SELECT shard, unnest(top) AS t FROM best)""",
+)
 def items_top_domains(spark, sf_dir):
-    rows = corpora.table(spark, sf_dir, "pages").where("url <> ''").groupBy((F.col("page_id") % 4).alias("year"), F.regexp_extract("url", "https?://([^/]+)", 1).alias("domain")).agg(F.count("*").alias("stories"))
-    return ranking.ranked(rows, ["year"], [F.desc("stories"), F.col("domain")]).where("rn <= 5").drop("rn")
+    host = F.regexp_extract("url", "https?://([^/]+)", 1).alias("host")
+    rows = corpora.table(spark, sf_dir, "pages").where("url <> ''").groupBy((F.col("page_id") % 4).alias("shard"), host).agg(F.count("*").alias("seen"))
+    return ranking.ranked(rows, ["shard"], [F.desc("seen"), F.col("host")]).where("rn <= 5").drop("rn")
 
 
 @query("items_score_percentiles", "SELECT " + ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY o_totalprice) AS p{str(p)[2:]}" for p in ("0.50", "0.90", "0.99", "0.999")) + " FROM orders")
 def items_score_percentiles(spark, sf_dir):
     each = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY o_totalprice)").alias(f"p{p[2:]}") for p in ("0.50", "0.90", "0.99", "0.999")]
     return corpora.table(spark, sf_dir, "orders").agg(*each)
+
+
+from . import engine_queries  # noqa: E402, F401  registers the queries through store, files and requests
