@@ -402,7 +402,7 @@ _ASKED = ["Red PLATE!", "no such", "qqq", "a b c d e f", "<b>..."]
 
 @query(
     "phrase_responses",
-    _with(*_SERIES[:3], _TOTALS, _FINE.replace(_LIST, "('red plate')"), _sql_coarse("month"))
+    _with(*_SERIES[:3], _TOTALS, _FINE.replace(_LIST, "('red plate')").replace(str(START), "1995-01-01"), _sql_coarse("month"))
     + """SELECT 'Red PLATE!' AS phrase, ngram AS normalized, 'indexed' AS status, strftime(bucket, '%Y-%m-%d') AS t,
   sum_count AS count, sum_total AS total, round(sum_count::DOUBLE / sum_total, 12) AS v, (SELECT sum(count)::BIGINT FROM counts c WHERE c.ngram = coarse.ngram) AS global_count FROM coarse
 UNION ALL SELECT * FROM (VALUES ('no such', 'no such', 'not_indexed', 'none', 0, 0, 0, 0::BIGINT), ('qqq', 'qqq', 'indexed', 'none', 0, 0, 0, 0),

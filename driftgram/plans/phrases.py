@@ -21,6 +21,7 @@ from ..operators import ranking, series
 from ..sources.config import LAUNCH
 from ..sources.store import Store
 
+#: Limits of a comparison and of feedback. (Error codes are fixed too; clients read them.)
 MAX_PHRASES, MAX_PHRASE_BYTES, MAX_AGENT_BYTES, MAX_SMOOTHING = 10, 80, 256, 24
 
 
@@ -38,26 +39,26 @@ class RequestError(ValueError):
 def _date(text: str, which: str) -> dt.date:
     day = dates.parse_date(text)
     if day is None:
-        raise RequestError("INVALID_DATE_FORMAT", f"Invalid {which} date '{text}', expected YYYY-MM-DD")
+        raise RequestError("INVALID_DATE_FORMAT", f"the {which} date must be written YYYY-MM-DD, not {text!r}")
     return day
 
 
 def _granularity(text: str) -> str:
     known = dates.parse_granularity(text)
     if known is None:
-        raise RequestError("INVALID_GRANULARITY", f"Invalid granularity '{text}', expected day, week, month, or year")
+        raise RequestError("INVALID_GRANULARITY", f"no series by {text!r}: choose day, week, month or year")
     return known
 
 
 def request_range(phrase: str | None, start: str | None, end: str | None, granularity: str | None) -> tuple[dt.date, dt.date, str]:
     """The checked request, its dates widened to whole months; errors in the documented order."""
     if not phrase:
-        raise RequestError("MISSING_PHRASE", "Missing required parameter 'phrase'")
+        raise RequestError("MISSING_PHRASE", "a phrase is needed")
     first = _date(start, "start") if start else dates.DEFAULT_START
     last = _date(end, "end") if end else dt.datetime.now(dt.UTC).date()
     first, last = dates.month_start(first), dates.month_end(last)
     if first > last:
-        raise RequestError("INVALID_DATE_RANGE", "start date must not be after end date")
+        raise RequestError("INVALID_DATE_RANGE", "the range ends before it starts")
     return first, last, _granularity(granularity or "month")
 
 
@@ -192,14 +193,14 @@ class PhraseQueries:
 def checked_feedback(phrases: list[str], granularity: str, start: str, smoothing: int, user_agent: str = "") -> dict:
     kept = [p.strip() for p in phrases if p.strip()]
     if len(kept) < 2:
-        raise RequestError("INVALID_PHRASES", "At least 2 non-empty phrases are required")
+        raise RequestError("INVALID_PHRASES", "two phrases or more are needed, blank ones left out")
     if len(kept) > MAX_PHRASES:
-        raise RequestError("TOO_MANY_PHRASES", f"At most {MAX_PHRASES} phrases allowed")
+        raise RequestError("TOO_MANY_PHRASES", f"there are {len(kept)} phrases; {MAX_PHRASES} is the most")
     if any(len(p.encode()) > MAX_PHRASE_BYTES for p in kept):
-        raise RequestError("PHRASE_TOO_LONG", f"Each phrase must be ≤ {MAX_PHRASE_BYTES} chars")
+        raise RequestError("PHRASE_TOO_LONG", f"a phrase has more than {MAX_PHRASE_BYTES} bytes")
     grain, day = _granularity(granularity), _date(start, "start")
     if not 0 <= smoothing <= MAX_SMOOTHING:
-        raise RequestError("INVALID_SMOOTHING", f"smoothing must be ≤ {MAX_SMOOTHING}")
+        raise RequestError("INVALID_SMOOTHING", f"smoothing is a number from 0 to {MAX_SMOOTHING}")
     agent = user_agent.encode()[:MAX_AGENT_BYTES].decode(errors="ignore")
     return {"tokenizer_version": TOKENIZER_VERSION, "phrases": kept, "granularity": grain, "start_date": day, "smoothing": smoothing, "user_agent": agent, "created_at": dt.datetime.now(dt.UTC).replace(tzinfo=None)}
 
