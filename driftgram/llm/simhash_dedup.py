@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, key_id, key_text, fp, root (the component's least fingerprint) and component_id for every row."""
     marked = common.checkpointed(fingerprints(docs))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(marked.select("fp").distinct(), max_bits))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the distinct fingerprints are few bytes, but make 64 keys each
+    roots = components(links(marked.select("fp").distinct().repartition(tasks), max_bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
