@@ -229,7 +229,7 @@ def learned(spark, texts, iterations, head=hmm_scoring.HEAD):
     return hmm_scoring.fit(rows, head, iterations)
 
 
-@pytest.mark.parametrize("head", [100_000, 0])
+@pytest.mark.parametrize("head", [5])
 def test_training_raises_likelihood(spark, head):
     texts = [edge.prose(i, 40) if i % 2 else " ".join(f"w{(i * j) % 17}" for j in range(50)) for i in range(120)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -274,7 +274,7 @@ def test_scores_do_not_depend_on_the_order_of_rows(spark):
     assert scores[0] == pytest.approx(scores[1], abs=1e-3) and scores[0] == pytest.approx(scores[2], abs=1e-3)
 
 
-@pytest.mark.parametrize("head", [100_000, 25, 0])
+@pytest.mark.parametrize("head", [100_000, 25])
 def test_scores(spark, head):
     """Base scores and counts against brute force, whatever share of the words is broadcast."""
     rows = edge.rows()
@@ -315,7 +315,7 @@ def test_scoring_edge_cases(spark):
     assert common.fold_remainder(F.lit(None), 10) is not None
 
 
-@pytest.mark.parametrize("head", [100_000, 0])
+@pytest.mark.parametrize("head", [0])
 def test_words_of_one_bucket_have_their_own_emissions(spark, head):
     """Two words that share a bucket but follow different words are told apart, broadcast or joined."""
     bucket_of = lambda w: crc32(w.encode()) & (hmm_scoring.BUCKETS - 1)
@@ -328,7 +328,7 @@ def test_words_of_one_bucket_have_their_own_emissions(spark, head):
     assert got[1]["score"] > got[2]["score"] + 1
 
 
-@pytest.mark.parametrize("head", [100_000, 2, 0])
+@pytest.mark.parametrize("head", [100_000, 2])
 def test_emissions_with_own_words_sum_to_one(spark, head):
     """Over buckets, broadcast and joined words together, for each state."""
     got = learned(spark, ["a b c a " * 4, "b b e", "d " * 9, ""], 2, head)
@@ -339,7 +339,7 @@ def test_emissions_with_own_words_sum_to_one(spark, head):
     assert got.learned.model.emit.sum(axis=0) + sum(others.values(), np.zeros(hmm_scoring.STATES)) / got.learned.total == pytest.approx(np.ones(hmm_scoring.STATES), rel=1e-5)
 
 
-@pytest.mark.parametrize("block", [6_000_000, 200])
+@pytest.mark.parametrize("block", [200])
 def test_scores_do_not_depend_on_blocks(spark, monkeypatch, block):
     docs = spark.createDataFrame([(i, edge.prose(i % 90, 30)) for i in range(200)], "doc_id long, text string")
     expected = {r["doc_id"]: r["score"] for r in hmm_scoring.score(docs, "doc_id % 10 <> 0", 50).collect()}
