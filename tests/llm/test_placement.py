@@ -231,6 +231,13 @@ def test_balance_against_plain_newton(spark):
     assert [rate[d] for d in docs] == pytest.approx((2 / (1 + np.exp(-f @ x))).tolist(), abs=1e-6)
 
 
+def test_ties_are_settled_by_ids(spark):
+    """Documents of equal size and text: which get the extra copy doesn't depend on the order of rows."""
+    rows = [(i, "same words " * 5, "en", "s", 1) for i in range(41)]
+    got = [{r["doc_id"]: r["copies"] for r in mixing.copies(spark.createDataFrame(x, edge.SCHEMA).repartition(k)).collect()} for k, x in ((1, rows), (5, rows[::-1]))]
+    assert got[0] == got[1] and set(got[0].values()) == {1, 2} and sum(got[0].values()) in (61, 62)
+
+
 def test_unsolved_duals_are_told(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_STEPS", 1)
     with pytest.raises(RuntimeError):
