@@ -6,22 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fixed(x: Column, places: int) -> Column:
-    """``x`` (not negative, below 2**52 / 10**places) with ``places`` decimals, rounded by its exact
-    binary value, halves up.
+def _units(x: Column, places: int) -> Column:
+    """``x`` times 10**places, rounded by its exact binary value, halves up.
 
     The product with the power of ten is taken together with its rounding error (Dekker's
-    splitting), so that values next to a half fall on the right side.
+    splitting, exact up to 10**11), so that values next to a half fall on the right side.
     """
-    scale = 10**places
+    scale = float(10**places)
     high = x * 134217729.0 - (x * 134217729.0 - x)
-    product = x * float(scale)
-    error = (high * float(scale) - product) + (x - high) * float(scale)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
     below = F.floor(product)
-    units = (below + F.when((product - below - 0.5) + error >= 0, 1).otherwise(0)).cast("long")
+    return (below + F.when((product - below - 0.5) + error >= 0, 1).otherwise(0)).cast("long")
+
+
+def fixed(x: Column, places: int) -> Column:
+    """``x`` (not negative, below 2**52 / 10**places) with ``places`` decimals."""
+    units, scale = _units(x, places), 10**places
     return F.format_string(f"%d.%0{places}d", F.floor(units / scale).cast("long"), units % scale)
 
 
+def _exponential(x: Column, exponent: int) -> Column:
+    """``x`` from 10**exponent on, below the next power, as 1.23e-5."""
+    units = _units(x, 2 - exponent)
+    over = units >= 1000  # rounded up to the next power
+    digits = F.when(over, 100).otherwise(units)
+    return F.format_string("%d.%02de%d", F.floor(digits / 100).cast("long"), (digits % 100).cast("long"), F.when(over, exponent + 1).otherwise(exponent))
+
+
 def format_count(n: Column) -> Column:
     """1.2M from a million on, 1.2K from a thousand on, else the number."""
     return F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 1), F.lit("M"))).when(n >= 1_000, F.concat(fixed(n / 1e3, 1), F.lit("K"))).otherwise(n.cast("long").cast("string"))
@@ -30,7 +42,9 @@ def format_count(n: Column) -> Column:
 def format_frequency(v: Column) -> Column:
     """Null as a dash, 0, small numbers with an exponent (never padded), else 5 or 4 places."""
     v = v.cast("double")
-    exponent = F.regexp_replace(F.regexp_replace(F.format_string("%.2e", v), r"e([+-])0+(\d)", "e$1$2"), r"e\+?(-?)", "e$1")
+    exponent = F.regexp_replace(F.format_string("%.2e", v), r"e-0+(\d)", "e-$1")  # below 1e-9 by the decimal digits
+    for power in range(-9, -4):
+        exponent = F.when(v >= float(f"1e{power}"), _exponential(v, power)).otherwise(exponent)
     return F.when(v.isNull(), F.lit("—")).when(v == 0, F.lit("0")).when(v < 0.0001, exponent).when(v < 0.01, fixed(v, 5)).otherwise(fixed(v, 4))
 
 

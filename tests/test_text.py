@@ -1,5 +1,6 @@
 """Tokenizer: known cases, and column expressions against the Python model on random texts."""
 
+import decimal
 import random
 import unicodedata
 
@@ -101,6 +102,24 @@ def test_formats(spark):
 
     assert shown(formatting.format_count, 5, 999, 1250, 405950, 2_500_000) == ["5", "999", "1.3K", "405.9K", "2.5M"]
     assert shown(formatting.format_frequency, None, 0, 0.0000123, 5e-13, 0.00123, 0.5) == ["—", "0", "1.23e-5", "5.00e-13", "0.00123", "0.5000"]
+    assert shown(formatting.format_frequency, 2488.5 / 3e7, 9.999e-5, 9.994e-5, 1e-5, 9.996e-6, 1e-9) == ["8.29e-5", "1.00e-4", "9.99e-5", "1.00e-5", "1.00e-5", "1.00e-9"]
     assert shown(formatting.log_scale, 0, 2) == [None, 2.0]
     keys = spark.createDataFrame([(["B ", "a"],), (["A", " b"],)], "p array<string>").select(formatting.phrase_set_key(F.col("p")).alias("k")).collect()
     assert {r["k"] for r in keys} == {"a|b"}
+
+
+def test_small_frequencies_are_rounded_by_their_exact_value(spark):
+    """Against exact decimals, halves up; also where the shortest decimal form ends in a five."""
+    rng = random.Random(4)
+    values = [rng.randint(1, 10**6) / rng.choice([3e7, 1e11, 7e9]) for _ in range(2000)] + [k / 1e8 for k in range(1005, 9995, 10)]
+    values = [v for v in values if 1e-9 <= v < 1e-4]
+
+    def exact(v):
+        d = decimal.Decimal(v)
+        e = d.adjusted()
+        n = int((d.scaleb(2 - e)).to_integral_value(decimal.ROUND_HALF_UP))
+        n, e = (100, e + 1) if n == 1000 else (n, e)
+        return f"{n // 100}.{n % 100:02d}e{e}"
+
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", formatting.format_frequency(F.col("v")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [exact(r["v"]) for r in rows]
