@@ -11,10 +11,10 @@ bucket emits the rare word:
 with c the word's training count, C and V the tokens and distinct rare words of its bucket, and
 one unseen word a bucket, so every factor is a proper distribution. Baum-Welch's expected counts
 come from every training text in each of :data:`ITERATIONS` passes and are summed by word or
-bucket. The start is a model of buckets alone, fitted to the distinct training texts of least
-hash, at most :data:`START_ROWS` of them and :data:`START_TOKENS` tokens; it only breaks the
-symmetry between states, and each word starts with its share of its bucket. The scaled forward
-recursion gives the exact likelihood of whole texts.
+bucket. The start is fitted by EM to how often tokens follow each other in all training texts.
+Those counts are kept by class: the :data:`CLASSES` most frequent words are one each, the others
+share as many (their bucket, modulo that), and a word or bucket starts with its share of its class.
+The scaled forward recursion gives the exact likelihood of whole texts.
 
 Word counts c cover all training texts. Only the most frequent words, at most :data:`HEAD`, are
 broadcast with their emission rows. Texts are encoded once in blocks of bounded size that list the
@@ -52,9 +52,8 @@ BUCKETS = 1 << 14
 END = BUCKETS
 OWN = 5  # training occurrences from which a word has emission probabilities of its own
 ITERATIONS = 2
-START_ROWS = 400
-START_TOKENS = 1_000_000
-START_ITERATIONS = 15
+CLASSES = 512  # words with a class of their own in the start; the others share as many
+START_ITERATIONS = 150
 HEAD = 100_000
 SMOOTH = 0.1
 _FIXED = float(1 << 20)  # expected counts are summed as integers, so their order doesn't matter
@@ -62,6 +61,8 @@ _AREA = 600_000  # tokens taken through the recursion together
 _FLUSH = 300_000
 _BLOCK = 6_000_000  # tokens encoded together
 _CHUNK = 2048  # rows of dense counts sent together
+_PLACES = 2 * CLASSES + 1  # classes, the end token's last
+_PAIRS = 1 << 14  # counts of neighbours sent together
 
 
 @dataclass
@@ -181,38 +182,85 @@ def expect(model: Hmm, sequences: list[np.ndarray], into: Counts) -> None:
             into.emit[:, s] += np.bincount(g.codes, alpha[:, s], minlength=len(into.emit))
 
 
-def _initial(sequences: list[np.ndarray]) -> Hmm:
-    """A model fitted to a few texts, from random shares of their bucket counts."""
+@dataclass
+class Start:
+    """What the start is fitted to, counted in all training texts."""
+
+    words: dict[bytes, int]  # the most frequent words' classes
+    pairs: np.ndarray  # classes x classes: how often the second comes next, a first word after an end token
+
+
+def _class_of_bucket(bucket: np.ndarray) -> np.ndarray:
+    return CLASSES + (bucket & (CLASSES - 1))
+
+
+def _initial(seen: Start) -> tuple[Hmm, dict[bytes, int]]:
+    """A model fitted by EM to neighbouring tokens, from random shares of the counts of their classes. It emits
+    classes; its rows are divided by the tokens of the class, the end token's isn't."""
     rng = np.random.default_rng(11)
-    counts = Counts.zero()
-    flat = np.concatenate([np.array([END]), *sequences])
-    counts.emit = np.bincount(flat, minlength=BUCKETS + 1)[:, None] * rng.dirichlet(np.ones(STATES), BUCKETS + 1)
-    counts.move = np.eye(STATES) * 18 + 0.4
+    held = seen.pairs.sum(axis=0)
+    share = rng.dirichlet(np.ones(STATES), _PLACES)
+    counts = Counts(np.zeros(STATES), np.eye(STATES) * 18 + 0.4, np.empty(0))
+    both = counts.move / counts.move.sum()  # P(state, next state)
+    for _ in range(START_ITERATIONS if held.any() else 0):
+        emit = held[:, None] * share + 0.01
+        emit /= emit.sum(axis=0)
+        ratio = seen.pairs / (emit @ both @ emit.T)
+        after, before = ratio @ emit, ratio.T @ emit
+        first = np.outer(emit[-1], after[-1]) * both  # of an end token and a first word
+        joint = both * (emit.T @ after)
+        places = emit * (after @ both.T + before @ both) + 1e-12
+        share = places / places.sum(axis=1, keepdims=True)
+        counts.start, counts.move, both = first.sum(axis=0), joint - first, joint / joint.sum()
+    counts.emit = held[:, None] * share
     model = counts.model()
-    for _ in range(START_ITERATIONS if sequences else 0):
-        counts = Counts.zero()
-        expect(model, sequences, counts)
-        model = counts.model()
-    return model
+    model.emit[:-1] /= held[:-1, None] + SMOOTH
+    return model, seen.words
+
+
+def start_texts(train: DataFrame, counts: DataFrame | None = None) -> Start:
+    """Counts of neighbours in every text of ``train``, whose :func:`word_counts` may be given."""
+    counts = word_counts(train) if counts is None else counts
+    frequent = counts.where(F.col("c") >= OWN).orderBy(F.desc("c"), "word").limit(CLASSES).select("word").collect()
+    words = {bytes(r["word"]): k for k, r in enumerate(frequent)}
+    shared = train.sparkSession.sparkContext.broadcast(words)
+    cells = _PLACES * _PLACES
+
+    def classes(text: str | None) -> np.ndarray:
+        words = tokens(text)
+        out = np.full(len(words) + 1, _PLACES - 1)
+        out[:-1] = np.fromiter(map(shared.value.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        others = np.flatnonzero(out < 0)
+        out[others] = _class_of_bucket(_buckets([words[i] for i in others.tolist()]))
+        return out
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(cells, dtype=np.int64)
+        for batch in common.slices(batches):
+            places = np.concatenate([np.array([_PLACES - 1]), *map(classes, common.texts(batch))])
+            sums += np.bincount(places[:-1] * _PLACES + places[1:], minlength=cells)
+        yield from chunked({k: sums[at : at + _PAIRS] for k, at in enumerate(range(0, cells, _PAIRS))})
 
-def start_texts(train: DataFrame) -> list[np.ndarray]:
-    """Encoded distinct texts of least hash, whatever the order of rows and however often they repeat."""
-    hashed = train.select(F.xxhash64("text").alias("h"), "text")
-    least = [r["h"] for r in hashed.groupBy("h").agg(F.lit(1)).orderBy("h").limit(START_ROWS).collect()]
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in common.slices(batches, 1):
+            k = batch.column(0)[0].as_py()
+            part = unpacked(k, batch.column(1)[0].as_py())
+            sums[k] = sums[k] + part if k in sums else part
+        yield from chunked(sums)
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(tokens(t)) for t in common.texts(batch)], pa.list_(pa.int32()))], ["h", "codes"])
+    def unpacked(k: int, packed: bytes) -> np.ndarray:
+        return _unpacked(packed, np.int64, min(_PAIRS, cells - k * _PAIRS))
 
-    one = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text"))
-    out, size = [], 0
-    for r in one.mapInArrow(codes, "h long, codes array<int>").orderBy("h").toLocalIterator():
-        size += len(r["codes"])
-        if out and size > START_TOKENS:
-            break
-        out.append(np.array(r["codes"], dtype=np.int32))
-    return out
+    def chunked(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, part in parts.items():
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], ["chunk", "n"])
+
+    schema, pairs = "chunk int, n binary", np.zeros(cells, dtype=np.int64)
+    for r in train.select("text").mapInArrow(partial, schema).repartition("chunk").mapInArrow(summed, schema).collect():  # a row a chunk
+        pairs[r["chunk"] * _PAIRS :][:_PAIRS] = unpacked(r["chunk"], r["n"])
+    return Start(words, pairs.reshape(_PLACES, _PLACES))
 
 
 # ---------------------------------------------------------------- blocks of encoded texts
@@ -323,13 +371,21 @@ class Opened:
 
 @dataclass
 class Learned:
-    """The broadcast part of a model: emission rows of buckets and head, the share of one occurrence
-    in each bucket's row (where words begin), and the divisors of the other words' weights."""
+    """The broadcast part of a model: emission rows of buckets and head, what one occurrence in each bucket begins
+    with and, of other words with a class of their own, what they do; and the divisors of the other words' weights."""
 
     model: Hmm
     one: np.ndarray
+    words: dict[bytes, np.ndarray]
     total: np.ndarray | None = None
 
+    def begin(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        out = self.one[_buckets(words)]
+        for k, w in enumerate(words):
+            if w in self.words:
+                out[k] = self.words[w]
+        return out * counts[:, None]
+
 
 def _opened(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[Opened]:
     dense = len(learned.model.emit)
@@ -341,7 +397,7 @@ def _opened(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[Ope
         counts, buckets = _unpacked(row["counts"][0].as_py(), np.int64, len(words)), _buckets(words)
         own = np.flatnonzero(counts >= OWN)
         if learned.total is None:
-            weights = learned.one[buckets[own]] * counts[own, None]
+            weights = learned.begin([words[i] for i in own.tolist()], counts[own])
         else:
             met = row["met"].flatten()
             weights = np.zeros((len(words), STATES), dtype=np.float32)
@@ -482,22 +538,23 @@ def _learn(blocks: DataFrame, learned: Learned, iterations: int) -> tuple[Learne
         weight = counts.emit.sum(axis=0) + 0.01 * dense
         model = counts.model()
         model.emit = model.emit * (weight / (weight + others))
-        learned = Learned(model, learned.one, weight + others)
+        learned = Learned(model, learned.one, learned.words, weight + others)
         _free(spark)
     return learned, met
 
 
-def _begin(start: Hmm, head: dict[bytes, int], of_bucket: dict[int, tuple[int, int]]) -> Learned:
-    """Emission rows of buckets and head when each word takes its share of its bucket: ``of_bucket`` has the training
+def _begin(start: tuple[Hmm, dict[bytes, int]], head: dict[bytes, int], of_bucket: dict[int, tuple[int, int]]) -> Learned:
+    """Emission rows of buckets and head when each takes its share of its class: ``of_bucket`` has the training
     tokens of each bucket, all and rare ones."""
-    held, rare = np.full(BUCKETS + 1, SMOOTH), np.full(BUCKETS + 1, SMOOTH)
-    for bucket, (c, c_rare) in of_bucket.items():
-        held[bucket] += c
+    model, classes = start
+    rare = np.full(BUCKETS + 1, SMOOTH)
+    for bucket, (_, c_rare) in of_bucket.items():
         rare[bucket] += c_rare
-    one = start.emit / held[:, None]
-    at = _buckets(list(head))
-    emit = np.vstack([one * rare[:, None], one[at] * np.array(list(head.values()), dtype=float)[:, None]])
-    return Learned(Hmm(start.start, start.move, emit), one)
+    one = model.emit[_class_of_bucket(np.arange(BUCKETS + 1))]
+    one[END] = model.emit[-1] / SMOOTH
+    out = Learned(model, one, {w: model.emit[k] for w, k in classes.items()})
+    emit = np.vstack([one * rare[:, None], out.begin(list(head), np.array(list(head.values()), dtype=float))])
+    return Learned(Hmm(model.start, model.move, emit), one, out.words)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -563,7 +620,7 @@ def fit(rows: DataFrame, head_words: int = HEAD, iterations: int = ITERATIONS) -
     base_size = n_train + SMOOTH * (sum(r["v"] for r in of_bucket) + (ends > 0) + 1)
     frequent = _most_frequent(counts.where(~rare), head_words).collect()  # at most head_words rows
     head = {bytes(r["word"]): r["c"] for r in sorted(frequent, key=lambda r: (-r["c"], r["word"]))}
-    learned = _begin(_initial(start_texts(train)), head, {r["bucket"]: (r["c"], r["c_rare"]) for r in of_bucket})
+    learned = _begin(_initial(start_texts(train, counts)), head, {r["bucket"]: (r["c"], r["c_rare"]) for r in of_bucket})
     texts, texts_path = _blocks(rows, head)
     blocks = _counted(texts, counts)
     for path in (counts_path, texts_path):

@@ -264,6 +264,20 @@ def test_passes_equal_plain_baum_welch(spark, monkeypatch):
         assert got.learned.model.emit[n + k] == pytest.approx(model.emit[codes[w.decode()]], abs=1e-4)
 
 
+def test_the_start_is_learned_from_every_text(spark):
+    """From far more texts than a sample would hold, one of them long: who follows whom, and each word."""
+    texts = [f"w{i} w{i} v{i % 50}" for i in range(1500)] + ["", None, "long " * 1_200_000]
+    seen = hmm_scoring.start_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(6))
+    assert seen.words == {w.encode(): k for k, w in enumerate(["long", *sorted(f"v{i}" for i in range(50))])}
+    pairs = np.zeros_like(seen.pairs)
+    for t in texts:
+        places = [seen.words.get(w, hmm_scoring.CLASSES + crc32(w) % hmm_scoring.CLASSES) for w in hmm_scoring.tokens(t)]
+        np.add.at(pairs, ([2 * hmm_scoring.CLASSES, *places], [*places, 2 * hmm_scoring.CLASSES]), 1)
+    assert (seen.pairs == pairs).all()
+    model, _ = hmm_scoring._initial(seen)
+    assert (model.emit[:-1] * pairs.sum(axis=0)[:-1, None]).sum(axis=0) + model.emit[-1] == pytest.approx(np.ones(hmm_scoring.STATES), abs=0.05)
+
+
 def test_scores_do_not_depend_on_the_order_of_rows(spark):
     """Also where one text makes up most of the corpus and lies among those of least hash."""
     rows = [(i, edge.prose(i, 20)) for i in range(120)] + [(1000 + i, edge.prose(0, 20)) for i in range(900)]
