@@ -34,9 +34,9 @@ from __future__ import annotations
 import gc
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 from zlib import crc32
 
 import numpy as np
@@ -57,7 +57,7 @@ START_ITERATIONS = 150
 HEAD = 100_000
 SMOOTH = 0.1
 _FIXED = float(1 << 20)  # expected counts are summed as integers, so their order doesn't matter
-_AREA = 600_000  # tokens taken through the recursion together
+_AREA = 300_000  # tokens taken through the recursion together
 _FLUSH = 300_000
 _BLOCK = 6_000_000  # tokens encoded together
 _CHUNK = 2048  # rows of dense counts sent together
@@ -330,6 +330,35 @@ def _buckets(words: list[bytes]) -> np.ndarray:
     return (np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) & (BUCKETS - 1)).astype(np.int32)
 
 
+def _by_block(rows: DataFrame, value: str, numbers: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """A row a block, (block, ats, value), from its ``rows`` (block, at, value), as bytes: sorted, so that the JVM never collects them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (ats, values))], ["block", "ats", value])
+
+        block, ats, values = None, [], []
+        for batch in batches:
+            blocks, at, of_at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), numbers(batch.column(2))
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for first, end in pairwise(cuts if len(blocks) else []):
+                if block is not None and block != blocks[first]:
+                    yield out()
+                    ats, values = [], []
+                block = int(blocks[first])
+                ats.append(at[first:end])
+                values.append(of_at[first:end])
+        if block is not None:
+            yield out()
+
+    return rows.select("block", "at", value).repartition("block").sortWithinPartitions("block").mapInArrow(run, f"block long, ats binary, {value} binary")
+
+
+def _met(row: dict[str, pa.Array], value: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values from :func:`_by_block`; none for null."""
+    return tuple(np.frombuffer(x, dtype=t) if x else np.empty(0, dtype=t) for x, t in ((row["ats"][0].as_py(), np.int32), (row[value][0].as_py(), kind)))
+
+
 def _counted(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """``blocks`` with ``counts``, the training counts of its words (0 for unknown ones)."""
 
@@ -340,17 +369,17 @@ def _counted(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
-            met = batch.column(batch.schema.get_field_index("met")).flatten()  # nothing for null
-            words = _words(batch.column(names.index("words"))[0], batch.column(names.index("size"))[0])
-            c = np.zeros(len(words), dtype=np.int64)
-            c[met.field("at").to_numpy(zero_copy_only=False).astype(np.int64)] = met.field("c").to_numpy(zero_copy_only=False)
+            row = dict(zip(batch.schema.names, batch.columns, strict=True))
+            at, met = _met(row, "c", np.int64)
+            c = np.zeros(len(_words(row["words"][0], row["size"][0])), dtype=np.int64)
+            c[at] = met
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array([_packed(c)], pa.binary())], [*names, "counts"])
 
     names = blocks.columns
     listed = blocks.select("block", "words", "size").mapInArrow(rows, "block long, at int, word binary")
-    met = listed.join(counts.select("word", "c"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("met"))
+    met = _by_block(listed.join(counts.select("word", "c"), "word"), "c", lambda c: c.to_numpy())
     schema = ", ".join(f"{n} {t}" for n, t in blocks.dtypes)
-    return common.stored(blocks.join(met, "block", "left").select(*names, "met").mapInArrow(placed, f"{schema}, counts binary"), "hmm-blocks", "uncompressed")[0]
+    return common.stored(blocks.join(met, "block", "left").select(*names, "ats", "c").mapInArrow(placed, f"{schema}, counts binary"), "hmm-blocks", "uncompressed")[0]
 
 
 @dataclass
@@ -388,26 +417,30 @@ class Learned:
 
 
 def _opened(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[Opened]:
-    dense = len(learned.model.emit)
     for batch in common.slices(batches, 1):
-        row = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        lengths = np.frombuffer(row["lengths"][0].as_py(), dtype=np.int32)
-        codes = _unpacked(row["codes"][0].as_py(), np.int32, int(lengths.sum()))
-        words = _words(row["words"][0], row["size"][0])
-        counts, buckets = _unpacked(row["counts"][0].as_py(), np.int64, len(words)), _buckets(words)
-        own = np.flatnonzero(counts >= OWN)
-        if learned.total is None:
-            weights = learned.begin([words[i] for i in own.tolist()], counts[own])
-        else:
-            met = row["met"].flatten()
-            weights = np.zeros((len(words), STATES), dtype=np.float32)
-            weights[met.field("at").to_numpy(zero_copy_only=False).astype(np.int64)] = _fixed(met.field("w"), np.float32)
-            weights = weights[own] / learned.total
-        places = np.concatenate([np.arange(dense, dtype=np.int32), buckets])
-        places[dense + own] = dense + np.arange(len(own))
-        model = Hmm(learned.model.start, learned.model.move, np.vstack([learned.model.emit, weights]))
-        sequences = np.split(places[codes], np.cumsum(lengths)[:-1])
-        yield Opened(row, words, counts, buckets, own, model, codes, lengths, np.frombuffer(row["flags"][0].as_py(), dtype=np.uint8), sequences)
+        yield _open(batch, learned)  # kept by the caller alone
+
+
+def _open(batch: pa.RecordBatch, learned: Learned) -> Opened:
+    dense = len(learned.model.emit)
+    row = dict(zip(batch.schema.names, batch.columns, strict=True))
+    lengths = np.frombuffer(row["lengths"][0].as_py(), dtype=np.int32)
+    codes = _unpacked(row["codes"][0].as_py(), np.int32, int(lengths.sum()))
+    words = _words(row["words"][0], row["size"][0])
+    counts, buckets = _unpacked(row["counts"][0].as_py(), np.int64, len(words)), _buckets(words)
+    own = np.flatnonzero(counts >= OWN)
+    if learned.total is None:
+        weights = learned.begin([words[i] for i in own.tolist()], counts[own])
+    else:
+        at, met = _met(row, "w", np.float32)
+        weights = np.zeros((len(words), STATES), dtype=np.float32)
+        weights[at] = met.reshape(-1, STATES)
+        weights = weights[own] / learned.total
+    places = np.concatenate([np.arange(dense, dtype=np.int32), buckets])
+    places[dense + own] = dense + np.arange(len(own))
+    model = Hmm(learned.model.start, learned.model.move, np.vstack([learned.model.emit, weights]))
+    sequences = np.split(places[codes], np.cumsum(lengths)[:-1])
+    return Opened(row, words, counts, buckets, own, model, codes, lengths, np.frombuffer(row["flags"][0].as_py(), dtype=np.uint8), sequences)
 
 
 def _fixed(column: pa.Array, kind: type) -> np.ndarray:
@@ -438,8 +471,7 @@ def _with_rows(blocks: DataFrame, met: DataFrame | None) -> DataFrame:
     """``blocks`` with the emission weights of their own words, from (block, at, w)."""
     if met is None:
         return blocks
-    of_block = met.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("at", "w")).alias("met"))
-    return blocks.join(of_block, "block", "left")
+    return blocks.join(_by_block(met.where("block IS NOT NULL"), "w", lambda w: _fixed(w, np.float32)), "block", "left")
 
 
 def _expected(blocks: DataFrame, learned: Learned) -> DataFrame:
@@ -457,7 +489,8 @@ def _expected(blocks: DataFrame, learned: Learned) -> DataFrame:
             block = np.full(len(b.own), b.row["block"][0].as_py(), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([b.words[i] for i in b.own.tolist()], pa.binary()), pa.array(block), pa.array(b.own.astype(np.int32)), _binary(fixed)], names)
             each = np.rint(np.vstack([counts.start, counts.move, counts.emit[:dense]]) * _FIXED).astype(np.int64)
-            sums = each if sums is None else sums + each
+            sums = each if sums is None else np.add(sums, each, out=sums)
+            del b, counts, fixed, each  # before the next block is opened
         if sums is not None:
             parts = [sums[at : at + _CHUNK] for at in range(0, len(sums), _CHUNK)]
             keys = pa.array([b"\n%d" % k for k in range(len(parts))], pa.binary())
@@ -663,6 +696,7 @@ def score(docs: DataFrame, train: DataFrame | str, head_words: int = HEAD, itera
             base = total_of(np.log10(b.counts + SMOOTH), log_head) - (b.lengths - 1) * log_base + end_base
             scores = log_likelihoods(b.model, [b.sequences[i] for i in wanted]) + total_of(within, np.zeros(len(log_head)))[wanted]
             yield pa.RecordBatch.from_arrays([b.row["ids"].flatten(), pa.array(b.lengths[wanted].astype(np.int64)), pa.array(known[wanted]), pa.array(base[wanted]), pa.array(scores)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            del b, total_of  # before the next block is opened
 
     out = _with_rows(fitted.blocks, fitted.met).mapInArrow(forward, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -362,6 +362,15 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch, block):
     assert got == pytest.approx(expected, abs=1e-3)
 
 
+def test_rows_of_a_block_are_packed_without_collecting_them(spark):
+    """Also where a block's rows come in several batches."""
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("block"), F.col("id").cast("int").alias("at"), (F.col("id") * 7).alias("c"))
+    out = hmm_scoring._by_block(rows, "c", lambda c: c.to_numpy())
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r["block"]: dict(zip(np.frombuffer(r["ats"], dtype=np.int32).tolist(), np.frombuffer(r["c"], dtype=np.int64).tolist(), strict=True)) for r in out.collect()}
+    assert got == {b: {i: 7 * i for i in range(b, 30_000, 3)} for b in range(3)} and out.count() == 3
+
+
 def test_query_counts_against_brute_force(spark, sf_dir):
     docs = {r["doc_id"]: hmm_scoring.tokens(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     train = [t for i, t in docs.items() if crc32(str(i).encode()) % 10]
