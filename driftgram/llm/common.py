@@ -82,6 +82,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group but for ``size``, its number of rows; null keys meet.
+
+    ``groups`` has a row a key and is read more than once. Groups of a thousandth of all rows, of which
+    there are 1,000 at most, are broadcast; the others meet their rows in a shuffle, no larger than that.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * 1000 >= total
+    out = []
+    for part, others in ((groups.where(large), None), (groups.where(~large), groups.where(large))):
+        mine = rows if others is None else _of_groups(rows, F.broadcast(others.select(key)), key, "left_anti")
+        out.append(_of_groups(mine, part.drop(size) if others is not None else F.broadcast(part.drop(size)), key, "inner"))
+    return out[0].unionByName(out[1])
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, key: str, how: str) -> DataFrame:
+    groups = groups.withColumnRenamed(key, "group_key")
+    return rows.join(groups, F.col(key).eqNullSafe(F.col("group_key")), how).drop("group_key")
+
+
 def fold_remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hmm_scoring, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity
+from . import decontamination, hmm_scoring, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity, vector_codes, warc_archive
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.query,
     "op9_secret_scan": secret_scan.query,
     "op10_mixing": mixing.query,
+    "op11_vector_codes": vector_codes.query,
+    "op13_warc_archive": warc_archive.query,
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_decontamination": decontamination.SQL,
     "op9_secret_scan": secret_scan.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op13_warc_archive": warc_archive.SQL,
 }
