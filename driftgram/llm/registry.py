@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hmm_scoring, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity, vector_codes, warc_archive
+from . import conversation_repair, decontamination, hmm_scoring, mixing, pii, quality_classifier, quality_rules, resharding, secret_scan, simhash_dedup, toxicity, vector_codes, warc_archive
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_mixing": mixing.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_conversation_repair": conversation_repair.query,
     "op13_warc_archive": warc_archive.query,
 }
 SQL = {
@@ -23,5 +24,6 @@ SQL = {
     "op3_decontamination": decontamination.SQL,
     "op9_secret_scan": secret_scan.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
     "op13_warc_archive": warc_archive.SQL,
 }
