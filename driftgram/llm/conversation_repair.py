@@ -26,6 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import duckdb
@@ -136,9 +137,9 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int)
 _WAYS = "conv_key string, block bigint, entry int, exit int, cost bigint, audit string"
 
 
-def _block_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_ways(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     con = _connection()
-    for table in _whole(batches, ("conv_key", "block"), BATCH):
+    for table in _whole(batches, ("conv_key", "block"), rows):
         con.register("batch", table)
         con.execute(_NUMBERED)
         yield from _arrow(con.execute(_BLOCKS).fetchall(), _WAYS)
@@ -161,11 +162,11 @@ def _ended(front: Front) -> tuple[int, str]:
     return min((cost + _ENDINGS[s][0], audit + _ENDINGS[s][1]) for s, (cost, audit) in front.items())
 
 
-def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repairs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The blocks' ways joined; a conversation of many blocks goes on from one batch to the next."""
     con, carried, front = _connection(), None, {}
     con.execute("CREATE TABLE front (conv_key VARCHAR, state INTEGER, cost BIGINT, audit VARCHAR)")
-    for table in _whole(batches, ("conv_key", "block"), BATCH):
+    for table in _whole(batches, ("conv_key", "block"), rows):
         con.register("batch", table)
         con.execute(_PLACED)
         con.execute("DELETE FROM front")
@@ -276,14 +277,14 @@ def _key(conv_id: Column) -> Column:
 class Repair:
     """The repair of ``turns`` (conv_id, turn, role, text). Tables that its results read are written to the shared folder."""
 
-    def __init__(self, turns: DataFrame):
+    def __init__(self, turns: DataFrame, block: int = BLOCK, batch: int = BATCH):
         rows = turns.select(_key(turns["conv_id"]).alias("conv_key"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")))
         order = ["conv_key", "turn", "role", "text", "copy"]  # copies of a turn part, too: no range grows with them
         placed = rows.withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("copy")
-        self.ordered, self._path = common.stored(placed.withColumn("seq", F.monotonically_increasing_id()), "turns")
-        self.faults, _ = common.stored(_faults(self.ordered), "faults")
-        ways = self.faults.repartition("conv_key", "block").sortWithinPartitions("conv_key", "block", "seq").mapInArrow(_block_ways, _WAYS)
-        joined = ways.repartition("conv_key").sortWithinPartitions("conv_key", "block").mapInArrow(_repairs, _REPAIRS)
+        self.ordered, _ = common.stored(placed.withColumn("seq", F.monotonically_increasing_id()), "turns")
+        self.faults, _ = common.stored(_faults(self.ordered, block), "faults")
+        ways = self.faults.repartition("conv_key", "block").sortWithinPartitions("conv_key", "block", "seq").mapInArrow(partial(_block_ways, rows=batch), _WAYS)
+        joined = ways.repartition("conv_key").sortWithinPartitions("conv_key", "block").mapInArrow(partial(_repairs, rows=batch), _REPAIRS)
         self.audits, _ = common.stored(joined, "audits")
 
     def _walked(self, over, columns: str) -> DataFrame:
@@ -302,7 +303,7 @@ class Repair:
         return self._walked(_digests, _RESULT).join(counts, "conv_key")
 
 
-def _faults(ordered: DataFrame) -> DataFrame:
+def _faults(ordered: DataFrame, block: int) -> DataFrame:
     """Each turn's first fault, by its place alone: equal turns of a conversation are found by role and a strong digest
     of the text, and only the least place of each is passed on, so copies meet nowhere."""
     initial, shown = F.substring("role", 1, 1), F.col("text").rlike(common.WORD)
@@ -315,13 +316,13 @@ def _faults(ordered: DataFrame) -> DataFrame:
     fault = F.when(~F.col("shown"), "blank").when(F.col("head").isNull(), "duplicate").when(~F.col("ends"), "truncated")
     kind = F.when(F.col("fault").isNull(), FINE).when(F.col("fault") == "truncated", CUT).otherwise(BAD)
     known = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("x")
-    return rows.withColumn("fault", fault).select("conv_key", "seq", F.floor(F.col("seq") / BLOCK).alias("block"), known.alias("initial"), kind.alias("kind"), F.coalesce("head", F.lit(False)).alias("head"), "fault")
+    return rows.withColumn("fault", fault).select("conv_key", "seq", F.floor(F.col("seq") / block).alias("block"), known.alias("initial"), kind.alias("kind"), F.coalesce("head", F.lit(False)).alias("head"), "fault")
 
 
-def repair(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+def repair(turns: DataFrame, conversations: DataFrame | None = None, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
     """The summary of every conversation of ``conversations`` (conv_id; by default those of ``turns``)."""
     ids = (turns if conversations is None else conversations).select("conv_id").distinct()
-    found = Repair(turns).summary()
+    found = Repair(turns, block, batch).summary()
     rows = ids.withColumn("conv_key", _key(F.col("conv_id"))).join(found, "conv_key", "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(sha256().hexdigest())).alias("repaired_sha256"))
