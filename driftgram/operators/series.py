@@ -30,15 +30,16 @@ def _totals(totals: DataFrame, n: int, start: dt.date, end: dt.date) -> DataFram
     return totals.where((F.col("n") == n) & F.col("bucket").between(F.lit(start), F.lit(end))).groupBy("bucket").agg(F.sum("total_count").alias("total_count"))
 
 
-def stored_series(counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date) -> DataFrame:
-    """(bucket, ngram, count, total_count) of the stored buckets, by bucket."""
-    return _selected(counts, n, ngrams, start, end).join(_totals(totals, n, start, end), "bucket").select("bucket", "ngram", "count", "total_count").orderBy("bucket", "ngram")
+def stored_series(counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, ordered: bool = True) -> DataFrame:
+    """(bucket, ngram, count, total_count) of the stored buckets, by bucket if ``ordered``."""
+    out = _selected(counts, n, ngrams, start, end).join(_totals(totals, n, start, end), "bucket").select("bucket", "ngram", "count", "total_count")
+    return out.orderBy("bucket", "ngram") if ordered else out
 
 
 def rebucketed_series(
-    counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched"
+    counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched", ordered: bool = True
 ) -> DataFrame:
-    """(bucket, ngram, sum_count, sum_total) of coarser buckets, by bucket.
+    """(bucket, ngram, sum_count, sum_total) of coarser buckets, by bucket if ``ordered``.
 
     With ``denominator="matched"`` a coarse bucket's total covers the stored buckets in which the
     n-gram itself occurs; with ``"full"`` it covers all of them.
@@ -53,7 +54,8 @@ def rebucketed_series(
         out = tops.join(of_order.groupBy(bucket.alias("bucket")).agg(F.sum("total_count").alias("sum_total")), "bucket")
     else:
         raise ValueError("denominator is 'matched' or 'full'")
-    return out.select("bucket", "ngram", "sum_count", "sum_total").orderBy("bucket", "ngram")
+    out = out.select("bucket", "ngram", "sum_count", "sum_total")
+    return out.orderBy("bucket", "ngram") if ordered else out
 
 
 def points(series: DataFrame) -> DataFrame:

@@ -62,35 +62,48 @@ def request_range(phrase: str | None, start: str | None, end: str | None, granul
     return first, last, _granularity(granularity or "month")
 
 
+class _View:
+    """A state of the store and its tables, read when first asked for."""
+
+    def __init__(self, store: Store, state: dict):
+        self.store, self.state, self._tables, self._lock = store, state, {}, threading.Lock()
+
+    def table(self, name: str) -> DataFrame:
+        with self._lock:
+            if name not in self._tables:
+                self._tables[name] = self.store.read(name, self.state)
+            return self._tables[name]
+
+    def of(self, name: str, n: int, ngrams: Iterable[str]) -> DataFrame:
+        """The files of a table that have these n-grams."""
+        return self.store.narrowed(self.table(name), name, n, ngrams, self.state)
+
+
 class PhraseQueries:
     """Answers phrase queries over a store. Answers are kept for ``ttl`` seconds, up to ``entries`` of them; equal
-    requests at the same time are answered once. A newly published version is noticed by itself."""
+    requests at the same time are answered once. Each request looks up the store's latest commit: answers from before
+    a batch or a publication aren't given again."""
 
     def __init__(self, store: Store, denominator: str = "matched", entries: int = 500, ttl: float = 3600.0):
         self.store, self.denominator, self.entries, self.ttl = store, denominator, entries, ttl
         self._kept: OrderedDict[tuple, tuple[float, dict]] = OrderedDict()
         self._flying: dict[tuple, Future] = {}
         self._lock = threading.Lock()
-        self._tables: dict[str, DataFrame] = {}
-        self._version: str | None = None
+        self._view: _View | None = None
 
-    def _follow(self) -> None:
-        version = self.store.current()
-        if version != self._version:
-            self.refresh()
-            self._version = version
-
-    def _table(self, name: str) -> DataFrame:
-        self._follow()
-        if name not in self._tables:
-            self._tables[name] = self.store.read(name)
-        return self._tables[name]
+    def _now(self) -> _View:
+        """The tables of the latest commit."""
+        state = self.store.state()
+        with self._lock:
+            if self._view is None or self._view.state["seq"] != state["seq"]:
+                self._view = _View(self.store, state)
+            return self._view
 
     def refresh(self) -> None:
-        """Forgets what was read, for batches that were added to the version."""
+        """Forgets what was kept and read."""
         with self._lock:
             self._kept.clear()
-        self._tables.clear()
+            self._view = None
 
     def _once(self, key: tuple, answer: Callable[[], dict]) -> dict:
         """The kept answer, that of a request under way, or a new one."""
@@ -119,39 +132,41 @@ class PhraseQueries:
             with self._lock:
                 self._flying.pop(key, None)
 
-    def series(self, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str) -> DataFrame:
+    def series(self, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, view: _View | None = None, ordered: bool = True) -> DataFrame:
         """(ngram, t, v, count, total), sparse."""
-        return sparse_series(self._table("ngram_counts"), self._table("bucket_totals"), n, ngrams, start, end, granularity, self.denominator)
+        view, ngrams = view or self._now(), list(ngrams)
+        return sparse_series(view.of("ngram_counts", n, ngrams), view.table("bucket_totals"), n, ngrams, start, end, granularity, self.denominator, ordered)
 
-    def _status(self, n: int, ngram: str, any_point: bool) -> str:
+    def _status(self, n: int, ngram: str, any_point: bool, view: _View) -> str:
         if n == 1 or any_point:
             return "indexed"
-        return "indexed" if self.in_vocabulary(n, ngram) else "not_indexed"
+        return "indexed" if self.in_vocabulary(n, ngram, view) else "not_indexed"
 
-    def in_vocabulary(self, n: int, ngram: str) -> bool:
-        return not self._table("ngram_vocabulary").where((F.col("n") == n) & (F.col("ngram") == ngram)).isEmpty()
+    def in_vocabulary(self, n: int, ngram: str, view: _View | None = None) -> bool:
+        return not (view or self._now()).of("ngram_vocabulary", n, [ngram]).where((F.col("n") == n) & (F.col("ngram") == ngram)).isEmpty()
 
-    def global_count(self, n: int, ngram: str) -> int:
+    def global_count(self, n: int, ngram: str, view: _View | None = None) -> int:
         """The corpus total; 0 where there is none or it is below the store's export floor."""
-        row = self._table("global_counts").where((F.col("n") == n) & (F.col("ngram") == ngram)).select("count").first()
-        return row[0] if row and row[0] >= self.store.export_floor() else 0
+        view = view or self._now()
+        row = view.of("global_counts", n, [ngram]).where((F.col("n") == n) & (F.col("ngram") == ngram)).select("count").first()
+        return row[0] if row and row[0] >= view.state["export_floor"] else 0
 
     def phrase(self, phrase: str | None, start: str | None = None, end: str | None = None, granularity: str | None = None) -> dict:
         """One phrase's response, as a dict ready for JSON."""
         first, last, grain = request_range(phrase, start, end, granularity)
         tokens = tokenize_text(phrase)
-        normal = " ".join(tokens)
+        n, normal = len(tokens), " ".join(tokens)
         meta = {"tokenizer_version": TOKENIZER_VERSION, "start": first.isoformat(), "end": last.isoformat(), "granularity": grain}
-        if not 1 <= len(tokens) <= series.MAX_ORDER:
+        if not 1 <= n <= series.MAX_ORDER:
             return {"phrase": phrase, "normalized": normal, "status": "invalid", "points": [], "global_count": 0, "meta": meta}
-        self._follow()
+        view = self._now()
 
         def answer() -> dict:
-            rows = self.series(len(tokens), [normal], first, last, grain).orderBy("t").collect()  # a row a bucket
+            rows = sorted(self.series(n, [normal], first, last, grain, view, False).collect(), key=lambda r: r["t"])  # a row a bucket
             points = [{"t": r["t"].isoformat(), "v": r["v"], "count": r["count"], "total": r["total"]} for r in rows]
-            return {"normalized": normal, "status": self._status(len(tokens), normal, bool(points)), "points": points, "global_count": self.global_count(len(tokens), normal), "meta": meta}
+            return {"normalized": normal, "status": self._status(n, normal, bool(points), view), "points": points, "global_count": self.global_count(n, normal, view), "meta": meta}
 
-        return {"phrase": phrase, **self._once((len(tokens), normal, first, last, grain), answer)}
+        return {"phrase": phrase, **self._once((view.state["changed"], n, normal, first, last, grain), answer)}
 
     def respond(self, phrase: str | None, start: str | None = None, end: str | None = None, granularity: str | None = None) -> tuple[int, str]:
         """Status and JSON body: the response, or the error's envelope."""
@@ -164,14 +179,14 @@ class PhraseQueries:
             return 500, json.dumps(RequestError("INTERNAL_ERROR", "The query could not be answered").envelope())
 
     def compare(self, asked: list[str], start: dt.date, end: dt.date, granularity: str, smoothing: int = 0, log: bool = False) -> DataFrame:
-        counts, totals = self._table("ngram_counts"), self._table("bucket_totals")
-        return compared(counts, totals, asked, start, end, granularity, self.denominator, smoothing, log)
+        view = self._now()
+        return compared(view.table("ngram_counts"), view.table("bucket_totals"), asked, start, end, granularity, self.denominator, smoothing, log)
 
     def vocabulary_check(self, asked: list[tuple[int, str]]) -> list[bool]:
         if not asked:
             return []
         rows = self.store.spark.createDataFrame([(i, n, g) for i, (n, g) in enumerate(asked)], "pos int, n tinyint, ngram string")
-        return [r["found"] for r in ranking.vocabulary_check(rows, self._table("ngram_vocabulary")).collect()]
+        return [r["found"] for r in ranking.vocabulary_check(rows, self._now().table("ngram_vocabulary")).collect()]
 
     def freshness(self) -> dict:
         row = self.store.latest_log()
@@ -205,10 +220,10 @@ def checked_feedback(phrases: list[str], granularity: str, start: str, smoothing
     return {"tokenizer_version": TOKENIZER_VERSION, "phrases": kept, "granularity": grain, "start_date": day, "smoothing": smoothing, "user_agent": agent, "created_at": dt.datetime.now(dt.UTC).replace(tzinfo=None)}
 
 
-def sparse_series(counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched") -> DataFrame:
+def sparse_series(counts: DataFrame, totals: DataFrame, n: int, ngrams: Iterable[str], start: dt.date, end: dt.date, granularity: str, denominator: str = "matched", ordered: bool = True) -> DataFrame:
     if granularity == "day":
-        return series.points(series.stored_series(counts, totals, n, ngrams, start, end))
-    return series.points(series.rebucketed_series(counts, totals, n, ngrams, start, end, granularity, denominator))
+        return series.points(series.stored_series(counts, totals, n, ngrams, start, end, ordered))
+    return series.points(series.rebucketed_series(counts, totals, n, ngrams, start, end, granularity, denominator, ordered))
 
 
 def compared(

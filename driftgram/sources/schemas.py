@@ -10,8 +10,9 @@ TABLES = {
 }
 LOG = (
     "run_seq bigint, batch_id string, tokenizer_version string, command string, last_ingested_ts bigint, comments_processed bigint, ngram_counts_inserted bigint, "
-    "bucket_totals_inserted bigint, vocabulary_inserted bigint, start_month string, end_month string, duration_ms bigint, created_at timestamp"
+    "bucket_totals_inserted bigint, vocabulary_inserted bigint, start_month string, end_month string, duration_ms bigint, created_at timestamp, "
+    "first_ingested_ts bigint, state_rows bigint"
 )
 FEEDBACK = "tokenizer_version string, phrases array<string>, granularity string, start_date date, smoothing tinyint, user_agent string, created_at timestamp"
-#: Where an n-gram occurs in several rows of a table, the row with the greatest of these counts.
-VERSION_COLUMN = {"ngram_vocabulary": "admitted_at", "global_counts": "count"}
+#: Where an n-gram occurs in several rows of a table, the row with the greatest of these counts. Other tables' rows add up.
+VERSION_COLUMN = {"ngram_vocabulary": "admitted_at"}

@@ -21,46 +21,67 @@ from ..functions.text import with_tokens
 from ..operators import counting, pruning, ranking
 from ..sources import items
 from ..sources.config import BuildConfig
-from ..sources.store import BatchConflict, Store
+from ..sources.store import BatchConflict, CommitConflict, Store, bucket
 
 
 def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildConfig, command: str = "process", log: dict | None = None) -> bool:
     """Adds (bucket, text, ts_ms) as one batch. Repeating a batch changes nothing, for its rows aren't later
-    than the watermark; new rows under an id that is in the log are an error."""
+    than the watermark; new rows under an id that is in the log are an error.
+
+    Of the corpus totals and the vocabulary only the hash partitions that the batch's n-grams fall into are read,
+    and the batch adds its own counts to them. If another writer commits meanwhile, what depends on its
+    state is made anew; the batch's counts are not.
+    """
     store.check_version()
-    began = time.monotonic()
-    rows = items.later(rows, store.watermark()).persist()
-    newest, number = rows.agg(F.max("ts_ms"), F.count("*")).first()
-    if not number:
-        rows.unpersist()
-        return False
-    if batch_id in store._batches():
-        rows.unpersist()
-        raise BatchConflict(f"batch {batch_id!r} is in the log, and {number} new rows came under its id")
-    texts = with_tokens(rows).select("bucket", "tokens").persist()
-    counts = counting.ngram_counts(texts, config.max_n).persist()
-    # only n-grams of this batch can change their total or be newly admitted
-    earlier = store.read("global_counts").select("n", "ngram", F.col("count").alias("earlier"))
-    overall = counting.global_counts(counts).join(earlier, ["n", "ngram"], "left").select("n", "ngram", (F.col("count") + F.coalesce("earlier", F.lit(0))).alias("count")).persist()
-    before = store.read("ngram_vocabulary")
+    began, state = time.monotonic(), store.state()
+    held = [items.later(rows, state["watermark"]).persist()]
+    try:
+        first, newest, number = held[0].agg(F.min("ts_ms"), F.max("ts_ms"), F.count("*")).first()
+        if not number:
+            return False
+        if store.has_batch(batch_id, state):
+            raise BatchConflict(f"batch {batch_id!r} is in the log, and {number} new rows came under its id")
+        texts = with_tokens(held[0]).select("bucket", "tokens").persist()
+        counts = counting.ngram_counts(texts, config.max_n).persist()
+        own = counting.global_counts(counts).persist()
+        held += [texts, counts, own]
+        while True:
+            made, entry = _admitted(store, state, counts, own, config)
+            entry |= {"command": command, "first_ingested_ts": first, "last_ingested_ts": newest, "comments_processed": number}
+            entry |= {"duration_ms": int((time.monotonic() - began) * 1000), **(log or {})}
+            made["bucket_totals"] = counting.bucket_totals(texts, config.max_n)
+            try:
+                done = store.append(made, batch_id, entry, base=state["seq"])
+                break
+            except CommitConflict:
+                state = store.state()
+        while store.merge():
+            pass
+        return done
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+def _admitted(store: Store, state: dict, counts: DataFrame, own: DataFrame, config: BuildConfig) -> tuple[dict[str, DataFrame], dict]:
+    """The batch's rows of the tables that depend on what was counted before, and the log's figures of them."""
+    known = {}
+    for table in ("global_counts", "ngram_vocabulary"):
+        # only n-grams of this batch can change their total or be newly admitted: at most so many numbers as there are partitions
+        touched = [r[0] for r in own.select(bucket(F.col("n"), F.col("ngram"), state["buckets"][table]).alias("h")).distinct().collect()]
+        known[table] = F.col("h").isin(touched)
+    earlier = store.read("global_counts", state).where(known["global_counts"]).select("n", "ngram", F.col("count").alias("earlier"))
+    overall = own.join(earlier, ["n", "ngram"], "left").select("n", "ngram", (F.col("count") + F.coalesce("earlier", F.lit(0))).alias("count"))
+    before = store.read("ngram_vocabulary", state).where(known["ngram_vocabulary"])
     admitted = pruning.vocabulary(overall, config.pruning)
-    new = ranking.new_admissions(admitted, before)
     now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
     made = {
         "ngram_counts": pruning.filtered_counts(counts, ranking.all_admitted(admitted, before), config.pruning),
-        "bucket_totals": counting.bucket_totals(texts, config.max_n),
-        "global_counts": overall,
+        "global_counts": own,
         "ngram_vocabulary": admitted.withColumn("admitted_at", F.lit(now)),
     }
-    entry = {
-        "command": command, "last_ingested_ts": newest, "comments_processed": number, "vocabulary_inserted": new.count(),
-        "duration_ms": int((time.monotonic() - began) * 1000),
-    }
-    try:
-        return store.append(made, batch_id, entry | (log or {}))
-    finally:
-        for frame in (rows, texts, counts, overall):
-            frame.unpersist()
+    read = sum(store.rows(table, state).where(where).count() for table, where in known.items())
+    return made, {"vocabulary_inserted": ranking.new_admissions(admitted, before).count(), "state_rows": read}
 
 
 def process_months(spark: SparkSession, source: str, store: Store, config: BuildConfig) -> list[str]:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,7 +14,8 @@ from driftgram.operators.pruning import Pruning, Threshold
 from driftgram.plans import phrases
 from driftgram.plans.rebuild import rebuild
 from driftgram.sources import config, items
-from driftgram.sources.store import BatchConflict, Store, VersionMismatch, write_tsv
+from driftgram.sources.commits import CommitLog, Files
+from driftgram.sources.store import BatchConflict, CommitConflict, Store, VersionMismatch, write_tsv
 from driftgram.streaming import incremental
 
 ALL = Pruning({n: Threshold(0, 1) for n in (1, 2, 3)})
@@ -128,7 +130,7 @@ def test_incremental_equals_rebuild_and_repeats_do_nothing(spark, source, built,
     overall = {r["ngram"]: r["count"] for r in store.read("global_counts").collect()}
     assert overall["red"] == 3 and overall["red apples"] == 3 and store.read("global_counts").count() == len(overall)
     spark.sql("SELECT 1")
-    store._append_log({"tokenizer_version": "0"}, store.current())
+    store.append({}, "other", {"tokenizer_version": "0"})
     with pytest.raises(VersionMismatch):
         store.check_version()
     store.reset()
@@ -170,14 +172,14 @@ def test_publication_survives_a_crash(spark, source, tmp_path, monkeypatch):
     january = config.BuildConfig(start="2024-01", end="2024-01", pruning=ALL)
     rebuild(spark, source, store, january)
     mark, version = store.watermark(), store.current()
-    for broken in ("_point_to", "_append_log", "_write"):
+    for owner, broken in ((CommitLog, "put"), (Store, "_logged"), (Store, "_write")):
         with monkeypatch.context() as m, pytest.raises(OSError):
-            m.setattr(Store, broken, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            m.setattr(owner, broken, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
             rebuild(spark, source, store, BUILD)
         assert (store.watermark(), store.current()) == (mark, version) and store.read("ngram_counts").where("bucket > DATE '2024-02-01'").isEmpty()
-    with monkeypatch.context() as m, pytest.raises(OSError):  # after the pointer has moved
-        m.setattr(Store, "_remove", lambda *a: (_ for _ in ()).throw(OSError("lost")))
-        (tmp_path / "s" / "v-stray").mkdir()
+    rebuild(spark, source, store, BUILD)
+    with monkeypatch.context() as m, pytest.raises(OSError):  # after the commit, when what is dead is removed
+        m.setattr(Files, "remove", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         rebuild(spark, source, store, BUILD)
     assert store.current() != version and store.watermark() == int(dt.datetime(2024, 3, 2, 8, tzinfo=dt.UTC).timestamp() * 1000)
     assert incremental.process_months(spark, source, store, BUILD) == []  # nothing is counted twice
@@ -193,7 +195,9 @@ def test_readers_live_through_a_publication(spark, source, tmp_path):
     after = queries.phrase("red apples", "2024-01-01", "2024-03-31")
     assert len(before["points"]) == 2 and len(after["points"]) == 1
     rebuild(spark, source, store, BUILD)
-    assert len([f for f in store._folders() if f.startswith("v-")]) == 2
+    assert len(store.files.below("ngram_counts")) == 2  # the current tables and those before
+    with pytest.raises(Exception, match="does not exist|not exist|FileNotFound|FAILED_READ_FILE|removed"):
+        running.count()
 
 
 def test_broken_off_builds_go_on(spark, source, tmp_path, monkeypatch):
@@ -209,27 +213,29 @@ def test_broken_off_builds_go_on(spark, source, tmp_path, monkeypatch):
 
     monkeypatch.setattr(items, "read_items", reading)
     with pytest.raises(OSError):
-        rebuild(spark, source, store, BUILD)
-    rebuild(spark, source, store, BUILD)
-    assert seen[:3] == ["2024-01", "2024-03", "2024-03"] and not store._folders("partial")
+        rebuild(spark, source, store, BUILD, files_at_once=1)
+    rebuild(spark, source, store, BUILD, files_at_once=1)
+    assert seen == ["2024-01", "2024-03", "2024-03"] and not store.files.below("partial")  # each file is read once
     assert store.read("global_counts").where("ngram = 'red apples'").first()["count"] == 3
 
 
 def test_compaction(spark, source, tmp_path):
     store = Store(spark, str(tmp_path))
-    assert store.compact() is None
+    assert not store.compact()
     incremental.process_months(spark, source, store, BUILD)
     shown = {t: {tuple(r) for r in store.read(t).collect()} for t in ("ngram_counts", "bucket_totals", "global_counts", "ngram_vocabulary")}
     mark = store.watermark()
-    version = store.compact()
-    assert store.current() == version and store._batches() == [] and store.watermark() == mark
+    assert store.compact() and not store.compact() and store.watermark() == mark
+    for folders in store.state()["tables"].values():  # every partition lies in one folder
+        slots = [slot for made in folders.values() for slot in made["slots"]]
+        assert len(slots) == len(set(slots))
     assert {t: {tuple(r) for r in store.read(t).collect()} for t in shown} == shown
     assert store.latest_log()["command"] == "compact" and store.log().count() == 3
     rows = spark.createDataFrame([(dt.date(2024, 1, 5), "red apples", 1_717_200_000_000)], "bucket date, text string, ts_ms long")
     assert incremental.process_batch(store, rows, "late", BUILD)
     store.compact()
     assert store.read("ngram_counts").where("ngram = 'red apples' AND bucket = DATE '2024-01-05'").collect()[0]["count"] == 3
-    assert len(spark.read.parquet(f"{tmp_path}/{store.current()}/ngram_counts").inputFiles()) > 0
+    assert len(store.read("ngram_counts").inputFiles()) > 0
 
 
 def test_equal_requests_are_answered_once(built, monkeypatch):
@@ -297,3 +303,166 @@ def test_tsv(spark, tmp_path):
 def test_not_done(spark):
     paths = spark.createDataFrame([("a",), ("b",)], "path string")
     assert [r[0] for r in items.not_done(paths, paths.where(F.col("path") == "a")).collect()] == ["b"]
+
+
+# ---------------------------------------------------------------- several writers, growing stores
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame([(dt.date.fromisoformat(d), t, int(dt.datetime.fromisoformat(d).replace(tzinfo=dt.UTC).timestamp() * 1000) + k) for k, (d, t) in enumerate(rows, 1)], "bucket date, text string, ts_ms long")
+
+
+def _counted(store, table="global_counts"):
+    return {(r["n"], r["ngram"]): r["count"] for r in store.read(table).collect()}
+
+
+def test_a_commit_number_is_taken_once(spark, tmp_path):
+    log = CommitLog(Files(spark, str(tmp_path)))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: log.put({"seq": 1, "writer": i}), range(16)))
+    assert sum(won) == 1 and log.latest()["writer"] == won.index(True) and log.numbers() == [1]
+    for seq in range(2, 340):
+        log.put({"seq": seq})
+    assert log.numbers()[0] == 65 and log.latest() == {"seq": 339}
+    assert Files(spark, str(tmp_path)).below("commits").keys() == {f"{i:012d}.json" for i in range(65, 340)}  # nothing half-written is left
+
+
+def test_two_batches_and_a_publication_lose_nothing(spark, source, tmp_path, monkeypatch):
+    """They begin from the same state; whoever commits later does so on top of the others."""
+    store = Store(spark, f"{tmp_path}/s")
+    rebuild(spark, source, store, BUILD)
+    rule = config.BuildConfig(start="2023-12", end="2024-04", max_n=2, pruning=Pruning({1: Threshold(0, 1), 2: Threshold(4, 1)}))
+    write, waiting = Store._write, threading.Barrier(3)
+
+    def together(self, table, rows, buckets):
+        out = write(self, table, rows, buckets)
+        if table == "ngram_counts" and threading.current_thread().name not in met:
+            met.add(threading.current_thread().name)
+            waiting.wait(120)
+        return out
+
+    met: set = set()
+    monkeypatch.setattr(Store, "_write", together)
+    jobs = [lambda: incremental.process_batch(Store(spark, store.root), _rows(spark, ("2024-05-01", "red apples"), ("2024-05-01", "green figs")), "a", rule),
+            lambda: incremental.process_batch(Store(spark, store.root), _rows(spark, ("2024-05-02", "red apples"), ("2024-05-02", "green figs")), "b", rule),
+            lambda: rebuild(spark, source, Store(spark, store.root), BUILD)]
+    with ThreadPoolExecutor(3) as pool:
+        done = [f.result() for f in [pool.submit(j) for j in jobs]]
+    assert done[:2] == [True, True]
+    counted = _counted(store)
+    assert counted[2, "red apples"] == 5 and counted[2, "green figs"] == 2 and counted[1, "green"] == 2
+    # one of the batches came second, and its total reached the threshold with the first's
+    assert {(r["ngram"], r["global_count"]) for r in store.read("ngram_vocabulary").where("n = 2 AND ngram = 'red apples'").collect()} == {("red apples", 5)}
+    assert sorted(r["command"] for r in store.log().collect()) == ["process", "process", "rebuild", "rebuild"]
+    assert store.read("bucket_totals").where("n = 1").agg(F.sum("total_count")).first()[0] == 8 + 8
+
+
+def test_a_publication_that_counts_a_new_batch_too_is_refused(spark, source, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    rebuild(spark, source, store, BUILD)
+    base, tables = store.state()["seq"], {t: store.read(t) for t in ("ngram_counts", "bucket_totals", "global_counts", "ngram_vocabulary")}
+    store.append({"bucket_totals": spark.createDataFrame([(1, dt.date(2024, 5, 1), 5)], "n tinyint, bucket date, total_count long")}, "x", {"first_ingested_ts": 100, "last_ingested_ts": 200})
+    with pytest.raises(CommitConflict):
+        store.publish(tables, {"last_ingested_ts": 150}, base=base)
+    store.publish(tables, {"last_ingested_ts": 99}, base=base)
+    assert store.read("bucket_totals").where("bucket = DATE '2024-05-01'").count() == 1
+    with pytest.raises(CommitConflict):
+        store.append({}, "y", {}, base=base)
+
+
+def test_answers_follow_batches(spark, source, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    rebuild(spark, source, store, BUILD)
+    queries = phrases.PhraseQueries(store)
+    assert queries.phrase("red apples", "2024-01-01", "2024-12-31")["global_count"] == 3
+    assert incremental.process_batch(store, _rows(spark, ("2024-05-01", "red apples red apples")), "more", BUILD)
+    got = queries.phrase("red apples", "2024-01-01", "2024-12-31")
+    assert got["global_count"] == 5 and [p["count"] for p in got["points"]] == [2, 1, 2]
+    seen = queries._kept.copy()
+    for k in range(4):
+        store.append({"bucket_totals": spark.createDataFrame([(5, dt.date(2024, 6, 1), k)], "n tinyint, bucket date, total_count long")}, f"t{k}", {})
+    queries.phrase("red apples", "2024-01-01", "2024-12-31")
+    changed, kept = store.state()["changed"], len(queries._kept)
+    assert store.merge() and store.state()["changed"] == changed  # merging changes no answer
+    queries.phrase("red apples", "2024-01-01", "2024-12-31")
+    assert len(queries._kept) == kept > len(seen)
+
+
+def test_a_changed_file_is_counted_again(spark, tmp_path, monkeypatch):
+    """The build breaks off before publication, and the month's file is another one when it goes on."""
+    store, path = Store(spark, f"{tmp_path}/s"), f"{tmp_path}/items/2024/2024-01.parquet"
+    month = lambda n: spark.createDataFrame([item(i, "red apples", f"2024-01-0{1 + i % 8}T00:00:00") for i in range(n)], SCHEMA)
+    month(2).write.parquet(path)
+    january = config.BuildConfig(start="2024-01", end="2024-01", pruning=ALL)
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(Store, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        rebuild(spark, f"{tmp_path}/items", store, january)
+    month(7).write.mode("overwrite").parquet(path)
+    rebuild(spark, f"{tmp_path}/items", store, january)
+    assert _counted(store)[2, "red apples"] == 7 == store.latest_log()["comments_processed"]
+
+
+def test_ten_batches_equal_one_and_read_no_history(spark, tmp_path):
+    """Each batch has the same words on another day: what it reads of the state stays as it is."""
+    words = [f"w{i:03d} x{i % 7}" for i in range(120)]
+    days = [f"2024-0{1 + k}-01" for k in range(9)] + ["2024-10-01"]
+    rule = config.BuildConfig(max_n=2, pruning=Pruning({1: Threshold(0, 1), 2: Threshold(0, 1)}))
+    ten, one = Store(spark, f"{tmp_path}/ten"), Store(spark, f"{tmp_path}/one")
+    for k, day in enumerate(days):
+        assert incremental.process_batch(ten, _rows(spark, *((day, w) for w in words)), f"b{k}", rule)
+    assert incremental.process_batch(one, _rows(spark, *((d, w) for d in days for w in words)), "all", rule)
+    assert _counted(ten) == _counted(one) and _counted(ten)[2, "w001 x1"] == 10
+    key = ("bucket", "n", "ngram", "count")
+    assert {tuple(r) for r in ten.read("ngram_counts").select(*key).collect()} == {tuple(r) for r in one.read("ngram_counts").select(*key).collect()}
+    assert {(r["n"], r["ngram"], r["global_count"]) for r in ten.read("ngram_vocabulary").collect()} == {(r["n"], r["ngram"], r["global_count"]) for r in one.read("ngram_vocabulary").collect()}
+    read = [r["state_rows"] for r in ten.log().where("command = 'process'").orderBy("run_seq").collect()]
+    distinct = len(_counted(one))
+    assert read[0] == 0 and max(read[1:]) <= 2 * distinct * 4 and max(read[-3:]) <= max(read[1:5])
+
+
+def test_a_batch_reads_only_the_partitions_of_its_ngrams(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", key_buckets=64)
+    rule = config.BuildConfig(max_n=1, pruning=Pruning({1: Threshold(0, 1)}))
+    incremental.process_batch(store, _rows(spark, *(("2024-01-01", f"word{i}") for i in range(900))), "a", rule)
+    incremental.process_batch(store, _rows(spark, ("2024-01-02", "word5")), "b", rule)
+    assert 2 <= store.latest_log()["state_rows"] < 100 and _counted(store)[1, "word5"] == 2
+
+
+def test_a_phrase_is_in_one_file_a_month(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    rule = config.BuildConfig(max_n=2, pruning=Pruning({1: Threshold(0, 1), 2: Threshold(0, 1)}))
+    incremental.process_batch(store, _rows(spark, *((f"2024-0{m}-01", f"word{i} and more") for m in range(1, 7) for i in range(100))), "a", rule)
+    view = phrases.PhraseQueries(store)._now()
+    rows = view.of("ngram_counts", 2, ["word7 and"]).where("ym BETWEEN 202402 AND 202404 AND n = 2 AND ngram = 'word7 and'")
+    assert rows.count() == 3
+    rows.collect()
+    leaf = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().apply("numFiles").value() == 3
+    assert view.of("global_counts", 2, ["word7 and"]).where("n = 2 AND ngram = 'word7 and'").first()["count"] == 6
+    assert phrases.PhraseQueries(store).phrase("word7 and", "2024-01-01", "2024-12-31")["global_count"] == 6
+
+
+def test_merging_leaves_other_months_alone(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", files_per_month=2, fan_in=3)
+    names = lambda month: {"/".join(f.rsplit("/", 2)[-2:]) for f in store.rows("ngram_counts").where(f"ym = {month}").inputFiles() if f"ym={month}" in f}
+    one = lambda day, k: {"ngram_counts": spark.createDataFrame([(dt.date.fromisoformat(day), 1, f"w{i}", k) for i in range(20)], "bucket date, n tinyint, ngram string, count long")}
+    for k in range(2):
+        store.append(one("2024-01-05", 1), f"jan{k}", {})
+    for k in range(3):
+        store.append(one("2024-02-05", 1), f"feb{k}", {})
+    january, february = names(202401), names(202402)
+    assert store.merge() and not store.merge()
+    assert names(202401) == january and len(january) == 4 and len(names(202402)) == 2 and not names(202402) & february
+    assert {(r["ym"], r["total"]) for r in store.read("ngram_counts").groupBy("ym", "ngram").agg(F.sum("count").alias("total")).collect()} == {(202401, 2), (202402, 3)}
+    assert store.compact() and len(names(202401)) == 2 and store.log().where("command = 'compact'").count() == 1
+
+
+def test_long_logs_and_lost_writers(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    for k in range(70):
+        assert store.append({}, f"b{k}", {"last_ingested_ts": k, "command": "process"})
+    state = store.state()
+    assert len(state["log_files"]) == 2 and len(state["log_rows"]) < 32 and store.log().count() == 70 and store.watermark() == 69
+    assert not store.append({}, "b3", {}) and not store.append({}, "b69", {}) and store.latest_log()["run_seq"] == 70
+    store._write("bucket_totals", spark.createDataFrame([(1, dt.date(2024, 5, 1), 5)], "n tinyint, bucket date, total_count long"), state["buckets"])
+    assert store.sweep() == 0 and store.sweep(hours=-1) == 1 and not store.files.below("bucket_totals")
