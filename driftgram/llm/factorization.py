@@ -40,6 +40,8 @@ class Settings:
     max_train_rows: int = 6000
     max_train_features: int = 1 << 25
     half_chi2: float = 20.0
+    pair_places: int = 2048
+    pair_least: int = 20
     floor: float = 0.03
     epochs: int = 6
     min_updates: int = 300
@@ -74,6 +76,42 @@ def _pairs(vectors: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return 0.5 * (sums * sums - np.add.reduceat(vectors * vectors, starts, axis=0)).sum(axis=1), sums
 
 
+def pair_evidence(docs: list[np.ndarray], labels: np.ndarray, places: np.ndarray, total: np.ndarray, alone: np.ndarray, s: Settings) -> np.ndarray:
+    """For each place the chi-squared of its best pair's interaction, less what both tell alone and what the best of so
+    many chance pairs would reach.
+
+    An interaction is how far one place's effect on the label's rate differs with the other there and not there: the
+    rates of the four ways to have the two, with signs + - - +, squared over the variance of that sum.
+    """
+    varies, out = np.minimum(total, len(docs) - total), np.zeros(len(places))
+    picked = np.lexsort((places, -varies))[: s.pair_places]
+    picked = np.sort(picked[varies[picked] >= s.pair_least])
+    rate = labels.mean() if len(labels) else 0.0
+    if len(picked) < 2 or not 0 < rate < 1:
+        return out
+    column = np.full(len(places), -1)
+    column[picked] = np.arange(len(picked))
+    has = np.zeros((len(docs), len(picked)), dtype=np.float32)
+    for row, doc in enumerate(docs):
+        at = column[np.searchsorted(places, doc)]
+        has[row, at[at >= 0]] = 1
+    mine = has[labels == 1]
+    n, n1 = has.sum(axis=0, dtype=np.float64), mine.sum(axis=0, dtype=np.float64)
+    chance = 2 * np.log(len(picked) ** 2)
+    for at in range(0, len(picked), 256):  # rows of the table of pairs
+        rows = slice(at, at + 256)
+        both, both1 = (has[:, rows].T @ has).astype(np.float64), (mine[:, rows].T @ mine).astype(np.float64)
+        left, left1, right, right1 = n[rows, None] - both, n1[rows, None] - both1, n[None] - both, n1[None] - both1
+        none, none1 = len(docs) - both - left - right, len(mine) - both1 - left1 - right1
+        with np.errstate(divide="ignore", invalid="ignore"):  # a way that no row has: nothing can be said
+            contrast = both1 / both - left1 / left - right1 / right + none1 / none
+            told = np.nan_to_num(contrast**2 / (rate * (1 - rate) * (1 / both + 1 / left + 1 / right + 1 / none)))
+        excess = told - alone[picked[rows], None] - alone[None, picked]
+        excess[np.arange(len(excess)), np.arange(at, at + len(excess))] = 0
+        out[picked[rows]] = np.maximum(0, excess.max(axis=1) - chance)
+    return out
+
+
 def evidence(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The places met, and x of each."""
     flat = np.concatenate([np.empty(0, dtype=np.int64), *docs])
@@ -84,7 +122,8 @@ def evidence(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[n
     d = n - p - b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
-    return places, np.minimum(1.0, s.floor + (chi2 / (chi2 + s.half_chi2)) ** 2)
+    best = np.maximum(chi2, pair_evidence(docs, labels, places, total, chi2, s))
+    return places, np.minimum(1.0, s.floor + (best / (best + s.half_chi2)) ** 2)
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
