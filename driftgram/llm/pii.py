@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data (operator 7), native functions only.
 
-Found in whole texts: e-mail addresses, IPv4 addresses, card numbers (13 to 19 digits that pass
-the Luhn check), North American phone numbers, US social security numbers, international bank
+Found in whole texts: e-mail addresses, IPv4 addresses, card numbers (an issuer's beginning and length,
+digits together or in the groups that cards show, and the Luhn check), North American phone numbers, US social security numbers, international bank
 account numbers (modulo 97) and calendar dates (2024-02-29 and 29.02.2024). Each valid value is
 replaced by a keyed permutation within its own format, so a card stays a Luhn-valid number of
 the same length, a date a date, and equal values become equal pseudonyms in every document.
@@ -17,11 +17,16 @@ number whose area and exchange begin with 2 to 9, as the North American plan has
 (modulo 800 x 800 and 10,000); one of that shape outside the plan stays outside it. The last
 digit of a card number and the check digits of an account aren't permuted but worked out anew.
 
-Digit groups beside a card number, or capitals beside an account number, look like a part of it.
-So all spans that begin and end at separators are tried, and the text is then searched for those
-that pass their check: from the left, the longest first. (So where digits before a number happen
-to pass with its beginning, as one in ten does, that span is replaced and the number's last group
-is left.) A shorter span than the longest one of an account must have its country's length.
+Digit groups beside a grouped card number, or capitals beside a grouped account number, look like a
+part of it. So all such spans are tried, and the text is then searched for those that pass their check:
+from the left, the longest first. (So where digits before a number happen to pass with its beginning,
+as one in ten of those with an issuer's beginning does, that span is replaced and the number's last group is
+left.) Numbers without separators stand alone and need no such search, so texts full of them take linear
+time; n different grouped numbers in a text take time n times its length. A shorter span than the longest
+one of an account must have its country's length.
+
+The key comes from the setting ``spark.driftgram.pii.key``. Where that is unset, :func:`query` draws one for
+this run alone, which is kept nowhere: its pseudonyms are linked within the run and to no other.
 
 Edge cases: a null text stays null, empty texts stay empty; values that fail validation are left
 alone; repeated rows are treated alike; all other columns of an input are kept, those named like
@@ -30,6 +35,7 @@ the results replaced; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,13 +48,23 @@ KINDS = ("email", "ip", "phone", "card", "date", "ssn", "iban")
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: Issuers' beginnings and lengths, as publicly documented.
+ISSUERS = "|".join((
+    "4[0-9]{12}(?:[0-9]{3}){0,2}", "(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}", "3[47][0-9]{13}", "3(?:0[0-5]|[689][0-9])[0-9]{11}(?:[0-9]{2,5})?",
+    "(?:6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2}|35(?:2[89]|[3-8][0-9])|220[0-4])[0-9]{12,15}", "(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15}",
+))
+CARD = rf"(?<![0-9A-Za-z])(?:{ISSUERS})(?![0-9A-Za-z])"
+#: Cards' groups, the longest first, with one separator throughout.
+_GROUPS = [(4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)]
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-#: What needs no check sum; card and account numbers of a text that pass theirs are put behind it.
-OTHERS = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}"
-CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9A-Za-z]))" for n in range(19, 12, -1)]
+ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+GROUPED_ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: What stands alone; grouped card and account numbers of a text that pass their checks are put behind it.
+OTHERS = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}|{ACCOUNT}"
+_SHAPES = [f"[0-9]{{{first}}}" + "".join(f"{sep}[0-9]{{{n}}}" for n in rest) for first, *rest in _GROUPS for sep in " -"]
+GROUPED_CARD = rf"(?<![0-9A-Za-z])(?:{'|'.join(_SHAPES)})(?![0-9A-Za-z])"
+CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=({shape})(?![0-9A-Za-z]))" for shape in _SHAPES]
 IBAN_SPANS = [rf"(?<![A-Za-z0-9])(?=([A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n}}}{tail})(?![A-Za-z0-9]))" for n in range(7, 1, -1) for tail in (" [A-Z0-9]{1,3}", "")]
 #: Length of a country's account numbers.
 IBAN_LENGTHS = {
@@ -70,6 +86,10 @@ def luhn_valid(digits: Column) -> Column:
     return luhn_sum(digits, F.char_length(digits) % 2 == 0) % 10 == 0
 
 
+def card_valid(digits: Column) -> Column:
+    return digits.rlike(f"^(?:{ISSUERS})$") & luhn_valid(digits)
+
+
 def _shift(key: str, tag: str, r: int, other: Column, i: Column) -> Column:
     """32 keyed bits for place ``i``, from the other half."""
     block = F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{tag}{r}"), F.floor(i / 8).cast("string"), other).cast("binary"), 256)
@@ -205,21 +225,21 @@ def permute(value: Column, kind: Column, key: str, forward: bool = True) -> Colu
 
 
 def _checked(text: Column) -> Column:
-    """Distinct card and account numbers of the text that pass their checks, the longest first."""
+    """Distinct grouped card and account numbers of the text that pass their checks, the longest first."""
     none = F.array().cast("array<string>")
     of = lambda patterns: F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns))
-    cards = F.filter(of(CARD_SPANS), lambda v: luhn_valid(F.regexp_replace(v, "[^0-9]", "")))
+    cards = F.filter(of(CARD_SPANS), lambda v: card_valid(F.regexp_replace(v, "[^0-9]", "")))
     compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
     in_country = lambda v: F.concat(F.substring(v, 1, 2), F.char_length(compact(v)).cast("string")).isin([f"{name}{n}" for n, names in IBAN_LENGTHS.items() for name in names])
-    accounts = F.concat(F.regexp_extract_all(text, F.lit(IBAN), F.lit(0)), F.filter(of(IBAN_SPANS), in_country))
+    accounts = F.concat(F.regexp_extract_all(text, F.lit(GROUPED_ACCOUNT), F.lit(0)), F.filter(of(IBAN_SPANS), in_country))
     accounts = F.filter(accounts, lambda v: mod97(compact(v)) == 1)
-    found = F.array_distinct(F.concat(F.when(text.rlike(CARD), cards).otherwise(none), F.when(text.rlike(IBAN), accounts).otherwise(none)))
+    found = F.array_distinct(F.concat(F.when(text.rlike(GROUPED_CARD), cards).otherwise(none), F.when(text.rlike(GROUPED_ACCOUNT), accounts).otherwise(none)))
     return F.array_sort(found, lambda a, b: F.char_length(b) - F.char_length(a))
 
 
 def _found(text: Column) -> Column:
-    """What :func:`common.located` finds of :data:`OTHERS` and of the numbers that pass their checks."""
-    numbers = F.when(text.rlike(f"{CARD}|{IBAN}"), _checked(text)).otherwise(F.array().cast("array<string>"))
+    """What :func:`common.located` finds of :data:`OTHERS` and of the grouped numbers that pass their checks."""
+    numbers = F.when(text.rlike(f"{GROUPED_CARD}|{GROUPED_ACCOUNT}"), _checked(text)).otherwise(F.array().cast("array<string>"))
     wanted = lambda n: F.when(F.size(n) == 0, OTHERS).otherwise(F.concat(F.lit(f"{OTHERS}|(?<![0-9A-Za-z])(?:"), F.array_join(n, "|"), F.lit(")(?![0-9A-Za-z])")))
     return common.let(common.let(numbers, wanted), lambda p: common.located(text, p))
 
@@ -237,7 +257,7 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(f"^(?:{SSN})$"), F.when(ssn_ok, F.lit("ssn")))
         .when(value.rlike("^[A-Z]"), F.when(mod97(F.replace(value, F.lit(" "), F.lit(""))) == 1, F.lit("iban")))
         .when(value.rlike(f"^(?:{PHONE})$"), F.lit("phone"))
-        .when(F.char_length(digits).between(13, 19), F.when(luhn_valid(digits), F.lit("card")))
+        .when(F.char_length(digits).between(13, 19), F.when(card_valid(digits), F.lit("card")))
     )
 
 
@@ -268,11 +288,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     return found.select(*others, row.alias(result)).select(*others, f"{result}.text", f"{result}.pii", *counts)
 
 
-#: A deployment puts its own key into this setting; the other is for trials.
-KEY_SETTING, TRIAL_KEY = "spark.driftgram.pii.key", "driftgram-demo-key"
+KEY_SETTING = "spark.driftgram.pii.key"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymise(common.table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TRIAL_KEY))
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    out = pseudonymise(common.table(spark, sf_dir, "documents"), key)
     listed = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["pseudonym"])), ",")
     return out.select("doc_id", "text", *(f"n_{k}" for k in KINDS), listed.alias("pseudonyms"))

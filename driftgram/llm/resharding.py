@@ -258,18 +258,26 @@ def _placed(rows: DataFrame, made: Plan, h: str, shard: str = "shard", old: str
     return rows.join(F.broadcast(cuts), [old, small]).withColumn(shard, F.get(names["targets"], past)).drop(*names.values())
 
 
+def folder_name(columns: list[str]) -> str:
+    """What the shards' folders are named by: ``shard``, or longer where a column is called that in any case."""
+    name = "shard"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, all_shards: bool = False) -> set[int]:
     """Writes the shards that gain or lose rows (or all) as ``path``/shard=<n>, whose files' rows, in
-    order of the files' names, are the shard's; returns the shards' numbers.
+    order of the files' names, are the shard's; returns the shards' numbers. Where ``docs`` has a column
+    ``shard`` itself, that is kept and the folders' name is longer (:func:`folder_name`).
 
     Each file is one task's: its rows are those of a range of hashes in its shard, in order of
     hash. The texts are shuffled once.
     """
     affected = set(range(made.shards)) if all_shards else {s for s in made.moved if s < made.shards}
     row = {c: common.unused(docs, c) for c in ("old", "small", "h", "part")}
-    shard = "shard"
-    others = [c for c in docs.columns if c.lower() != shard]
-    keyed = docs.withColumns({row["old"]: old_shard.cast("int"), row["small"]: _size(docs["text"]) <= made.small, row["h"]: made.hashed(docs)}).drop(*(c for c in docs.columns if c.lower() == shard))
+    shard, others = folder_name(docs.columns), docs.columns
+    keyed = docs.withColumns({row["old"]: old_shard.cast("int"), row["small"]: _size(docs["text"]) <= made.small, row["h"]: made.hashed(docs)})
     rows = _placed(keyed, made, row["h"], shard, row["old"], row["small"]).where(F.col(shard).isin(sorted(affected)))
     held = docs.agg(F.coalesce(F.sum(_size(docs["text"])), F.lit(0))).first()[0]
     files = max(1, -(-held // (made.shards * FILE_BYTES)))
@@ -281,10 +289,12 @@ def rewrite(docs: DataFrame, old_shard: Column, made: Plan, path: str, all_shard
 
 
 def slots(spark, path: str, columns: T.StructType) -> DataFrame:
-    """The rows below ``path`` (``columns``, shard) with ``slot``, the place in the shard's files as they lie there."""
-    back = spark.read.schema(T.StructType(columns.fields + [T.StructField("shard", T.IntegerType())])).parquet(path)
+    """The rows below ``path`` (``columns``, then the shard, named as :func:`folder_name` says) with ``slot``, the place in
+    the shard's files as they lie there."""
+    shard_name = folder_name(columns.names)
+    back = spark.read.schema(T.StructType(columns.fields + [T.StructField(shard_name, T.IntegerType())])).parquet(path)
     name = F.col("_metadata.file_path")
-    files = sorted((r["shard"], r["name"], r["n"]) for r in back.groupBy("shard", name.alias("name")).agg(F.count("*").alias("n")).collect())  # a row a file
+    files = sorted((r["shard_no"], r["name"], r["n"]) for r in back.groupBy(F.col(shard_name).alias("shard_no"), name.alias("name")).agg(F.count("*").alias("n")).collect())  # a row a file
     before, offsets = defaultdict(int), []
     for shard, file, n in files:
         offsets.append((file, before[shard]))

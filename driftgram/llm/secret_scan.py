@@ -1,14 +1,15 @@
 """Secret scanning through a trigram inverted index (operator 9), native functions only.
 
-Each rule is a regular expression. From it a Boolean trigram query is derived; the index holds,
-for each trigram that some rule needs, the postings (keys of the documents that contain it). The
-queries intersect postings, and only documents that are left are matched against the regex.
-Rules without a mandatory trigram (hex runs) are matched against every document.
-
-Edge cases: a null text counts as empty and has no spans; rows with equal id and text share one
-posting and get equal results; null ids are kept; an empty table gives an empty result; extra
-columns are ignored. Whole texts of any length are searched. Spans are in code points, end
-exclusive.
+Each rule is a regular expression. From it a Boolean trigram query is derived: which trigrams every
+match must hold. The postings say which of the rules' trigrams a text has. A scan works them out once a
+text, and they alone decide which rules can match there; only those are matched against the text. So
+a scan reads each text once and moves none. Turned round by trigram (:func:`postings`) they are a stored
+index, whose lists :func:`candidates` intersects without the texts. Rules without a mandatory trigram (hex
+runs) are matched against every text.
+
+Edge cases: a null text counts as empty and has no spans; rows with equal id and text share postings in a
+stored index; null ids are kept; an empty table gives an empty result; extra columns are ignored. Whole
+texts of any length are searched. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -53,21 +54,27 @@ def _folded(docs: DataFrame) -> Column:
     return F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def needed(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that decide about the rules."""
+    return sorted({g for r in rules for clause in trigrams.query(r.pattern) for alternative in clause for g in alternative})
+
+
+def held(text: Column, grams: list[str]) -> Column:
+    """Those of ``grams`` that a text (lower-cased) has: its postings."""
+    return F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(text, g))
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index, restricted to ``grams``: one row (gram, key) for each that occurs."""
-    found = common.let(_folded(docs), lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
+    found = common.let(_folded(docs), lambda t: held(t, grams))
     return docs.select(*common.row_key(docs["doc_id"], docs["text"]), F.explode(found).alias("gram"))
 
 
-def _may_match(docs: DataFrame, rules: tuple[Rule, ...]) -> Column:
-    """The text alone satisfies one of the rules' trigram queries."""
-
-    def of(t: Column) -> Column:
-        holds = lambda alternative: reduce(Column.__and__, (F.contains(t, F.lit(g)) for g in sorted(alternative)))
-        meets = lambda clause: reduce(Column.__or__, map(holds, sorted(clause, key=sorted)))
-        return reduce(Column.__or__, (reduce(Column.__and__, map(meets, sorted(trigrams.query(r.pattern), key=lambda c: sorted(map(sorted, c))))) for r in rules))
-
-    return common.let(_folded(docs), of)
+def satisfied(grams: Column, rule: Rule) -> Column:
+    """A text with these postings satisfies the rule's trigram query."""
+    holds = lambda alternative: reduce(Column.__and__, (F.array_contains(grams, g) for g in sorted(alternative)))
+    meets = lambda clause: reduce(Column.__or__, map(holds, sorted(clause, key=sorted)))
+    return reduce(Column.__and__, map(meets, sorted(trigrams.query(rule.pattern), key=lambda c: sorted(map(sorted, c)))))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -101,18 +108,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     full = tuple(r for r in rules if r not in indexed)
     text = F.coalesce(docs["text"], F.lit(""))
     none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string>>")
-    key = ["key_id", "key_text"]
-    scanned = docs.select(*common.row_key(docs["doc_id"], docs["text"]), docs["doc_id"], F.concat(none, *(_found(text, r) for r in full)).alias("full"))
-    if not indexed:
-        return scanned.select("doc_id", F.sort_array("full").alias("spans"))
-    grams = sorted({g for r in indexed for clause in trigrams.query(r.pattern) for alternative in clause for g in alternative})
-    picked = candidates(postings(docs, grams), indexed)
-    # the index decides; of the texts only those that can be among its candidates are moved to meet it
-    keyed = docs.where(_may_match(docs, indexed)).select(*common.row_key(docs["doc_id"], docs["text"]), text.alias("text"))
-    matched = keyed.join(picked, key)
-    verified = matched.select(*key, F.concat(*(F.when(F.array_contains("rules", r.kind), _found(F.col("text"), r)).otherwise(none) for r in indexed)).alias("more"))
-    verified = verified.where(F.size("more") > 0).groupBy(*key).agg(F.first("more").alias("more"))
-    return scanned.join(verified, key, "left").select("doc_id", F.sort_array(F.concat("full", F.coalesce("more", none))).alias("spans"))
+
+    def verified(grams: Column) -> Column:
+        some = reduce(Column.__or__, (satisfied(grams, r) for r in indexed))
+        each = (F.when(satisfied(grams, r), _found(text, r)).otherwise(none) for r in indexed)
+        return F.when(some, F.concat(*each)).otherwise(none)
+
+    found = [_found(text, r) for r in full]
+    if indexed:
+        found.append(common.let(common.let(_folded(docs), lambda t: held(t, needed(indexed))), verified))
+    return docs.select("doc_id", F.sort_array(F.concat(none, *found)).alias("spans"))
 
 
 def _written(spans: Column) -> Column:

@@ -104,7 +104,7 @@ def test_resharding_edge_cases(spark):
 @pytest.mark.parametrize("file_bytes", [1 << 28, 4000])
 def test_only_affected_shards_are_rewritten(spark, tmp_path, monkeypatch, file_bytes):
     monkeypatch.setattr(resharding, "FILE_BYTES", file_bytes)
-    docs = edge.clashing(spark).drop("shard").where("doc_id <> 201")
+    docs = edge.clashing(spark).withColumnRenamed("shard", "Shard").where("doc_id <> 201")  # a caller's column, kept
     old = F.coalesce(F.col("doc_id") % 3, F.lit(0)).cast("int")
     held = Counter({r["o"]: r["b"] for r in docs.groupBy(old.alias("o")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).collect()})
     # shard 1 stays as it is; a half of shard 0 goes to shard 3
@@ -112,11 +112,11 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path, monkeypatch, file_b
     made = resharding.plan(docs, old, 3, capacities)
     assert resharding.rewrite(docs, old, made, f"{tmp_path}/w") == made.moved and {0, 3} <= made.moved
     back = resharding.slots(spark, f"{tmp_path}/w", docs.schema).cache()
-    shown = ("doc_id", "text", "rate", "h")
+    shown = ("doc_id", "text", "rate", "h", "Shard")
     assert edge.sorted_rows(back, *shown) == edge.sorted_rows(docs.where(old.isin([s for s in made.moved if s < 3])), *shown)
-    by_shard(back.select("shard", "slot", F.lit(1).alias("size")).collect())
-    lies = [r["doc_id"] for r in spark.read.parquet(*sorted(str(p) for p in (tmp_path / "w" / "shard=3").glob("*.parquet"))).collect()]
-    assert len(lies) == back.where("shard = 3").count()
+    by_shard(back.select(F.col("shard_").alias("shard"), "slot", F.lit(1).alias("size")).collect())
+    lies = [r["doc_id"] for r in spark.read.parquet(*sorted(str(p) for p in (tmp_path / "w" / "shard_=3").glob("*.parquet"))).collect()]
+    assert len(lies) == back.where("shard_ = 3").count()
     still = resharding.plan(docs, F.lit(0), 1, [sum(held.values())])
     assert still.moved == set() and resharding.rewrite(docs, F.lit(0), still, f"{tmp_path}/none") == set()
 

@@ -3,7 +3,9 @@
 import datetime as dt
 import hashlib
 import itertools
+import random
 import re
+import time
 from collections import Counter
 
 import edge
@@ -87,13 +89,23 @@ def test_scan_equals_full_scan(spark):
     assert sum(len(s) for _, s in got) > 12
 
 
-def test_only_texts_that_may_match_are_moved(spark):
-    docs = edge.documents(spark).union(spark.createDataFrame([(1000 + i, t, None, None, None) for i, t in enumerate(SECRETS)], edge.SCHEMA))
+def test_postings_decide(spark):
+    """A text's own postings name the rules that the stored index's intersected lists do, and no others are matched."""
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(SECRETS)], edge.SCHEMA)
     indexed = tuple(r for r in secret_scan.RULES if trigrams.query(r.pattern))
-    moved = {r["doc_id"] for r in docs.where(secret_scan._may_match(docs, indexed)).collect()}
-    grams = sorted({g for r in indexed for clause in trigrams.query(r.pattern) for alternative in clause for g in alternative})
+    grams = secret_scan.needed(indexed)
+    own = docs.select("doc_id", secret_scan.held(secret_scan._folded(docs), grams).alias("grams"))
+    named = own.select("doc_id", F.array_sort(F.filter(F.array(*(F.when(secret_scan.satisfied(F.col("grams"), r), r.kind) for r in indexed)), lambda k: k.isNotNull())).alias("rules"))
     by_index = docs.select(*secret_scan.common.row_key(docs["doc_id"], docs["text"]), "doc_id").join(secret_scan.candidates(secret_scan.postings(docs, grams), indexed), ["key_id", "key_text"])
-    assert moved == {r["doc_id"] for r in by_index.collect()} and 0 < len(moved) < len(SECRETS)
+    expected = {(r["doc_id"], tuple(r["rules"])) for r in by_index.collect()}
+    assert {(r["doc_id"], tuple(r["rules"])) for r in named.where("size(rules) > 0").collect()} == expected and 0 < len(expected) < len(SECRETS)
+    impossible = secret_scan.Rule("odd", "zqx[0-9]+", r"[\\s\\S]*")
+    assert secret_scan.scan(docs, (impossible,)).where("size(spans) > 0").isEmpty()
+
+
+def test_a_scan_reads_each_text_once(spark, sf_dir):
+    plan = plans(secret_scan.query(spark, sf_dir))
+    assert plan.count("Relation [") == 1 and "Join" not in plan and "Aggregate" not in plan
 
 
 def test_many_matches_in_one_text(spark):
@@ -152,7 +164,7 @@ def luhn(number):
 
 
 def card(seed, n=16):
-    body = str(seed).zfill(n - 1)
+    body = "4" + str(seed).zfill(n - 2)
     return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
 
@@ -321,6 +333,37 @@ def test_numbers_beside_other_numbers_are_found(spark):
         assert all(v not in got[i]["text"] for v in values)
 
 
+def test_only_card_shaped_numbers_are_cards(spark):
+    """Issuers' beginnings and lengths, alone or grouped as cards are; what merely passes the Luhn check is no card."""
+    amex, diners = "378282246310005", "30569309025904"
+    good = [card(7), card(7, 13), card(7, 19), amex, diners, "5555555555554444", "2221000000000009", "6011111111111117", "3530111333300000"]
+    good += ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "3056 930902 5904"]
+    bad = ["0000000000000000", "9999999999999995", "1234567812345670", "41 11 11 11 11 11 11 11", "4111-1111 1111-1111", "411111 1111111111", "4111111111111112", "37828224631000", "7" + "0" * 15]
+    docs = spark.createDataFrame([(i, f"no. {v}.", None, None, None) for i, v in enumerate(good + bad)], edge.SCHEMA)
+    got = {r["doc_id"]: r["n_card"] for r in pii.pseudonymise(docs, "k").collect()}
+    assert [got[i] for i in range(len(good + bad))] == [1] * len(good) + [0] * len(bad)
+    rng = random.Random(1)
+    numbers = [" ".join(str(rng.randint(10_000, 99_999_999)) for _ in range(2000)) for _ in range(20)]
+    tables = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(numbers)], edge.SCHEMA)
+    assert pii.pseudonymise(tables, "k").agg(F.sum("n_card")).first()[0] == 0
+
+
+def test_many_numbers_in_one_text(spark):
+    rng = random.Random(2)
+    numbers = sorted({card(rng.randint(10**13, 10**14 - 1)) for _ in range(14_000)})
+    text = " ".join(f"{n} and some words about it, then others that nobody reads, up to a hundred and forty letters in all, as records of sales have them." for n in numbers)
+    docs = spark.createDataFrame([(1, text, None, None, None)], edge.SCHEMA)
+    began = time.monotonic()
+    row = pii.pseudonymise(docs, "k").select("n_card", "text").first()
+    assert row["n_card"] == len(numbers) and not any(n in row["text"] for n in numbers[:50]) and time.monotonic() - began < 30
+
+
+def test_a_key_is_drawn_where_none_is_set(spark, sf_dir):
+    shown = lambda: [r["pseudonyms"] for r in pii.query(spark, sf_dir).where("pseudonyms <> ''").orderBy("doc_id").collect()]
+    one, two = shown(), shown()
+    assert len(one) == len(two) and one != two
+
+
 def test_pii_edge_cases(spark):
     assert pii.pseudonymise(edge.empty(spark), "k").count() == 0
     plain = edge.sorted_rows(pii.pseudonymise(edge.documents(spark), "k"), "doc_id", "text")
