@@ -1,277 +1,107 @@
-"""Registered queries of the engine's other operators: literal cases of the tokenizer and of requests, and
-everything that goes through the store, files and streams. Expected rows of literal cases are written out in SQL.
+"""Registered queries of the engine's other operators: tokenizer steps on pages, requests as a relation, and
+everything that goes through the store, files and streams.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
-import os
-import tempfile
+import contextlib
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpora
-from .functions import dates, ngrams
+from .functions import dates
 from .functions.text import with_tokens
-from .operators import counting, pruning, ranking, series
-from .plans import phrases, rebuild
+from .operators import counting, ranking
+from .plans import phrases, rebuild, requests
 from .plans.phrases import PhraseQueries
-from .queries import _COUNTS, _EVERYTHING, _FINE, _GLOBALS, _LIST, _PARTS, _SERIES, _TOTALS, END, START, _built, _shared_folder, _sql_coarse, _sql_grams, _store, _text, _with, query
+from .queries import (
+    _COUNTS, _EVERYTHING, _GLOBALS, _PARTS, _TOTALS, END, START, _built, _shared_folder, _sql_grams, _sql_tokens, _store, _text, _with, ngrams, query,
+)
 from .sources import config, items
-from .sources.store import Store, VersionMismatch, write_tsv
+from .sources.store import Store, write_tsv
 from .streaming import incremental
 
+# ---------------------------------------------------------------- tokenizer, step by step, on pages
 
-def _literal(columns: str, rows: Sequence[tuple]) -> str:
-    """SQL of written-out rows; ``columns`` are "name TYPE, ..."."""
-
-    def shown(v) -> str:
-        return "NULL" if v is None else str(v) if isinstance(v, bool | int | float) else "'" + str(v).replace("'", "''") + "'"
-
-    names = [c.split() for c in columns.split(", ")]
-    values = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'{n}::{kind} AS {n}' for n, kind in names)} FROM (VALUES {values}) AS v({', '.join(n for n, _ in names)})"
-
-
-# ---------------------------------------------------------------- tokenizer, case by case
+#: The pages' own entities; each stands for something that ends a token.
+_BARE_HTML = "regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&(amp|copy|middot|quot);', ' ', 'g')"
 
-#: Texts and their tokens, joined by a bar.
-TOKEN_CASES = {
-    "tok_entities": [
-        ("salt &amp; pepper", "salt|pepper"), ("&lt;div&gt; 3 &lt; 5", "div|3|5"), ("caf&eacute; au lait", "caf|au|lait"), ("x&nbsp;y&mdash;z", "x|y|z"), ("&copy x &copy; y", "copy|x|y"),
-        ("http:&#x2F;&#x2F;a.b.com&#x2F;c d", "a.b.com|d"), ("&amp;lt;b", "lt|b"), ("it&#39;s &quot;so&quot;", "it's|so"), ("&unknown; &#0;", "unknown|#0"), ("&#65;&#x42;", "ab"),
-    ],
-    "tok_bare_urls": [
-        ("try gitlab.com/some/repo now", "try|gitlab.com|now"), ("foo.community/x", "foo.community"), ("see example.org today", "see|example.org|today"), ("a.b.io/x?y=1#z end", "a.b.io|end"),
-        ("v1.2/3", "v1.2|3"), ("x.de/path", "x.de|path"), ("(news.co/item)", "news.co"), ("a-b.dev/c", "a|b.dev"),
-    ],
-    "tok_schemes": [
-        ("https://example.org/a/b?c=1 now", "example.org|now"), ("HTTPS://a.com/x", "https|a.com"), ("http://localhost:80 up", "http|localhost|80|up"), ("http://10.0.0.1/x", "http|10.0.0.1|x"),
-        ("https://foo.com-bar.x/y z", "foo.com|bar.x|z"), ("http://a.b.c.net", "a.b.c.net"),
-    ],
-    "tok_nfkc": [
-        ("ﬁne ﬂow", "fine|flow"), ("ｆｕｌｌ　ｗｉｄｔｈ", "full|width"), ("x² + y³", "x2|y3"), ("hi…there", "hi...there"), ("№ 5 ½", "no|5|1|2"), ("Ⅳ", "iv"), ("℃", "c"),
-    ],
-    "tok_zero_width": [("zero​width", "zerowidth"), ("a‌b‍c", "abc"), ("﻿start", "start"), ("a b", "a|b"), ("a‑b", "a|b")],
-    "tok_quotes": [("it’s ‘fine’", "it's|fine"), ("“quoted” text", "quoted|text"), ("rock ’n’ roll", "rock|n|roll"), ("'tis", "tis"), ("foo.'", "foo.")],
-    "tok_case": [("GPT-4 İstanbul STRASSE", "gpt-4|i|stanbul|strasse"), ("ÇOUELLE", "ouelle"), ("日本 Go 語", "go"), ("Привет C++", "c++")],
-    "tok_hyphens": [
-        ("out-of-the-box", "out|of|the|box"), ("gpt-4 x86-64 1-2", "gpt-4|x86-64|1-2"), ("gpt-4o gpt-3.5", "gpt|4o|gpt|3.5"), ("2020-01-01 -5", "2020|01|01|5"), ("--a--b--", "a|b"), ("covid-19-era", "covid|19|era"),
-    ],
-    "tok_runs": [("C++ C# .NET node.js", "c++|c#|net|node.js"), ("...so...", "so"), ("a_b@c", "a|b|c"), ("+foo +", "+foo"), ("#tag ##", "#tag"), ("  ", ""), ("e.g. U.S.A.", "e.g|u.s.a")],
-}
 
+def _page_tokens(name: str, written, sql_text: str) -> None:
+    """Tokens of pages whose text is written in another way; the SQL has what it must come to."""
+    sql = f"SELECT page_id, token, count(*)::BIGINT AS occurrences FROM (SELECT page_id, unnest({_sql_tokens(sql_text)}) AS token FROM pages) GROUP BY ALL"
 
-def _tokens(name: str, cases: list[tuple[str, str]]):
-    @query(name, _literal("text VARCHAR, tokens VARCHAR", cases))
-    def tokenized(spark, sf_dir):
-        return with_tokens(spark.createDataFrame([(t,) for t, _ in cases], "text string")).select("text", F.array_join("tokens", "|").alias("tokens"))
+    @query(name, sql)
+    def counted(spark, sf_dir):
+        rows = with_tokens(corpora.pages(spark, sf_dir).withColumn("text", written(F.col("text"), F.col("url"))))
+        return ngrams.exploded(rows, "tokens", "token", "page_id").groupBy("page_id", "token").agg(F.count("*").alias("occurrences"))
 
 
-for _name, _cases in TOKEN_CASES.items():
-    _tokens(_name, _cases)
+def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
-@query("ngram_windows", _literal("words VARCHAR, n INTEGER, grams VARCHAR", [("a b c", 1, "a|b|c"), ("a b c", 2, "a b|b c"), ("a b c", 3, "a b c"), ("a b c", 4, ""), ("", 1, ""), ("", 2, ""), ("a b c", 0, "")]))
-def ngram_windows(spark, sf_dir):
-    asked = [("a b c", 1), ("a b c", 2), ("a b c", 3), ("a b c", 4), ("", 1), ("", 2), ("a b c", 0)]
-    rows = spark.createDataFrame(asked, "words string, n int")
-    tokens = F.filter(F.split("words", " "), lambda x: x != "")
-    grams = F.coalesce(*(F.when(F.col("n") == n, ngrams.ngrams(tokens, n)) for n in range(5)))
-    return rows.select("words", "n", F.array_join(grams, "|").alias("grams"))
+_HTML = _BARE_HTML.format("html")
+# letters as decimal, hexadecimal and named entities are the letters again
+_page_tokens("tok_entities", lambda t, u: _replaced(t, ("th", "&#116;h"), ("ou", "&#x6F;u"), ("an", "a&#X06e;"), ("é", "&eacute;"), ("ü", "&uuml;")), _HTML)
+# full-width letters and a ligature are plain ones under NFKC
+_page_tokens("tok_nfkc", lambda t, u: F.translate(t, "ehE", "\uff45\uff48\uff25"), _HTML)
+# zero-width characters vanish within words
+_page_tokens("tok_zero_width", lambda t, u: _replaced(t, ("e", "e\u200b"), ("n", "\u200dn"), ("s", "s\ufeff"), ("h", "\u200ch")), _HTML)
+# curly single quotes are apostrophes
+_page_tokens("tok_quotes", lambda t, u: _replaced(t, ("en", "e\u2019n"), ("er", "\u2018er"), ("in", "\u201cin\u201d")), _BARE_HTML.format("replace(replace(replace(html, 'en', 'e' || chr(39) || 'n'), 'er', chr(39) || 'er'), 'in', chr(34) || 'in' || chr(34))"))
+# a name with a path needs no scheme to be a URL: its domain is left
+_page_tokens("tok_bare_urls", lambda t, u: F.concat(F.lit("see "), F.regexp_replace(u, "^https?://", ""), F.lit(" now")), "'see ' || regexp_extract(url, '://([^/]+)', 1) || ' now'")
+# an upper-case scheme makes no URL: all of it is text
+_page_tokens("tok_schemes", lambda t, u: F.concat(F.lit("HTTPS://"), F.regexp_extract(u, "://([^/]+)", 1), F.lit(" at http://localhost:80/a")), "'https ' || regexp_extract(url, '://([^/]+)', 1) || ' at http localhost 80 a'")
 
 
-# ---------------------------------------------------------------- dates and requests
+# ---------------------------------------------------------------- moments
 
 
-@query(
-    "bucket_moments",
-    _literal(
-        "ms BIGINT, daily VARCHAR, monthly VARCHAR, yearly VARCHAR",
-        [
-            (1705318200000, "2024-01-15", "2024-01-01", "2024-01-01"), (0, "1970-01-01", "1970-01-01", "1970-01-01"), (1160352000000, "2006-10-09", "2006-10-01", "2006-01-01"),
-            (1704067199999, "2023-12-31", "2023-12-01", "2023-01-01"), (-1, "1969-12-31", "1969-12-01", "1969-01-01"), (1710043199000, "2024-03-10", "2024-03-01", "2024-01-01"),
-        ],
-    ),
-)
-def bucket_moments(spark, sf_dir):
-    rows = spark.createDataFrame([(1705318200000,), (0,), (1160352000000,), (1704067199999,), (-1,), (1710043199000,)], "ms long")
-    return rows.select("ms", *(_text(dates.bucket_of_millis(F.col("ms"), g)).alias(g) for g in dates.STORED))
-
-
-@query("valid_buckets", _literal("ms BIGINT, bucket VARCHAR", [(0, "1970-01-01"), (253402300799999, "9999-12-31")]))
+@query("valid_buckets", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS bucket FROM events WHERE event_id % 7 <> 0")
 def valid_buckets(spark, sf_dir):
-    """Moments that no date has are dropped."""
-    rows = spark.createDataFrame([(0,), (253402300799999,), (2**62,), (-(2**62),)], "ms long").select("ms", dates.bucket_of_millis(F.col("ms")).alias("b"))
-    return rows.where("b IS NOT NULL").select("ms", _text("b").alias("bucket"))
-
-
-_DATES = [("2024-02-29", "2024-02-29"), ("2023-02-29", None), ("2024/01/01", None), ("2024-1-1", None), ("", None), ("2024-12-31 ", None), ("1999-12-31", "1999-12-31"), ("20240101", None)]
-
-
-@query("parsed_dates", _literal("asked VARCHAR, day VARCHAR", _DATES))
-def parsed_dates(spark, sf_dir):
-    found = [(t, d.isoformat() if (d := dates.parse_date(t)) else None) for t, _ in _DATES]
-    return spark.createDataFrame(found, "asked string, day string")
-
-
-_GRAINS = [("day", "day"), ("daily", "day"), ("weekly", "week"), ("Month", "month"), ("MONTHLY", "month"), ("YEAR", "year"), ("yearly", "year"), ("hour", None), ("", None)]
-
-
-@query("parsed_granularities", _literal("asked VARCHAR, granularity VARCHAR", _GRAINS))
-def parsed_granularities(spark, sf_dir):
-    return spark.createDataFrame([(t, dates.parse_granularity(t)) for t, _ in _GRAINS], "asked string, granularity string")
-
-
-@query("request_defaults", _literal("name VARCHAR, value VARCHAR", [("start", "2011-01-01"), ("since 2006", "2006-01-01"), ("since 2011", "2011-01-01"), ("granularity", "month"), ("first", "2011-01-01"), ("last is today or later", "true")]))
-def request_defaults(spark, sf_dir):
-    first, last, grain = phrases.request_range("x", None, None, None)
-    rows = [("start", dates.DEFAULT_START.isoformat()), *((f"since {k}", d.isoformat()) for k, d in dates.SINCE.items()), ("granularity", grain), ("first", first.isoformat())]
-    rows.append(("last is today or later", str(last >= dt.datetime.now(dt.UTC).date()).lower()))
-    return spark.createDataFrame(rows, "name string, value string")
-
-
-_REQUESTS = [
-    (None, None, None, None, "MISSING_PHRASE"), ("", "x", "x", "x", "MISSING_PHRASE"), ("a", "2024/01/01", "x", "x", "INVALID_DATE_FORMAT"), ("a", None, "2024-02-30", "x", "INVALID_DATE_FORMAT"),
-    ("a", "2024-05-01", "2024-04-30", "x", "INVALID_DATE_RANGE"), ("a", "2024-04-30", "2024-04-01", "hour", "INVALID_GRANULARITY"), ("a", "2024-04-30", "2024-04-01", "Week", "2024-04-01 2024-04-30 week"),
-    ("a", "2023-02-10", "2024-02-10", None, "2023-02-01 2024-02-29 month"),
-]
-
-
-@query("checked_requests", _literal("phrase VARCHAR, first VARCHAR, last VARCHAR, grain VARCHAR, outcome VARCHAR", _REQUESTS))
-def checked_requests(spark, sf_dir):
-    """Requests are checked in the documented order, and their dates widened to whole months."""
-
-    def outcome(*asked) -> str:
-        try:
-            return " ".join(map(str, phrases.request_range(*asked)))
-        except phrases.RequestError as e:
-            return e.code
-
-    return spark.createDataFrame([(*r[:4], outcome(*r[:4])) for r in _REQUESTS], "phrase string, first string, last string, grain string, outcome string")
-
-
-_FEEDBACK = [
-    ("a,b", "month", "2024-01-01", 3, "ok"), ("a, ", "month", "2024-01-01", 3, "INVALID_PHRASES"), ("a,b,c,d,e,f,g,h,i,j,k", "month", "2024-01-01", 3, "TOO_MANY_PHRASES"), ("a," + "x" * 81, "month", "2024-01-01", 3, "PHRASE_TOO_LONG"),
-    ("a," + "é" * 41, "month", "2024-01-01", 3, "PHRASE_TOO_LONG"), ("a," + "é" * 40, "weekly", "2024-01-01", 24, "ok"), ("a,b", "hour", "2024-01-01", 3, "INVALID_GRANULARITY"), ("a,b", "day", "2024-13-01", 3, "INVALID_DATE_FORMAT"),
-    ("a,b", "day", "2024-01-01", 25, "INVALID_SMOOTHING"),
-]
-
-
-@query("checked_feedback", _literal("phrases VARCHAR, granularity VARCHAR, start_day VARCHAR, smoothing INTEGER, outcome VARCHAR", _FEEDBACK))
-def checked_feedback(spark, sf_dir):
-    def outcome(asked, grain, start, smoothing) -> str:
-        try:
-            phrases.checked_feedback(asked.split(","), grain, start, smoothing)
-            return "ok"
-        except phrases.RequestError as e:
-            return e.code
-
-    return spark.createDataFrame([(*r[:4], outcome(*r[:4])) for r in _FEEDBACK], "phrases string, granularity string, start_day string, smoothing int, outcome string")
-
-
-@query("stored_feedback", _literal("phrases VARCHAR, granularity VARCHAR, start_date VARCHAR, smoothing TINYINT, agent_bytes INTEGER", [("red|plate", "month", "2024-01-01", 3, 256), ("a b|c", "week", "2011-01-01", 0, 0)]))
-def stored_feedback(spark, sf_dir):
-    asked = PhraseQueries(_store(spark))
-    asked.feedback([" red ", "plate", ""], "Monthly", "2024-01-01", 3, "é" * 200)
-    asked.feedback(["a b", "c"], "week", "2011-01-01", 0)
-    rows = asked.store.feedback()
-    return rows.select(F.array_join("phrases", "|").alias("phrases"), "granularity", _text("start_date").alias("start_date"), "smoothing", F.octet_length("user_agent").alias("agent_bytes"))
-
-
-@query("order_validity", _literal("n INTEGER, ngrams INTEGER, valid BOOLEAN", [(0, 1, False), (1, 1, True), (5, 2, True), (6, 1, False), (2, 0, False)]))
-def order_validity(spark, sf_dir):
-    counts = spark.createDataFrame([], "bucket date, n tinyint, ngram string, count long")
-    totals = spark.createDataFrame([], "bucket date, n tinyint, total_count long")
-
-    def valid(n: int, size: int) -> bool:
-        try:
-            series.stored_series(counts, totals, n, ["x"] * size, START, END)
-            return True
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(n, k, valid(n, k)) for n, k in ((0, 1), (1, 1), (5, 2), (6, 1), (2, 0))], "n int, ngrams int, valid boolean")
+    """Rows whose moment no date has are dropped: every seventh event is put beyond the calendar."""
+    events = corpora.table(spark, sf_dir, "events")
+    ms = dates.utc_millis(F.col("ts"), dict(events.dtypes)["ts"] == "timestamp_ntz")
+    moved = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, F.lit(2**62)).otherwise(-F.lit(2**62))).otherwise(ms)
+    return events.select("event_id", dates.bucket_of_millis(moved).alias("b")).where("b IS NOT NULL").select("event_id", _text("b").alias("bucket"))
 
 
-_URLS = [
-    ("", "rust|python", "2011", "month", 3, "linear", "?q=rust%2Cpython"), ("?q=red%20apples,%20pears,&g=week&s=0&y=log&since=1999", "red apples|pears", "2011", "week", 3, "log", "?q=red%20apples%2Cpears&g=week&y=log"),
-    ("?q=a&since=2006&g=year&s=7", "a", "2006", "year", 7, "linear", "?q=a&since=2006&g=year&s=7"),
-]
-
-
-@query("url_states", _literal("url VARCHAR, phrases VARCHAR, since VARCHAR, granularity VARCHAR, smoothing INTEGER, scale VARCHAR, written VARCHAR", _URLS))
-def url_states(spark, sf_dir):
-    rows = [(url, "|".join(s["phrases"]), s["since"], s["granularity"], s["smoothing"], s["scale"], phrases.state_to_url(s)) for url, *_ in _URLS for s in [phrases.state_from_url(url)]]
-    return spark.createDataFrame(rows, "url string, phrases string, since string, granularity string, smoothing int, scale string, written string")
-
-
-# ---------------------------------------------------------------- configuration
-
-_TOML = '[process]\nstart = "2020-01"\nmax_n = 5\nbucket_granularity = "monthly"\nmax_entries = 7\n[process.prune.2]\nmin_global = 9\n[process.prune.6]\nmin_bucket = 4\n'
-
-
-@query(
-    "configured_thresholds",
-    _literal("n INTEGER, min_global INTEGER, min_bucket INTEGER, min_flush INTEGER", [(1, 0, 1, 1), (2, 9, 4, 2), (3, 10, 5, 2), (4, 8, 2, 2), (5, 7, 2, 2), (6, 0, 4, 1)]),
-)
-def configured_thresholds(spark, sf_dir):
-    """A TOML file over the defaults, the environment over both."""
-    handle, path = tempfile.mkstemp(suffix=".toml")  # a file of the driver alone
-    with os.fdopen(handle, "w") as f:
-        f.write(_TOML)
-    got = config.load(path, {"PRUNE_MIN_2GRAM_BUCKET": "4", "PRUNE_MIN_5GRAM_GLOBAL": "7", "PRUNE_MIN_3GRAM_FLUSH": "many"})
-    os.unlink(path)
-    return spark.createDataFrame([(n, t.min_global, t.min_bucket, t.min_flush) for n, t in sorted(got.pruning.thresholds.items())], "n int, min_global int, min_bucket int, min_flush int")
-
-
-@query("configured_build", _literal("start_month VARCHAR, end_month VARCHAR, max_n INTEGER, granularity VARCHAR, floor_of_export INTEGER", [("2006-10", None, 3, "daily", 5), ("2021-02", "2021-03", 5, "yearly", 5)]))
-def configured_build(spark, sf_dir):
-    """Defaults, and arguments over them."""
-    made = [config.load(None, {}), config.load(None, {}, start="2021-02", end="2021-03", max_n=5, bucket_granularity="yearly")]
-    rows = [(c.start, c.end, c.max_n, c.bucket_granularity, c.pruning.export_floor) for c in made]
-    return spark.createDataFrame(rows, "start_month string, end_month string, max_n int, granularity string, floor_of_export int")
-
-
-@query(
-    "suggested_sets",
-    _literal("asked VARCHAR, suggested BOOLEAN", [("pytorch |TENSORFLOW", True), ("atom|vscode", True), ("rust", False), ("NFT|GPT", False), ("gpt|nft|agent", True), ("rust|python", False)]),
-)
-def suggested_sets(spark, sf_dir):
-    asked = ["pytorch |TENSORFLOW", "atom|vscode", "rust", "NFT|GPT", "gpt|nft|agent", "rust|python"]
-    return spark.createDataFrame([(a, config.is_suggested(a.split("|"))) for a in asked], "asked string, suggested boolean")
+# ---------------------------------------------------------------- item files and streams
 
+_ITEM = "type tinyint, deleted tinyint, dead tinyint, text string, time timestamp"
 
-@query("launch_defaults", _literal("phrases VARCHAR, since VARCHAR, granularity VARCHAR, smoothing INTEGER, suggestions INTEGER", [("rust|python", "2011", "month", 3, 9)]))
-def launch_defaults(spark, sf_dir):
-    x = config.LAUNCH
-    return spark.createDataFrame([("|".join(x["phrases"]), x["since"], x["granularity"], x["smoothing"], len(config.SUGGESTED))], "phrases string, since string, granularity string, smoothing int, suggestions int")
 
+def _year(spark: SparkSession, sf_dir: str, root: str, names: DataFrame, year: int) -> None:
+    rows = names.where(F.year("bucket") == year).select(
+        F.lit(items.COMMENT).cast("byte").alias("type"), F.lit(0).cast("byte").alias("deleted"), (F.dayofmonth("bucket") == 1).cast("byte").alias("dead"), "text", F.col("bucket").cast("timestamp").alias("time")
+    )
+    rows.write.mode("overwrite").parquet(items.month_path(root, dates.parse_month(f"{year}-01")))
 
-# ---------------------------------------------------------------- item files and streams
 
-_ITEM = "type tinyint, deleted tinyint, dead tinyint, text string, time timestamp"
+def _years(names: DataFrame) -> list[int]:
+    return sorted(r[0] for r in names.select(F.year("bucket")).distinct().collect())
 
 
 def _source(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of item files made of part names: one for the first half of 1998 and one for the second, a month's name each."""
+    """A folder of item files made of part names, a file a year, named as its January's."""
     root = f"{_shared_folder(spark)}/items-{uuid.uuid4().hex}"
-    names = corpora.part_names(spark, sf_dir).where("year(bucket) = 1998")
-    for month, half in (("1998-01", "month(bucket) <= 6"), ("1998-07", "month(bucket) > 6")):
-        rows = names.where(half).select(
-            F.lit(items.COMMENT).cast("byte").alias("type"), F.lit(0).cast("byte").alias("deleted"), (F.dayofmonth("bucket") == 1).cast("byte").alias("dead"), "text", F.col("bucket").cast("timestamp").alias("time")
-        )
-        rows.coalesce(2).write.parquet(items.month_path(root, dates.parse_month(month)))
+    names = corpora.part_names(spark, sf_dir)
+    for year in _years(names):
+        _year(spark, sf_dir, root, names, year)
     return root
 
 
-_LIVE = f"docs AS (SELECT bucket, t FROM ({_PARTS.split('docs AS (')[1][:-1]}) WHERE year(bucket) = 1998 AND day(bucket) <> 1)"
-_LIVE_COUNTS = _with(_LIVE, _sql_grams([1, 2]), _COUNTS, _TOTALS) + "SELECT strftime(c.bucket, '%Y-%m-%d') AS bucket, c.n, ngram, count, total_count FROM counts c JOIN totals t ON c.bucket = t.bucket AND c.n = t.n"
-_FILES = config.BuildConfig(start="1997-11", end="1998-12", max_n=2, pruning=_EVERYTHING.pruning)
+_LIVE = f"docs AS (SELECT bucket, t FROM ({_PARTS.split('docs AS (')[1][:-1]}) WHERE day(bucket) <> 1)"
+_ROWS = "SELECT strftime(c.bucket, '%Y-%m-%d') AS bucket, c.n, ngram, count, total_count FROM counts c JOIN totals t ON c.bucket = t.bucket AND c.n = t.n"
+_LIVE_COUNTS = _with(_LIVE, _sql_grams([1, 2]), _COUNTS, _TOTALS) + _ROWS
+_ALL_COUNTS = _with(_PARTS, _sql_grams([1, 2]), _COUNTS, _TOTALS) + _ROWS
+_FILES = config.BuildConfig(start="1990-11", end="2009-12", max_n=2, pruning=_EVERYTHING.pruning)
 
 
 def _stored(store: Store) -> DataFrame:
@@ -281,11 +111,11 @@ def _stored(store: Store) -> DataFrame:
     return counts.join(totals, ["bucket", "n"]).select(_text("bucket").alias("bucket"), "n", "ngram", "count", "total_count")
 
 
-@query("existing_months", _literal("path VARCHAR", [("1998/1998-01.parquet",), ("1998/1998-07.parquet",)]))
+@query("existing_months", "SELECT DISTINCT strftime(l_shipdate, '%Y/%Y-01.parquet') AS path FROM lineitem JOIN part ON l_partkey = p_partkey")
 def existing_months(spark, sf_dir):
     """Months without a file are left out."""
     root = _source(spark, sf_dir)
-    return spark.createDataFrame([(p.removeprefix(root + "/"),) for p in items.existing_months(spark, root, "1997-11", "1998-12")], "path string")
+    return spark.createDataFrame([(p.removeprefix(root + "/"),) for p in items.existing_months(spark, root, _FILES.start, _FILES.end)], "path string")
 
 
 @query("rebuilt_from_files", _LIVE_COUNTS)
@@ -295,9 +125,28 @@ def rebuilt_from_files(spark, sf_dir):
     return _stored(store)
 
 
+class _BreaksOff(Store):
+    def publish(self, *args, **more):
+        raise InterruptedError("broken off before publication")
+
+
+@query("rebuilt_after_a_break", _LIVE_COUNTS)
+def rebuilt_after_a_break(spark, sf_dir):
+    """A build breaks off when all files are counted; one file is then another, and the build goes on."""
+    store, source = _store(spark), _source(spark, sf_dir)
+    names = corpora.part_names(spark, sf_dir)
+    changed = _years(names)[1]
+    _year(spark, sf_dir, source, names.where(F.dayofmonth("bucket") < 9), changed)
+    with contextlib.suppress(InterruptedError):
+        rebuild.rebuild(spark, source, _BreaksOff(spark, store.root), _FILES)
+    _year(spark, sf_dir, source, names, changed)
+    rebuild.rebuild(spark, source, store, _FILES)
+    return _stored(store)
+
+
 @query("incremental_from_files", _LIVE_COUNTS)
 def incremental_from_files(spark, sf_dir):
-    """A batch a month, run twice; the second run finds nothing new. Read after compaction."""
+    """A batch a file, run twice; the second run finds nothing new. Read after compaction."""
     store, source = _store(spark), _source(spark, sf_dir)
     for _ in range(2):
         incremental.process_months(spark, source, store, _FILES)
@@ -305,14 +154,24 @@ def incremental_from_files(spark, sf_dir):
     return _stored(store)
 
 
+@query("incremental_ten_batches", _ALL_COUNTS)
+def incremental_ten_batches(spark, sf_dir):
+    """Ten batches in order are what one would be; like-sized folders are merged between them."""
+    store = _store(spark)
+    rows = corpora.part_names(spark, sf_dir).withColumn("ts_ms", dates.bucket_end_ms(F.col("bucket")))
+    first, last = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first() if rows.head(1) else (0, 0)
+    step = (last - first) // 10 + 1
+    for k in range(10):
+        incremental.process_batch(store, rows.where(F.floor((F.col("ts_ms") - first) / step) == k), f"part {k}", _EVERYTHING)
+    return _stored(store)
+
+
 @query("streamed_from_files", _LIVE_COUNTS)
 def streamed_from_files(spark, sf_dir):
-    """The same files followed as a stream, few at a time, then once more with nothing new. Files are dealt by time, for
-    what is older than the watermark is late."""
+    """The same files followed as a stream, two at a time, oldest first; then once more with nothing new."""
     store, source = _store(spark), _source(spark, sf_dir)
-    for k, half in enumerate(("1998-01", "1998-07")):
-        for _ in range(2):
-            incremental.stream(spark, f"{source}/1998/{half}.parquet", _ITEM, store, _FILES, f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}-{k}", files_per_trigger=16).awaitTermination()
+    for _ in range(2):
+        incremental.stream(spark, f"{source}/*/*", _ITEM, store, _FILES, f"{_shared_folder(spark)}/stream-{store.root[-32:]}", files_per_trigger=2).awaitTermination()
     return _stored(store)
 
 
@@ -323,39 +182,42 @@ def streamed_from_files(spark, sf_dir):
 def windowed_counts(spark, sf_dir):
     """Daily tumbling windows over a stream; each update replaces its days."""
     source, name = _source(spark, sf_dir), f"windows_{uuid.uuid4().hex}"
-    rows = items.live(spark.readStream.schema(_ITEM).parquet(f"{source}/1998/*")).select(F.col("time").alias("ts"), "text")
-    incremental.windowed_counts(rows, "400 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    rows = items.live(spark.readStream.schema(_ITEM).parquet(f"{source}/*/*")).select(F.col("time").alias("ts"), "text")
+    incremental.windowed_counts(rows, "9000 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(_text("day").alias("day"), "comments", "tokens")
 
 
-@query("late_rows", _literal("ts_ms BIGINT, late BOOLEAN", [(999, True), (1000, True), (1001, False)]))
-def late_rows(spark, sf_dir):
-    """Rows not later than the watermark, to the millisecond, are late."""
-    rows = spark.createDataFrame([(999,), (1000,), (1001,)], "ts_ms long")
-    return rows.join(items.later(rows, 1000).withColumn("kept", F.lit(True)), "ts_ms", "left").select("ts_ms", F.col("kept").isNull().alias("late"))
-
-
-@query("unfinished_files", _literal("path VARCHAR", [("b",), ("d",)]))
-def unfinished_files(spark, sf_dir):
-    return items.not_done(spark.createDataFrame([(p,) for p in "abcd"], "path string"), spark.createDataFrame([("a",), ("c",), ("e",)], "path string"))
+_LATENESS_HOURS = 12
 
 
-_SCHEMAS = [
-    ("type int, deleted int, dead int, text string, time timestamp", "ok"), ("type tinyint, deleted smallint, dead int, text string, time timestamp_ntz, id long", "ok"), ("type int, deleted int, dead int, text string", "column 'time' is missing"),
-    ("type int, deleted int, dead int, text string, time string", "column 'time' has type string"), ("type string, deleted int, dead int, text string, time timestamp", "column 'type' has type string"),
-]
-
-
-@query("checked_schemas", _literal("columns VARCHAR, outcome VARCHAR", _SCHEMAS))
-def checked_schemas(spark, sf_dir):
-    def outcome(columns: str) -> str:
-        try:
-            items.check_schema(spark.createDataFrame([], columns))
-            return "ok"
-        except ValueError as e:
-            return str(e)
-
-    return spark.createDataFrame([(c, outcome(c)) for c, _ in _SCHEMAS], "columns string, outcome string")
+@query(
+    "event_windows",
+    f"""WITH n AS (SELECT count(*) AS n FROM events),
+e AS (SELECT ts, least(5, ((row_number() OVER (ORDER BY event_id) - 1) * 6) // n + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END) AS f FROM events, n),
+b AS (SELECT f, max(ts) AS newest FROM e GROUP BY f),
+w AS (SELECT b.f, max(x.newest) - INTERVAL {_LATENESS_HOURS} HOUR AS mark FROM b LEFT JOIN b x ON x.f <= b.f - 2 GROUP BY b.f),
+t AS (SELECT date_trunc('day', ts)::DATE AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN w USING (f)),
+d AS (SELECT day, count(*) FILTER (NOT late)::BIGINT AS comments, count(*) FILTER (late)::BIGINT AS late FROM t GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS day, comments, late FROM d, (SELECT max(newest) - INTERVAL {_LATENESS_HOURS} HOUR AS closed FROM b) WHERE day + INTERVAL 1 DAY <= closed""",
+)
+def event_windows(spark, sf_dir):
+    """Days that a watermark has closed, as a stream writes them once and for good, with the rows that came too late for
+    them: a tenth of the events arrives two files after the others of its time."""
+    root = f"{_shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events = corpora.table(spark, sf_dir, "events")
+    number = events.count()
+    place = F.row_number().over(ranking.Window.orderBy("event_id")) - 1  # one file's rows, numbered to be dealt to six
+    dealt = events.withColumn("f", F.least(F.lit(5), F.floor(place * 6 / number) + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)).cast("int"))
+    dealt = dealt.select(F.timestamp_millis(dates.utc_millis(F.col("ts"), dict(events.dtypes)["ts"] == "timestamp_ntz")).alias("ts"), F.col("event_type").alias("text"), "f")
+    for f in range(6):
+        dealt.where(F.col("f") == f).drop("f").coalesce(1).write.parquet(f"{root}/in/{f}")
+    stream = lambda: spark.readStream.schema("ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    incremental.closed_windows(stream(), f"{root}/days", f"{root}/c1", f"{_LATENESS_HOURS} hours").awaitTermination()
+    late = incremental.LateRows(spark, f"{root}/late", _LATENESS_HOURS * 3_600_000)
+    late.follow(stream(), f"{root}/c2").awaitTermination()
+    days = spark.read.schema("day date, comments long, tokens long").parquet(f"{root}/days")
+    counted = days.join(late.by_day(), "day", "left")
+    return counted.select(_text("day").alias("day"), "comments", F.coalesce("late", F.lit(0)).alias("late"))
 
 
 # ---------------------------------------------------------------- the published store
@@ -380,73 +242,153 @@ def stored_layout(spark, sf_dir):
     return rows.groupBy("ym", "n", "ngram").agg(F.count_distinct("file").alias("files"))
 
 
-_LOOKED_UP = [(2, "red plate"), (1, "red"), (2, "no such"), (1, "nowhere"), (2, "plate red")]
+@query(
+    "exported_lines",
+    _with(_PARTS, _sql_grams([1, 2]), _COUNTS, "s AS (SELECT n, ngram, sum(count)::BIGINT AS c FROM counts GROUP BY ALL)", "r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c DESC, ngram) AS rn FROM s)")
+    + "SELECT concat_ws(chr(9), c, n, ngram) AS line FROM r WHERE (n = 1 AND rn <= 60) OR (n = 2 AND rn <= 30)",
+)
+def exported_lines(spark, sf_dir):
+    """Popular phrases as tab-separated lines, written and read again."""
+    path = f"{_shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    counts = _built(spark, sf_dir).read("ngram_counts")
+    write_tsv(ranking.popular_phrases(counts, 137, END, 20_000), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query(
-    "stored_lookups",
-    _with(*_STORED_SQL, "asked(n, ngram) AS (VALUES " + ", ".join(f"({n}::TINYINT, '{g}')" for n, g in _LOOKED_UP) + ")")
-    + """SELECT a.n::INTEGER AS n, a.ngram, coalesce(CASE WHEN g.count >= 2 THEN g.count END, 0)::BIGINT AS global_count, coalesce(g.count >= 2, false) AS found
-FROM asked a LEFT JOIN globals g ON a.n = g.n AND a.ngram = g.ngram""",
+@query("totals_of_counts", _with(_PARTS, _sql_grams([1, 2]), _TOTALS) + "SELECT strftime(bucket, '%Y-%m-%d') AS bucket, n, total_count FROM totals")
+def totals_of_counts(spark, sf_dir):
+    """Denominators from unpruned counts."""
+    counts = counting.ngram_counts(corpora.part_tokens(spark, sf_dir), 2)
+    return counting.totals_of_counts(counts).select(_text("bucket").alias("bucket"), "n", "total_count")
+
+
+
+# ---------------------------------------------------------------- requests as a relation
+
+_GRAINS = ("day", "weekly", "Month", "YEAR")
+_NAMES = "upper(p_name) || '!'"
+_BUCKET = "CASE g WHEN 0 THEN c.bucket WHEN 1 THEN c.bucket - dayofweek(c.bucket)::INTEGER WHEN 2 THEN date_trunc('month', c.bucket)::DATE ELSE date_trunc('year', c.bucket)::DATE END"
+_ANSWERS = (
+    *_STORED_SQL,
+    f"asked AS (SELECT DISTINCT {_NAMES} AS phrase, array_to_string({_sql_tokens('p_name')}, ' ') AS normalized, length({_NAMES}) % 4 AS g FROM part)",
+    f"""pts AS (SELECT phrase, {_BUCKET} AS t, sum(c.count)::BIGINT AS count, sum(total_count)::BIGINT AS total
+  FROM asked JOIN counts c ON c.ngram = normalized AND c.n = 2 JOIN totals d ON d.bucket = c.bucket AND d.n = 2 WHERE c.bucket BETWEEN date '1995-01-01' AND date '2001-12-31' GROUP BY ALL)""",
 )
-def stored_lookups(spark, sf_dir):
-    """Corpus totals and membership, n-gram by n-gram and all at once."""
-    asked = PhraseQueries(_built(spark, sf_dir))
-    together = asked.vocabulary_check(_LOOKED_UP)
-    rows = [(n, g, asked.global_count(n, g), asked.in_vocabulary(n, g) and found) for (n, g), found in zip(_LOOKED_UP, together, strict=True)]
-    return spark.createDataFrame(rows, "n int, ngram string, global_count long, found boolean")
 
 
-_ASKED = ["Red PLATE!", "no such", "qqq", "a b c d e f", "<b>..."]
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name as a request."""
+    names = corpora.table(spark, sf_dir, "part").select(F.concat(F.upper("p_name"), F.lit("!")).alias("phrase")).distinct()
+    grain = F.get(F.array(*map(F.lit, _GRAINS)), (F.char_length("phrase") % 4).cast("int"))
+    return names.select("phrase", F.lit("1995-01-15").alias("start"), F.lit("2001-12-31").alias("end"), grain.alias("granularity"))
 
 
 @query(
     "phrase_responses",
-    _with(*_SERIES[:3], _TOTALS, _FINE.replace(_LIST, "('red plate')").replace(str(START), "1995-01-01"), _sql_coarse("month"))
-    + """SELECT 'Red PLATE!' AS phrase, ngram AS normalized, 'indexed' AS status, strftime(bucket, '%Y-%m-%d') AS t,
-  sum_count AS count, sum_total AS total, round(sum_count::DOUBLE / sum_total, 12) AS v, (SELECT sum(count)::BIGINT FROM counts c WHERE c.ngram = coarse.ngram) AS global_count FROM coarse
-UNION ALL SELECT * FROM (VALUES ('no such', 'no such', 'not_indexed', 'none', 0, 0, 0, 0::BIGINT), ('qqq', 'qqq', 'indexed', 'none', 0, 0, 0, 0),
-  ('a b c d e f', 'a b c d e f', 'invalid', 'none', 0, 0, 0, 0), ('<b>...', '', 'invalid', 'none', 0, 0, 0, 0))""",
+    _with(*_ANSWERS)
+    + """SELECT a.phrase, a.normalized, CASE WHEN t IS NOT NULL OR g.count >= 2 THEN 'indexed' ELSE 'not_indexed' END AS status, strftime(t, '%Y-%m-%d') AS t, p.count, p.total,
+  round(p.count::DOUBLE / p.total, 12) AS v, coalesce(CASE WHEN g.count >= 2 THEN g.count END, 0)::BIGINT AS global_count
+FROM asked a LEFT JOIN pts p ON a.phrase = p.phrase LEFT JOIN globals g ON g.n = 2 AND g.ngram = a.normalized""",
 )
 def phrase_responses(spark, sf_dir):
-    """Whole responses, a row a point (one for none): status, corpus total, counts, totals, frequencies."""
-    asked, rows = PhraseQueries(_built(spark, sf_dir)), []
-    for phrase in _ASKED:
-        r = asked.phrase(phrase, "1995-01-15", "2001-12-31", "month")
-        each = [(p["t"], p["count"], p["total"], round(p["v"], 12)) for p in r["points"]] or [("none", 0, 0, 0.0)]
-        rows += [(phrase, r["normalized"], r["status"], *p, r["global_count"]) for p in each]
-    return spark.createDataFrame(rows, "phrase string, normalized string, status string, t string, count long, total long, v double, global_count long")
-
-
-_BODIES = [
-    ("a b c d e f", "2024-01-10", "2024-02-01", "week", 200,
-     '{"phrase": "a b c d e f", "normalized": "a b c d e f", "status": "invalid", "points": [], "global_count": 0, "meta": {"tokenizer_version": "1", "start": "2024-01-01", "end": "2024-02-29", "granularity": "week"}}'),
-    ("é!", "2024-01-10", "2024-02-01", None, 200,
-     '{"phrase": "é!", "normalized": "", "status": "invalid", "points": [], "global_count": 0, "meta": {"tokenizer_version": "1", "start": "2024-01-01", "end": "2024-02-29", "granularity": "month"}}'),
-    ("qqq www", "2024-01-10", "2024-02-01", "day", 200,
-     '{"phrase": "qqq www", "normalized": "qqq www", "status": "not_indexed", "points": [], "global_count": 0, "meta": {"tokenizer_version": "1", "start": "2024-01-01", "end": "2024-02-29", "granularity": "day"}}'),
-    ("x", "2024-05-01", "2024-04-01", "day", 400, "INVALID_DATE_RANGE"), ("x", "soon", None, None, 400, "INVALID_DATE_FORMAT"), (None, None, None, None, 400, "MISSING_PHRASE"),
-]
-
-
-@query("json_responses", _literal("phrase VARCHAR, first VARCHAR, last VARCHAR, grain VARCHAR, status INTEGER, body VARCHAR", _BODIES))
+    """All parts' names answered in one plan, a row a point."""
+    rows = requests.answers(_built(spark, sf_dir), _asked(spark, sf_dir)).select("phrase", "normalized", "status", "global_count", F.explode_outer("points").alias("p"))
+    return rows.select("phrase", "normalized", "status", _text("p.t").alias("t"), "p.count", "p.total", F.round("p.v", 12).alias("v"), "global_count")
+
+
+@query(
+    "json_responses",
+    _with(*_ANSWERS)
+    + """SELECT a.phrase, 200 AS http, a.normalized, 'indexed' AS status, count(t)::BIGINT AS points, sum(p.count)::BIGINT AS occurrences, any_value(g.count)::BIGINT AS global_count,
+  CASE a.g WHEN 0 THEN 'day' WHEN 1 THEN 'week' WHEN 2 THEN 'month' ELSE 'year' END AS granularity, '1995-01-01' AS start
+FROM asked a JOIN pts p ON a.phrase = p.phrase JOIN globals g ON g.n = 2 AND g.ngram = a.normalized GROUP BY a.phrase, a.normalized, a.g""",
+)
 def json_responses(spark, sf_dir):
-    """Bodies as they are sent; of errors the envelope's code."""
-    asked, rows = PhraseQueries(_built(spark, sf_dir)), []
-    for r in _BODIES:
-        status, body = asked.respond(*r[:4])
-        rows.append((*r[:4], status, body if status == 200 else json.loads(body)["error"]["code"]))
-    return spark.createDataFrame(rows, "phrase string, first string, last string, grain string, status int, body string")
+    """The bodies that are sent, read back."""
+    kind = f"phrase string, normalized string, status string, points array<{requests.POINT}>, global_count long, meta struct<tokenizer_version:string,start:string,end:string,granularity:string>"
+    rows = requests.bodies(requests.answers(_built(spark, sf_dir), _asked(spark, sf_dir))).select("http", F.from_json("body", kind).alias("b"))
+    occurrences = F.aggregate("b.points", F.lit(0).cast("long"), lambda a, p: a + p["count"])
+    return rows.select("b.phrase", "http", "b.normalized", "b.status", F.size("b.points").cast("long").alias("points"), occurrences.alias("occurrences"), "b.global_count", "b.meta.granularity", "b.meta.start")
+
+
+@query(
+    "stored_lookups",
+    _with(*_STORED_SQL, f"asked AS (SELECT DISTINCT array_to_string({_sql_tokens('p_name')}, ' ') AS ngram FROM part UNION SELECT p_brand FROM part)")
+    + """SELECT a.ngram, coalesce(CASE WHEN g.count >= 2 THEN g.count END, 0)::BIGINT AS global_count, coalesce(g.count >= 2, false) AS found
+FROM asked a LEFT JOIN globals g ON g.n = 2 AND a.ngram = g.ngram""",
+)
+def stored_lookups(spark, sf_dir):
+    """Corpus totals and membership of every part's name, and of brands, that no text has."""
+    part = corpora.table(spark, sf_dir, "part")
+    names = with_tokens(part.select("p_name").distinct(), "p_name").select(F.array_join("tokens", " ").alias("ngram")).union(part.select("p_brand")).distinct()
+    store = _built(spark, sf_dir)
+    state = store.state()
+    shown = store.read("global_counts", state).where(F.col("count") >= state["export_floor"])
+    asked = names.select(F.lit(2).cast("byte").alias("n"), "ngram", F.monotonically_increasing_id().alias("pos"))
+    found = ranking.vocabulary_check(asked, store.read("ngram_vocabulary", state))
+    return found.join(ranking.with_global_counts(asked, shown), ["n", "ngram"]).select("ngram", "global_count", "found")
+
+
+_PARSED = "CASE WHEN regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast({0} AS DATE) END"
+
+
+@query(
+    "checked_requests",
+    f"""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS phrase,
+  CASE o_orderkey % 5 WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN NULL WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '2023-02-29' ELSE '1996-02-29' END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s,
+  CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '1997-01-31' ELSE '2020-1-1' END AS e, CASE o_orderstatus WHEN 'F' THEN 'weekly' WHEN 'O' THEN 'YEAR' WHEN 'P' THEN 'hour' END AS g FROM orders),
+p AS (SELECT *, CASE WHEN s IS NULL THEN date '2011-01-01' ELSE {_PARSED.format('s')} END AS a, {_PARSED.format('e')} AS b FROM r),
+c AS (SELECT *, CASE WHEN phrase IS NULL OR phrase = '' THEN 'MISSING_PHRASE' WHEN a IS NULL OR b IS NULL THEN 'INVALID_DATE_FORMAT'
+  WHEN date_trunc('month', a) > last_day(b) THEN 'INVALID_DATE_RANGE' WHEN g = 'hour' THEN 'INVALID_GRANULARITY' END AS error FROM p)
+SELECT o_orderkey, error, CASE WHEN error IS NULL THEN strftime(date_trunc('month', a), '%Y-%m-%d') END AS first, CASE WHEN error IS NULL THEN strftime(last_day(b), '%Y-%m-%d') END AS last,
+  CASE WHEN error IS NULL THEN CASE g WHEN 'weekly' THEN 'week' WHEN 'YEAR' THEN 'year' ELSE 'month' END END AS grain FROM c""",
+)
+def checked_requests(spark, sf_dir):
+    """Requests of all sorts made of orders: the first fault in the documented order, or the range and granularity."""
+    key, day = F.col("o_orderkey"), _text("o_orderdate")
+    start = F.when(key % 5 == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).when(key % 5 == 2, None).when(key % 5 == 3, F.when(key % 2 == 0, "2023-02-29").otherwise("1996-02-29")).otherwise(day)
+    asked = corpora.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(key % 7 == 0, "").when(key % 11 == 0, None).otherwise(F.col("o_orderpriority")).alias("phrase"), start.alias("start"),
+        F.when(key % 3 == 0, day).when(key % 3 == 1, "1997-01-31").otherwise("2020-1-1").alias("end"),
+        F.when(F.col("o_orderstatus") == "F", "weekly").when(F.col("o_orderstatus") == "O", "YEAR").when(F.col("o_orderstatus") == "P", "hour").alias("granularity"),
+    )
+    good = F.col("error").isNull()
+    return requests.checked(asked).select("o_orderkey", "error", F.when(good, _text("first")).alias("first"), F.when(good, _text("last")).alias("last"), F.when(good, F.col("grain")).alias("grain"))
+
+
+@query(
+    "stored_feedback",
+    """WITH c AS (SELECT o_custkey AS k, list_sort(list(o_orderpriority)) || CASE WHEN o_custkey % 17 = 0 THEN [repeat('é', 41)] ELSE [' '] END AS asked, min(o_orderdate) AS d FROM orders GROUP BY o_custkey),
+f AS (SELECT k, d, list_filter(asked, lambda x: trim(x) <> '') AS p, CASE k % 5 WHEN 0 THEN 'day' WHEN 1 THEN 'week' WHEN 2 THEN 'month' WHEN 3 THEN 'year' END AS g, k % 27 AS s FROM c),
+e AS (SELECT *, CASE WHEN len(p) < 2 THEN 'INVALID_PHRASES' WHEN len(p) > 10 THEN 'TOO_MANY_PHRASES' WHEN k % 17 = 0 THEN 'PHRASE_TOO_LONG' WHEN g IS NULL THEN 'INVALID_GRANULARITY'
+  WHEN k % 13 = 0 THEN 'INVALID_DATE_FORMAT' WHEN s > 24 THEN 'INVALID_SMOOTHING' ELSE 'ok' END AS code FROM f)
+SELECT code, CASE WHEN code = 'ok' THEN array_to_string(p, '|') END AS phrases, CASE WHEN code = 'ok' THEN g END AS granularity, CASE WHEN code = 'ok' THEN strftime(d, '%Y-%m-%d') END AS start_date,
+  CASE WHEN code = 'ok' THEN s ELSE -1 END::INTEGER AS smoothing, CASE WHEN code = 'ok' THEN least(k % 300, 128) * 2 ELSE -1 END::INTEGER AS agent_bytes FROM e""",
+)
+def stored_feedback(spark, sf_dir):
+    """Feedback made of customers' orders: what passes is stored and read again, the rest has its code."""
+    key = F.col("o_custkey")
+    more = F.when(key % 17 == 0, F.array(F.lit("é" * 41))).otherwise(F.array(F.lit(" ")))
+    given = corpora.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderpriority")).alias("asked"), F.min("o_orderdate").alias("d")).select(
+        F.concat("asked", more).alias("phrases"), F.get(F.array(*map(F.lit, ("Daily", "week", "MONTH", "year", "hour"))), (key % 5).cast("int")).alias("granularity"),
+        F.when(key % 13 == 0, F.date_format("d", "dd.MM.yyyy")).otherwise(_text("d")).alias("start_date"), (key % 27).cast("int").alias("smoothing"), F.repeat(F.lit("ä"), (key % 300).cast("int")).alias("user_agent"),
+    )
+    judged = requests.checked_feedback(given)
+    store = _store(spark)
+    store.add_feedbacks(judged.where("error IS NULL").select("*", F.lit("1").alias("tokenizer_version"), F.current_timestamp().alias("created_at")))
+    kept = store.feedback().select(F.lit("ok").alias("code"), F.array_join("phrases", "|").alias("phrases"), "granularity", _text("start_date").alias("start_date"), F.col("smoothing").cast("int").alias("smoothing"), F.octet_length("user_agent").alias("agent_bytes"))
+    none = F.lit(None).cast("string")
+    return kept.union(judged.where("error IS NOT NULL").select("error", none, none, none, F.lit(-1), F.lit(-1)))
 
 
-@query("compared_at_most_ten", _literal("asked INTEGER, shown BIGINT", [(12, 10)]))
+@query(
+    "compared_at_most_ten",
+    _with(_PARTS, _sql_grams([2]), "asked AS (SELECT DISTINCT p_name FROM part ORDER BY p_name LIMIT 10)") + f"SELECT ngram, count(*)::BIGINT AS count FROM grams JOIN asked ON ngram = p_name WHERE bucket BETWEEN date '{START}' AND date '{END}' GROUP BY ngram",
+)
 def compared_at_most_ten(spark, sf_dir):
-    """Only the first ten phrases are compared. (All single names occur on most days.)"""
-    names = [f"w{i}" for i in range(12)]
-    counts = spark.createDataFrame([(dt.date(2000, 1, 1), 1, w, 1) for w in names], "bucket date, n int, ngram string, count long")
-    totals = spark.createDataFrame([(dt.date(2000, 1, 1), 1, 12)], "bucket date, n int, total_count long")
-    shown = phrases.compared(counts, totals, names, START, END, "day").where("count > 0")
-    return shown.agg(F.count_distinct("ngram").alias("shown")).select(F.lit(12).alias("asked"), "shown")
+    """Of twelve phrases that are asked for the first ten are compared."""
+    asked = [r[0] for r in corpora.table(spark, sf_dir, "part").select("p_name").distinct().orderBy("p_name").limit(12).collect()]
+    return PhraseQueries(_built(spark, sf_dir)).compare(asked, START, END, "year").groupBy("ngram").agg(F.sum("count").alias("count")).where("count > 0")
 
 
 @query(
@@ -461,69 +403,28 @@ def latest_log_row(spark, sf_dir):
     rows = corpora.part_names(spark, sf_dir).withColumn("ts_ms", dates.bucket_end_ms(F.col("bucket")))
     for name, part in (("a", "year(bucket) < 1998"), ("b", "year(bucket) >= 1998")):
         incremental.process_batch(store, rows.where(part), name, _EVERYTHING)
-    last, fresh = store.latest_log(), PhraseQueries(store).freshness()
-    assert fresh["last_ingested_ts"] == last["last_ingested_ts"]
-    row = (last["run_seq"], last["batch_id"], last["command"], last["comments_processed"], store.watermark(), fresh["last_ingested_date"])
-    return spark.createDataFrame([row], "run_seq long, batch_id string, command string, comments_processed long, watermark long, last_day string")
-
-
-@query("version_guard", _literal("logged VARCHAR, refused BOOLEAN", [("1", False), ("0", True)]))
-def version_guard(spark, sf_dir):
-    """A log that names another tokenizer version stops a run."""
-    rows = []
-    empty = {t: spark.createDataFrame([], columns) for t, columns in (("bucket_totals", "n tinyint, bucket date, total_count long"),)}
-    for version in ("1", "0"):
-        store = _store(spark)
-        store.append(empty, "x", {"tokenizer_version": version})
-        try:
-            store.check_version()
-            rows.append((version, False))
-        except VersionMismatch:
-            rows.append((version, True))
-    return spark.createDataFrame(rows, "logged string, refused boolean")
-
-
-@query("reset_store", _literal("step VARCHAR, totals BIGINT, log_rows BIGINT, watermark BIGINT, feedback_rows BIGINT", [("before", 1, 1, 7, 1), ("after", 0, 0, 0, 1)]))
-def reset_store(spark, sf_dir):
-    """Tables and log go; feedback stays."""
-    store, rows = _store(spark), []
-    store.append({"bucket_totals": spark.createDataFrame([(1, dt.date(2024, 1, 1), 5)], "n tinyint, bucket date, total_count long")}, "x", {"last_ingested_ts": 7})
-    PhraseQueries(store).feedback(["a", "b"], "day", "2024-01-01", 1)
-    for step in ("before", "after"):
-        rows.append((step, store.read("bucket_totals").count(), store.log().count(), store.watermark(), store.feedback().count()))
-        store.reset()
-    return spark.createDataFrame(rows, "step string, totals long, log_rows long, watermark long, feedback_rows long")
-
-
-@query("health", _literal("status VARCHAR, tokenizer_version VARCHAR", [("ok", "1")]))
-def health(spark, sf_dir):
-    told = PhraseQueries.health()
-    return spark.createDataFrame([(told["status"], told["tokenizer_version"])], "status string, tokenizer_version string")
+    mark, fresh = store.watermark(), PhraseQueries(store).freshness()
+    last = store.log().orderBy(F.desc("run_seq")).limit(1)
+    return last.select("run_seq", "batch_id", "command", "comments_processed", F.lit(mark).cast("long").alias("watermark"), F.lit(fresh["last_ingested_date"]).alias("last_day"))
 
 
-@query(
-    "exported_lines",
-    _with(_PARTS, _sql_grams([1, 2]), _COUNTS, "s AS (SELECT n, ngram, sum(count)::BIGINT AS c FROM counts GROUP BY ALL)", "r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY c DESC, ngram) AS rn FROM s)")
-    + "SELECT concat_ws(chr(9), c, n, ngram) AS line FROM r WHERE (n = 1 AND rn <= 60) OR (n = 2 AND rn <= 30)",
-)
-def exported_lines(spark, sf_dir):
-    """Popular phrases as tab-separated lines, written and read again."""
-    path = f"{_shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    counts = _built(spark, sf_dir).read("ngram_counts")
-    write_tsv(ranking.popular_phrases(counts, 137, END, 20_000), path)
-    return spark.read.text(path).withColumnRenamed("value", "line")
-
-
-@query("admission_thresholds", _literal("n INTEGER, count BIGINT, admitted BOOLEAN, fills_bucket BOOLEAN", [(1, 1, True, True), (2, 19, False, True), (2, 20, True, True), (2, 2, False, False), (3, 10, True, True), (3, 4, False, False), (4, 8, True, True), (5, 4, False, True), (5, 5, True, True), (6, 99, False, False)]))
-def admission_thresholds(spark, sf_dir):
-    """The default thresholds; an order without one is never admitted."""
-    rows = spark.createDataFrame([(1, 1), (2, 19), (2, 20), (2, 2), (3, 10), (3, 4), (4, 8), (5, 4), (5, 5), (6, 99)], "n int, count long")
-    rules = pruning.Pruning()
-    return rows.select("n", "count", rules.admits(F.col("count"), F.col("n")).alias("admitted"), rules.fills_bucket(F.col("count"), F.col("n")).alias("fills_bucket"))
+@query("stored_versions", _with(_PARTS.replace("WHERE", "WHERE"), _sql_grams([1]), _COUNTS) + "SELECT strftime(bucket, '%Y-%m-%d') AS bucket, ngram, count FROM counts WHERE day(bucket) % 2 = 1")
+def stored_versions(spark, sf_dir):
+    """Rows of another tokenizer version lie in the store and are never read."""
+    store = _store(spark)
+    counts = counting.ngram_counts(corpora.part_tokens(spark, sf_dir), 1)
+    version = F.when(F.dayofmonth("bucket") % 2 == 1, "1").otherwise("0")
+    store.append({"ngram_counts": counts.withColumn("tokenizer_version", version)}, "both", {})
+    return store.read("ngram_counts").select(_text("bucket").alias("bucket"), "ngram", "count")
 
 
-@query("totals_of_counts", _with(_PARTS, _sql_grams([1, 2]), _TOTALS) + "SELECT strftime(bucket, '%Y-%m-%d') AS bucket, n, total_count FROM totals")
-def totals_of_counts(spark, sf_dir):
-    """Denominators from unpruned counts."""
-    counts = counting.ngram_counts(corpora.part_tokens(spark, sf_dir), 2)
-    return counting.totals_of_counts(counts).select(_text("bucket").alias("bucket"), "n", "total_count")
+@query("reset_and_refilled", _with(_PARTS, _sql_grams([1, 2]), _COUNTS, _TOTALS) + _ROWS.replace("total_count FROM", "total_count, 1::BIGINT AS feedback FROM") + " WHERE day(c.bucket) % 2 = 0")
+def reset_and_refilled(spark, sf_dir):
+    """A reset takes tables and log, so that older comments can be added again; feedback stays."""
+    store = _store(spark)
+    rows = corpora.part_names(spark, sf_dir).withColumn("ts_ms", dates.bucket_end_ms(F.col("bucket")))
+    incremental.process_batch(store, rows, "a", _EVERYTHING)
+    PhraseQueries(store).feedback(["a", "b"], "day", "2024-01-01", 1)
+    store.reset()
+    incremental.process_batch(store, rows.where(F.dayofmonth("bucket") % 2 == 0), "a", _EVERYTHING)
+    return _stored(store).withColumn("feedback", F.lit(store.feedback().count()).cast("long"))

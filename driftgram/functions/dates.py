@@ -80,6 +80,24 @@ def parse_date(text: str) -> dt.date | None:
         return None
 
 
+def parsed_date(text: Column) -> Column:
+    """:func:`parse_date` of a column; null where it isn't one."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~text.startswith("0000"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def parsed_granularity(text: Column) -> Column:
+    """:func:`parse_granularity` of a column."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _SAME.items() for x in pair)), F.lower(text))
+
+
+def bucket_by(bucket: Column, granularity: Column) -> Column:
+    """The coarser bucket by a column that names the granularity."""
+    out = F.when(granularity == QUERIED[0], query_bucket(bucket, QUERIED[0]))
+    for g in QUERIED[1:]:
+        out = out.when(granularity == g, query_bucket(bucket, g))
+    return out
+
+
 def month_bounds(day: Column) -> tuple[Column, Column]:
     """The first and the last day of the date's month."""
     return F.trunc(day, "MM"), F.last_day(day)

@@ -1,10 +1,11 @@
 """The deterministic tokenizer, as Spark column expressions.
 
 Order of steps: strip tags, decode entities, URLs to domains, NFKC, drop zero-width characters,
-straighten quotes, lower-case, cut into tokens. Spark has no function for NFKC or for the whole
-entity table, so rows with a character that NFKC may change, in any script, or with a rare entity
-go through an Arrow UDF that runs the same steps in Python; every other row stays in the JVM, and
-the UDF is handed null for it.
+straighten quotes, lower-case, cut into tokens. Spark has no function for NFKC, but tokens are ASCII, so
+all that NFKC does to them are two things: a character may stand for one or several ASCII ones (full-width
+letters, ligatures, the ellipsis), which a table made from Unicode's data replaces, and an ASCII letter
+may melt together with a mark behind it. Only rows that have such a mark go through an Arrow UDF that
+runs the same steps in Python; every other row stays in the JVM, and the UDF is handed null for it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import functools
 import html.entities
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,33 +34,46 @@ _TECHNICAL = r"^(?:[a-z]+[0-9]+-[a-z0-9]+|[a-z0-9]+-[0-9]+)$"
 _ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 _CURLY, _STRAIGHT = "\u201c\u201d\u2018\u2019", "\"\"''"
 
-#: Entities decoded in the JVM; the ampersand comes last so that nothing is decoded twice.
+#: The usual entities; the ampersand comes last so that nothing is decoded twice.
 _PLAIN_ENTITIES = {
     "<": ("&lt;", "&#60;"), ">": ("&gt;", "&#62;"), '"': ("&quot;", "&#34;"), "'": ("&#x27;", "&#39;", "&apos;"), "/": ("&#x2F;", "&#47;"), "&": ("&amp;", "&#38;"),
 }
-_OTHER_ENTITY = "&(?!(?:" + "|".join(x[1:-1] for names in _PLAIN_ENTITIES.values() for x in names) + ");)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_ANY_ENTITY = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_OTHER_ENTITY = "&(?!(?:" + "|".join(x[1:-1] for names in _PLAIN_ENTITIES.values() for x in names) + f");){_ANY_ENTITY[1:]}"
+_MATTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'+#.-") | set(_ZERO_WIDTH + _CURLY)
 
 
 @functools.cache
-def _unstable() -> str:
-    """What NFKC might change: characters of neither class, or two marks in a row. Two character classes:
-    code points that NFKC leaves alone whatever stands beside them, and marks that it leaves alone
-    unless another mark stands beside them (it may sort those)."""
-    second = {int(d.split()[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
-    second |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals that join a syllable
-    stable: list[list[int]] = []
-    marks: list[list[int]] = []
-    for c in range(0x110000):
-        if c in second or 0xD800 <= c < 0xE000 or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+def _nfkc() -> tuple[str, dict[str, str], dict[str, str]]:
+    """From Unicode's data: a class of the characters that an ASCII character before them may melt together with, and
+    what other characters become that NFKC turns into something that matters to tokens: one character, or several."""
+    pairs = {d.split()[1]: d.split()[0] for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d and int(d.split()[0], 16) < 0x80}
+    marks = {chr(int(m, 16)) for m in pairs}
+    melting, single, several = [], {}, {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if 0xD800 <= ord(c) < 0xE000:
             continue
-        ranges = marks if unicodedata.combining(chr(c)) else stable
+        if unicodedata.normalize("NFKD", c)[0] in marks:
+            melting.append(c)
+        elif (out := unicodedata.normalize("NFKC", c)) != c and not _MATTERS.isdisjoint(out):
+            (single if len(out) == 1 else several)[c] = out
+    return f"[{''.join(melting)}]", single, several
+
+
+def _class(characters: Iterable[str]) -> str:
+    """A character class, neighbours as ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    # a class is searched range by range: the long ones, which most text is made of, come first
-    written = lambda ranges: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(ranges, key=lambda r: (r[0] >= 0x3000, r[0] - r[1])))
-    return f"[^{written(stable)}{written(marks)}]|[{written(marks)}]{{2}}"
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A map from text to text, written as one constant."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entries.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,6 +92,41 @@ def decode_plain_entities(text: Column) -> Column:
     return text
 
 
+def decode_all_entities(text: Column) -> Column:
+    """Every entity with its semicolon, once; names and numbers that nothing has stay as they are."""
+    names = _table({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})
+
+    def numbered(entity: Column) -> Column:
+        hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+        digits = F.regexp_replace(entity, "^&#[xX]?0*|;$", "")
+        code = F.when(F.char_length(digits).between(1, 7), F.conv(digits, 16, 10).cast("int") * hexadecimal.cast("int") + F.conv(F.when(hexadecimal, "0").otherwise(digits), 10, 10).cast("int"))
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def decoded(entity: Column) -> Column:
+        named = F.try_element_at(names, F.substring(entity, F.lit(2), F.char_length(entity) - 2))
+        return F.coalesce(F.when(F.startswith(entity, F.lit("&#")), numbered(entity)).otherwise(named), entity)
+
+    found, gaps = F.regexp_extract_all(text, F.lit(_ANY_ENTITY), F.lit(0)), F.split(text, _ANY_ENTITY, -1)
+    joined = lambda x: F.array_join(F.transform(x["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(x["with"], i), F.lit("")))), "")
+    return let(F.struct(F.transform(found, decoded).alias("with"), gaps.alias("gaps")), joined)
+
+
+def decode_entities(text: Column) -> Column:
+    """The usual entities by replacement; all of them where there are others."""
+    return F.when(text.rlike(_OTHER_ENTITY), decode_all_entities(text)).otherwise(decode_plain_entities(text))
+
+
+def to_ascii(text: Column) -> Column:
+    """Characters that NFKC turns into something that matters to tokens, so turned."""
+    _, single, several = _nfkc()
+    others = [k for k in several if k != "\u2026"]  # the ellipsis is frequent and has a step of its own
+    table = _table({k: several[k] for k in others})
+    each = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    rare = lambda t: F.when(t.rlike(_class(others)), each(t)).otherwise(t)
+    return let(F.replace(F.translate(text, "".join(single), "".join(single.values())), F.lit("\u2026"), F.lit("...")), rare)
+
+
 def urls_to_domains(text: Column) -> Column:
     """A URL becomes its domain between spaces; without a scheme it needs a known ending and a path."""
     return F.regexp_replace(F.regexp_replace(text, f"(?U){_SCHEME_URL}", " $1 "), f"(?U){_BARE_URL}", " $1 ")
@@ -110,20 +159,21 @@ def tokenize_plain(text: Column) -> Column:
     """Tokens of texts for which :func:`needs_python` is false; null gives no tokens."""
     text = F.coalesce(text, F.lit(""))
     text = _if_contains(text, "<", strip_tags)
-    text = _if_contains(text, "&", decode_plain_entities)
+    text = _if_contains(text, "&", decode_entities)
     text = _if_contains(text, "/", urls_to_domains)
+    text = let(text, lambda t: F.when(F.octet_length(t) != F.char_length(t), to_ascii(t)).otherwise(t))
     text = F.translate(F.translate(text, _ZERO_WIDTH, ""), _CURLY, _STRAIGHT)
     return cut_tokens(F.lower(text))
 
 
 def needs_python(text: Column) -> Column:
-    """NFKC might change the text, or it has an entity that isn't decoded in the JVM.
-
-    The many ranges of the classes are only looked up for what is left without ASCII, whose runs
-    become a space each, so that marks around them don't meet.
-    """
-    unstable = (F.octet_length(text) != F.char_length(text)) & F.regexp_replace(text, r"[\x00-\x7f]+", " ").rlike(_unstable())
-    return F.coalesce(unstable | (F.contains(text, F.lit("&")) & text.rlike(_OTHER_ENTITY)), F.lit(False))
+    """The text has a mark that may melt together with an ASCII character, or an entity that stands for one."""
+    melting = _nfkc()[0]
+    names = [k for k, v in html.entities.html5.items() if k.endswith(";") and re.search(melting, v)]
+    codes = [ord(c) for c in melting[1:-1]]
+    entity = "&(?:" + "|".join([*names, f"#0*(?:{'|'.join(map(str, codes))});", f"#[xX]0*(?i:{'|'.join(f'{c:x}' for c in codes)});"]) + ")"
+    written = (F.octet_length(text) != F.char_length(text)) & text.rlike(melting)
+    return F.coalesce(written | (F.contains(text, F.lit("&")) & text.rlike(entity)), F.lit(False))
 
 
 _ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")
@@ -165,7 +215,7 @@ def _udf() -> Callable[[Column], Column]:
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", python_rows: bool = True) -> DataFrame:
     """``df`` with the array column ``out``. ``python_rows=False`` leaves out the UDF: for corpora
-    known to be free of characters that NFKC changes and of rare entities."""
+    known to be free of marks behind ASCII letters."""
     text_column = F.col(text)
     if not python_rows:
         return df.withColumn(out, tokenize_plain(text_column))

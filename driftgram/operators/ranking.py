@@ -22,11 +22,10 @@ def popular_phrases(counts: DataFrame, limit: int, today: dt.date, days: int) ->
     sizes = strata_sizes(limit)
     recent = counts.where(F.col("bucket") >= F.lit(today - dt.timedelta(days=days))).where(F.col("n").isin(list(sizes)))
     summed = recent.groupBy("n", "ngram").agg(F.sum("count").alias("recent_count"))
-    top = None  # a top-k for each order: no task orders all n-grams
-    for n, size in sizes.items():
-        part = summed.where(F.col("n") == n).orderBy(F.desc("recent_count"), "ngram").limit(size)
-        top = part if top is None else top.unionByName(part)
-    return top.select("recent_count", "n", "ngram").orderBy("n", F.desc("recent_count"), "ngram")
+    most = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))
+    # within one scan: each task keeps an order's first rows before the shuffle, for the rank is bounded by a constant
+    best = ranked(summed, ["n"], [F.desc("recent_count"), F.col("ngram")]).where((F.col("rn") <= max(sizes.values())) & (F.col("rn") <= most[F.col("n").cast("int")]))
+    return best.select("recent_count", "n", "ngram").orderBy("n", F.desc("recent_count"), "ngram")
 
 
 def ranked(table: DataFrame, within: Sequence[str], by: Sequence[Column], column: str = "rn") -> DataFrame:

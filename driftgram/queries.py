@@ -149,9 +149,16 @@ def denominator_contributions(spark, sf_dir):
 _PRUNED = (_DOCS, _sql_grams([1, 2, 3]), _COUNTS, _GLOBALS, _VOCABULARY)
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Written and read again, as a build does with what several tables are made of: texts are tokenized once."""
+    path = f"{_shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _pruned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts, corpus totals, vocabulary. The counts' shuffle is the same in all plans made of them, so Spark runs it once."""
-    counts = counting.ngram_counts(_documents(spark, sf_dir), 3)
+    """Counts, corpus totals, vocabulary."""
+    counts = _kept(counting.ngram_counts(_documents(spark, sf_dir), 3), "counts")
     overall = counting.global_counts(counts)
     return counts, overall, pruning.vocabulary(overall, PRUNING)
 
@@ -308,7 +315,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def _store(spark: SparkSession) -> Store:
-    return Store(spark, f"{_shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{_shared_folder(spark)}/store-{uuid.uuid4().hex}", files_per_month=2, key_buckets=2)  # names of parts are few
 
 
 _BUILT: dict[tuple[str, str], Store] = {}
@@ -319,7 +326,9 @@ def _built(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         store = _store(spark)
-        store.publish(rebuild.tables(corpora.part_names(spark, sf_dir), _EVERYTHING), {"command": "rebuild"}, _EVERYTHING.pruning.export_floor)
+        counts = _kept(counting.ngram_counts(corpora.part_tokens(spark, sf_dir), _EVERYTHING.max_n), "counts")
+        tables = rebuild.tables_of_counts(counts, _EVERYTHING, stored=lambda name, rows: _kept(rows, name))
+        store.publish(tables, {"command": "rebuild"}, _EVERYTHING.pruning.export_floor)
         _BUILT[key] = store
     return _BUILT[key]
 
@@ -452,11 +461,6 @@ def stored_buckets(spark, sf_dir):
     return events.select(*columns).groupBy("daily", "monthly", "yearly", "weekly").agg(F.count("*").alias("events"))
 
 
-@query("month_range", "SELECT strftime(m, '%Y-%m') AS month, 'data/' || strftime(m, '%Y/%Y-%m') || '.parquet' AS path FROM (SELECT unnest(generate_series(date '2006-10-01', date '2008-02-01', INTERVAL 1 MONTH)) AS m)")
-def month_range(spark, sf_dir):
-    return items.month_paths(dates.month_range(spark, "2006-10", "2008-02"), "data").select(F.date_format("month", "yyyy-MM").alias("month"), "path")
-
-
 @query("snapped_months", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last FROM orders")
 def snapped_months(spark, sf_dir):
     first, last = dates.month_bounds(F.col("o_orderdate").cast("date"))

@@ -20,6 +20,7 @@ from ..functions import dates, ngrams
 from ..functions.text import with_tokens
 from ..operators import counting, pruning, ranking
 from ..sources import items
+from ..sources.commits import CommitLog, Files
 from ..sources.config import BuildConfig
 from ..sources.store import BatchConflict, CommitConflict, Store, bucket
 
@@ -131,6 +132,59 @@ def windowed_counts(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     return days.select(dates.stored_bucket(F.col("window.start")).alias("day"), "comments", "tokens")
 
 
+def closed_windows(rows: DataFrame, path: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+    """Writes each day of :func:`windowed_counts` to files below ``path``, once, when the watermark has passed it.
+
+    The state store holds the days that are still open; what comes for a closed one is in :class:`LateRows`.
+    """
+    writer = windowed_counts(rows, lateness).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
+
+
+class LateRows:
+    """A side output of rows that came when :func:`closed_windows` had closed their day, counted by day.
+
+    It follows the same files, as many a trigger, and so has the same watermark: the newest time of the
+    triggers before the last one, less the lateness. Each trigger's counts and times are one commit, put if
+    absent, so a trigger that is repeated changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, lateness_ms: int):
+        self.spark, self.files, self.lateness_ms = spark, Files(spark, root), lateness_ms
+        self.commits = CommitLog(self.files)
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        before = self.commits.latest() or {"seq": 0, "newest": [], "folders": []}
+        if number < before["seq"]:
+            return
+        day = dates.stored_bucket(F.col("ts"))
+        late_at = max(before["newest"][:-1], default=None)  # the last trigger's times close days only at the end of this one
+        folder, ms = uuid.uuid4().hex, dates.utc_millis(F.col("ts"))
+        held = batch.select("ts").persist()
+        try:
+            if late_at is not None:
+                late = held.where(dates.bucket_end_ms(day) <= late_at - self.lateness_ms).groupBy(day.alias("day")).agg(F.count("*").alias("late"))
+                late.write.parquet(self.files.name("late", folder))
+            newest = held.agg(F.max(ms)).first()[0]
+        finally:
+            held.unpersist()
+        times = before["newest"][-2:] + ([newest] if newest is not None else before["newest"][-1:])
+        times = [max(times[: k + 1]) for k in range(len(times))]
+        self.commits.put({"seq": number + 1, "newest": times, "folders": before["folders"] + ([folder] if late_at is not None else [])})
+
+    def follow(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
+        writer = rows.writeStream.foreachBatch(lambda batch, number: self.take(batch, number)).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+
+    def by_day(self) -> DataFrame:
+        """(day, late)"""
+        folders = (self.commits.latest() or {"folders": []})["folders"]
+        if not folders:
+            return self.spark.createDataFrame([], "day date, late long")
+        rows = self.spark.read.schema("day date, late long").parquet(*(self.files.name("late", f) for f in folders))
+        return rows.groupBy("day").agg(F.sum("late").alias("late"))
+
+
 def replay(texts: DataFrame, config: BuildConfig) -> DataFrame:
     """The counts that a run over all batches would store, from (batch, bucket, tokens) in one plan.
 
