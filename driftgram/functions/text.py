@@ -60,6 +60,22 @@ def _nfkc() -> tuple[str, dict[str, str], dict[str, str]]:
     return f"[{''.join(melting)}]", single, several
 
 
+@functools.cache
+def _several() -> tuple[str, dict[str, str]]:
+    """The class and the map of characters that become several; the ellipsis is frequent and has a step of its own."""
+    others = {k: v for k, v in _nfkc()[2].items() if k != "\u2026"}
+    return _class(others), others
+
+
+@functools.cache
+def _melting_entity() -> str:
+    """Entities that stand for a mark that may melt together with an ASCII character."""
+    melting = _nfkc()[0]
+    names = [k for k, v in html.entities.html5.items() if k.endswith(";") and re.search(melting, v)]
+    codes = [ord(c) for c in melting[1:-1]]
+    return "&(?:" + "|".join([*names, f"#0*(?:{'|'.join(map(str, codes))});", f"#[xX]0*(?i:{'|'.join(f'{c:x}' for c in codes)});"]) + ")"
+
+
 def _class(characters: Iterable[str]) -> str:
     """A character class, neighbours as ranges."""
     ranges: list[list[int]] = []
@@ -119,11 +135,10 @@ def decode_entities(text: Column) -> Column:
 
 def to_ascii(text: Column) -> Column:
     """Characters that NFKC turns into something that matters to tokens, so turned."""
-    _, single, several = _nfkc()
-    others = [k for k in several if k != "\u2026"]  # the ellipsis is frequent and has a step of its own
-    table = _table({k: several[k] for k in others})
+    single, (rare_class, several) = _nfkc()[1], _several()
+    table = _table(several)
     each = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    rare = lambda t: F.when(t.rlike(_class(others)), each(t)).otherwise(t)
+    rare = lambda t: F.when(t.rlike(rare_class), each(t)).otherwise(t)
     return let(F.replace(F.translate(text, "".join(single), "".join(single.values())), F.lit("\u2026"), F.lit("...")), rare)
 
 
@@ -168,12 +183,8 @@ def tokenize_plain(text: Column) -> Column:
 
 def needs_python(text: Column) -> Column:
     """The text has a mark that may melt together with an ASCII character, or an entity that stands for one."""
-    melting = _nfkc()[0]
-    names = [k for k, v in html.entities.html5.items() if k.endswith(";") and re.search(melting, v)]
-    codes = [ord(c) for c in melting[1:-1]]
-    entity = "&(?:" + "|".join([*names, f"#0*(?:{'|'.join(map(str, codes))});", f"#[xX]0*(?i:{'|'.join(f'{c:x}' for c in codes)});"]) + ")"
-    written = (F.octet_length(text) != F.char_length(text)) & text.rlike(melting)
-    return F.coalesce(written | (F.contains(text, F.lit("&")) & text.rlike(entity)), F.lit(False))
+    written = (F.octet_length(text) != F.char_length(text)) & text.rlike(_nfkc()[0])
+    return F.coalesce(written | (F.contains(text, F.lit("&")) & text.rlike(_melting_entity())), F.lit(False))
 
 
 _ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildCon
         own = counting.global_counts(counts).persist()
         held += [texts, counts, own]
         while True:
-            made, entry = _admitted(store, state, counts, own, config)
+            made, entry, shared = _admitted(store, state, counts, own, config)
+            held.append(shared)
             entry |= {"command": command, "first_ingested_ts": first, "last_ingested_ts": newest, "comments_processed": number}
             entry |= {"duration_ms": int((time.monotonic() - began) * 1000), **(log or {})}
             made["bucket_totals"] = counting.bucket_totals(texts, config.max_n)
@@ -64,15 +66,15 @@ def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildCon
             frame.unpersist()
 
 
-def _admitted(store: Store, state: dict, counts: DataFrame, own: DataFrame, config: BuildConfig) -> tuple[dict[str, DataFrame], dict]:
-    """The batch's rows of the tables that depend on what was counted before, and the log's figures of them."""
-    known = {}
-    for table in ("global_counts", "ngram_vocabulary"):
-        # only n-grams of this batch can change their total or be newly admitted: at most so many numbers as there are partitions
-        touched = [r[0] for r in own.select(bucket(F.col("n"), F.col("ngram"), state["buckets"][table]).alias("h")).distinct().collect()]
-        known[table] = F.col("h").isin(touched)
+def _admitted(store: Store, state: dict, counts: DataFrame, own: DataFrame, config: BuildConfig) -> tuple[dict[str, DataFrame], dict, DataFrame]:
+    """The batch's rows of the tables that depend on what was counted before, the log's figures of them, and the frame they share."""
+    tables = ("global_counts", "ngram_vocabulary")
+    # only n-grams of this batch can change their total or be newly admitted: at most so many numbers as there are partitions
+    places = own.select(*(bucket(F.col("n"), F.col("ngram"), state["buckets"][t]).alias(t) for t in tables)).distinct()
+    touched = places.agg(*(F.collect_set(t).alias(t) for t in tables)).first()
+    known = {t: F.col("h").isin(sorted(touched[t])) for t in tables}
     earlier = store.read("global_counts", state).where(known["global_counts"]).select("n", "ngram", F.col("count").alias("earlier"))
-    overall = own.join(earlier, ["n", "ngram"], "left").select("n", "ngram", (F.col("count") + F.coalesce("earlier", F.lit(0))).alias("count"))
+    overall = own.join(earlier, ["n", "ngram"], "left").select("n", "ngram", (F.col("count") + F.coalesce("earlier", F.lit(0))).alias("count")).persist()
     before = store.read("ngram_vocabulary", state).where(known["ngram_vocabulary"])
     admitted = pruning.vocabulary(overall, config.pruning)
     now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
@@ -81,8 +83,10 @@ def _admitted(store: Store, state: dict, counts: DataFrame, own: DataFrame, conf
         "global_counts": own,
         "ngram_vocabulary": admitted.withColumn("admitted_at", F.lit(now)),
     }
-    read = sum(store.rows(table, state).where(where).count() for table, where in known.items())
-    return made, {"vocabulary_inserted": ranking.new_admissions(admitted, before).count(), "state_rows": read}
+    tallied = {"vocabulary_inserted": [ranking.new_admissions(admitted, before)], "state_rows": [store.rows(t, state).where(known[t]) for t in tables]}
+    each = [frame.select(F.lit(name).alias("name")) for name, frames in tallied.items() for frame in frames]
+    found = {r["name"]: r["count"] for r in reduce(DataFrame.union, each).groupBy("name").count().collect()}
+    return made, {name: found.get(name, 0) for name in tallied}, overall
 
 
 def process_months(spark: SparkSession, source: str, store: Store, config: BuildConfig) -> list[str]:

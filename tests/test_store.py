@@ -336,12 +336,13 @@ def test_two_batches_and_a_publication_lose_nothing(spark, source, tmp_path, mon
 
     def together(self, table, rows, buckets):
         out = write(self, table, rows, buckets)
-        if table == "ngram_counts" and threading.current_thread().name not in met:
-            met.add(threading.current_thread().name)
-            waiting.wait(120)
+        if table == "ngram_counts":
+            met.append(table)
+            if len(met) <= 3:  # what is written again doesn't wait
+                waiting.wait(120)
         return out
 
-    met: set = set()
+    met: list = []
     monkeypatch.setattr(Store, "_write", together)
     jobs = [lambda: incremental.process_batch(Store(spark, store.root), _rows(spark, ("2024-05-01", "red apples"), ("2024-05-01", "green figs")), "a", rule),
             lambda: incremental.process_batch(Store(spark, store.root), _rows(spark, ("2024-05-02", "red apples"), ("2024-05-02", "green figs")), "b", rule),
