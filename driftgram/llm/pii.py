@@ -53,15 +53,18 @@ ISSUERS = "|".join((
     "4[0-9]{12}(?:[0-9]{3}){0,2}", "(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}", "3[47][0-9]{13}", "3(?:0[0-5]|[689][0-9])[0-9]{11}(?:[0-9]{2,5})?",
     "(?:6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2}|35(?:2[89]|[3-8][0-9])|220[0-4])[0-9]{12,15}", "(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15}",
 ))
-CARD = rf"(?<![0-9A-Za-z])(?:{ISSUERS})(?![0-9A-Za-z])"
+CARD = rf"(?<![0-9A-Za-z])(?=[2-6][0-9]{{12}})(?:{ISSUERS})(?![0-9A-Za-z])"
 #: Cards' groups, the longest first, with one separator throughout.
 _GROUPS = [(4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3)]
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 GROUPED_ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-#: What stands alone; grouped card and account numbers of a text that pass their checks are put behind it.
-OTHERS = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}|{ACCOUNT}"
+#: Card and account numbers that stand alone are looked for where a text has as many digits or capitals in a row; grouped
+#: ones of a text that pass their checks are put behind the rest.
+OTHERS, ALONE = f"{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}", f"|{CARD}|{ACCOUNT}"
+_MAY_STAND_ALONE = r"[0-9]{13}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"
+_MAY_BE_GROUPED = r"[0-9]{4}[ -][0-9]{3,6}[ -][0-9]{3}|[A-Z]{2}[0-9]{2} [A-Z0-9]{4} "
 _SHAPES = [f"[0-9]{{{first}}}" + "".join(f"{sep}[0-9]{{{n}}}" for n in rest) for first, *rest in _GROUPS for sep in " -"]
 GROUPED_CARD = rf"(?<![0-9A-Za-z])(?:{'|'.join(_SHAPES)})(?![0-9A-Za-z])"
 CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=({shape})(?![0-9A-Za-z]))" for shape in _SHAPES]
@@ -239,8 +242,10 @@ def _checked(text: Column) -> Column:
 
 def _found(text: Column) -> Column:
     """What :func:`common.located` finds of :data:`OTHERS` and of the grouped numbers that pass their checks."""
-    numbers = F.when(text.rlike(f"{GROUPED_CARD}|{GROUPED_ACCOUNT}"), _checked(text)).otherwise(F.array().cast("array<string>"))
-    wanted = lambda n: F.when(F.size(n) == 0, OTHERS).otherwise(F.concat(F.lit(f"{OTHERS}|(?<![0-9A-Za-z])(?:"), F.array_join(n, "|"), F.lit(")(?![0-9A-Za-z])")))
+    grouped = text.rlike(_MAY_BE_GROUPED) & text.rlike(f"{GROUPED_CARD}|{GROUPED_ACCOUNT}")
+    numbers = F.when(grouped, _checked(text)).otherwise(F.array().cast("array<string>"))
+    alone = F.when(text.rlike(_MAY_STAND_ALONE), OTHERS + ALONE).otherwise(OTHERS)
+    wanted = lambda n: F.when(F.size(n) == 0, alone).otherwise(F.concat(alone, F.lit("|(?<![0-9A-Za-z])(?:"), F.array_join(n, "|"), F.lit(")(?![0-9A-Za-z])")))
     return common.let(common.let(numbers, wanted), lambda p: common.located(text, p))
 
 
