@@ -26,17 +26,22 @@ from ..sources.config import BuildConfig
 from ..sources.store import BatchConflict, CommitConflict, Store, bucket
 
 
-def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildConfig, command: str = "process", log: dict | None = None) -> bool:
+def process_batch(store: Store, rows: DataFrame, batch_id: str, config: BuildConfig, command: str = "process", log: dict | None = None, since: int | None = None) -> bool:
     """Adds (bucket, text, ts_ms) as one batch. Repeating a batch changes nothing, for its rows aren't later
     than the watermark; new rows under an id that is in the log are an error.
 
+    With ``since`` rows later than that count, whatever the watermark: for sources that give each row to one
+    batch and repeat a batch whole and under its id, as a stream of files does. One that is in the log is then done.
+
     Of the corpus totals and the vocabulary only the hash partitions that the batch's n-grams fall into are read,
     and the batch adds its own counts to them. If another writer commits meanwhile, what depends on its
     state is made anew; the batch's counts are not.
     """
     store.check_version()
     began, state = time.monotonic(), store.state()
-    held = [items.later(rows, state["watermark"]).persist()]
+    if since is not None and store.has_batch(batch_id, state):
+        return False
+    held = [items.later(rows, state["watermark"] if since is None else since).persist()]
     try:
         first, newest, number = held[0].agg(F.min("ts_ms"), F.max("ts_ms"), F.count("*")).first()
         if not number:
@@ -103,12 +108,22 @@ def process_months(spark: SparkSession, source: str, store: Store, config: Build
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The identity of a stream, which its checkpoint folder keeps: another folder is another stream."""
+    return _noted(spark, f"{checkpoint.rstrip('/')}/driftgram-stream", uuid.uuid4().hex)
+
+
+def stream_since(spark: SparkSession, checkpoint: str, store: Store) -> int:
+    """The store's watermark when the stream was new: what lies before it came by another way."""
+    return int(_noted(spark, f"{checkpoint.rstrip('/')}/driftgram-since", str(store.watermark())))
+
+
+def _noted(spark: SparkSession, name: str, text: str) -> str:
+    """The text of a small file, which is written where there is none."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/driftgram-stream")
+    path = jvm.org.apache.hadoop.fs.Path(name)
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
         stream = fs.create(path, False)
-        stream.write(bytearray(uuid.uuid4().hex.encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
     stream = fs.open(path)
     try:
@@ -118,11 +133,15 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def stream(spark: SparkSession, source: str, schema: str, store: Store, config: BuildConfig, checkpoint: str, files_per_trigger: int = 16, available_now: bool = True) -> StreamingQuery:
-    """Follows a folder of item files; each micro-batch is one idempotent batch of the fold."""
+    """Follows a folder of item files; each micro-batch is one idempotent batch of the fold.
+
+    A month may lie in several files that come in different micro-batches, so rows are held against the watermark
+    that was there before the stream, not against that of its own batches.
+    """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     rows = items.comments(raw.select(*items.USED), 0, config.bucket_granularity)
-    own = stream_id(spark, checkpoint)
-    writer = rows.writeStream.foreachBatch(lambda batch, number: process_batch(store, batch, f"stream-{own}-{number}", config, "stream") and None).option("checkpointLocation", checkpoint)
+    own, since = stream_id(spark, checkpoint), stream_since(spark, checkpoint, store)
+    writer = rows.writeStream.foreachBatch(lambda batch, number: process_batch(store, batch, f"stream-{own}-{number}", config, "stream", since=since) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
