@@ -22,15 +22,29 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
-def all_orders(tokens: Column, max_n: int) -> Column:
-    """array<struct<n, ngram>> of orders 1 to ``max_n``, never across texts."""
-    each = [_tagged(tokens, n) for n in range(1, max_n + 1)]
-    return F.flatten(F.array(*each))
+def positions(df: DataFrame, tokens: Column | str, max_n: int, *keep: Column | str) -> DataFrame:
+    """A row for each token, with it and the tokens behind it as ``t1`` to ``t<max_n>``; null behind the last one."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    behind = [F.slice(tokens, k, F.greatest(F.size(tokens) - (k - 1), F.lit(0))).alias(f"t{k}") for k in range(2, max_n + 1)]
+    return df.select(*keep, F.inline_outer(F.arrays_zip(tokens.alias("t1"), *behind)).alias(*(f"t{k}" for k in range(1, max_n + 1)))).where("t1 IS NOT NULL")
 
 
-def _tagged(tokens: Column, n: int) -> Column:
-    order = F.lit(n).cast("byte")
-    return F.transform(ngrams(tokens, n), lambda g: F.struct(order.alias("n"), g.alias("ngram")))
+def joined(n: int) -> Column:
+    """The n-gram of a row of :func:`positions`; null where there are fewer tokens."""
+    return F.concat(*[x for k in range(1, n + 1) for x in (F.lit(" "), F.col(f"t{k}"))][1:])
+
+
+def of_order(df: DataFrame, n: int, *keep: str, tokens: str = "tokens", name: str = "ngram") -> DataFrame:
+    """A row for each n-gram of one order. Strings are joined by compiled code, row by row, not in a function of arrays."""
+    if n < 1:
+        return df.select(*keep, F.lit("").alias(name)).where(F.lit(False))
+    return positions(df, tokens, n, *keep).where(f"t{n} IS NOT NULL").select(*keep, joined(n).alias(name))
+
+
+def of_orders(df: DataFrame, max_n: int, *keep: str, tokens: str = "tokens") -> DataFrame:
+    """(keep, n, ngram): a row for each n-gram of orders 1 to ``max_n``, never across texts."""
+    each = F.array(*(F.struct(F.lit(n).cast("byte").alias("n"), joined(n).alias("ngram")) for n in range(1, max_n + 1)))
+    return positions(df, tokens, max_n, *keep).select(*keep, F.inline(each)).where("ngram IS NOT NULL")
 
 
 def window_count(tokens: Column, n: int) -> Column:

@@ -31,6 +31,12 @@ _SCHEME_URL = rf"https?://(?=({_DOMAIN}))(?:{_LABEL}\.)+[a-zA-Z]{{2,}}\S*"
 _BARE_URL = rf"(?<![a-zA-Z0-9])(?=({_DOMAIN}))(?:{_LABEL}\.)+(?:{'|'.join(_ENDINGS)})(?=\S*/)\S*"
 _RUN = r"[a-z0-9'+#.\-]+"
 _TECHNICAL = r"^(?:[a-z]+[0-9]+-[a-z0-9]+|[a-z0-9]+-[0-9]+)$"
+#: Tokens of texts without what _ODD finds: no technical hyphens, and no runs of different marks, which would be trimmed
+#: in an order. There, marks at a token's ends go, and every hyphen cuts. Characters are listed one by one, for which Java
+#: looks into a table; ranges it compares one after the other.
+_AZ09 = "abcdefghijklmnopqrstuvwxyz0123456789"
+_ODD = r"[-'](?:(?<=')[-.]|(?<=-)['.]|(?<=\.[-'])|(?<=[0-9]-)[a-z0-9]|(?<=[a-z]-)[0-9])"
+_EVEN_TOKEN = rf"(?:[{_AZ09}]|[+#](?=[+#'.]*[{_AZ09}]))[{_AZ09}+#]*+(?:(?:'++|\.++)[{_AZ09}+#]++)*+"
 _ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 _CURLY, _STRAIGHT = "\u201c\u201d\u2018\u2019", "\"\"''"
 
@@ -60,6 +66,14 @@ def _nfkc() -> tuple[str, dict[str, str], dict[str, str]]:
     return f"[{''.join(melting)}]", single, several
 
 
+@functools.cache
+def _other() -> str:
+    """The class of characters that may need a step of their own: all but ASCII and what of Latin-1 stays as it is."""
+    _, single, several = _nfkc()
+    plain = [c for c in range(0x100) if c < 0x80 or chr(c) not in single and chr(c) not in several]
+    return "[^" + "".join(f"\\x{c:02x}" for c in plain) + "]"
+
+
 @functools.cache
 def _several() -> tuple[str, dict[str, str]]:
     """The class and the map of characters that become several; the ellipsis is frequent and has a step of its own."""
@@ -161,6 +175,12 @@ def _kept(tokens: Column) -> Column:
 
 def cut_tokens(text: Column) -> Column:
     """Tokens of text that is already lower-case."""
+    odd = lambda t: (F.contains(t, F.lit("-")) | F.contains(t, F.lit("'"))) & t.rlike(_ODD)
+    return let(text, lambda t: F.when(odd(t), _cut_and_trimmed(t)).otherwise(F.regexp_extract_all(t, F.lit(_EVEN_TOKEN), F.lit(0))))
+
+
+def _cut_and_trimmed(text: Column) -> Column:
+    """The same for any text: runs are cut, trimmed one by one, and cut again at natural hyphens."""
     def parts(token: Column) -> Column:
         natural = F.contains(token, F.lit("-")) & ~token.rlike(_TECHNICAL)
         return F.when(natural, _kept(F.split(token, "-"))).otherwise(F.array(token))
@@ -176,14 +196,18 @@ def tokenize_plain(text: Column) -> Column:
     text = _if_contains(text, "<", strip_tags)
     text = _if_contains(text, "&", decode_entities)
     text = _if_contains(text, "/", urls_to_domains)
-    text = let(text, lambda t: F.when(F.octet_length(t) != F.char_length(t), to_ascii(t)).otherwise(t))
-    text = F.translate(F.translate(text, _ZERO_WIDTH, ""), _CURLY, _STRAIGHT)
+    ascii_only = lambda t: F.translate(F.translate(to_ascii(t), _ZERO_WIDTH, ""), _CURLY, _STRAIGHT)
+    text = let(text, lambda t: F.when(_has_other(t), ascii_only(t)).otherwise(t))
     return cut_tokens(F.lower(text))
 
 
+def _has_other(text: Column) -> Column:
+    return (F.octet_length(text) != F.char_length(text)) & text.rlike(_other())
+
+
 def needs_python(text: Column) -> Column:
     """The text has a mark that may melt together with an ASCII character, or an entity that stands for one."""
-    written = (F.octet_length(text) != F.char_length(text)) & text.rlike(_nfkc()[0])
+    written = _has_other(text) & text.rlike(_nfkc()[0])
     return F.coalesce(written | (F.contains(text, F.lit("&")) & text.rlike(_melting_entity())), F.lit(False))
 
 

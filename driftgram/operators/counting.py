@@ -24,13 +24,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def ngram_counts(texts: DataFrame, max_n: int = 3) -> DataFrame:
     """(bucket, n, ngram, count): occurrences, summed before and after the shuffle."""
-    grams = ngrams.exploded(texts, ngrams.all_orders(F.col("tokens"), max_n), "g", "bucket")
-    return grams.groupBy("bucket", F.col("g.n").alias("n"), F.col("g.ngram").alias("ngram")).agg(F.count("*").alias("count"))
+    return ngrams.of_orders(texts, max_n, "bucket").groupBy("bucket", "n", "ngram").agg(F.count("*").alias("count"))
 
 
 def order_counts(texts: DataFrame, n: int) -> DataFrame:
     """(bucket, ngram, count) of one order."""
-    return ngrams.exploded(texts, ngrams.ngrams(F.col("tokens"), n), "ngram", "bucket").groupBy("bucket", "ngram").agg(F.count("*").alias("count"))
+    return ngrams.of_order(texts, n, "bucket").groupBy("bucket", "ngram").agg(F.count("*").alias("count"))
 
 
 def bucket_totals(texts: DataFrame, max_n: int = 3) -> DataFrame:

@@ -215,8 +215,7 @@ def replay(texts: DataFrame, config: BuildConfig) -> DataFrame:
     running totals are a window over (order, n-gram), whose partitions have a row a batch.
     """
     keys = ["batch", "bucket", "n", "ngram"]
-    grams = ngrams.exploded(texts, ngrams.all_orders(F.col("tokens"), config.max_n), "g", "batch", "bucket")
-    counts = grams.groupBy("batch", "bucket", F.col("g.n").alias("n"), F.col("g.ngram").alias("ngram")).agg(F.count("*").alias("count")).select(*keys, "count")
+    counts = ngrams.of_orders(texts, config.max_n, "batch", "bucket").groupBy(*keys).agg(F.count("*").alias("count"))
     so_far = Window.partitionBy("n", "ngram").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     totals = counts.where("n >= 2").groupBy("n", "ngram", "batch").agg(F.sum("count").alias("c")).withColumn("total", F.sum("c").over(so_far))
     admitted = totals.where(config.pruning.admits(F.col("total"), F.col("n"))).groupBy("n", "ngram").agg(F.min("batch").alias("since"))

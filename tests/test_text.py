@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgram.functions import formatting, ngrams, text
+from driftgram.operators import counting
 
 CASES = [
     ("Dr. Wu? We won't go...", ["dr", "wu", "we", "won't", "go"]),
@@ -156,3 +157,22 @@ def test_small_frequencies_are_rounded_by_their_exact_value(spark):
 
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", formatting.format_frequency(F.col("v")).alias("s")).collect()
     assert [r["s"] for r in rows] == [exact(r["v"]) for r in rows]
+
+
+def test_marks_at_tokens_ends(spark):
+    """Texts with and without technical hyphens and mixed marks take different ways to the same tokens."""
+    pieces = ["word", "it's", "a-b", "c++", "c#.", "'quoted'", "...", "x.y", "--", "-a-", "+", "#'+", "utf8-x", "a-1", "q.'", "'.z", "é", "½", "ab--cd", "1--2", "a''b", "İ", "K"]
+    rows = [(f"{a}{s}{b}",) for a in pieces for b in pieces for s in (" ", "", "-")]
+    for r in text.with_tokens(spark.createDataFrame(rows, "text string").repartition(4)).collect():
+        assert r["tokens"] == text.tokenize_text(r["text"]), r["text"]
+
+
+def test_ngrams_are_made_by_compiled_code(spark):
+    """Neither n-grams nor tokens of plain texts go through a function of arrays, which isn't compiled: 475 task seconds for 0.1 GB before."""
+    texts = spark.createDataFrame([("2024-01-01", ["a", "b", "c"]), ("2024-01-01", []), ("2024-01-02", ["a", "b"])], "bucket string, tokens array<string>")
+    assert sorted(map(tuple, ngrams.of_orders(texts, 3, "bucket").collect())) == sorted(
+        [("2024-01-01", n, g) for n, g in ((1, "a"), (1, "b"), (1, "c"), (2, "a b"), (2, "b c"), (3, "a b c"))] + [("2024-01-02", n, g) for n, g in ((1, "a"), (1, "b"), (2, "a b"))]
+    )
+    assert [r["ngram"] for r in ngrams.of_order(texts, 3).collect()] == ["a b c"] and ngrams.of_order(texts, 0).count() == 0
+    plan = counting.ngram_counts(texts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "concat" in plan
