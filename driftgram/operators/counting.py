@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import ngrams
 
 
-#: Only inputs up to this size are dealt out anew; larger ones have splits of their own.
-SPREAD_BYTES = 256 << 20
+#: Bytes of a source that one task takes: what it makes of them, n-grams most of all, then fits its memory unspilled.
+PIECE_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small ``df`` over all cores where its source has fewer splits, as one small file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """``df`` dealt out in pieces of bounded size, and to all cores, where its source has fewer splits."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
+    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 
 def ngram_counts(texts: DataFrame, max_n: int = 3) -> DataFrame:
@@ -49,6 +49,11 @@ def global_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n", "ngram").agg(F.sum("count").alias("count"))
 
 
+def asked_counts(texts: DataFrame, asked: DataFrame, max_n: int = 3) -> DataFrame:
+    """(n, ngram, count) over all texts of the n-grams that are asked for (n, ngram): others are dropped before they are counted."""
+    return ngrams.of_orders(texts, max_n).join(asked.select("n", "ngram").distinct(), ["n", "ngram"], "left_semi").groupBy("n", "ngram").agg(F.count("*").alias("count"))
+
+
 def merged(*counts: DataFrame) -> DataFrame:
     """The sum of several count tables with the same columns."""
     out = counts[0]

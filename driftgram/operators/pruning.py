@@ -84,6 +84,11 @@ def exported_globals(global_counts: DataFrame, pruning: Pruning) -> DataFrame:
     return global_counts.where(F.col("count") >= pruning.export_floor)
 
 
+def admitted_and_exported(global_counts: DataFrame, pruning: Pruning) -> DataFrame:
+    """:func:`exported_vocabulary` of the totals that the vocabulary is made from: two conditions on a row, no join."""
+    return vocabulary(exported_globals(global_counts, pruning), pruning)
+
+
 def exported_vocabulary(global_counts: DataFrame, admitted: DataFrame, pruning: Pruning) -> DataFrame:
     """Admitted n-grams that the exported totals also hold."""
     return exported_globals(global_counts, pruning).join(admitted.select("n", "ngram"), ["n", "ngram"]).select("n", "ngram", F.col("count").alias("global_count"))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pruning import Pruning
+
 #: The shares of orders 1 to 5 in a pool of popular phrases, of 137 in all.
 STRATA = (60, 30, 20, 15, 12)
 
@@ -54,6 +56,14 @@ def all_admitted(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.select("n", "ngram").union(before.select("n", "ngram")).distinct()
 
 
+def admissions(totals: DataFrame, pruning: Pruning) -> tuple[DataFrame, DataFrame]:
+    """:func:`new_admissions` and :func:`all_admitted` from (n, ngram, count, early): totals now and of an earlier time, side
+    by side in a row. What didn't occur earlier wasn't admitted, whatever the threshold."""
+    n = F.col("n")
+    now, before = pruning.admits(F.col("count"), n), (F.col("early") > 0) & pruning.admits(F.col("early"), n)
+    return totals.where(now & ~before).select("n", "ngram"), totals.where(now | before).select("n", "ngram")
+
+
 def with_global_counts(vocabulary: DataFrame, global_counts: DataFrame) -> DataFrame:
     found = global_counts.select("n", "ngram", F.col("count").alias("g"))
     return vocabulary.select("n", "ngram").join(found, ["n", "ngram"], "left").select("n", "ngram", F.coalesce("g", F.lit(0)).alias("global_count"))

@@ -113,3 +113,9 @@ def test_replay_admits_in_order(spark):
     config = BuildConfig(max_n=2, pruning=Pruning({1: Threshold(0, 1), 2: Threshold(2, 1)}))
     got = {(r["batch"], r["ngram"]) for r in incremental.replay(t, config).collect()}
     assert got == {(b, g) for b in (1, 2, 3) for g in "ab"} | {(2, "a b"), (3, "a b")}
+
+
+def test_admissions_from_totals_side_by_side(spark):
+    rows = [(1, "old", 2, 1), (1, "new", 1, 0), (2, "a b", 20, 20), (2, "b c", 20, 19), (2, "c d", 19, 19), (6, "x", 99, 99)]
+    new, union = ranking.admissions(spark.createDataFrame(rows, "n tinyint, ngram string, count long, early long"), Pruning())
+    assert {r["ngram"] for r in new.collect()} == {"new", "b c"} and {r["ngram"] for r in union.collect()} == {"old", "new", "a b", "b c"}
