@@ -67,3 +67,27 @@ def admissions(totals: DataFrame, pruning: Pruning) -> tuple[DataFrame, DataFram
 def with_global_counts(vocabulary: DataFrame, global_counts: DataFrame) -> DataFrame:
     found = global_counts.select("n", "ngram", F.col("count").alias("g"))
     return vocabulary.select("n", "ngram").join(found, ["n", "ngram"], "left").select("n", "ngram", F.coalesce("g", F.lit(0)).alias("global_count"))
+
+
+def ranges(values: DataFrame, column: str, pieces: int) -> DataFrame:
+    """(piece, value, count): distinct values that aren't null, dealt by ranges. To be stored before use, for the bounds are drawn anew each time."""
+    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
+    return counted.repartitionByRange(pieces, "value").select(F.spark_partition_id().alias("piece"), "value", "count")
+
+
+def discrete_percentiles(pieces: DataFrame, shares: dict[str, str]) -> DataFrame:
+    """One row with the least value that each share of all rows doesn't exceed, from stored :func:`ranges`; shares are decimals.
+
+    A row a piece says in which piece each is, and only a piece's own values are put in order, so no task gets all of them.
+    """
+    sizes = pieces.groupBy("piece").agg(F.sum("count").alias("size"), F.min("value").alias("least"))
+    sums = sizes.select("piece", (F.sum("size").over(Window.orderBy("least")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("all"))
+    so_far = Window.partitionBy("piece").orderBy("value")
+    ranked = pieces.join(sums, "piece").withColumn("upto", F.col("before") + F.sum("count").over(so_far))
+    out = []
+    for name, share in shares.items():
+        whole, _, rest = share.partition(".")
+        parts, number = 10 ** len(rest), int(whole + rest)
+        place = F.greatest(F.lit(1), F.expr(f"(`all` * {number} + {parts - 1}) div {parts}"))
+        out.append(F.min(F.when(F.col("upto") >= place, F.col("value"))).alias(name))
+    return ranked.agg(*out)

@@ -119,3 +119,14 @@ def test_admissions_from_totals_side_by_side(spark):
     rows = [(1, "old", 2, 1), (1, "new", 1, 0), (2, "a b", 20, 20), (2, "b c", 20, 19), (2, "c d", 19, 19), (6, "x", 99, 99)]
     new, union = ranking.admissions(spark.createDataFrame(rows, "n tinyint, ngram string, count long, early long"), Pruning())
     assert {r["ngram"] for r in new.collect()} == {"new", "b c"} and {r["ngram"] for r in union.collect()} == {"old", "new", "a b", "b c"}
+
+
+def test_percentiles_over_ranges(spark):
+    """As percentile_disc has them; the values lie in several pieces, of which each is put in order by itself."""
+    for n in (1, 2, 7, 100, 1000):
+        values = spark.createDataFrame([(float((i * 7919) % n // 3),) for i in range(n)] + [(None,)], "x double")
+        values.createOrReplaceTempView("percentile_values")
+        pieces = ranking.ranges(values, "x", 5).localCheckpoint()
+        got = ranking.discrete_percentiles(pieces, {"a": "0.50", "b": "0.999", "c": "0.01"})
+        assert tuple(got.first()) == tuple(spark.sql("SELECT " + ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)" for p in (0.5, 0.999, 0.01)) + " FROM percentile_values").first())
+        assert n < 100 or pieces.select("piece").distinct().count() == 5
