@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import with_tokens
-from .operators.counting import spread
+from .operators.counting import in_pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bucket, text): a date of 2024 from the document's id."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int"))
-    return spread(table(spark, sf_dir, "documents").select(day.alias("bucket"), "text"))
+    return in_pieces(table(spark, sf_dir, "documents").select(day.alias("bucket"), "text"))
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,4 +33,4 @@ def part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")))
+    return in_pieces(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")))

@@ -15,10 +15,24 @@ from ..functions import ngrams
 PIECE_BYTES = 4 << 20
 
 
+#: Up to this size an input is dealt out to all cores; larger ones have splits of their own.
+SPREAD_BYTES = 256 << 20
+
+
+def source_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out in pieces of bounded size, and to all cores, where its source has fewer splits."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
+    """A small ``df`` over all cores where its source has fewer splits, as one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if source_bytes(df) <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
+def in_pieces(df: DataFrame) -> DataFrame:
+    """``df`` dealt out in pieces of bounded size, and to all cores, where its source has fewer splits. That shuffles all of it
+    each time it is read, so it is for what holds more than its input in memory."""
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-source_bytes(df) // PIECE_BYTES))
     return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 

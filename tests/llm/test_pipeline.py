@@ -8,7 +8,9 @@ import edge
 import pytest
 
 import corpus_pipeline
-from driftgram.llm import decontamination, mixing, quality_classifier, registry, simhash_dedup
+from driftgram import corpora
+from driftgram.llm import common, decontamination, mixing, quality_classifier, registry, simhash_dedup
+from driftgram.operators import counting
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -63,3 +65,14 @@ def test_queries_return_all_rows(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     out = registry.QUERIES[name](spark, sf_dir)
     assert "doc_id" in out.columns and (out.count() == n or name.startswith("op3_"))
+
+
+def test_large_tables_are_not_dealt_anew(spark, tmp_path, monkeypatch):
+    """A table with splits of its own is read as it lies, however large: a shuffle would copy every text each time it is read."""
+    rows = [(i, edge.prose(i, 200), "en", "web", 1) for i in range(400)]
+    spark.createDataFrame(rows, edge.SCHEMA).repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(counting, "PIECE_BYTES", 1 << 10)
+    docs = common.table(spark, str(tmp_path), "documents")
+    assert docs.rdd.getNumPartitions() >= 4 and "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert docs.count() == len(rows)
+    assert corpora.documents(spark, str(tmp_path)).rdd.getNumPartitions() > 16  # n-grams are many times their texts
