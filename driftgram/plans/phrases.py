@@ -73,7 +73,8 @@ class _View:
             if name not in self._tables:
                 rows = self.store.read(name, self.state)
                 if name == "bucket_totals":  # a row a day and order: kept in one partition, every series is joined to it
-                    rows = rows.groupBy("n", "bucket").agg(F.sum("total_count").alias("total_count")).coalesce(1).persist()
+                    # dealt by a shuffle: under coalesce(1) one task would make the sums of all shuffle partitions, each in memory of its own
+                    rows = rows.groupBy("n", "bucket").agg(F.sum("total_count").alias("total_count")).repartition(1).persist()
                 self._tables[name] = rows
             return self._tables[name]
 

@@ -482,3 +482,12 @@ def test_long_logs_and_lost_writers(spark, tmp_path):
     assert not store.append({}, "b3", {}) and not store.append({}, "b69", {}) and store.latest_log()["run_seq"] == 70
     store._write("bucket_totals", spark.createDataFrame([(1, dt.date(2024, 5, 1), 5)], "n tinyint, bucket date, total_count long"), state["buckets"])
     assert store.sweep() == 0 and store.sweep(hours=-1) == 1 and not store.files.below("bucket_totals")
+
+
+def test_totals_are_summed_in_tasks_of_their_own(built):
+    """One task must not make the sums of all shuffle partitions: memory is taken anew for each of them."""
+    totals = phrases._View(built, built.state()).table("bucket_totals")
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and "Coalesce" not in plan
+    assert totals.rdd.getNumPartitions() == 1 and totals.count() == built.read("bucket_totals").select("n", "bucket").distinct().count()
+    totals.unpersist()
