@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bucket, text): a date of 2024 from the document's id."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int"))
-    return in_pieces(table(spark, sf_dir, "documents").select(day.alias("bucket"), "text"))
+    return in_pieces(table(spark, sf_dir, "documents").select(day.alias("bucket"), "doc_id", "text"), "bucket", "doc_id").select("bucket", "text")
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:

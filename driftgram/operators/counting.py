@@ -29,11 +29,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if source_bytes(df) <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
-def in_pieces(df: DataFrame) -> DataFrame:
+def pieces(df: DataFrame) -> int:
+    """As many as there are cores at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-source_bytes(df) // PIECE_BYTES))
+
+
+def in_pieces(df: DataFrame, *by: str) -> DataFrame:
     """``df`` dealt out in pieces of bounded size, and to all cores, where its source has fewer splits. That shuffles all of it
-    each time it is read, so it is for what holds more than its input in memory."""
-    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-source_bytes(df) // PIECE_BYTES))
-    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
+    each time it is read, so it is for what holds more than its input in memory. Pieces are ranges of ``by``, in order, so that
+    what is counted by it is summed before it is sent on; its last column should tell rows apart."""
+    n = pieces(df)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartitionByRange(n, *by).sortWithinPartitions(*by) if by else df.repartition(n)
 
 
 def ngram_counts(texts: DataFrame, max_n: int = 3) -> DataFrame:
