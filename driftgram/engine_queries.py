@@ -17,7 +17,7 @@ from .operators import counting, ranking
 from .plans import phrases, rebuild, requests
 from .plans.phrases import PhraseQueries
 from .queries import (
-    _COUNTS, _EVERYTHING, _GLOBALS, _PARTS, _TOTALS, END, START, _built, _shared_folder, _sql_grams, _sql_tokens, _store, _text, _with, ngrams, query,
+    _COUNTS, _EVERYTHING, _GLOBALS, _PARTS, _TOTALS, END, START, _built, _shared_folder, _sql_grams, _sql_tokens, _store, _text, _with, query,
 )
 from .sources import config, items
 from .sources.store import Store, write_tsv
@@ -35,8 +35,7 @@ def _page_tokens(name: str, written, sql_text: str) -> None:
 
     @query(name, sql)
     def counted(spark, sf_dir):
-        rows = with_tokens(corpora.pages(spark, sf_dir).withColumn("text", written(F.col("text"), F.col("url"))))
-        return ngrams.exploded(rows, "tokens", "token", "page_id").groupBy("page_id", "token").agg(F.count("*").alias("occurrences"))
+        return counting.token_counts(with_tokens(corpora.pages(spark, sf_dir).withColumn("text", written(F.col("text"), F.col("url")))), "page_id")
 
 
 def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:

@@ -30,8 +30,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def pieces(df: DataFrame) -> int:
-    """As many as there are cores at least."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-source_bytes(df) // PIECE_BYTES))
+    """As many as there are cores at least. Where Spark can't tell a source's size, as many as it has splits, or as shuffles have."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, source_bytes(df)
+    if size >= 1 << 60:
+        return max(cores, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, -(-size // PIECE_BYTES))
 
 
 def in_pieces(df: DataFrame, *by: str) -> DataFrame:
@@ -54,6 +57,13 @@ def order_counts(texts: DataFrame, n: int) -> DataFrame:
     return ngrams.of_order(texts, n, "bucket").groupBy("bucket", "ngram").agg(F.count("*").alias("count"))
 
 
+def token_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, token, occurrences) of texts with ``key`` and ``tokens``, where a key has few rows. Tokens are dealt out by key before
+    they are exploded, in pieces of bounded size, which Spark doesn't put together as it does with shuffled sums."""
+    dealt = texts.select(key, "tokens").repartition(pieces(texts), key)
+    return ngrams.exploded(dealt, "tokens", "token", key).groupBy(key, "token").agg(F.count("*").alias("occurrences"))
+
+
 def bucket_totals(texts: DataFrame, max_n: int = 3) -> DataFrame:
     """(bucket, n, total_count) from token numbers alone: the texts aren't exploded."""
     sums = texts.groupBy("bucket").agg(*(F.sum(ngrams.window_count(F.col("tokens"), n)).alias(f"t{n}") for n in range(1, max_n + 1)))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftgram import queries
+from driftgram import engine_queries, queries  # noqa: F401
 from driftgram.operators import counting, windows
 from driftgram.operators.pruning import Pruning, Threshold
 
@@ -67,3 +67,17 @@ def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     few = spark.range(5).select(F.col("id"), F.lit("a").alias("text"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert counting.pieces(docs) > spark.sparkContext.defaultParallelism == counting.pieces(few)
+
+
+@pytest.mark.parametrize("name", ["tok_pages_tags_entities", "tok_nfkc", "tok_entities", "tok_quotes"])
+def test_page_tokens_are_summed_in_pieces(spark, sf_dir, monkeypatch, name):
+    """Tokens are dealt out by page, in pieces whose number grows with the input; sums are not shuffled, so Spark puts none together."""
+    monkeypatch.setattr(counting, "PIECE_BYTES", 1 << 13)
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.split("hashpartitioning(")[1].split("\n")[0].count("REPARTITION_BY_NUM") == 1
+    assert int(plan.split("hashpartitioning(")[1].split("), ")[0].split(", ")[1].rstrip(")")) > spark.sparkContext.defaultParallelism
+
+
+def test_page_tokens_of_equal_keys_meet(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (None, ["a"]), (None, ["a"]), (2, []), (3, None)], "page_id long, tokens array<string>")
+    assert {tuple(r) for r in counting.token_counts(rows.repartition(4), "page_id").collect()} == {(1, "a", 3), (1, "b", 1), (None, "a", 2)}
