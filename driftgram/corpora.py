@@ -13,10 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(bucket, text): a date of 2024 from the document's id."""
+def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bucket, doc_id, text), as they lie: a date of 2024 from the document's id."""
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int"))
-    return in_pieces(table(spark, sf_dir, "documents").select(day.alias("bucket"), "doc_id", "text"), "bucket", "doc_id").select("bucket", "text")
+    return table(spark, sf_dir, "documents").select(day.alias("bucket"), "doc_id", "text")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bucket, text) of :func:`dated_documents`, in pieces."""
+    return in_pieces(dated_documents(spark, sf_dir), "bucket", "doc_id").select("bucket", "text")
 
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:

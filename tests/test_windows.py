@@ -81,3 +81,51 @@ def test_page_tokens_are_summed_in_pieces(spark, sf_dir, monkeypatch, name):
 def test_page_tokens_of_equal_keys_meet(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["a"]), (None, ["a"]), (None, ["a"]), (2, []), (3, None)], "page_id long, tokens array<string>")
     assert {tuple(r) for r in counting.token_counts(rows.repartition(4), "page_id").collect()} == {(1, "a", 3), (1, "b", 1), (None, "a", 2)}
+
+
+def _tokens(spark, sf_dir) -> list[pa.RecordBatch]:
+    texts = queries._documents(spark, sf_dir).select("tokens").toArrow()
+    return texts.set_column(0, "tokens", texts.column("tokens").cast(pa.list_(pa.string()))).to_batches()
+
+
+def test_blocks_are_a_fraction_of_the_windows_text(spark, sf_dir):
+    """What is shuffled is less than twice the tokens' own text, though each token is in five windows."""
+    batches = _tokens(spark, sf_dir)
+    text = sum(len(t) + 1 for batch in batches for tokens in batch.column("tokens").to_pylist() for t in tokens)
+    assert sum(batch.nbytes for batch in windows._cut(5, ())(iter(batches))) < 2 * text
+
+
+def test_texts_that_are_counted_by_windows_are_not_dealt_by_range(spark, sf_dir):
+    plan = queries.QUERIES["ngram_orders_1_5"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan
+
+
+def test_ngrams_lie_behind_those_they_continue(spark, sf_dir):
+    """In order of their tokens, all orders together, so that a file's compression has what an n-gram begins with just before it."""
+    out = [r["ngram"].split(" ") for batch in windows._count(5, (), None)(windows._cut(5, ())(iter(_tokens(spark, sf_dir)))) for r in batch.to_pylist()]
+    assert out == sorted(out) and {len(g) for g in out} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("max_n", [1, 2, 5])
+@pytest.mark.parametrize("keep", [(), ("bucket",)])
+def test_blocks_of_some_tokens_and_partitions_at_a_time(monkeypatch, max_n, keep):
+    """Windows that begin alike go to one key, whichever task, texts and partitions they are made with; counts stay those of all."""
+    monkeypatch.setattr(windows, "_TEXTS", 7)
+    monkeypatch.setattr(windows, "_TOKENS", 60)
+    monkeypatch.setattr(windows, "_WINDOWS", 20)
+    texts = [(day, ["é", *t] if i % 5 == 0 else t) for i, (day, t) in enumerate(_texts(120, 3))] + [(None, None)]
+    batches = [pa.record_batch([pa.array([d for d, _ in part], pa.date32()), pa.array([t for _, t in part], pa.list_(pa.string()))], names=["bucket", "tokens"]) for part in (texts[:50], texts[50:])]
+    by_key = {}
+    for batch in (b for part in batches for b in windows._cut(max_n, keep, 100 + 10 * windows.np.arange(9))(iter([part]))):
+        for i in range(batch.num_rows):
+            by_key.setdefault(batch.column("key")[i].as_py(), []).append(batch.slice(i, 1))
+    assert len(by_key) > 2 and set(by_key) <= set(range(100, 190, 10))
+    rows = [tuple(r.values()) for blocks in by_key.values() for batch in windows._count(max_n, keep, None)(iter(blocks)) for r in batch.to_pylist()]
+    expected = _plain([(day if keep else None, t or []) for day, t in texts], max_n)
+    assert len(rows) == len(expected) and {r[:-1] if keep else (None, *r[:-1]): r[-1] for r in rows} == expected
+
+
+def test_partitions_have_keys_of_their_own(spark):
+    keys = windows._keys(spark, 50)
+    dealt = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(50, "key").select(F.spark_partition_id()).distinct().count()
+    assert len(set(keys)) == len(keys) == dealt >= 48
